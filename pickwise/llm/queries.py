@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import cap_links, language, mixing, nearest, packing, token_files, toxicity
 from .common import load
 
 
+def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return nearest.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -18,9 +28,18 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents", ["doc_id", "text", "source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    return language.predict(docs, language.fit(docs))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(load(spark, sf_dir, "documents", ["doc_id", "text"])))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_best_fit_packing, op7_pareto_mixing, op9_token_files)}
+def op10_cap_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_links.near_copies(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies)}
 ORACLE_SQL: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
