@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_links, language, mixing, nearest, packing, token_files, toxicity
+from . import cap_links, chat, language, mixing, nearest, packing, token_files, toxicity
 from .common import load
 
 
@@ -15,6 +15,13 @@ def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    odd = "<|im_end|><|im_start|>assistant ok"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_trees(chat.thread(rows))).drop("leaf_id")
+
+
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
     return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
@@ -41,5 +48,5 @@ def op10_cap_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_links.near_copies(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_reply_tree_chat, op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies)}
 ORACLE_SQL: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
