@@ -12,6 +12,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,7 +81,7 @@ class Model:
         model = self
 
         @pandas_udf("double")
-        def run(it: "pd.Iterator[pd.Series]") -> "pd.Iterator[pd.Series]":  # type: ignore[name-defined]
+        def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
             score = model.scorer()
             for s in it:
                 yield pd.Series([score(t) for t in s], dtype="float64")
