@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_links, chat, extraction, language, mixing, nearest, packing, token_files, toxicity
+from . import cap_links, chat, extraction, jaccard, language, mixing, nearest, packing, token_files, toxicity
 from .common import load
 
 
@@ -14,6 +14,10 @@ def op1_lstm_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(load(spark, sf_dir, "pages", ["page_id", "url", "html"]), extraction.fit())
 
 
+def op2_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(load(spark, sf_dir, "documents", ["doc_id", "text"]), words=4, percent=85)
+
+
 def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return nearest.search(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -52,5 +56,5 @@ def op10_cap_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_links.near_copies(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lstm_main_text, op4_reply_tree_chat, op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lstm_main_text, op2_rtree_jaccard, op4_reply_tree_chat, op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies)}
 ORACLE_SQL: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
