@@ -41,24 +41,25 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node, check of every document; and, in rows of their own, each task's shingle counts by bucket."""
+    """doc_id, n, node, check, vec (count vector) of every document; and, in rows of their own, each task's shingle counts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "counts": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "vec": pa.binary(), "counts": pa.binary()}
         for batch in batches:
             for lo, hi in slices(batch):
-                part, n, node, check = batch.slice(lo, hi - lo), [], [], []
+                part, n, node, check, vec = batch.slice(lo, hi - lo), [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, words)
                     n.append(len(s))
                     node.append(node_of(s))
                     check.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 1)).astype(np.int64)))
-                    np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1) if len(s) < 64 else total.__iadd__(np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "counts": pa.nulls(len(n), pa.binary())}, schema=pa.schema(kinds))
+                    vec.append(rtree.packed(rtree.counts(s, rtree.groups_for(len(s)))))
+                    np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "vec": pa.array(vec, pa.binary()), "counts": pa.nulls(len(n), pa.binary())}, schema=pa.schema(kinds))
         yield pa.RecordBatch.from_pydict({k: pa.array([total.tobytes()] if k == "counts" else [None], t) for k, t in kinds.items()}, schema=pa.schema(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, vec binary, counts binary")
 
 
 def rarity(counted: DataFrame) -> np.ndarray:
@@ -137,31 +138,28 @@ def shared(posted: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "token long, node long, n int, short boolean").select(*names)
 
 
-def vectors(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """node, hashes, small, full: the whole set and the count vectors of the nodes in `wanted`(doc_id, node)."""
+def hash_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """node, hashes: the whole sets of the nodes in `wanted`(doc_id, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch):
-                part = batch.slice(lo, hi - lo)
-                rows: dict[str, list] = {"node": [], "hashes": [], "small": [], "full": []}
+                part, nodes, hashes = batch.slice(lo, hi - lo), [], []
                 for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_set(text, words)
-                    if node_of(s) != node:
-                        continue
-                    full = rtree.counts(s, rtree.groups_for(len(s)))
-                    for k, v in zip(rows, (node, s.tobytes(), rtree.fold(full, SMALL).astype("<i4").tobytes(), full.astype("<u2").tobytes()), strict=True):
-                        rows[k].append(v)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "node" else pa.binary()) for k, v in rows.items()})
+                    if node_of(s) == node:
+                        nodes.append(node)
+                        hashes.append(s.tobytes())
+                yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "hashes": pa.array(hashes, pa.binary())})
 
-    j = docs.join(wanted, "doc_id").select("node", "text")
-    return j.mapInArrow(run, "node long, hashes binary, small binary, full binary").dropDuplicates(["node"])
+    j = docs.join(maybe_broadcast(wanted, wanted.count(), 500_000), "doc_id").select("node", "text")
+    return j.mapInArrow(run, "node long, hashes binary")
 
 
 def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
     """Pairs a < b of nodes that an R-tree join of their block lets through.
 
-    blocks: token, side, node, n, short, component, small, full. In the first round a large block gives pairs of
+    blocks: token, part, side, node, n, short, component, vec. In the first round a large block gives pairs of
     neighbours; in the second all pairs whose components differ.
     """
 
@@ -202,8 +200,8 @@ def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
             comp, side = t["component"].to_numpy(), t["side"].to_numpy()
             if (comp == comp[0]).all():
                 return
-            points = np.frombuffer(b"".join(t["small"].to_pylist()), dtype="<i4").reshape(len(n), SMALL)
-            full = [np.frombuffer(f, dtype="<u2").astype(np.int64) for f in t["full"].to_pylist()]
+            full = [rtree.unpacked(v) for v in t["vec"].to_pylist()]
+            points = np.stack([rtree.fold(v, SMALL) for v in full])
             for x, y in pairs_of(n, t["short"].to_numpy(zero_copy_only=False), comp, points, full):
                 if side.any():  # two parts of a large block: pairs inside a part belong to another task
                     k = side[x] != side[y]
@@ -219,42 +217,66 @@ def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
                 if new:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()), "b": pa.array([p[1] for p in new], pa.int64())})
 
+        def leaves(t: pa.Table, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Blocks that are one leaf each, all together."""
+            x, y = rtree.expand(lo, hi, lo, hi)
+            node, n, short, comp, side = (t[k].to_numpy() for k in ("node", "n", "short", "component", "side"))
+            k = x < y
+            x, y = x[k], y[k]
+            n = n.astype(np.int64)
+            k = (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x]) & (comp[x] != comp[y])
+            k &= np.where(n[x] < n[y], short[x], np.where(n[y] < n[x], short[y], short[x] | short[y]))
+            k &= (side[x] != side[y]) | ((side[x] == 0) & (side[y] == 0))
+            x, y = x[k], y[k]
+            if not len(x):
+                return
+            used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            full = [rtree.unpacked(v) for v in t["vec"].take(pa.array(used)).to_pylist()]
+            i, j = at[: len(x)], at[len(x) :]
+            ok = np.array([bound(full[a], full[b]) >= need for a, b, need in zip(i.tolist(), j.tolist(), rtree.needed(n[x] + n[y], percent).tolist(), strict=True)], dtype=bool)
+            yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
+
+        def whole(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            lo, hi = edges[:-1], edges[1:]
+            small = hi - lo <= rtree.LEAF
+            if small.any():
+                yield from put(leaves(t, lo[small], hi[small]))
+            for a, b in zip(lo[~small].tolist(), hi[~small].tolist(), strict=True):
+                yield from put(block(t.slice(a, b - a)))
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if rest is not None:
                 t = pa.concat_tables([rest, t])
             token, part = t["token"].to_numpy(), t["part"].to_numpy()
-            cuts = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1
-            edges = [0, *cuts.tolist()]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1:
-                    yield from put(block(t.slice(lo, hi - lo)))
-            rest = t.slice(edges[-1])
+            edges = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1])
+            yield from whole(t.slice(0, int(edges[-1])), edges)
+            rest = t.slice(int(edges[-1]))
         if rest is not None and len(rest) > 1:
-            yield from put(block(rest))
+            yield from whole(rest, np.array([0, len(rest)]))
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def blocks_of(posted: DataFrame, vecs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Postings with vectors and components, by block in one task; a block over BLOCK members is cut into parts, and each
-    pair of parts is a block of its own."""
+def blocks_of(posted: DataFrame, vecs: DataFrame, comps: DataFrame | None, over: int = 1) -> DataFrame:
+    """Postings with vectors and components of blocks with more than `over` members, by block in one task; a block over
+    BLOCK members is cut into parts, and each pair of parts is a block of its own."""
     p = posted
     p = p.join(comps.withColumnRenamed("node", "c_node"), p["node"] == F.col("c_node"), "left").drop("c_node") if comps is not None else p.withColumn("component", F.col("node"))
     p = p.withColumn("component", F.coalesce("component", "node"))
     state = p.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    p = p.join(state.where(F.col("lo") != F.col("hi")).select("token", "members"), "token")
+    p = p.join(state.where((F.col("lo") != F.col("hi")) & (F.col("members") > over)).select("token", "members"), "token")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     p = p.withColumn("own", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("int"))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     p = p.select("token", (lo * 65536 + hi).cast("int").alias("part"), F.when(lo != hi, F.col("own") == hi).otherwise(False).cast("int").alias("side"), "node", "n", "short", "component")
-    j = p.join(vecs.select("node", "small", "full"), "node")
+    j = p.join(vecs.select("node", "vec"), "node")
     return j.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
 
 
-def verified(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets have at least that Jaccard similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, firsts: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have at least that Jaccard similarity; sets are made anew from the texts of the pairs' ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,9 +287,12 @@ def verified(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * i >= percent * (len(x) + len(y) - i))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    h = vecs.select("node", "hashes")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    h = save(hash_sets(docs, words, firsts.join(ends, "node").select("doc_id", "node").distinct()).dropDuplicates(["node"]), "hashes")
     j = pairs.join(h.withColumnsRenamed({"node": "a", "hashes": "x"}), "a").join(h.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
-    return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = save(j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(h)
+    return out
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -282,17 +307,14 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rare = rarity(every.where(F.col("counts").isNotNull()))
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")
     posted = save(shared(postings(docs.where(F.col("doc_id").isNotNull()), words, percent, rare)), "postings")
-    firsts = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    firsts = save(firsts, "classes")
-    wanted = save(firsts.join(posted.select("node").distinct(), "node").select("doc_id", "node"), "wanted")
-    vecs = save(vectors(docs, words, maybe_broadcast(wanted, wanted.count(), 500_000)), "vectors")
-    near = save(candidates(blocks_of(posted, vecs, None), percent, True).distinct(), "pairs")
-    links = save(verified(near, vecs, percent), "links")
+    named = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "classes")
+    near = save(candidates(blocks_of(posted, firsts, None), percent, True).distinct(), "pairs")
+    links = verified(near, docs, words, percent, firsts)
     joined = components(links)
-    more = save(candidates(blocks_of(posted, vecs, joined), percent, False).distinct(), "pairs")
-    links2 = save(links.union(verified(more.join(near, ["a", "b"], "left_anti"), vecs, percent)), "links")
-    joined = components(links2)
-    discard(posted, vecs, near, more, links, wanted)
+    more = save(candidates(blocks_of(posted, firsts, joined, rtree.LEAF), percent, False).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
+    joined = components(links.union(verified(more, docs, words, percent, firsts)))
+    discard(posted, near, more)
     inside = firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = inside.withColumns({"component_id": F.min("doc_id").over(Window.partitionBy("component"))})
     known = save(known.where((F.col("copies") > 1) | (F.col("component_id") != F.col("doc_id"))).select(F.col("node").alias("kn"), F.col("check").alias("kc"), F.col("component_id").alias("kid")), "known")

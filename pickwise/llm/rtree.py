@@ -17,8 +17,20 @@ def counts(hashes: np.ndarray, groups: int) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Groups grow with the set, so that the bound tells large sets apart too: a power of two, about n / 8."""
-    return 1 << max(6, min(13, (max(n, 1) // 8).bit_length()))
+    """Groups grow with the set, so that the bound tells large sets apart too: a power of two, about n / 16, at least 64."""
+    return 1 << max(6, min(13, (max(n, 1) // 16).bit_length()))
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """Counts as bytes: a shift, then each count over 2^shift, rounded up (so that bounds stay bounds)."""
+    shift = max(0, int(vector.max(initial=0)).bit_length() - 8)
+    if -(-int(vector.max(initial=0)) // (1 << shift)) > 255:
+        shift += 1
+    return bytes([shift]) + (-(-vector // (1 << shift))).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8, offset=1).astype(np.int64) << raw[0]
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
