@@ -1 +1,95 @@
-from .registry import query  # noqa: F401
+"""Queries over the ordered log `events`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import timeseries as ts
+from ..sources.tables import table
+from ..streaming import log
+from .registry import query
+
+c = F.col
+
+
+def events(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS counter, lag(CAST(json_extract(props, '$.k') AS BIGINT)) OVER w AS before, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, round(CASE WHEN gap > 0 AND counter >= before THEN (counter - before) / gap END, 6) AS rate FROM e""")
+def counter_rate(spark, sf_dir):
+    """Each user's counter as a rate; resets give null."""
+    e = events(spark, sf_dir).withColumn("counter", F.get_json_object("props", "$.k").cast("long"))
+    return ts.counter_rate(e, ["user_id"], ["ts", "event_id"], "ts", "counter").select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+b AS (SELECT *, place // greatest(CAST(ceil(n / 40) AS BIGINT), 1) AS bucket, place % greatest(CAST(ceil(n / 40) AS BIGINT), 1) AS pos FROM e), k AS (SELECT *, count(*) OVER (PARTITION BY event_type, bucket) AS r FROM b)
+SELECT event_type, bucket, count(*) AS rows, round(avg(value), 3) AS mean, max(CASE WHEN pos = least(r - 1, r // 2) THEN ts END) AS ts FROM k GROUP BY event_type, bucket""")
+def downsample_positional(spark, sf_dir):
+    """Forty buckets of each type by position, with the middle row's time."""
+    return ts.downsample(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], 40, "value", "ts")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-30' AND coalesce(CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 30 DAY END, TIMESTAMP '1995-06-30') >= TIMESTAMP '1995-06-01'""")
+def interval_overlap(spark, sf_dir):
+    """Jobs that ran at any time of a window; running ones have no end."""
+    o = table(spark, sf_dir, "orders")
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in ("1995-06-01", "1995-06-30"))
+    finish = F.when(c("o_orderstatus") != "O", c("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
+    return o.where(ts.overlaps(c("o_orderdate"), finish, low, high)).select("o_orderkey")
+
+
+@query("SELECT (epoch_us(ts) // 60000000) - (epoch_us(ts) // 60000000) % 15 AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
+def epoch_bucket(spark, sf_dir):
+    """Occurrences in tumbling schedule buckets of fifteen minutes."""
+    return events(spark, sf_dir).groupBy(ts.minute_bucket(c("ts"), 15).alias("bucket"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, 'k' AS key, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS mean, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events GROUP BY event_type")
+def json_map_key_stats(spark, sf_dir):
+    """Mean and total of each key of a JSON map."""
+    m = events(spark, sf_dir).select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("key", "v"))
+    return m.groupBy("event_type", "key").agg(F.round(F.avg("v"), 6).alias("mean"), F.sum("v").alias("total"))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, CASE WHEN last >= TIMESTAMP '2024-01-30 20:00:00' THEN 'active' WHEN last >= TIMESTAMP '2024-01-30' THEN 'stale' ELSE 'stopped' END AS state FROM l""")
+def heartbeat_state(spark, sf_dir):
+    """Workers by how long ago they were heard of, at a given now."""
+    last = events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("last"))
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return last.select("user_id", F.when(c("last") >= at("2024-01-30 20:00:00"), "active").when(c("last") >= at("2024-01-30"), "stale").otherwise("stopped").alias("state"))
+
+
+@query("SELECT min(event_id) AS oldest, max(event_id) AS newest, count(*) AS n FROM events")
+def stream_bounds(spark, sf_dir):
+    return events(spark, sf_dir).agg(F.min("event_id").alias("oldest"), F.max("event_id").alias("newest"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 200")
+def cursor_tail(spark, sf_dir):
+    """The next bounded batch behind a cursor."""
+    return events(spark, sf_dir).where(c("event_id") > 500).orderBy("event_id").limit(200).select("event_id", "event_type")
+
+
+@query("""WITH e AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM events)
+SELECT user_id, count(*) FILTER (WHERE most IS NULL OR value > most) AS accepted, count(*) FILTER (WHERE value <= most) AS refused FROM e GROUP BY user_id""")
+def monotone_progress(spark, sf_dir):
+    """Progress reports of each worker: those not above the highest so far are refused."""
+    most = F.max("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    e = events(spark, sf_dir).withColumn("most", most)
+    return e.groupBy("user_id").agg(F.count_if(c("most").isNull() | (c("value") > c("most"))).alias("accepted"), F.count_if(c("value") <= c("most")).alias("refused"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000000 AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_dedup_tumbling(spark, sf_dir):
+    """The log as a stream, read twice over: repeated events are dropped and tumbling windows of six hours counted."""
+    return log.dedup_windows(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""SELECT user_id, count(*) AS accepted, max(value) AS level FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM events) WHERE most IS NULL OR value > most GROUP BY user_id""")
+def stream_progress(spark, sf_dir):
+    """The same refusal of stale progress as a keyed-state stream; the final state of each worker."""
+    return log.progress(spark, f"{sf_dir}/events.parquet")

@@ -1 +1,109 @@
-from .registry import query  # noqa: F401
+"""Queries over `embeddings`: low ids are the profile, the rest candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.vectors import cosine, dot, unit
+from ..operators import neighbours as nn
+from ..sources.tables import table
+from .registry import query
+
+c = F.col
+UNIT_SQL = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
+SIM_SQL = UNIT_SQL + ", s AS (SELECT q.vec_id AS query_id, p.vec_id AS exemplar_id, p.label AS label, list_dot_product(q.v, p.v) AS sim FROM u q, u p WHERE q.vec_id >= 40 AND p.vec_id < 40)"
+TOP_SQL = SIM_SQL + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, exemplar_id) AS r FROM s QUALIFY r <= 10)"
+SOFT_SQL = TOP_SQL + ", w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.1) AS e FROM t)"
+
+
+def sides(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    return e.where("vec_id >= 40").select(c("vec_id").alias("query_id"), "embedding"), e.where("vec_id < 40").select(c("vec_id").alias("exemplar_id"), "embedding", "label")
+
+
+@query(f"WITH {SOFT_SQL} SELECT query_id, round(sum(e * sim) / sum(e), 6) AS style FROM w GROUP BY query_id")
+def knn_softmax_score(spark, sf_dir):
+    q, p = sides(spark, sf_dir)
+    return nn.style_score(q, p).select("query_id", F.round("style", 6).alias("style"))
+
+
+@query(f"""WITH {SIM_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY round(sim, 12) DESC, exemplar_id) AS r FROM s QUALIFY r <= 10),
+w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY query_id, label % 2)) / 0.1) AS e FROM t),
+a AS (SELECT query_id, sum(e * sim) FILTER (WHERE label % 2 = 0) / sum(e) FILTER (WHERE label % 2 = 0) AS pos, sum(e * sim) FILTER (WHERE label % 2 = 1) / sum(e) FILTER (WHERE label % 2 = 1) AS neg FROM w GROUP BY query_id)
+SELECT query_id, round(pos - greatest(0, neg - pos), 6) AS score FROM a""")
+def contrastive_score(spark, sf_dir):
+    """Nearness to liked exemplars less what nearness to disliked ones exceeds it by."""
+    q, p = sides(spark, sf_dir)
+    pos = nn.style_score(q, p.where(c("label") % 2 == 0)).withColumnRenamed("style", "pos")
+    neg = nn.style_score(q, p.where(c("label") % 2 == 1)).withColumnRenamed("style", "neg")
+    return pos.join(neg, "query_id", "left").select("query_id", F.round(nn.contrastive(c("pos"), c("neg")), 6).alias("score"))
+
+
+@query(f"""WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS exemplar_id, list_dot_product(a.v, b.v) AS sim FROM u a, u b WHERE a.vec_id < 40 AND b.vec_id < 40 AND a.vec_id <> b.vec_id)
+SELECT query_id, exemplar_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, exemplar_id) AS rank FROM p QUALIFY rank <= 10""")
+def self_knn(spark, sf_dir):
+    """Each exemplar's neighbours among the others."""
+    _, p = sides(spark, sf_dir)
+    sims = nn.similarities(p.select(c("exemplar_id").alias("query_id"), "embedding"), p.select("exemplar_id", "embedding"))
+    return nn.nearest(sims, exclude_self=True).select("query_id", "exemplar_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""WITH {SOFT_SQL}, k AS (SELECT query_id, sum(e * sim) / sum(e) AS style FROM w GROUP BY query_id), b AS (SELECT quantile_cont(round(style, 9), 0.05) AS p5, quantile_cont(round(style, 9), 0.95) AS p95 FROM k)
+SELECT query_id, round(style, 6) AS style, round(p5, 6) AS p5, round(p95, 6) AS p95 FROM k, b WHERE round(style, 9) <= p5""")
+def outliers_p5(spark, sf_dir):
+    """Candidates whose style is at or under the fifth percentile, beside the range of all."""
+    q, p = sides(spark, sf_dir)
+    s = nn.style_score(q, p).withColumn("s", F.round("style", 9))
+    b = s.agg(F.percentile("s", F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
+    return s.crossJoin(F.broadcast(b)).where(c("s") <= c("p")[0]).select("query_id", F.round("style", 6).alias("style"), F.round(c("p")[0], 6).alias("p5"), F.round(c("p")[1], 6).alias("p95"))
+
+
+@query(f"""WITH {UNIT_SQL}, m AS (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) t(i) GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY label)
+SELECT label, i - 1 AS place, round(x / l, 6) AS x FROM m JOIN n USING (label)""")
+def centroid(spark, sf_dir):
+    """Each label's normalised centroid, by place."""
+    out = nn.centroid(table(spark, sf_dir, "embeddings"), "label").select("label", F.posexplode("centroid").alias("place", "x"))
+    return out.select("label", c("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {SOFT_SQL} SELECT query_id, round(sum(e * (exemplar_id % 7)) / sum(e), 6) AS x, round(sum(e * (exemplar_id % 11)) / sum(e), 6) AS y FROM w GROUP BY query_id")
+def barycentric(spark, sf_dir):
+    """Candidates placed between their neighbours' map coordinates."""
+    q, p = sides(spark, sf_dir)
+    top = nn.softmax_weights(nn.nearest(nn.similarities(q, p)))
+    return top.groupBy("query_id").agg(F.round(F.sum(c("weight") * (c("exemplar_id") % 7)), 6).alias("x"), F.round(F.sum(c("weight") * (c("exemplar_id") % 11)), 6).alias("y"))
+
+
+@query(f"WITH {UNIT_SQL} SELECT a.vec_id, round(list_dot_product(a.v, b.v), 6) AS family FROM u a JOIN (SELECT label, v FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) b USING (label)")
+def anchor_family(spark, sf_dir):
+    """Cosine to the anchor (the first vector) of one's own label."""
+    e = table(spark, sf_dir, "embeddings")
+    anchor = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
+    return e.join(anchor, "label").select("vec_id", F.round(cosine(c("embedding"), c("anchor")), 6).alias("family"))
+
+
+@query("""WITH g AS (SELECT label, 'w' || (vec_id % 5) AS genre, count(*) AS n FROM embeddings GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, genre) AS k FROM g)
+SELECT label, string_agg(genre, ' / ' ORDER BY k) || ' (' || (SELECT count(*) FROM embeddings e WHERE e.label = r.label) || ')' AS name FROM r WHERE k <= 2 GROUP BY label""")
+def cluster_names(spark, sf_dir):
+    """A cluster's name: its two commonest genres and its size."""
+    e = table(spark, sf_dir, "embeddings")
+    g = e.groupBy("label", F.concat(F.lit("w"), c("vec_id") % 5).alias("genre")).agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "genre"))).withColumn("size", F.sum("n").over(Window.partitionBy("label")))
+    top = g.where(c("k") <= 2).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "genre"))).alias("s"), F.max("size").alias("size"))
+    return top.select("label", F.concat(F.array_join("s.genre", " / "), F.lit(" ("), c("size").cast("string"), F.lit(")")).alias("name"))
+
+
+@query()
+def pca_map(spark, sf_dir):
+    """The profile projected on its three principal axes (signs are arbitrary: compared by variance in the tests)."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(unit(c("embedding"))).alias("v"))
+    centred = StandardScaler(inputCol="v", outputCol="x", withMean=True, withStd=False).fit(e).transform(e)
+    xyz = PCA(k=3, inputCol="x", outputCol="p").fit(centred).transform(centred).select("vec_id", vector_to_array("p").alias("p"))
+    return xyz.select("vec_id", c("p")[0].alias("x"), c("p")[1].alias("y"), c("p")[2].alias("z"))
+
+
+__all__ = ["dot"]
