@@ -255,14 +255,14 @@ def label_stats_after_revocation(spark, sf_dir):
     return own.agg(F.count_if(c("toxic") == 0).alias("positives"), F.count_if(c("toxic") == 1).alias("negatives"), F.count_distinct("doc_id").alias("subjects"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, p_size % 2 = 0 AS present FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS id, upper(p_name) AS name, p_retailprice + 1 AS price FROM part WHERE p_partkey % 4 <> 0)
+@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, p_size % 2 = 0 AS present FROM part WHERE p_size > 10), b AS (SELECT p_partkey AS id, upper(p_name) AS name, p_retailprice + 1 AS price FROM part WHERE p_retailprice > 950)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NOT NULL THEN b.name ELSE a.name END AS name, round(CASE WHEN b.id IS NOT NULL THEN b.price ELSE a.price END, 2) AS price, b.id IS NOT NULL AS present,
   CASE WHEN b.id IS NOT NULL AND a.id IS NULL THEN 'added' WHEN b.id IS NOT NULL THEN 'updated' WHEN a.present THEN 'retired' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.id = b.id""")
 def sync_upsert(spark, sf_dir):
     """A snapshot merged into stored rows; unseen rows retire because the sync had no errors."""
     (p,) = load(spark, sf_dir, "part")
-    stored = p.where("p_partkey % 3 <> 0").select(c("p_partkey").alias("id"), c("p_name").alias("name"), c("p_retailprice").alias("price"), (c("p_size") % 2 == 0).alias("present"))
-    seen = p.where("p_partkey % 4 <> 0").select(c("p_partkey").alias("id"), F.upper("p_name").alias("name"), (c("p_retailprice") + 1).alias("price"))
+    stored = p.where("p_size > 10").select(c("p_partkey").alias("id"), c("p_name").alias("name"), c("p_retailprice").alias("price"), (c("p_size") % 2 == 0).alias("present"))
+    seen = p.where("p_retailprice > 950").select(c("p_partkey").alias("id"), F.upper("p_name").alias("name"), (c("p_retailprice") + 1).alias("price"))
     return rel.upsert(stored, seen, "id").withColumn("price", F.round("price", 2))
 
 

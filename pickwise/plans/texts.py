@@ -1 +1,80 @@
-from .registry import query  # noqa: F401
+"""Text queries over `part`, `customer` and `documents`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scores, texts
+from ..operators.candidates import fuzzy_ratio
+from ..sources.tables import table
+from .registry import query
+
+c = F.col
+
+
+@query(r"SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS BIGINT) AS chars, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
+def text_normalise(spark, sf_dir):
+    """The normal form of every text, by length and digest."""
+    n = texts.normalise(c("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(n).cast("long").alias("chars"), F.md5(n).alias("digest"))
+
+
+@query(r"""SELECT p_partkey, len(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+'))) AS significant FROM part""")
+def significant_tokens(spark, sf_dir):
+    w = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(w, texts.significant)).cast("long").alias("significant"))
+
+
+@query(r"""SELECT doc_id, length(regexp_replace(text, '(?i)(token|password|secret|api[_-]?key)\s*[=:]\s*\S+', '\1=[redacted]', 'g')) AS chars, len(regexp_extract_all(text, '(?i)(token|password|secret|api[_-]?key)\s*[=:]\s*\S+')) AS secrets FROM documents""")
+def redact_count(spark, sf_dir):
+    """Texts with secrets blotted out: their length and how many there were."""
+    text, n = texts.redact(c("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("chars"), n.alias("secrets"))
+
+
+@query(r"""SELECT n_name, regexp_replace(CASE n_nationkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'a ' ELSE '' END || n_name, '^(?i:the|an|a) ', '') AS key, regexp_replace(CASE n_nationkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'a ' ELSE '' END || n_name, '^((?i:the|an|a)) (.*)$', '\2, \1') AS shown FROM nation""")
+def title_sort(spark, sf_dir):
+    """Sort keys without articles, and titles with the article behind."""
+    n = table(spark, sf_dir, "nation").withColumn("title", F.concat(F.when(c("n_nationkey") % 3 == 0, "The ").when(c("n_nationkey") % 3 == 1, "a ").otherwise(""), c("n_name")))
+    return n.select("n_name", texts.sort_key(c("title")).alias("key"), texts.sort_title(c("title")).alias("shown"))
+
+
+@query(r"""WITH f AS (SELECT p_partkey, p_name || ' (' || (1950 + p_size) || ')' || CASE WHEN p_partkey % 4 = 0 THEN ' ' || (p_partkey % 9 + 1) ELSE '' END || '.jpg' AS file FROM part)
+SELECT p_partkey, nullif(regexp_extract(file, '^(.+?) \((\d{4})\)(?:[ _-]*\(?(\d+)\)?)?\.[A-Za-z0-9]+$', 1), '') AS title, CAST(nullif(regexp_extract(file, '^(.+?) \((\d{4})\)(?:[ _-]*\(?(\d+)\)?)?\.[A-Za-z0-9]+$', 2), '') AS INTEGER) AS year,
+  CAST(nullif(regexp_extract(file, '^(.+?) \((\d{4})\)(?:[ _-]*\(?(\d+)\)?)?\.[A-Za-z0-9]+$', 3), '') AS INTEGER) AS copy FROM f""")
+def filename_parse(spark, sf_dir):
+    """Title, year and copy number out of file names."""
+    file = F.concat("p_name", F.lit(" ("), (c("p_size") + 1950).cast("string"), F.lit(")"), F.when(c("p_partkey") % 4 == 0, F.concat(F.lit(" "), (c("p_partkey") % 9 + 1).cast("string"))).otherwise(""), F.lit(".jpg"))
+    title, year, copy = texts.parse_title(file)
+    return table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), year.alias("year"), copy.alias("copy"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s >= 86400 THEN printf('%dd %dh %dm', s // 86400, s % 86400 // 3600, s % 3600 // 60) WHEN s >= 3600 THEN printf('%dh %dm', s // 3600, s % 3600 // 60) ELSE printf('%dm', s // 60) END AS uptime
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * (l_partkey % 97) * 60 AS s FROM lineitem)""")
+def uptime_text(spark, sf_dir):
+    s = c("l_quantity").cast("long") * (c("l_partkey") % 97) * 60
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scores.uptime(s).alias("uptime"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 38 THEN '2160p' WHEN p_size >= 19 THEN '1080p' WHEN p_size >= 12 THEN '720p' ELSE 'SD' END AS label, p_size * 100 AS width, p_size * 60 AS height FROM part""")
+def resolution_parse(spark, sf_dir):
+    """Labels from texts like "1900x1140"."""
+    text = F.concat((c("p_size") * 100).cast("string"), F.lit("x"), (c("p_size") * 60).cast("string"))
+    width, height = texts.parse_resolution(text)
+    return table(spark, sf_dir, "part").select("p_partkey", scores.resolution_label(width).alias("label"), width.alias("width"), height.alias("height"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(lower(regexp_replace(text, '[^A-Za-z0-9\s]', ' ', 'g')), '\b(season 2|season 02|s2|s02|season ii|season two|second season)\b') AS season FROM documents""")
+def season_mentions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", texts.mentions_season(c("text"), 2).alias("season"))
+
+
+@query()
+def fuzzy_names(spark, sf_dir):
+    """The matching-blocks ratio of each part's name and type."""
+    return table(spark, sf_dir, "part").select("p_partkey", fuzzy_ratio(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
+
+
+@query("""SELECT p_partkey, regexp_matches(replace(lower(p_name), ' ', ''), 'r.*d') AS hit FROM part""")
+def letters_in_order(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", texts.subsequence(F.lit("R d"), c("p_name")).alias("hit"))

@@ -1,4 +1,4 @@
-"""Queries over `embeddings`: low ids are the profile, the rest candidates."""
+"""Queries over `embeddings`: the first four vectors of each label are the profile, all vectors are candidates."""
 
 from __future__ import annotations
 
@@ -11,15 +11,16 @@ from ..sources.tables import table
 from .registry import query
 
 c = F.col
-UNIT_SQL = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
-SIM_SQL = UNIT_SQL + ", s AS (SELECT q.vec_id AS query_id, p.vec_id AS exemplar_id, p.label AS label, list_dot_product(q.v, p.v) AS sim FROM u q, u p WHERE q.vec_id >= 40 AND p.vec_id < 40)"
+UNIT_SQL = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), prof AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 4)"
+SIM_SQL = UNIT_SQL + ", s AS (SELECT q.vec_id AS query_id, p.vec_id AS exemplar_id, p.label AS label, list_dot_product(q.v, p.v) AS sim FROM u q, prof p)"
 TOP_SQL = SIM_SQL + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, exemplar_id) AS r FROM s QUALIFY r <= 10)"
 SOFT_SQL = TOP_SQL + ", w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.1) AS e FROM t)"
 
 
 def sides(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id >= 40").select(c("vec_id").alias("query_id"), "embedding"), e.where("vec_id < 40").select(c("vec_id").alias("exemplar_id"), "embedding", "label")
+    first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) <= 4
+    return e.select(c("vec_id").alias("query_id"), "embedding"), e.withColumn("first", first).where("first").select(c("vec_id").alias("exemplar_id"), "embedding", "label")
 
 
 @query(f"WITH {SOFT_SQL} SELECT query_id, round(sum(e * sim) / sum(e), 6) AS style FROM w GROUP BY query_id")
@@ -40,7 +41,7 @@ def contrastive_score(spark, sf_dir):
     return pos.join(neg, "query_id", "left").select("query_id", F.round(nn.contrastive(c("pos"), c("neg")), 6).alias("score"))
 
 
-@query(f"""WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS exemplar_id, list_dot_product(a.v, b.v) AS sim FROM u a, u b WHERE a.vec_id < 40 AND b.vec_id < 40 AND a.vec_id <> b.vec_id)
+@query(f"""WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS exemplar_id, list_dot_product(a.v, b.v) AS sim FROM prof a, prof b WHERE a.vec_id <> b.vec_id)
 SELECT query_id, exemplar_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, exemplar_id) AS rank FROM p QUALIFY rank <= 10""")
 def self_knn(spark, sf_dir):
     """Each exemplar's neighbours among the others."""
