@@ -7,7 +7,7 @@ formatted.
 
 The template:  <|im_start|>ROLE \\n TEXT <|im_end|> \\n  for each message. Inside roles and texts every "<", any number of
 backslashes, "|" gets one more backslash, so "<|" occurs in the output as markup only; in roles a line break is written
-as "<\\n|" with its own escape. The loss mask is the list of [start, end) places, in code points, of assistant texts.
+as "<n|", and "<n|" itself with a backslash more. The loss mask is the list of [start, end) places, in code points, of assistant texts.
 
 A formatted conversation is one row, or several `part`s in order where it is longer than `part_chars`, so that no task
 holds a conversation of any length.
@@ -37,8 +37,12 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+def escape_role(role: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(role, r"<(\\*)(n?)\|", r"<\\$1$2|"), "\n", "<n|")
+
+
 def unescape_role(role: str) -> str:
-    return unescape(role.replace("<n|", "\n"))
+    return re.sub(r"<\\(\\*)(n?)\|", r"<\1\2|", role.replace("<n|", "\n"))
 
 
 def thread(rows: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def paths(messages: DataFrame, most: int | None = None) -> DataFrame:
 def format_paths(messages: DataFrame, chosen: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
     """conv_id, leaf_id, part, formatted, loss (array of [start, end) inside the part) of each chosen path."""
     m, c = messages.alias("m"), chosen.alias("c")
-    role = F.regexp_replace(escape(F.coalesce(F.col("m.role").cast("string"), F.lit(""))), "\n", "<n|")
+    role = escape_role(F.coalesce(F.col("m.role").cast("string"), F.lit("")))
     body = escape(F.coalesce(F.col("m.text").cast("string"), F.lit("")))
     turns = c.join(m, F.col("c.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("c.msg_id") == F.col("m.msg_id")))
     turns = turns.select("c.conv_id", "c.leaf_id", "c.up", (F.col("m.role") == "assistant").alias("learn"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), body.alias("body"))

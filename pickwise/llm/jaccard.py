@@ -91,7 +91,7 @@ def postings(docs: DataFrame, words: int, percent: int, rare: np.ndarray) -> Dat
                     n = len(s)
                     if not n or (node := node_of(s)) in seen:  # the same set in this task: its postings are out already
                         continue
-                    if len(seen) >= 200_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(node)
                     key = (rare[s >> np.uint64(48)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
@@ -211,7 +211,7 @@ def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
         def put(found) -> Iterator[pa.RecordBatch]:
             for a, b in found:
                 new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in done]
-                if len(done) > 500_000:
+                if len(done) > 200_000:
                     done.clear()
                 done.update(new)
                 if new:

@@ -103,7 +103,7 @@ class Model:
                 np.add.at(out, at, np.concatenate([self.positions(x).sum(axis=1), np.full((len(own), 1), n, dtype=np.float32)], axis=1))
         return out
 
-    def predictor(self, limit: int = 500_000):
+    def predictor(self, limit: int = 200_000):
         """texts -> (language, score) of each; word sums of late are kept, up to `limit` words."""
         memo: dict[bytes, int] = {}
         table = np.zeros((0, len(self.languages) + 1), dtype=np.float32)
@@ -123,7 +123,8 @@ class Model:
             found: set[bytes] = set()
             for s in split:
                 found.update(s)
-            ensure(found)
+            if self.languages:
+                ensure(found)
             langs, scores = [], []
             for t, s in zip(texts, split, strict=True):
                 if not s or not self.languages or not has_letter(t):
@@ -150,7 +151,7 @@ class Model:
                 texts, out, lo, size = s.tolist(), ([], []), 0, 0
                 for hi, t in enumerate(texts, 1):
                     size += len(t or "")
-                    if size > 2_000_000 or hi == len(texts):
+                    if size > 1_000_000 or hi == len(texts):
                         for a, b in zip(out, predict(texts[lo:hi]), strict=True):
                             a.extend(b)
                         lo, size = hi, 0

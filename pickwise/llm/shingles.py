@@ -12,7 +12,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; emptied at a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -63,13 +63,13 @@ class Chunks(dict):
             if max(chunk) < LATIN_END and "İ" not in chunk:
                 word = (self.prefix + word).encode().decode("latin-1").translate(self.stand_in)
                 return array("I", [t.id for t in e.merge(word)]).tobytes()
-        elif (word := chunk.rstrip(MARKS)).isalpha():
+        elif (word := chunk.rstrip(MARKS)).isalpha() and max(word) < LATIN_END and "İ" not in word:
             return self[word] + e.bare[chunk[len(word) :]]
         return e.whole(self.prefix + chunk)
 
 
 class Encoder:
-    def __init__(self, name: str, limit: int = 500_000):
+    def __init__(self, name: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))

@@ -60,7 +60,7 @@ class Model:
 
             def __missing__(self, word):
                 out = tuple(sorted(ids[p] for p in word_pieces(word) if p in ids)) or None
-                if len(self) >= 600_000:
+                if len(self) >= 150_000:
                     self.clear()
                 self[word] = out
                 return out
@@ -112,13 +112,17 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
         share = (float(y.sum()) + 0.5) / (len(y) + 1) if len(y) else 0.05
         return Model({}, math.log(share / (1 - share)))
     rng = random.Random(seed)
-    cache: dict[bytes, list[bytes]] = {}
+    toxic = [t for t, label in zip(texts, labels, strict=True) if label == 1]
+    in_toxic = Counter(p for t in toxic for p in {p for w in set(words(t)) for p in word_pieces(w)})
+    named = {p for g in groups for t in g for p in word_pieces(t.encode())}
+    wanted = {p for p, c in in_toxic.items() if c >= 2} | named  # no other piece can get a weight
+    cache: dict[bytes, tuple[bytes, ...]] = {}
 
     def features(text: str) -> set[bytes]:
         out: set[bytes] = set()
         for w in set(words(text)):
             if w not in cache:
-                cache[w] = word_pieces(w)
+                cache[w] = tuple(p for p in word_pieces(w) if p in wanted)
             out.update(cache[w])
         return out
 
@@ -133,7 +137,7 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
             m = (c + df[0][p]) / (n1 + n0)
             rank.append(((a - b) / math.sqrt(m * (1 - m) * (1 / n0 + 1 / n1) + 1e-9), p))
     rank.sort(key=lambda x: (-x[0], x[1]))
-    identity = {p for g in groups for t in g for p in word_pieces(t.encode()) if df[0][p] + df[1][p] >= 1}
+    identity = {p for p in named if df[0][p] + df[1][p]}
     names = list(dict.fromkeys([p for z, p in rank[:pieces] if z > 2] + sorted(identity)))
     ids = {p: i for i, p in enumerate(names)}
 
