@@ -41,25 +41,27 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node, check, vec (count vector) of every document; and, in rows of their own, each task's shingle counts by bucket."""
+    """doc_id, n, node, check, vec and fine (count vectors) of every document; and, in rows of their own, each task's shingle counts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "vec": pa.binary(), "counts": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "vec": pa.binary(), "fine": pa.binary(), "counts": pa.binary()}
         for batch in batches:
             for lo, hi in slices(batch):
-                part, n, node, check, vec = batch.slice(lo, hi - lo), [], [], [], []
+                part, n, node, check, vec, fine = batch.slice(lo, hi - lo), [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, words)
                     n.append(len(s))
                     node.append(node_of(s))
                     check.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 1)).astype(np.int64)))
-                    vec.append(rtree.packed(rtree.counts(s, rtree.groups_for(len(s)))))
+                    all_groups = rtree.counts(s, rtree.groups_for(len(s), fine=True))
+                    fine.append(rtree.packed(all_groups))
+                    vec.append(rtree.packed(rtree.fold(all_groups, rtree.groups_for(len(s)))))
                     np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "vec": pa.array(vec, pa.binary()), "counts": pa.nulls(len(n), pa.binary())}, schema=pa.schema(kinds))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "vec": pa.array(vec, pa.binary()), "fine": pa.array(fine, pa.binary()), "counts": pa.nulls(len(n), pa.binary())}, schema=pa.schema(kinds))
         yield pa.RecordBatch.from_pydict({k: pa.array([total.tobytes()] if k == "counts" else [None], t) for k, t in kinds.items()}, schema=pa.schema(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, vec binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, vec binary, fine binary, counts binary")
 
 
 def rarity(counted: DataFrame) -> np.ndarray:
@@ -184,13 +186,9 @@ def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
             k &= comp[x] != comp[y]
             x, y = x[k], y[k]
             if len(x):
-                ok = np.array([bound(full[i], full[j]) >= need for i, j, need in zip(x, y, rtree.needed(n[x] + n[y], percent), strict=True)], dtype=bool)
+                ok = rtree.close(full, n, x, y, percent)
                 yield x[ok], y[ok]
 
-    def bound(u: np.ndarray, v: np.ndarray) -> int:
-        g = min(len(u), len(v))
-        return int(np.minimum(u.reshape(-1, g).sum(axis=0), v.reshape(-1, g).sum(axis=0)).sum())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         done: set[tuple[int, int]] = set()
@@ -233,7 +231,7 @@ def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
             used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
             full = [rtree.unpacked(v) for v in t["vec"].take(pa.array(used)).to_pylist()]
             i, j = at[: len(x)], at[len(x) :]
-            ok = np.array([bound(full[a], full[b]) >= need for a, b, need in zip(i.tolist(), j.tolist(), rtree.needed(n[x] + n[y], percent).tolist(), strict=True)], dtype=bool)
+            ok = rtree.close(full, n[used], i, j, percent)
             yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
 
         def whole(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -259,7 +257,7 @@ def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
 
 
 def blocks_of(posted: DataFrame, vecs: DataFrame, comps: DataFrame | None, over: int = 1) -> DataFrame:
-    """Postings with vectors and components of blocks with more than `over` members, by block in one task; a block over
+    """Postings with vectors (the fine ones where only larger blocks are asked for) and components of blocks with more than `over` members, by block in one task; a block over
     BLOCK members is cut into parts, and each pair of parts is a block of its own."""
     p = posted
     p = p.join(comps.withColumnRenamed("node", "c_node"), p["node"] == F.col("c_node"), "left").drop("c_node") if comps is not None else p.withColumn("component", F.col("node"))
@@ -271,7 +269,7 @@ def blocks_of(posted: DataFrame, vecs: DataFrame, comps: DataFrame | None, over:
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     p = p.select("token", (lo * 65536 + hi).cast("int").alias("part"), F.when(lo != hi, F.col("own") == hi).otherwise(False).cast("int").alias("side"), "node", "n", "short", "component")
-    j = p.join(vecs.select("node", "vec"), "node")
+    j = p.join(vecs.select("node", F.col("fine" if over > 1 else "vec").alias("vec")), "node")
     return j.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
 
 
@@ -308,7 +306,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")
     posted = save(shared(postings(docs.where(F.col("doc_id").isNotNull()), words, percent, rare)), "postings")
     named = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "classes")
+    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "classes")
     near = save(candidates(blocks_of(posted, firsts, None), percent, True).distinct(), "pairs")
     links = verified(near, docs, words, percent, firsts)
     joined = components(links)

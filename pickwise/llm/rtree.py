@@ -16,9 +16,10 @@ def counts(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def groups_for(n: int) -> int:
-    """Groups grow with the set, so that the bound tells large sets apart too: a power of two, about n / 16, at least 64."""
-    return 1 << max(6, min(13, (max(n, 1) // 16).bit_length()))
+def groups_for(n: int, fine: bool = False) -> int:
+    """Groups grow with the set, so that the bound tells large sets apart too: a power of two, about n / 16 (fine: n),
+    at least 64."""
+    return 1 << max(6, min(15, (max(n, 1) // (1 if fine else 16)).bit_length()))
 
 
 def packed(vector: np.ndarray) -> bytes:
@@ -119,6 +120,23 @@ def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarra
     return out
 
 
+def close(vectors: list[np.ndarray], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, cells: int = 4_000_000) -> np.ndarray:
+    """Which pairs pass the bound over all the groups that both vectors of a pair have."""
+    groups = np.array([len(v) for v in vectors])
+    out, least = np.zeros(len(x), dtype=bool), np.minimum(groups[x], groups[y])
+    for g in np.unique(least).tolist():
+        k = np.flatnonzero(least == g)
+        used, at = np.unique(np.concatenate([x[k], y[k]]), return_inverse=True)
+        table = np.stack([fold(vectors[u], g) for u in used]).astype(np.int32)
+        i, j = at[: len(k)], at[len(k) :]
+        need = needed(sizes[x[k]] + sizes[y[k]], percent)
+        step = max(1, cells // g)
+        for lo in range(0, len(k), step):
+            own = slice(lo, lo + step)
+            out[k[own]] = np.minimum(table[i[own]], table[j[own]]).sum(axis=1) >= need[own]
+    return out
+
+
 def join(points: np.ndarray, sizes: np.ndarray, percent: int):
     """Yields (x, y) arrays of point numbers, x before y in the tree's order, that pass the bound."""
     t = Tree(points, sizes)

@@ -105,7 +105,7 @@ def swapped(text: str, groups, rng: random.Random) -> str | None:
     return out if hit else None
 
 
-def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalty: float = 4.0, l1: float = 2e-4, pieces: int = 3000, copies: int = 2, steps: int = 400, seed: int = 7) -> Model:
+def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalty: float = 4.0, l1: float = 5e-5, pieces: int = 3000, copies: int = 2, steps: int = 400, seed: int = 7) -> Model:
     """Fit on labelled texts. With no texts, or one label only, the model is a bias."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
@@ -114,7 +114,7 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
     rng = random.Random(seed)
     toxic = [t for t, label in zip(texts, labels, strict=True) if label == 1]
     in_toxic = Counter(p for t in toxic for p in {p for w in set(words(t)) for p in word_pieces(w)})
-    named = {p for g in groups for t in g for p in word_pieces(t.encode())}
+    named = {b"^" + t.encode() + b"$" for g in groups for t in g}
     wanted = {p for p, c in in_toxic.items() if c >= 2} | named  # no other piece can get a weight
     cache: dict[bytes, tuple[bytes, ...]] = {}
 
