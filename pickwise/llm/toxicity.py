@@ -105,7 +105,7 @@ def swapped(text: str, groups, rng: random.Random) -> str | None:
     return out if hit else None
 
 
-def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalty: float = 4.0, l1: float = 5e-5, pieces: int = 3000, copies: int = 2, steps: int = 400, seed: int = 7) -> Model:
+def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalty: float = 4.0, l1: float = 5e-5, pieces: int = 3000, boost: float = 8.0, copies: int = 2, steps: int = 400, seed: int = 7) -> Model:
     """Fit on labelled texts. With no texts, or one label only, the model is a bias."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
@@ -115,7 +115,7 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
     toxic = [t for t, label in zip(texts, labels, strict=True) if label == 1]
     in_toxic = Counter(p for t in toxic for p in {p for w in set(words(t)) for p in word_pieces(w)})
     named = {b"^" + t.encode() + b"$" for g in groups for t in g}
-    wanted = {p for p, c in in_toxic.items() if c >= 2} | named  # no other piece can get a weight
+    wanted = {p for p, c in in_toxic.items() if c >= 3} | named  # no other piece can get a weight
     cache: dict[bytes, tuple[bytes, ...]] = {}
 
     def features(text: str) -> set[bytes]:
@@ -132,13 +132,13 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     rank = []
     for p, c in df[1].items():
-        if c >= 2:
+        if c >= 3:
             a, b = c / n1, df[0][p] / n0
             m = (c + df[0][p]) / (n1 + n0)
             rank.append(((a - b) / math.sqrt(m * (1 - m) * (1 / n0 + 1 / n1) + 1e-9), p))
     rank.sort(key=lambda x: (-x[0], x[1]))
     identity = {p for p in named if df[0][p] + df[1][p]}
-    names = list(dict.fromkeys([p for z, p in rank[:pieces] if z > 2] + sorted(identity)))
+    names = list(dict.fromkeys([p for z, p in rank[:pieces] if z > 4] + sorted(identity)))
     ids = {p: i for i, p in enumerate(names)}
 
     def row(text: str) -> np.ndarray:
@@ -149,7 +149,7 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
     x = np.array([row(t) for t in texts], dtype=np.float32).reshape(len(texts), len(names))
     change = [x[i] - row(s) for i, t in enumerate(texts) for _ in range(copies) if (s := swapped(t, groups, rng)) is not None]
     d = np.array(change, dtype=np.float32).reshape(len(change), len(names))
-    weight = np.where(y == 1, min(4.0, n0 / n1), 1.0).astype(np.float32)
+    weight = np.where(y == 1, min(boost, n0 / n1), 1.0).astype(np.float32)
     weight /= weight.sum()
     w, bias = np.zeros(len(names), dtype=np.float32), float(math.log(n1 / n0))
     m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.05
