@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import bound_batches
 from .html_blocks import Block, blocks
 from .layouts import page as lay_out
 
@@ -234,6 +235,7 @@ def text_column(html: Column, model: Labeller) -> Column:
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html); rows that repeat are each extracted."""
+    bound_batches(pages.sparkSession)
     return pages.select("page_id", "url", text_column(F.col("html"), model).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

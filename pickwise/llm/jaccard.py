@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rtree
-from .common import discard, maybe_broadcast, save, slices
+from .common import bound_batches, discard, maybe_broadcast, save, slices
 from .links import components
 from .shingles import shingle_set
 
@@ -301,6 +301,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id reachable. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    bound_batches(docs.sparkSession)
     every = save(sets(docs, words), "sets")
     rare = rarity(every.where(F.col("counts").isNotNull()))
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import bound_batches
 from .toxicity import words
 
 LONGEST = 24  # bytes read in one go; a longer word is read in parts, none left out
@@ -238,6 +239,7 @@ def fit(docs: DataFrame, max_rows: int = 1500, test_mod: int = 4, test_rem: int
 
 def predict(docs: DataFrame, model: Model, test_mod: int = 4, test_rem: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; other columns are not read."""
+    bound_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % test_mod == test_rem, F.lit(False))
     out = docs.select("doc_id", held.alias("held_out"), model.column(F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
@@ -245,5 +247,6 @@ def predict(docs: DataFrame, model: Model, test_mod: int = 4, test_rem: int = 2)
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is told with at least that score; `und` goes."""
+    bound_batches(docs.sparkSession)
     p = model.column(F.col("text"))
     return docs.where((p["lang"] != UNKNOWN) & (p["score"] >= least))

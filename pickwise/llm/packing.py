@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, maybe_broadcast, save, slices
+from .common import bound_batches, maybe_broadcast, save, slices
 from .tokens import encoder
 
 PLAN = "length int, rank_from long, rank_to long, sequence_from long, offset long"
@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -137,4 +138,4 @@ def packed(docs: DataFrame, **options) -> DataFrame:
     return pack(docs, **options).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length"))).alias("pieces"))
 
 
-__all__ = ["discard", "pack", "packed", "pieces", "plan"]
+__all__ = ["pack", "packed", "pieces", "plan"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mounted, save, scratch, slices
+from .common import bound_batches, mounted, save, scratch, slices
 from .tokens import encoder
 
 MANIFEST = "file int, path string, dtype string, n_docs long, n_tokens long"
@@ -32,6 +32,7 @@ def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0
     lost executor's leftovers are never read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = mounted(folder or scratch(spark, "tokens"))
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     schema = "file int, path string, dtype string, n_docs long, n_tokens long"

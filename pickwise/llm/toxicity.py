@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import bound_batches
+
 #: Groups of terms of one kind; a term is swapped for another of its group. A parameter of fit().
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
@@ -183,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, test_mod: int
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, test_mod: int = 3, test_rem: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, null and empty texts included; other columns are not read."""
+    bound_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % test_mod == test_rem, F.lit(False))
     out = docs.select("doc_id", held.alias("held_out"), model.column(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -190,4 +193,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, test_mod: int =
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
+    bound_batches(docs.sparkSession)
     return docs.where(model.column(F.col("text")) < threshold)
