@@ -55,7 +55,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                     node.append(node_of(s))
                     check.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 1)).astype(np.int64)))
                     all_groups = rtree.counts(s, rtree.groups_for(len(s), fine=True))
-                    fine.append(rtree.packed(all_groups))
+                    fine.append(rtree.packed_fine(all_groups))
                     vec.append(rtree.packed(rtree.fold(all_groups, rtree.groups_for(len(s)))))
                     np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "vec": pa.array(vec, pa.binary()), "fine": pa.array(fine, pa.binary()), "counts": pa.nulls(len(n), pa.binary())}, schema=pa.schema(kinds))

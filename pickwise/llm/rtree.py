@@ -30,8 +30,24 @@ def packed(vector: np.ndarray) -> bytes:
     return bytes([shift]) + (-(-vector // (1 << shift))).astype(np.uint8).tobytes()
 
 
+def packed_fine(vector: np.ndarray) -> bytes:
+    """Counts in two bits each, up to 3, and after them (group, rest) of those above 3: exact. As bytes where that is shorter."""
+    low = np.minimum(vector, 3).astype(np.uint8)
+    over = np.flatnonzero(vector > 3).astype("<u4")
+    rest = np.stack([over, vector[over].astype("<u4") - np.uint32(3)]).astype("<u4").tobytes()
+    out = b"\xff" + len(vector).to_bytes(4, "little") + (low.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes() + rest
+    return out if len(out) <= len(vector) else packed(vector)
+
+
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8, offset=1).astype(np.int64) << raw[0]
+    if raw[0] < 255:
+        return np.frombuffer(raw, dtype=np.uint8, offset=1).astype(np.int64) << raw[0]
+    n = int.from_bytes(raw[1:5], "little")
+    low = np.frombuffer(raw, dtype=np.uint8, offset=5, count=n // 4)
+    out = ((low[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).ravel().astype(np.int64)
+    over, rest = np.frombuffer(raw, dtype="<u4", offset=5 + n // 4).reshape(2, -1)
+    out[over] += rest
+    return out
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:

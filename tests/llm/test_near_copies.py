@@ -49,6 +49,8 @@ def test_rtree_bounds_lose_nothing():
     assert true <= found and len(found) < len(sets) ** 2 / 4
     v = np.array([0, 3, 700, 255])
     assert (rtree.unpacked(rtree.packed(v)) >= v).all()
+    for counted in (v, np.bincount(np.arange(90) % 7, minlength=64), np.zeros(64, dtype=np.int64), np.bincount([5] * 70_000, minlength=128)):
+        assert (rtree.unpacked(rtree.packed_fine(counted)) >= counted).all()
 
 
 def test_shingles():
