@@ -5,8 +5,10 @@ minimise  eta * |parallel residual|^2 + |orthogonal residual|^2  with the parall
 error along the vector changes its large inner products, one across it hardly does. Codes are chosen by coordinate
 descent over the blocks, centroids by the joint least squares that this loss gives.
 
-A search builds a table of 16 inner products a block for each query, adds up table entries by code, keeps the
-candidates with the largest sums and scores those exactly. Queries and candidates meet in bounded square blocks.
+A search builds a table of 16 inner products a block for each query, adds up table entries by code and scores the
+candidates with the largest sums exactly. What coding can have done to a sum is bounded by the residuals' lengths, and
+every other candidate that could still be among the k best is scored exactly too, so copies with equal codes and near
+copies are not lost. Queries and candidates meet in bounded square blocks.
 """
 
 from __future__ import annotations
@@ -57,6 +59,10 @@ class Quantiser:
                 total = rest + along[rows, b, codes[:, b]]
         return codes.astype(np.uint8)
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """n x blocks lengths of what the codes leave of each block."""
+        return np.linalg.norm(self.split(x) - self.centroids[np.arange(self.blocks)[None], codes], axis=2)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries -> n x blocks x 16 inner products."""
         return np.einsum("nbw,bkw->nbk", self.split(q), self.centroids).astype(np.float32)
@@ -109,8 +115,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
     Both have (vec_id, embedding). Null, zero or unfinished vectors, rows without vec_id and vectors of another length
     than the commonest take no part. Rows that repeat a vec_id with the same vector count once; with another vector,
     each counts. Equal scores go by vec_id. Fewer candidates than k: all of them. Empty tables: empty result.
-    In each square block a query keeps its `rerank` candidates with the largest table sums, scores them in double
-    precision, and passes on its k best; these meet in one ranking by query.
+    Equal vectors are one candidate, which stands for its k + 1 smallest vec_ids. In each square block a query scores its
+    `rerank` candidates with the largest table sums in double precision, then every other one whose sum and coding error
+    together reach the k-th best of those, and passes on its k best rows; these meet in one ranking by query.
     """
     clean = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     clean = save(clean.dropDuplicates(["vec_id", "embedding"]), "vectors")
@@ -123,29 +130,53 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & (F.size("embedding") == dims)).dropDuplicates(["vec_id", "embedding"])
     asked = save(asked, "queries")
     quantiser = fit(clean, dims, **options)
-    n_c, n_q = -(-clean.count() // block_rows), max(1, -(-asked.count() // block_rows))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    first = Window.partitionBy("embedding").orderBy("vec_id")
+    few = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)  # the query's own row and k others
+    classes = save(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
+    n_c, n_q = -(-classes.count() // block_rows), max(1, -(-asked.count() // block_rows))
+    block = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = clean.select("vec_id", "embedding", block(n_c).alias("c"), every(n_q).alias("q"))
-    right = asked.select("vec_id", "embedding", block(n_q).alias("q"), every(n_c).alias("c"))
+    left = classes.select("ids", "embedding", block("embedding", n_c).alias("c"), every(n_q).alias("q"))
+    right = asked.select("vec_id", "embedding", block("vec_id", n_q).alias("q"), every(n_c).alias("c"))
 
     def nearest(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         cols = {"query_id": [], "vec_id": [], "score": []}
         if len(cands) and len(asks):
-            ids, x = cands["vec_id"].to_numpy(), np.stack(cands["embedding"].to_numpy())
+            ids, x = cands["ids"].to_list(), np.stack(cands["embedding"].to_numpy())
             q_ids, q = asks["vec_id"].to_numpy(), np.stack(asks["embedding"].to_numpy())
+            alone = np.array([i[0] if len(i) == 1 else -1 for i in ids], dtype=np.int64)
+            single = np.array([len(i) == 1 for i in ids])
             codes = quantiser.encode(x)
+            error = quantiser.residuals(x, codes)
+            rounding = 1e-5 * (np.linalg.norm(x, axis=1) + np.linalg.norm(error, axis=1))
+            error, rounding = error.astype(np.float32), rounding.astype(np.float32)
             keep = min(rerank + 1, len(x))
             for lo in range(0, len(q), 256):
-                sums = quantiser.scan(q[lo : lo + 256], codes)
+                part = q[lo : lo + 256]
+                sums = quantiser.scan(part, codes)
+                lengths = np.linalg.norm(quantiser.split(part), axis=2).astype(np.float32)
+                most = sums + lengths @ error.T + np.linalg.norm(part, axis=1).astype(np.float32)[:, None] * rounding[None]
                 top = np.argpartition(-sums, keep - 1, axis=1)[:, :keep]
                 for i, row in enumerate(top):
-                    row = row[ids[row] != q_ids[lo + i]]
-                    exact = (x[row] * q[lo + i]).sum(1)
-                    best = np.lexsort((ids[row], -exact))[:k]
-                    cols["query_id"].append(np.full(len(best), q_ids[lo + i]))
-                    cols["vec_id"].append(ids[row][best])
-                    cols["score"].append(exact[best])
+                    own = q_ids[lo + i]
+                    other = ~(single & (alone == own))  # classes with a row that is not the query's own
+                    row = row[other[row]]
+                    exact = (x[row] * part[i]).sum(1)
+                    reach = np.partition(exact, -k)[-k] if len(row) >= k else -np.inf
+                    may = other & (most[i] >= reach)
+                    may[row] = False
+                    more = np.flatnonzero(may)
+                    row, exact = np.concatenate([row, more]), np.concatenate([exact, (x[more] * part[i]).sum(1)])
+                    if len(row) > k:
+                        last = np.partition(exact, -k)[-k]
+                        row, exact = row[exact >= last], exact[exact >= last]
+                    found = np.concatenate([ids[r] for r in row]) if len(row) else np.zeros(0, dtype=np.int64)
+                    score = np.repeat(exact, [len(ids[r]) for r in row])
+                    score, found = score[found != own], found[found != own]
+                    best = np.lexsort((found, -score))[:k]
+                    cols["query_id"].append(np.full(len(best), own))
+                    cols["vec_id"].append(found[best])
+                    cols["score"].append(score[best])
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, dtype=t) for (c, v), t in zip(cols.items(), ("int64", "int64", "float64"), strict=True)})
 
     found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(nearest, "query_id long, vec_id long, score double")
