@@ -33,6 +33,7 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "locals"), ("disabled", "deaf", "blind"), ("old", "young"),
 )
 
+LONG = 40  # bytes of the words that memos keep; longer ones are read whole, each time anew
 #: ASCII other than letters becomes a space; bytes above 127 stay, so words of any language hold together.
 _KEEP = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -41,10 +42,15 @@ def words(text: str | None) -> list[bytes]:
     return text.lower().encode(errors="replace").translate(_KEEP).split() if text else []
 
 
-def word_pieces(word: bytes) -> list[bytes]:
-    w = b"^" + word[:40] + b"$"
-    out = {w, *(w[:k] for k in range(4, min(8, len(w)))), w[-5:], *(w[i : i + 5] for i in range(1, len(w) - 5))}
-    return list(out)
+def word_pieces(word: bytes) -> Iterator[bytes]:
+    """The pieces of the whole word, however long; some may come twice."""
+    w = b"^" + word + b"$"
+    yield w
+    for k in range(4, min(8, len(w))):
+        yield w[:k]
+    yield w[-5:]
+    for i in range(1, len(w) - 5):
+        yield w[i : i + 5]
 
 
 @dataclass
@@ -58,10 +64,12 @@ class Model:
         values = [self.weights[p] for p in names]
 
         class Pieces(dict):
-            """word -> ids of its weighted pieces; emptied at a bound."""
+            """word -> ids of its weighted pieces; emptied at a bound, long words (runs without spaces) are not kept."""
 
             def __missing__(self, word):
-                out = tuple(sorted(ids[p] for p in word_pieces(word) if p in ids)) or None
+                out = tuple(sorted({ids[p] for p in word_pieces(word) if p in ids})) or None
+                if len(word) > LONG:
+                    return out
                 if len(self) >= 150_000:
                     self.clear()
                 self[word] = out
@@ -124,7 +132,11 @@ def fit_texts(texts: list[str], labels: list[int], groups=IDENTITY_TERMS, penalt
         out: set[bytes] = set()
         for w in set(words(text)):
             if w not in cache:
-                cache[w] = tuple(p for p in word_pieces(w) if p in wanted)
+                found = tuple({p for p in word_pieces(w) if p in wanted})
+                if len(w) > LONG:
+                    out.update(found)
+                    continue
+                cache[w] = found
             out.update(cache[w])
         return out
 
