@@ -17,10 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from . import rtree
 from .common import bound_batches, discard, maybe_broadcast, save, slices
@@ -40,6 +42,10 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def check_of(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 1)).astype(np.int64))
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, node, check, vec and fine (count vectors) of every document; and, in rows of their own, each task's shingle counts by bucket."""
 
@@ -53,7 +59,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                     s = shingle_set(text, words)
                     n.append(len(s))
                     node.append(node_of(s))
-                    check.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 1)).astype(np.int64)))
+                    check.append(check_of(s))
                     all_groups = rtree.counts(s, rtree.groups_for(len(s), fine=True))
                     fine.append(rtree.packed_fine(all_groups))
                     vec.append(rtree.packed(rtree.fold(all_groups, rtree.groups_for(len(s)))))
@@ -66,8 +72,6 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
 def rarity(counted: DataFrame) -> np.ndarray:
     """The order's first key for each bucket of shingles: how many times the mean its count is, as a power of two."""
-    import pandas as pd
-
     def add(df: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for c in df["counts"]:
@@ -293,15 +297,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, firsts
     return out
 
 
-def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
-
-    Texts with equal sets link; texts without words have 0 shingles and link with nothing. A null doc_id stays null, and
-    its row neither names a component nor joins one. Rows that repeat, or share a doc_id, are documents like others:
-    component_id is the smallest doc_id reachable. An empty table gives an empty result; other columns are not read.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    bound_batches(docs.sparkSession)
+def linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, node, check of every row of docs(doc_id, text); and of every class of equal sets its smallest doc_id, its copies and its component."""
     every = save(sets(docs, words), "sets")
     rare = rarity(every.where(F.col("counts").isNotNull()))
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")
@@ -314,15 +311,60 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = save(candidates(blocks_of(posted, firsts, joined, rtree.LEAF), percent, False).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
     joined = components(links.union(verified(more, docs, words, percent, firsts)))
     discard(posted, near, more)
-    inside = firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows, firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
+
+    Texts with equal sets link; texts without words have 0 shingles and link with nothing. A null doc_id stays null, and
+    its row neither names a component nor joins one. Rows that repeat, or share a doc_id, are documents like others:
+    component_id is the smallest doc_id reachable. An empty table gives an empty result; other columns are not read.
+    """
+    bound_batches(docs.sparkSession)
+    rows, inside = linked(plain(docs), words, percent)
     known = inside.withColumns({"component_id": F.min("doc_id").over(Window.partitionBy("component"))})
     known = save(known.where((F.col("copies") > 1) | (F.col("component_id") != F.col("doc_id"))).select(F.col("node").alias("kn"), F.col("check").alias("kc"), F.col("component_id").alias("kid")), "known")
     out = rows.join(maybe_broadcast(known, known.count(), 500_000), (F.col("node") == F.col("kn")) & (F.col("check") == F.col("kc")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("kid", "doc_id").alias("component_id"))
 
 
+def keyed(docs: DataFrame, words: int) -> DataFrame:
+    """docs with _n, _node and _check, the size and the key of each text's set."""
+
+    @pandas_udf("n long, node long, check long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [(len(s), node_of(s), check_of(s)) for s in (shingle_set(t, words) for t in texts)]
+        return pd.DataFrame(found, columns=["n", "node", "check"], dtype="int64")
+
+    key = docs.withColumn("_key", run(F.col("text").cast("binary")))
+    return key.withColumns({"_n": F.col("_key.n"), "_node": F.col("_key.node"), "_check": F.col("_key.check")}).drop("_key")
+
+
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of similar documents, that with the smallest doc_id, with all its columns; rows with null doc_id stay."""
-    found = similar(docs, words, percent).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of similar documents, with all its columns: that with the smallest doc_id, then set key, then text.
+
+    Rows that link with nothing stay, whether or not they share a doc_id with others; so do rows with null doc_id.
+    """
+    bound_batches(docs.sparkSession)
+    rows, inside = linked(plain(docs), words, percent)
+    rows = rows.where(F.col("doc_id").isNotNull())
+    best = save(inside.groupBy("component").agg(F.min(F.struct("doc_id", "node", "check")).alias("k")).select("k.*"), "kept")
+    twice = save(rows.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_id")), "repeated")
+    n_twice = twice.count()
+    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    none = own.where(F.col("_id").isNull()).select(*docs.columns)
+    ids = best.select("doc_id").union(rows.where(F.col("n") == 0).select("doc_id")).select(F.col("doc_id").alias("_id"))
+    kept = own.join(ids.join(maybe_broadcast(twice, n_twice), "_id", "left_anti"), "_id", "left_semi").select(*docs.columns).unionByName(none)
+    if not n_twice:
+        return kept
+    # Only rows that share a doc_id with others need their own set's key to tell which of them is kept.
+    same = keyed(own.join(maybe_broadcast(twice, n_twice), "_id", "left_semi"), words)
+    first = same.where(F.col("_n") > 0).join(best.withColumnsRenamed({"doc_id": "_id", "node": "_node", "check": "_check"}), ["_id", "_node", "_check"], "left_semi")
+    order = ["text", *(c for c, t in docs.dtypes if c != "text" and "map<" not in t and "variant" not in t)]
+    first = first.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_node", "_check").orderBy(*order))).where(F.col("_nth") == 1)
+    return kept.unionByName(first.select(*docs.columns)).unionByName(same.where(F.col("_n") == 0).select(*docs.columns))
