@@ -34,7 +34,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch than Spark's default where the session leaves it at that: texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get(key, "1") == "1":  # the value given here comes back where nobody has set one
         spark.conf.set(key, str(rows))
 
 

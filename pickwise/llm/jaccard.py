@@ -1,15 +1,17 @@
 """N-gram Jaccard join by count-vector R-trees.
 
-1. Each text becomes its set of word shingles; equal sets are one node from here on.
-2. Nodes that can link share a shingle among the first few of each in one order of all shingles (rare ones first, by
-   counts over all documents), so these shingles name blocks, and only nodes of one block can link. A block is one R-tree
-   over count vectors (`rtree`): its bound on the overlap leaves few pairs.
-3. Surviving pairs are verified on their whole shingle sets.
-
-Groups of thousands of near copies would give all their pairs in every block, so pairs are taken in two rounds: first
-each node with its neighbour in the tree's order (and with all in small blocks); then, with those links' components
-known, every surviving pair whose ends are in different components. After that no link between components is left, so
-the components are exact.
+1. Each text becomes its set of word shingles; equal sets are one node from here on. A set is also a point: its shingles
+   are hashed into groups and counted (`rtree`). Two points' summed coordinate minima bound the shingles they share.
+2. First round, for the bulk of the copies: nodes are sorted by four minimum hashes, and each is paired with the one
+   before it of the same minimum. Pairs that pass the bound are verified, and their components found.
+3. Second round, for all the rest: nodes that can link share a shingle among the first few of each in one order of all
+   shingles (rare ones first, by counts over all documents). A shingle's nodes are a block. A small block gives its pairs,
+   a larger one is an R-tree over the points, joined with itself under the bound; only pairs of nodes not yet in one
+   component are looked at. Those that pass the bound over finer groups are verified.
+
+After the second round no link between components is left, so the components are exact, while a group of thousands of
+near copies gives a few pairs a member in place of all its pairs. Verification intersects whole sets of 64-bit shingle
+hashes.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ from .links import components
 from .shingles import shingle_set
 
 BUCKETS = 1 << 16
-SMALL = 64  # groups of the vectors that every pair is bounded by first
-BLOCK = 4096  # members of a block that one task joins at a time
+GROUPS = 64  # of the points in the R-tree
+BLOCK = 2048  # members of a block that one task joins at a time
+CHAIN = 4096  # nodes of one minimum hash that one task puts in order
+BROADCAST = 200_000  # rows of two or three longs that a join may send to every executor
+LEADS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -47,39 +52,36 @@ def check_of(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node, check, vec and fine (count vectors) of every document; and, in rows of their own, each task's shingle counts by bucket."""
+    """doc_id, n, node, check, leads (minimum hashes), point and fine (count vectors) of every document; and, in rows of their own, each task's shingle counts by bucket."""
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "leads": pa.list_(pa.int64()), "point": pa.binary(), "fine": pa.binary(), "counts": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "vec": pa.binary(), "fine": pa.binary(), "counts": pa.binary()}
         for batch in batches:
             for lo, hi in slices(batch):
-                part, n, node, check, vec, fine = batch.slice(lo, hi - lo), [], [], [], [], []
+                part, out = batch.slice(lo, hi - lo), {k: [] for k in kinds if k not in ("doc_id", "counts")}
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, words)
-                    n.append(len(s))
-                    node.append(node_of(s))
-                    check.append(check_of(s))
-                    all_groups = rtree.counts(s, rtree.groups_for(len(s), fine=True))
-                    fine.append(rtree.packed_fine(all_groups))
-                    vec.append(rtree.packed(rtree.fold(all_groups, rtree.groups_for(len(s)))))
+                    fine = rtree.counts(s, rtree.groups_for(len(s)))
+                    out["n"].append(len(s))
+                    out["node"].append(node_of(s))
+                    out["check"].append(check_of(s))
+                    out["leads"].append(signed(np.array([(s * k).min() for k in LEADS], dtype=np.uint64)).tolist() if len(s) else [])
+                    out["point"].append(rtree.packed(rtree.fold(fine, GROUPS)))
+                    out["fine"].append(rtree.packed_fine(fine))
                     np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "vec": pa.array(vec, pa.binary()), "fine": pa.array(fine, pa.binary()), "counts": pa.nulls(len(n), pa.binary())}, schema=pa.schema(kinds))
-        yield pa.RecordBatch.from_pydict({k: pa.array([total.tobytes()] if k == "counts" else [None], t) for k, t in kinds.items()}, schema=pa.schema(kinds))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, kinds[k]) for k, v in out.items()), pa.nulls(hi - lo, kinds["counts"])], schema=pa.schema(kinds))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], t) if k == "counts" else pa.nulls(1, t) for k, t in kinds.items()], schema=pa.schema(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, vec binary, fine binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, leads array<long>, point binary, fine binary, counts array<long>")
 
 
 def rarity(counted: DataFrame) -> np.ndarray:
     """The order's first key for each bucket of shingles: how many times the mean its count is, as a power of two."""
-    def add(df: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for c in df["counts"]:
-            total += np.frombuffer(c, dtype=np.int64)
-        return pd.DataFrame({"counts": [total.tobytes()]})
-
-    parts = counted.select("counts", (F.monotonically_increasing_id() % 16).alias("k")).groupBy("k").applyInPandas(add, "counts binary").collect()  # 16 rows of fixed size
-    total = sum((np.frombuffer(r["counts"], dtype=np.int64) for r in parts), np.zeros(BUCKETS, dtype=np.int64))
+    by_bucket = counted.select(F.posexplode("counts").alias("bucket", "count")).groupBy("bucket").agg(F.sum("count").alias("count"))
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for r in by_bucket.where(F.col("count") > 0).collect():  # BUCKETS rows at most, whatever the table's size
+        total[r["bucket"]] = r["count"]
     return np.clip(np.floor(np.log2(np.maximum(total / max(1.0, total.mean()), 1))), 0, 30).astype(np.uint8)
 
 
@@ -114,36 +116,6 @@ def postings(docs: DataFrame, words: int, percent: int, rare: np.ndarray) -> Dat
     return docs.select("text").mapInArrow(run, "token long, node long, n int, short boolean")
 
 
-def shared(posted: DataFrame) -> DataFrame:
-    """The postings of tokens that two nodes or more have, each once. Sorted rows stream by: no token is gathered."""
-    names = ["token", "node", "n", "short"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.RecordBatch | None = None
-        last_kept: int | None = None  # the token whose earlier rows went out already
-        for batch in batches:
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(len(token), dtype=bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, idx = token[new], np.flatnonzero(new)
-            same = np.zeros(len(token) + 1, dtype=bool)
-            same[1:-1] = token[1:] == token[:-1]
-            keep = same[1:] | same[:-1]
-            if last_kept is not None and len(token):
-                keep[0] = keep[0] or token[0] == last_kept
-            yield batch.take(pa.array(idx[:-1][keep[:-1]]))
-            if len(token) > 1 or last_kept is not None:
-                last_kept = int(token[-1]) if keep[-1] else None
-            rest = batch.slice(int(idx[-1]), 1)
-        if rest is not None and last_kept is not None and rest.column(0)[0].as_py() == last_kept:
-            yield rest
-
-    ordered = posted.repartition("token").sortWithinPartitions("token", "node")
-    return ordered.mapInArrow(run, "token long, node long, n int, short boolean").select(*names)
-
-
 def hash_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """node, hashes: the whole sets of the nodes in `wanted`(doc_id, node)."""
 
@@ -158,125 +130,165 @@ def hash_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                         hashes.append(s.tobytes())
                 yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "hashes": pa.array(hashes, pa.binary())})
 
-    j = docs.join(maybe_broadcast(wanted, wanted.count(), 500_000), "doc_id").select("node", "text")
+    j = docs.join(maybe_broadcast(wanted, wanted.count(), BROADCAST), "doc_id").select("node", "text")
     return j.mapInArrow(run, "node long, hashes binary")
 
 
-def candidates(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Pairs a < b of nodes that an R-tree join of their block lets through.
+def chained(classes: DataFrame) -> DataFrame:
+    """Pairs a < b: each node with the one before it, in order of (n, node), among those of the same minimum hash."""
+    rows = classes.select("node", "n", F.posexplode("leads").alias("k", "lead"))
+    large = save(rows.groupBy("k", "lead").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CHAIN), "large")
+    rows = rows.join(maybe_broadcast(large, large.count(), BROADCAST), ["k", "lead"], "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHAIN)), F.lit(0)))
+    order = Window.partitionBy("k", "lead", "part").orderBy("n", "node")
+    rows = rows.withColumns({"before": F.lag("node").over(order), "nth": F.row_number().over(order)})
+    heads = rows.where((F.col("nth") == 1) & F.col("members").isNotNull()).withColumn("before", F.lag("node").over(Window.partitionBy("k", "lead").orderBy("n", "node")))
+    pairs = rows.select("before", "node").union(heads.select("before", "node")).where(F.col("before").isNotNull())
+    return pairs.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
 
-    blocks: token, part, side, node, n, short, component, vec. In the first round a large block gives pairs of
-    neighbours; in the second all pairs whose components differ.
-    """
 
-    def pairs_of(n, short, comp, points, full):
-        size = len(n)
-        if first and size > rtree.LEAF:
-            t = rtree.Tree(points, n)
-            x, y = [t.order[:-1]], [t.order[1:]]
-            heads = np.repeat(t.order[t.starts[0][:-1]], np.diff(t.starts[0]))
-            x.append(heads)
-            y.append(t.order)
-            x, y = np.concatenate(x), np.concatenate(y)
-            k = x != y
-            x, y = x[k], y[k]
-            k = rtree.survivors(points, n, x, y, percent)
-            found = [(x[k], y[k])]
-        else:
-            found = rtree.join(points, n, percent)
-        for x, y in found:
-            k = short[x] | short[y]
-            k &= np.where(n[x] < n[y], short[x], np.where(n[y] < n[x], short[y], True))
-            k &= comp[x] != comp[y]
-            x, y = x[k], y[k]
-            if len(x):
-                ok = rtree.close(full, n, x, y, percent)
-                yield x[ok], y[ok]
+def met(posted: DataFrame, percent: int) -> DataFrame:
+    """Rows of blocks with two members or more, each once: of small blocks the pairs (node, other) that may link and are of
+    different components; of larger ones the members (other null). Sorted rows stream by: no block is gathered."""
+    kinds = pa.schema({"token": pa.int64(), "node": pa.int64(), "n": pa.int32(), "short": pa.bool_(), "component": pa.int64(), "other": pa.int64()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+        large: int | None = None  # the token of a larger block whose first members went out
         done: set[tuple[int, int]] = set()
 
-        def block(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            node, n = t["node"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            comp, side = t["component"].to_numpy(), t["side"].to_numpy()
-            if (comp == comp[0]).all():
-                return
-            full = [rtree.unpacked(v) for v in t["vec"].to_pylist()]
-            points = np.stack([rtree.fold(v, SMALL) for v in full])
-            for x, y in pairs_of(n, t["short"].to_numpy(zero_copy_only=False), comp, points, full):
-                if side.any():  # two parts of a large block: pairs inside a part belong to another task
-                    k = side[x] != side[y]
-                    x, y = x[k], y[k]
-                yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-
-        def put(found) -> Iterator[pa.RecordBatch]:
-            for a, b in found:
-                new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in done]
-                if len(done) > 200_000:
-                    done.clear()
-                done.update(new)
-                if new:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()), "b": pa.array([p[1] for p in new], pa.int64())})
-
-        def leaves(t: pa.Table, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Blocks that are one leaf each, all together."""
+        def pairs(t: pa.Table, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+            node, n, short, comp = (t[k].to_numpy() for k in ("node", "n", "short", "component"))
+            n = n.astype(np.int64)
             x, y = rtree.expand(lo, hi, lo, hi)
-            node, n, short, comp, side = (t[k].to_numpy() for k in ("node", "n", "short", "component", "side"))
             k = x < y
             x, y = x[k], y[k]
-            n = n.astype(np.int64)
             k = (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x]) & (comp[x] != comp[y])
             k &= np.where(n[x] < n[y], short[x], np.where(n[y] < n[x], short[y], short[x] | short[y]))
-            k &= (side[x] != side[y]) | ((side[x] == 0) & (side[y] == 0))
-            x, y = x[k], y[k]
-            if not len(x):
+            a, b = np.minimum(node[x[k]], node[y[k]]), np.maximum(node[x[k]], node[y[k]])
+            new = list(set(zip(a.tolist(), b.tolist(), strict=True)) - done)
+            if len(done) > 50_000:
+                done.clear()
+            done.update(new)
+            if new:
+                m = len(new)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array([p[0] for p in new], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array([p[1] for p in new], pa.int64())], schema=kinds)
+
+        def members(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if len(t):
+                yield from t.append_column("other", pa.nulls(len(t), pa.int64())).cast(kinds).combine_chunks().to_batches()
+
+        def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Blocks of which no more rows come (but for the first, whose earlier rows may be out)."""
+            if not len(t):
                 return
-            used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            full = [rtree.unpacked(v) for v in t["vec"].take(pa.array(used)).to_pylist()]
-            i, j = at[: len(x)], at[len(x) :]
-            ok = rtree.close(full, n[used], i, j, percent)
-            yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
-
-        def whole(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            token = t["token"].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             lo, hi = edges[:-1], edges[1:]
-            small = hi - lo <= rtree.LEAF
+            big = (hi - lo > rtree.LEAF) | (token[lo] == large if large is not None else False)
+            small = ~big & (hi - lo > 1)
             if small.any():
-                yield from put(leaves(t, lo[small], hi[small]))
-            for a, b in zip(lo[~small].tolist(), hi[~small].tolist(), strict=True):
-                yield from put(block(t.slice(a, b - a)))
+                yield from pairs(t, lo[small], hi[small])
+            if big.any():
+                yield from members(t.filter(pa.array(np.repeat(big, hi - lo))))
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if rest is not None:
                 t = pa.concat_tables([rest, t])
-            token, part = t["token"].to_numpy(), t["part"].to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1])
-            yield from whole(t.slice(0, int(edges[-1])), edges)
-            rest = t.slice(int(edges[-1]))
-        if rest is not None and len(rest) > 1:
-            yield from whole(rest, np.array([0, len(rest)]))
-
-    return blocks.mapInArrow(run, "a long, b long")
-
-
-def blocks_of(posted: DataFrame, vecs: DataFrame, comps: DataFrame | None, over: int = 1) -> DataFrame:
-    """Postings with vectors (the fine ones where only larger blocks are asked for) and components of blocks with more than `over` members, by block in one task; a block over
-    BLOCK members is cut into parts, and each pair of parts is a block of its own."""
-    p = posted
-    p = p.join(comps.withColumnRenamed("node", "c_node"), p["node"] == F.col("c_node"), "left").drop("c_node") if comps is not None else p.withColumn("component", F.col("node"))
-    p = p.withColumn("component", F.coalesce("component", "node"))
-    state = p.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    p = p.join(state.where((F.col("lo") != F.col("hi")) & (F.col("members") > over)).select("token", "members"), "token")
+            token, node = t["token"].to_numpy(), t["node"].to_numpy()
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            t = t.filter(pa.array(new)).combine_chunks()
+            token = token[new]
+            last = int(np.searchsorted(token, token[-1]))
+            yield from whole(t.slice(0, last))
+            rest = t.slice(last)
+            if len(rest) > rtree.LEAF or token[-1] == large:  # all but the last row, which tells a repeated one
+                if len(rest) > 1:
+                    large = int(token[-1])
+                    yield from members(rest.slice(0, len(rest) - 1))
+                    rest = rest.slice(len(rest) - 1)
+            else:
+                large = None
+        if rest is not None:
+            yield from whole(rest)
+
+    ordered = posted.select("token", "node", "n", "short", "component").repartition("token").sortWithinPartitions("token", "node")
+    return ordered.mapInArrow(run, "token long, node long, n int, short boolean, component long, other long")
+
+
+def blocks_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members, with their points, of larger blocks that hold several components; a block in one task, or one over BLOCK
+    members cut into parts, with each pair of parts a block of its own."""
+    state = members.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("any"))
+    p = members.join(state.where((F.col("lo") != F.col("hi")) & F.col("any")).select("token", "members"), "token")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     p = p.withColumn("own", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("int"))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    p = p.select("token", (lo * 65536 + hi).cast("int").alias("part"), F.when(lo != hi, F.col("own") == hi).otherwise(False).cast("int").alias("side"), "node", "n", "short", "component")
-    j = p.join(vecs.select("node", F.col("fine" if over > 1 else "vec").alias("vec")), "node")
+    p = p.select("token", (lo.cast("long") * 2**31 + hi).alias("part"), F.when(lo != hi, F.col("own") == hi).otherwise(False).cast("int").alias("side"), "node", "n", "short", "component")
+    j = p.join(classes.select("node", "point"), "node")
     return j.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
 
 
+def candidates(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of nodes of different components that the R-tree join of their block lets through.
+
+    blocks: token, part, side, node, n, short, component, point.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        done: set[tuple[int, int]] = set()
+
+        def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.combine_chunks()
+            node, n, comp, side = t["node"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["component"].to_numpy(), t["side"].to_numpy()
+            short = t["short"].to_numpy()
+            if (comp == comp[0]).all():
+                return
+            for x, y in rtree.join(rtree.points_of(t["point"], GROUPS), n, percent):
+                k = np.where(n[x] < n[y], short[x], np.where(n[y] < n[x], short[y], short[x] | short[y])) & (comp[x] != comp[y])
+                if side.any():  # two parts of a large block: pairs inside a part belong to another task
+                    k &= side[x] != side[y]
+                x, y = node[x[k]], node[y[k]]
+                new = list(set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - done)
+                if len(done) > 50_000:
+                    done.clear()
+                done.update(new)
+                if new:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()), "b": pa.array([p[1] for p in new], pa.int64())})
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if rest is not None:
+                t = pa.concat_tables([rest, t])
+            token, part = t["token"].to_numpy(), t["part"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1]).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield from block(t.slice(a, b - a))
+            rest = t.slice(edges[-1])
+        if rest is not None and len(rest):
+            yield from block(rest)
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the bound over about as many groups as the sets have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([rtree.fits(*r, percent) for r in rows], pa.bool_()))
+
+    c = classes.select("node", "n", "fine")
+    j = pairs.join(c.withColumnsRenamed({"node": "a", "n": "na", "fine": "fa"}), "a").join(c.withColumnsRenamed({"node": "b", "n": "nb", "fine": "fb"}), "b")
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return j.where(near).select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, firsts: DataFrame) -> DataFrame:
     """The pairs whose whole sets have at least that Jaccard similarity; sets are made anew from the texts of the pairs' ends."""
 
@@ -302,15 +314,21 @@ def linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     every = save(sets(docs, words), "sets")
     rare = rarity(every.where(F.col("counts").isNotNull()))
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")
-    posted = save(shared(postings(docs.where(F.col("doc_id").isNotNull()), words, percent, rare)), "postings")
     named = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), F.first("fine").alias("fine")), "classes")
-    near = save(candidates(blocks_of(posted, firsts, None), percent, True).distinct(), "pairs")
+    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "leads", "point", "fine"))), "classes")
+    near = save(bounded(chained(firsts), firsts, percent), "pairs")
     links = verified(near, docs, words, percent, firsts)
     joined = components(links)
-    more = save(candidates(blocks_of(posted, firsts, joined, rtree.LEAF), percent, False).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
-    joined = components(links.union(verified(more, docs, words, percent, firsts)))
-    discard(posted, near, more)
+    posted = postings(docs.where(F.col("doc_id").isNotNull()), words, percent, rare)
+    posted = posted.join(maybe_broadcast(joined, joined.count(), BROADCAST), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = save(met(posted, percent), "blocks")
+    pairs = blocks.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = pairs.union(candidates(blocks_of(blocks.where(F.col("other").isNull()).drop("other"), firsts), percent)).distinct()
+    more = save(bounded(pairs, firsts, percent), "pairs")
+    found = verified(more, docs, words, percent, firsts)
+    discard(near, blocks, joined)
+    joined = components(links.union(found))
+    discard(more, links, found)
     return rows, firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -329,7 +347,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows, inside = linked(plain(docs), words, percent)
     known = inside.withColumns({"component_id": F.min("doc_id").over(Window.partitionBy("component"))})
     known = save(known.where((F.col("copies") > 1) | (F.col("component_id") != F.col("doc_id"))).select(F.col("node").alias("kn"), F.col("check").alias("kc"), F.col("component_id").alias("kid")), "known")
-    out = rows.join(maybe_broadcast(known, known.count(), 500_000), (F.col("node") == F.col("kn")) & (F.col("check") == F.col("kc")) & F.col("doc_id").isNotNull(), "left")
+    out = rows.join(maybe_broadcast(known, known.count(), BROADCAST), (F.col("node") == F.col("kn")) & (F.col("check") == F.col("kc")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("kid", "doc_id").alias("component_id"))
 
 

@@ -32,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         discard(edges, hook)
         labels, edges, turn = new, smaller, turn + 1
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        none = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        none.scratch_path = edges.scratch_path
+        return none
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     out = save(labels.join(least, "root").select("node", "component"), "components")
     discard(labels, edges)

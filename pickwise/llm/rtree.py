@@ -16,10 +16,9 @@ def counts(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def groups_for(n: int, fine: bool = False) -> int:
-    """Groups grow with the set, so that the bound tells large sets apart too: a power of two, about n / 16 (fine: n),
-    at least 64."""
-    return 1 << max(6, min(15, (max(n, 1) // (1 if fine else 16)).bit_length()))
+def groups_for(n: int) -> int:
+    """About as many groups as the set has members: a power of two from 64 to 32768."""
+    return 1 << max(6, min(15, max(n, 1).bit_length()))
 
 
 def packed(vector: np.ndarray) -> bytes:
@@ -50,6 +49,19 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
+def points_of(column, groups: int) -> np.ndarray:
+    """An Arrow column of packed() vectors of `groups` counts as rows of 32-bit numbers."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 1 + groups)
+    return raw[:, 1:].astype(np.int32) << raw[:, :1]
+
+
+def fits(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets of these sizes and packed vectors pass the bound, over the groups that both vectors have."""
+    x, y = unpacked(a), unpacked(b)
+    g = min(len(x), len(y))
+    return int(np.minimum(fold(x, g), fold(y, g)).sum()) >= needed(na + nb, percent)
+
+
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
     """The counts over fewer groups (a power of two)."""
     return vector.reshape(-1, groups).sum(axis=0)
@@ -96,7 +108,7 @@ class Tree:
             self.least.append(np.minimum.reduceat(self.least[-1], at))
             self.most.append(np.maximum.reduceat(self.most[-1], at))
 
-    def leaf_pairs(self, percent: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    def leaf_pairs(self, percent: int, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of leaves (a <= b) that may hold a pair over the threshold, from the root down."""
         a = b = np.zeros(1, dtype=np.int64)
         for level in range(len(self.tops) - 1, -1, -1):
@@ -126,7 +138,7 @@ def expand(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tu
     return a0[row] + k // nb[row], b0[row] + k % nb[row]
 
 
-def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, most: int = 200_000) -> np.ndarray:
+def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, most: int = 20_000) -> np.ndarray:
     """Which pairs of points pass the size test and the bound."""
     out = np.zeros(len(x), dtype=bool)
     near = np.flatnonzero((100 * sizes[x] >= percent * sizes[y]) & (100 * sizes[y] >= percent * sizes[x]))
@@ -136,30 +148,13 @@ def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarra
     return out
 
 
-def close(vectors: list[np.ndarray], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, cells: int = 4_000_000) -> np.ndarray:
-    """Which pairs pass the bound over all the groups that both vectors of a pair have."""
-    groups = np.array([len(v) for v in vectors])
-    out, least = np.zeros(len(x), dtype=bool), np.minimum(groups[x], groups[y])
-    for g in np.unique(least).tolist():
-        k = np.flatnonzero(least == g)
-        used, at = np.unique(np.concatenate([x[k], y[k]]), return_inverse=True)
-        table = np.stack([fold(vectors[u], g) for u in used]).astype(np.int32)
-        i, j = at[: len(k)], at[len(k) :]
-        need = needed(sizes[x[k]] + sizes[y[k]], percent)
-        step = max(1, cells // g)
-        for lo in range(0, len(k), step):
-            own = slice(lo, lo + step)
-            out[k[own]] = np.minimum(table[i[own]], table[j[own]]).sum(axis=1) >= need[own]
-    return out
-
-
 def join(points: np.ndarray, sizes: np.ndarray, percent: int):
     """Yields (x, y) arrays of point numbers, x before y in the tree's order, that pass the bound."""
     t = Tree(points, sizes)
     a, b = t.leaf_pairs(percent)
     s = t.starts[0]
-    for lo in range(0, len(a), 4096):
-        p, q = a[lo : lo + 4096], b[lo : lo + 4096]
+    for lo in range(0, len(a), 1024):
+        p, q = a[lo : lo + 1024], b[lo : lo + 1024]
         x, y = expand(s[p], s[p + 1], s[q], s[q + 1])
         up = x < y
         x, y = t.order[x[up]], t.order[y[up]]
