@@ -28,7 +28,7 @@ from pyspark.sql.functions import pandas_udf
 
 from . import rtree
 from .common import bound_batches, discard, maybe_broadcast, save, slices
-from .links import components
+from .links import components, neighbours
 from .shingles import shingle_set
 
 BUCKETS = 1 << 16
@@ -134,19 +134,6 @@ def hash_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return j.mapInArrow(run, "node long, hashes binary")
 
 
-def chained(classes: DataFrame) -> DataFrame:
-    """Pairs a < b: each node with the one before it, in order of (n, node), among those of the same minimum hash."""
-    rows = classes.select("node", "n", F.posexplode("leads").alias("k", "lead"))
-    large = save(rows.groupBy("k", "lead").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > CHAIN), "large")
-    rows = rows.join(maybe_broadcast(large, large.count(), BROADCAST), ["k", "lead"], "left")
-    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHAIN)), F.lit(0)))
-    order = Window.partitionBy("k", "lead", "part").orderBy("n", "node")
-    rows = rows.withColumns({"before": F.lag("node").over(order), "nth": F.row_number().over(order)})
-    heads = rows.where((F.col("nth") == 1) & F.col("members").isNotNull()).withColumn("before", F.lag("node").over(Window.partitionBy("k", "lead").orderBy("n", "node")))
-    pairs = rows.select("before", "node").union(heads.select("before", "node")).where(F.col("before").isNotNull())
-    return pairs.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
-
-
 def met(posted: DataFrame, percent: int) -> DataFrame:
     """Rows of blocks with two members or more, each once: of small blocks the pairs (node, other) that may link and are of
     different components; of larger ones the members (other null). Sorted rows stream by: no block is gathered."""
@@ -316,7 +303,8 @@ def linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")
     named = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "leads", "point", "fine"))), "classes")
-    near = save(bounded(chained(firsts), firsts, percent), "pairs")
+    leads = firsts.select("node", "n", F.posexplode("leads").alias("k", "lead"))
+    near = save(bounded(neighbours(leads, ["k", "lead"], ["n", "node"], CHAIN), firsts, percent), "pairs")
     links = verified(near, docs, words, percent, firsts)
     joined = components(links)
     posted = postings(docs.where(F.col("doc_id").isNotNull()), words, percent, rare)

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, maybe_broadcast, save
+
+BROADCAST = 200_000  # rows of a few longs that a join may send to every executor
+
+
+def neighbours(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """Pairs a < b of nodes of rows(*keys, node): each with the one before it in this order among those of equal keys.
+
+    Keys with more than `most` rows are cut into parts that are put in order each for itself, and the parts' first rows
+    are paired too, so no task holds a whole large group. Null keys are not expected.
+    """
+    large = save(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > most), "large")
+    cut = rows.join(maybe_broadcast(large, large.count(), BROADCAST), keys, "left")
+    cut = cut.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / most)), F.lit(0)))
+    within = Window.partitionBy(*keys, "part").orderBy(*order)
+    cut = cut.withColumns({"before": F.lag("node").over(within), "nth": F.row_number().over(within)})
+    heads = cut.where((F.col("nth") == 1) & F.col("members").isNotNull()).withColumn("before", F.lag("node").over(Window.partitionBy(*keys).orderBy(*order)))
+    pairs = cut.select("before", "node").union(heads.select("before", "node")).where(F.col("before").isNotNull())
+    return pairs.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -177,3 +177,51 @@ def test_anisotropic_codes_spare_the_parallel_error():
         error[eta] = np.abs(((x - back) * x).sum(1) / np.linalg.norm(x, axis=1)).mean()
     assert error[6.0] < 0.8 * error[1.0]
     assert nearest.Quantiser(q.centroids, 6.0).scan(x[:3], codes).shape == (3, 1500)
+
+
+def cosines(rows):
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x @ x.T
+
+
+def test_cap_links_in_one_dense_cap(spark):
+    """Nearly all vectors in one cap, most pairs just under the threshold, at scales from 1e-200 to 1e200."""
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    noise = rng.choice([0.016, 0.0185, 0.03], size=(700, 1))
+    x = (centre + noise * rng.standard_normal((700, 64))) * 10.0 ** rng.integers(-200, 200, (700, 1))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(800 + i, (s * x[5] / np.abs(x[5]).max()).tolist(), 1) for i, s in enumerate((1e-300, 1e300, 3.0))] + [(900, [1e-200] * 4, 1), (901, [1e200] * 4, 1), (902, [2.0] * 4, 2), (903, [5.0], 1), (904, [1e-320], 1), (905, [-5.0], 1)]
+    near = np.zeros((len(rows), len(rows)), dtype=bool)
+    groups: dict = {}
+    for k, r in enumerate(rows):
+        groups.setdefault((len(r[1]), r[2]), []).append(k)
+    for own in groups.values():
+        near[np.ix_(own, own)] = cosines([rows[k] for k in own]) >= 0.98
+    np.fill_diagonal(near, False)
+    want = roots([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(near), strict=True)])
+    assert 0.02 < near[:700, :700].mean() < 0.6
+    got = cap_links.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3), block_rows=200).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(r[0], int(near[k].sum()), want[r[0]]) for k, r in enumerate(rows)]
+
+
+def test_cap_filters_find_links_at_the_threshold():
+    """Isolated pairs at cosine 0.98 to 0.982: the share found by one code's filters, and how many filters a vector has."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.98, 0.982, (2000, 1))
+    y = c * x + np.sqrt(1 - c**2) * u
+    missed, filters = np.ones(2000, dtype=bool), 0
+    for code in cap_links.drawn(64, 20, 2):
+        (ox, fx), (oy, fy) = code.decode(x, 0.98, 3.0), code.decode(y, 0.98, 3.0)
+        one = np.array([a in f or b in g for a, b, f, g in zip(ox, oy, fy, fx, strict=True)])
+        assert one.mean() > 0.997
+        missed &= ~one
+        filters += np.mean([len(f) for f in fx])
+    assert not missed.any() and filters < 30
