@@ -117,7 +117,7 @@ def test_mixing(spark):
     again = mixing.mix(docs(spark, rows).repartition(3)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mix(docs(spark, [])).count() == 0
-    weighted = mixing.mix(docs(spark, rows).withColumn("merit", F.col("doc_id") % 5 + 1.0), merit="merit").collect()
+    weighted = mixing.mix(docs(spark, rows).withColumn("m", F.col("doc_id") % 5 + 1), merit=F.col("m")).collect()
     assert sum(r["taken"] for r in weighted if r["source"] == "a") == pytest.approx(target["a"], abs=30)
 
 
