@@ -52,8 +52,8 @@ def check_of(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node, check, leads (minimum hashes), point and fine (count vectors) of every document; and, in rows of their own, each task's shingle counts by bucket."""
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "leads": pa.list_(pa.int64()), "point": pa.binary(), "fine": pa.binary(), "counts": pa.list_(pa.int64())}
+    """doc_id, n, node, check, leads (minimum hashes) and fine (count vector) of every document; and, in rows of their own, each task's shingle counts by bucket."""
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "leads": pa.list_(pa.int64()), "fine": pa.binary(), "counts": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
@@ -67,13 +67,12 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                     out["node"].append(node_of(s))
                     out["check"].append(check_of(s))
                     out["leads"].append(signed(np.array([(s * k).min() for k in LEADS], dtype=np.uint64)).tolist() if len(s) else [])
-                    out["point"].append(rtree.packed(rtree.fold(fine, GROUPS)))
                     out["fine"].append(rtree.packed_fine(fine))
                     np.add.at(total, (s >> np.uint64(48)).astype(np.int64), 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, kinds[k]) for k, v in out.items()), pa.nulls(hi - lo, kinds["counts"])], schema=pa.schema(kinds))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], t) if k == "counts" else pa.nulls(1, t) for k, t in kinds.items()], schema=pa.schema(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, leads array<long>, point binary, fine binary, counts array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, leads array<long>, fine binary, counts array<long>")
 
 
 def rarity(counted: DataFrame) -> np.ndarray:
@@ -206,7 +205,7 @@ def met(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def blocks_of(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members, with their points, of larger blocks that hold several components; a block in one task, or one over BLOCK
+    """Members, with their fine count vectors, of larger blocks that hold several components; a block in one task, or one over BLOCK
     members cut into parts, with each pair of parts a block of its own."""
     state = members.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("any"))
     p = members.join(state.where((F.col("lo") != F.col("hi")) & F.col("any")).select("token", "members"), "token")
@@ -215,14 +214,15 @@ def blocks_of(members: DataFrame, classes: DataFrame) -> DataFrame:
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     p = p.select("token", (lo.cast("long") * 2**31 + hi).alias("part"), F.when(lo != hi, F.col("own") == hi).otherwise(False).cast("int").alias("side"), "node", "n", "short", "component")
-    j = p.join(classes.select("node", "point"), "node")
+    j = p.join(classes.select("node", "fine"), "node")
     return j.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
 
 
 def candidates(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of nodes of different components that the R-tree join of their block lets through.
+    """Pairs a < b of nodes of different components that the R-tree join of their block lets through and that pass the
+    bound over finer groups.
 
-    blocks: token, part, side, node, n, short, component, point.
+    blocks: token, part, side, node, n, short, component, fine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +235,14 @@ def candidates(blocks: DataFrame, percent: int) -> DataFrame:
             short = t["short"].to_numpy()
             if (comp == comp[0]).all():
                 return
-            for x, y in rtree.join(rtree.points_of(t["point"], GROUPS), n, percent):
+            fine = t["fine"].to_pylist()
+            points = np.stack([rtree.fold(rtree.unpacked(f), GROUPS).astype(np.int32) for f in fine])
+            for x, y in rtree.join(points, n, percent):
                 k = np.where(n[x] < n[y], short[x], np.where(n[y] < n[x], short[y], short[x] | short[y])) & (comp[x] != comp[y])
                 if side.any():  # two parts of a large block: pairs inside a part belong to another task
                     k &= side[x] != side[y]
+                x, y = x[k], y[k]
+                k = rtree.close(fine, n, x, y, percent)
                 x, y = node[x[k]], node[y[k]]
                 new = list(set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - done)
                 if len(done) > 50_000:
@@ -302,7 +306,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     rare = rarity(every.where(F.col("counts").isNotNull()))
     rows = every.where(F.col("counts").isNull()).select("doc_id", "n", "node", "check")
     named = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "leads", "point", "fine"))), "classes")
+    firsts = save(named.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "leads", "fine"))), "classes")
     leads = firsts.select("node", "n", F.posexplode("leads").alias("k", "lead"))
     near = save(bounded(neighbours(leads, ["k", "lead"], ["n", "node"], CHAIN), firsts, percent), "pairs")
     links = verified(near, docs, words, percent, firsts)

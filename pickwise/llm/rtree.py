@@ -49,12 +49,6 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
-def points_of(column, groups: int) -> np.ndarray:
-    """An Arrow column of packed() vectors of `groups` counts as rows of 32-bit numbers."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 1 + groups)
-    return raw[:, 1:].astype(np.int32) << raw[:, :1]
-
-
 def fits(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
     """Whether two sets of these sizes and packed vectors pass the bound, over the groups that both vectors have."""
     x, y = unpacked(a), unpacked(b)
@@ -148,6 +142,21 @@ def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarra
     return out
 
 
+def close(packs: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, cells: int = 1_000_000) -> np.ndarray:
+    """Which pairs of members pass the bound over all the groups that both packed vectors have, in slices of bounded memory."""
+    out = np.zeros(len(x), dtype=bool)
+    groups = np.array([groups_for(int(n)) for n in sizes])
+    least, need = np.minimum(groups[x], groups[y]), needed(sizes[x] + sizes[y], percent)
+    for g in np.unique(least).tolist():
+        own = np.flatnonzero(least == g)
+        for lo in range(0, len(own), step := max(1, cells // g)):
+            k = own[lo : lo + step]
+            used, at = np.unique(np.concatenate([x[k], y[k]]), return_inverse=True)
+            table = np.stack([fold(unpacked(packs[u]), g).astype(np.int32) for u in used])
+            out[k] = np.minimum(table[at[: len(k)]], table[at[len(k) :]]).sum(axis=1) >= need[k]
+    return out
+
+
 def join(points: np.ndarray, sizes: np.ndarray, percent: int):
     """Yields (x, y) arrays of point numbers, x before y in the tree's order, that pass the bound."""
     t = Tree(points, sizes)
