@@ -45,14 +45,6 @@ def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return j.select(key, F.when(F.col("l").isNotNull(), "left").otherwise("right").alias("side"))
 
 
-def outcome(cancelled: Column, failed: Column, partial: Column, done: Column, total: Column) -> Column:
-    """What a batch came to, from its children's outcomes: cancelled only if nothing else ended, failed only if all did."""
-    return (
-        F.when(total == 0, "no_change").when(cancelled == total, "cancelled").when(failed + cancelled == total, "failed")
-        .when(failed + partial + cancelled > 0, "partial").when(done == total, "succeeded").otherwise("running")
-    )
-
-
 def upsert(stored: DataFrame, seen: DataFrame, key: str, errors: int = 0) -> DataFrame:
     """Stored rows after a sync: seen rows replace or add theirs and are present; unseen ones are retired, but only if
     the sync had no errors. Both have the same columns apart from `present`, which only stored has."""

@@ -100,18 +100,6 @@ def parent_outcome_rollup(spark, sf_dir):
     return f.groupBy("l_orderkey").agg(n_rows().alias("children"), F.count_if(c("l_returnflag") == "R").alias("returned"), F.count_if(c("l_linestatus") == "O").alias("open"), F.count_if(c("l_discount") > 0.05).alias("discounted"), F.max("l_shipdate").alias("last_ship"), F.coalesce(F.max(F.when(c("l_returnflag") == "R", c("l_quantity"))), F.lit(0.0)).alias("most_returned"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, count(l_orderkey) AS total, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS failed, count(*) FILTER (WHERE l_returnflag = 'A') AS cancelled,
-  count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') AS partial, count(*) FILTER (WHERE l_returnflag = 'N') AS done FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
-SELECT o_orderkey, total, CASE WHEN total = 0 THEN 'no_change' WHEN cancelled = total THEN 'cancelled' WHEN failed + cancelled = total THEN 'failed' WHEN failed + partial + cancelled > 0 THEN 'partial' WHEN done = total THEN 'succeeded' ELSE 'running' END AS outcome FROM r""")
-def batch_outcome(spark, sf_dir):
-    """What each batch came to, by the precedence of its children's outcomes."""
-    o, f = load(spark, sf_dir, "orders", "lineitem")
-    flag, status = c("l_returnflag"), c("l_linestatus")
-    r = f.groupBy(c("l_orderkey").alias("k")).agg(n_rows().alias("total"), F.count_if((flag == "R") & (status == "F")).alias("failed"), F.count_if(flag == "A").alias("cancelled"), F.count_if((flag == "R") & (status == "O")).alias("partial"), F.count_if(flag == "N").alias("done"))
-    j = o.select("o_orderkey").join(r, c("o_orderkey") == c("k"), "left").na.fill(0, ["total", "failed", "cancelled", "partial", "done"])
-    return j.select("o_orderkey", "total", rel.outcome(c("cancelled"), c("failed"), c("partial"), c("done"), c("total")).alias("outcome"))
-
-
 @query("""SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS blocked, count(*) FILTER (WHERE o_orderstatus = 'O') AS waiting,
   count(*) FILTER (WHERE o_totalprice > 400000) AS large, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'O') AS subjects FROM orders""")
 def attention_card(spark, sf_dir):

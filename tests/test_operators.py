@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pickwise.functions import scores, texts, vectors
-from pickwise.operators import calibration, candidates, neighbours, pairs, relational, timeseries
+from pickwise.operators import calibration, candidates, jobs, neighbours, pairs, relational, timeseries
 from pickwise.sources import tables
 from pickwise.streaming import log
 
@@ -119,10 +119,39 @@ def test_sync_retires_only_without_errors(spark):
     assert {r["id"]: r["present"] for r in relational.upsert(stored, seen, "id", errors=1).collect()}[1] is True
 
 
-def test_outcomes(spark):
-    rows = [(0, 0, 0, 0, 0, "no_change"), (2, 0, 0, 0, 2, "cancelled"), (1, 1, 0, 0, 2, "failed"), (0, 1, 0, 1, 2, "partial"), (0, 0, 0, 2, 2, "succeeded"), (0, 0, 0, 1, 2, "running")]
-    df = spark.createDataFrame(rows, "c int, f int, p int, d int, t int, want string")
-    assert all(r[0] == r["want"] for r in df.select(relational.outcome(F.col("c"), F.col("f"), F.col("p"), F.col("d"), F.col("t")), "want").collect())
+def test_batch_outcomes(spark):
+    """By hand: what a batch came to for each mix of its children's outcomes."""
+    cases = [
+        ([], False, "no_change"), (["cancelled", "cancelled"], True, "cancelled"), (["failed", "superseded"], False, "failed"), (["failed", "unsafe"], False, "unsafe"),
+        (["superseded", "superseded"], False, "superseded"), (["superseded", "cancelled"], False, "cancelled"), (["succeeded", "failed"], False, "partially_succeeded"),
+        (["no_change", "no_change"], False, "no_change"), (["no_change", "succeeded"], False, "succeeded"), (["review"], False, "succeeded"), (["review", "superseded"], False, "partially_succeeded"),
+        (["partially_succeeded"], False, "partially_succeeded"), (["dead_letter", "cancelled"], False, "failed"), (["succeeded", None], False, None), (["succeeded", None], True, None),
+    ]
+    parents = spark.createDataFrame([(k, True, stop) for k, (_, stop, _) in enumerate(cases)], "job_id int, sealed boolean, cancel_wanted boolean")
+    rows = [(k, "group", "terminal" if o else "queued", "partially_succeeded" if o == "review" else o, 0 if o == "review" else None) for k, (kids, _, _) in enumerate(cases) for o in kids]
+    got = jobs.batch_projection(parents, spark.createDataFrame(rows, "parent_id int, type string, phase string, outcome string, failed_count int")).orderBy("job_id").collect()
+    assert [r["outcome"] for r in got] == [want for _, _, want in cases]
+    assert [r["phase"] for r in got[-2:]] == ["running", "stopping"] and [r["attention_level"] for r in got[1:5]] == [None, "warning", "error", None] and got[9]["attention"] == 0
+
+
+def test_cursors():
+    of = jobs.contract("queue", {"a": 1, "b": None}, "x")
+    assert of == jobs.contract("queue", {"a": 1}, "x") and len(of) == 16
+    assert jobs.decode_cursor(jobs.encode_cursor(of, ["x", 1, 2.5, None]), of) == ["x", 1, 2.5, None]
+    for token, query in ((jobs.encode_cursor(of, [1]), "other"), ("", of), ("%%", of), ("e30", of), ("W10", of), ("a" * 5000, of)):
+        with pytest.raises(jobs.CursorError):
+            jobs.decode_cursor(token, query)
+    with pytest.raises(jobs.CursorError):
+        jobs.encode_cursor(of, [[1]])
+
+
+def test_deletes_keep_to_their_plan(spark):
+    df = spark.range(10)
+    left, plan = jobs.delete_planned(df, F.col("id") < 4, "id", dry_run=True)
+    checksum = plan.first()["checksum"]
+    assert left.count() == 10 and plan.first()["planned"] == 4
+    assert jobs.delete_planned(df, F.col("id") < 4, "id", checksum)[0].count() == 6
+    assert jobs.delete_planned(df, F.col("id") < 5, "id", checksum)[0].count() == 10
 
 
 def test_downsample_positions(spark):
