@@ -1,33 +1,57 @@
-"""Exact neighbours of queries among a bounded profile of exemplars, and what is made of them.
+"""Exact neighbours of a stated set of queries among all exemplars, and what is made of them.
 
-The profile is broadcast only where its counted size is under a limit; otherwise Spark joins in its own way.
+Queries and exemplars are packed into blocks of bounded size; each pair of blocks is one matrix product, of which a query
+keeps its k nearest; these meet in one ranking by query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.vectors import dot, unit
-
-BROADCAST_ROWS = 20_000
-
-
-def similarities(queries: DataFrame, profile: DataFrame) -> DataFrame:
-    """query_id, exemplar_id, similarity: queries(query_id, embedding) against profile(exemplar_id, embedding)."""
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    rest = [c for c in profile.columns if c not in ("exemplar_id", "embedding")]
-    p = profile.select("exemplar_id", unit(F.col("embedding")).alias("p"), *rest)
-    p = F.broadcast(p) if p.count() <= BROADCAST_ROWS else p
-    return q.crossJoin(p).select("query_id", "exemplar_id", dot(F.col("q"), F.col("p")).alias("similarity"), *rest)
-
-
-def nearest(sims: DataFrame, k: int = fixed.NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
-    """The k nearest of each query with their rank; equal similarities by exemplar_id."""
-    s = sims.where(F.col("query_id") != F.col("exemplar_id")) if exclude_self else sims
+from ..functions.vectors import unit
+
+
+def packed(df: DataFrame, key: str, block: str, rows: int) -> tuple[DataFrame, int]:
+    """block, ids, vectors: the rows' unit vectors in blocks of about `rows`; and the number of blocks."""
+    n = max(1, -(-df.count() // rows))
+    b = df.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(block), F.struct(F.col(key).cast("long").alias("id"), unit(F.col("embedding")).alias("v")).alias("r"))
+    g = b.groupBy(block).agg(F.collect_list("r").alias("r"))
+    return g.select(block, F.col("r.id").alias(f"{block}_ids"), F.flatten("r.v").alias(f"{block}_x")), n
+
+
+def nearest(queries: DataFrame, profile: DataFrame, k: int = fixed.NEIGHBOURS, exclude_self: bool = True, block_rows: int = 2048) -> DataFrame:
+    """query_id, exemplar_id, similarity (cosine), rank: the k nearest of profile(exemplar_id, embedding) for each of
+    queries(query_id, embedding); vectors are of one length. Equal similarities (to 12 places) go by exemplar_id."""
+    q, n_q = packed(queries, "query_id", "q", block_rows)
+    p, _ = packed(profile, "exemplar_id", "p", block_rows)
+    pairs = p.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(q, "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name: np.asarray(batch.column(name)[row].values)  # noqa: B023, E731
+                own, ids = get("q_ids"), get("p_ids")
+                x, y = get("q_x").reshape(len(own), -1), get("p_x").reshape(len(ids), -1)
+                for lo in range(0, len(own), 256):
+                    s = x[lo : lo + 256] @ y.T
+                    if exclude_self:
+                        s[own[lo : lo + 256][:, None] == ids[None]] = -np.inf
+                    r = np.round(s, 12)
+                    for i in range(len(s)):
+                        near = np.flatnonzero(r[i] >= np.partition(r[i], -k)[-k]) if len(ids) > k else np.arange(len(ids))
+                        near = near[np.isfinite(s[i][near])]
+                        near = near[np.lexsort((ids[near], -r[i][near]))[:k]]
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(near), own[lo + i])), "exemplar_id": pa.array(ids[near]), "similarity": pa.array(s[i][near])})
+
+    found = pairs.select("q_ids", "q_x", "p_ids", "p_x").mapInArrow(run, "query_id long, exemplar_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "exemplar_id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def softmax_weights(top: DataFrame, temperature: float = fixed.TEMPERATURE) -> DataFrame:
@@ -37,9 +61,9 @@ def softmax_weights(top: DataFrame, temperature: float = fixed.TEMPERATURE) -> D
     return top.withColumn("e", e).withColumn("weight", F.col("e") / F.sum("e").over(w)).drop("e")
 
 
-def style_score(queries: DataFrame, profile: DataFrame, k: int = fixed.NEIGHBOURS, temperature: float = fixed.TEMPERATURE) -> DataFrame:
+def style_score(queries: DataFrame, profile: DataFrame, k: int = fixed.NEIGHBOURS, temperature: float = fixed.TEMPERATURE, exclude_self: bool = True) -> DataFrame:
     """query_id, style: the softmax-weighted mean of the k largest similarities."""
-    top = softmax_weights(nearest(similarities(queries, profile), k), temperature)
+    top = softmax_weights(nearest(queries, profile, k, exclude_self), temperature)
     return top.groupBy("query_id").agg(F.sum(F.col("weight") * F.col("similarity")).alias("style"))
 
 

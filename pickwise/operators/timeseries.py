@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import place
+
 
 def seconds(ts: Column) -> Column:
     """Seconds since the epoch, with fractions; the session's zone must be UTC for zone-less times."""
@@ -18,15 +20,17 @@ def counter_rate(df: DataFrame, by: list[str], order: list[str], ts: str, counte
     return df.withColumn("rate", F.when((gap > 0) & (F.col(counter) >= before), (F.col(counter) - before) / gap))
 
 
-def downsample(df: DataFrame, by: list[str], order: list[str], points: int, value: str, ts: str) -> DataFrame:
+def downsample(df: DataFrame, by: list[str], order: list[str], points: int, value: str, ts: str, coarse: Column | None = None) -> DataFrame:
     """At most `points` buckets of equal numbers of rows in order: bucket, rows, mean (nulls skipped), and the time of the
-    middle row. Buckets go by position, not by time; series of `points` rows or fewer have a bucket for each row."""
-    w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    size = F.greatest(F.ceil(n / points), F.lit(1))
-    at = F.row_number().over(w.orderBy(*order)) - 1
-    b = df.withColumns({"bucket": F.floor(at / size).cast("long"), "_pos": (at % size).cast("long")})
-    b = b.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*by, "bucket")))
+    middle row. Buckets go by position, not by time; series of `points` rows or fewer have a bucket for each row.
+
+    `coarse` is a value that never falls along the order (such as the day): with it, one task orders one such value's rows
+    of a series; without it, a whole series.
+    """
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    at = place(df, by, coarse if coarse is not None else F.lit(0), [F.col(o) for o in order], "_at").join(n, by)
+    size = F.greatest(F.ceil(F.col("_n") / points), F.lit(1))
+    b = at.withColumns({"bucket": F.floor(F.col("_at") / size).cast("long"), "_pos": (F.col("_at") % size).cast("long"), "_rows": F.least(size, F.col("_n") - F.floor(F.col("_at") / size) * size)})
     middle = F.max(F.when(F.col("_pos") == F.least(F.col("_rows") - 1, F.floor(F.col("_rows") / 2)), F.col(ts)))
     return b.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(value), 3).alias("mean"), middle.alias("ts"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from ..operators import relational as rel
 from ..sources.tables import table
 from .registry import query
@@ -54,9 +55,7 @@ def review_pending_flag(spark, sf_dir):
 def downloaded_or_has_file(spark, sf_dir):
     """Present rows that have a path of their own or a live file: EXISTS inside OR."""
     o, f = load(spark, sf_dir, "orders", "lineitem")
-    o.createOrReplaceTempView("_runs")
-    f.createOrReplaceTempView("_files")
-    return spark.sql("SELECT o_orderkey FROM _runs WHERE o_orderstatus <> 'P' AND (o_totalprice > 300000 OR EXISTS (SELECT 1 FROM _files WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45))")
+    return spark.sql("SELECT o_orderkey FROM {runs} WHERE o_orderstatus <> 'P' AND (o_totalprice > 300000 OR EXISTS (SELECT 1 FROM {files} WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45))", runs=o, files=f)
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
@@ -69,9 +68,7 @@ def no_active_work(spark, sf_dir):
 def not_in_null_trap(spark, sf_dir):
     """NOT IN over a column with nulls: never true while one null is in it."""
     n, s = load(spark, sf_dir, "nation", "supplier")
-    n.createOrReplaceTempView("_nations")
-    s.createOrReplaceTempView("_suppliers")
-    return spark.sql("SELECT n_nationkey, n_name FROM _nations WHERE n_nationkey NOT IN (SELECT CASE WHEN s_acctbal > 5000 THEN s_nationkey END FROM _suppliers)")
+    return spark.sql("SELECT n_nationkey, n_name FROM {nations} WHERE n_nationkey NOT IN (SELECT CASE WHEN s_acctbal > 5000 THEN s_nationkey END FROM {suppliers})", nations=n, suppliers=s)
 
 
 @query("""SELECT n_nationkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS review FROM nation""")
@@ -119,14 +116,12 @@ SELECT o_orderpriority, n AS runs, subjects, round(a, 4) AS mean, m AS longest,
 def run_metrics_nearest_rank(spark, sf_dir):
     """Mean, longest and nearest-rank p50 and p90: the value at place min(n - 1, int(n * p)) in order.
 
-    Places are found by a count over distinct values, so no group's values are gathered.
+    Places are found by counts of value buckets, so no group's values are gathered or put in order as a whole.
     """
     (o,) = load(spark, sf_dir, "orders")
     g = o.groupBy("o_orderpriority").agg(n_rows().alias("runs"), F.count_distinct("o_custkey").alias("subjects"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("longest"))
-    v = o.groupBy("o_orderpriority", "o_totalprice").agg(n_rows().alias("k"))
-    v = v.withColumn("upto", F.sum("k").over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice"))).join(g.select("o_orderpriority", "runs"), "o_orderpriority")
-    at = lambda p: F.min(F.when(c("upto") > F.least(c("runs") - 1, F.floor(c("runs") * p)), c("o_totalprice")))
-    q = v.groupBy("o_orderpriority").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    at = lambda p: F.least(c("_n") - 1, F.floor(c("_n") * p))
+    q = ranks.at_ranks(o.select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", {"p50": at(0.5), "p90": at(0.9)})
     return g.join(q, "o_orderpriority").select("o_orderpriority", "runs", "subjects", F.round("mean", 4).alias("mean"), "longest", "p50", "p90")
 
 
@@ -166,7 +161,9 @@ def offset_page(spark, sf_dir):
 def failure_first_order(spark, sf_dir):
     (o,) = load(spark, sf_dir, "orders")
     severity = F.when(c("o_orderstatus") == "P", 0).when(c("o_orderstatus") == "O", 1).otherwise(2)
-    return o.where(c("o_totalprice") > 380000).select("o_orderkey", F.row_number().over(Window.orderBy(severity, c("o_orderdate").desc_nulls_last(), "o_orderkey")).cast("long").alias("place"))
+    own = o.where(c("o_totalprice") > 380000).withColumns({"severity": severity, "month": F.coalesce(-F.unix_date(F.trunc("o_orderdate", "month")), F.lit(2**31 - 1))})
+    placed = ranks.place(own, [], F.struct("severity", "month"), [c("o_orderdate").desc_nulls_last(), c("o_orderkey")])
+    return placed.select("o_orderkey", (c("place") + 1).alias("place"))
 
 
 @query("""SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate >= DATE '1997-01-01' AND l_quantity > 49""")

@@ -30,7 +30,7 @@ b AS (SELECT *, place // greatest(CAST(ceil(n / 40) AS BIGINT), 1) AS bucket, pl
 SELECT event_type, bucket, count(*) AS rows, round(avg(value), 3) AS mean, max(CASE WHEN pos = least(r - 1, r // 2) THEN ts END) AS ts FROM k GROUP BY event_type, bucket""")
 def downsample_positional(spark, sf_dir):
     """Forty buckets of each type by position, with the middle row's time."""
-    return ts.downsample(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], 40, "value", "ts")
+    return ts.downsample(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], 40, "value", "ts", F.date_trunc("day", "ts"))
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-30' AND coalesce(CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 30 DAY END, TIMESTAMP '1995-06-30') >= TIMESTAMP '1995-06-01'""")

@@ -1,26 +1,26 @@
-"""Queries over `embeddings`: the first four vectors of each label are the profile, all vectors are candidates."""
+"""Queries over `embeddings`: every fiftieth vector asks, all vectors are the profile."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, unit
+from ..functions.vectors import cosine, unit
 from ..operators import neighbours as nn
+from ..operators import ranks
 from ..sources.tables import table
 from .registry import query
 
 c = F.col
-UNIT_SQL = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), prof AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 4)"
-SIM_SQL = UNIT_SQL + ", s AS (SELECT q.vec_id AS query_id, p.vec_id AS exemplar_id, p.label AS label, list_dot_product(q.v, p.v) AS sim FROM u q, prof p)"
+UNIT_SQL = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
+SIM_SQL = UNIT_SQL + ", s AS (SELECT q.vec_id AS query_id, q.label AS query_label, p.vec_id AS exemplar_id, p.label AS label, list_dot_product(q.v, p.v) AS sim FROM u q, u p WHERE q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id)"
 TOP_SQL = SIM_SQL + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, exemplar_id) AS r FROM s QUALIFY r <= 10)"
 SOFT_SQL = TOP_SQL + ", w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY query_id)) / 0.1) AS e FROM t)"
 
 
 def sides(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) <= 4
-    return e.select(c("vec_id").alias("query_id"), "embedding"), e.withColumn("first", first).where("first").select(c("vec_id").alias("exemplar_id"), "embedding", "label")
+    return e.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding", c("label").alias("query_label")), e.select(c("vec_id").alias("exemplar_id"), "embedding", "label")
 
 
 @query(f"WITH {SOFT_SQL} SELECT query_id, round(sum(e * sim) / sum(e), 6) AS style FROM w GROUP BY query_id")
@@ -41,23 +41,41 @@ def contrastive_score(spark, sf_dir):
     return pos.join(neg, "query_id", "left").select("query_id", F.round(nn.contrastive(c("pos"), c("neg")), 6).alias("score"))
 
 
-@query(f"""WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS exemplar_id, list_dot_product(a.v, b.v) AS sim FROM prof a, prof b WHERE a.vec_id <> b.vec_id)
-SELECT query_id, exemplar_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, exemplar_id) AS rank FROM p QUALIFY rank <= 10""")
+@query(f"WITH {TOP_SQL} SELECT query_id, exemplar_id, round(sim, 6) AS similarity, r AS rank FROM t")
 def self_knn(spark, sf_dir):
-    """Each exemplar's neighbours among the others."""
-    _, p = sides(spark, sf_dir)
-    sims = nn.similarities(p.select(c("exemplar_id").alias("query_id"), "embedding"), p.select("exemplar_id", "embedding"))
-    return nn.nearest(sims, exclude_self=True).select("query_id", "exemplar_id", F.round("similarity", 6).alias("similarity"), "rank")
+    """Exemplars' neighbours among all the others."""
+    q, p = sides(spark, sf_dir)
+    return nn.nearest(q, p).select("query_id", "exemplar_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"""WITH {SOFT_SQL}, k AS (SELECT query_id, sum(e * sim) / sum(e) AS style FROM w GROUP BY query_id), b AS (SELECT quantile_cont(round(style, 9), 0.05) AS p5, quantile_cont(round(style, 9), 0.95) AS p95 FROM k)
 SELECT query_id, round(style, 6) AS style, round(p5, 6) AS p5, round(p95, 6) AS p95 FROM k, b WHERE round(style, 9) <= p5""")
 def outliers_p5(spark, sf_dir):
-    """Candidates whose style is at or under the fifth percentile, beside the range of all."""
+    """Exemplars whose style is at or under the fifth percentile, beside the range of all."""
     q, p = sides(spark, sf_dir)
     s = nn.style_score(q, p).withColumn("s", F.round("style", 9))
-    b = s.agg(F.percentile("s", F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    return s.crossJoin(F.broadcast(b)).where(c("s") <= c("p")[0]).select("query_id", F.round("style", 6).alias("style"), F.round(c("p")[0], 6).alias("p5"), F.round(c("p")[1], 6).alias("p95"))
+    b = ranks.quantiles(s, "s", {"p5": 0.05, "p95": 0.95})
+    return s.crossJoin(F.broadcast(b)).where(c("s") <= c("p5")).select("query_id", F.round("style", 6).alias("style"), F.round("p5", 6).alias("p5"), F.round("p95", 6).alias("p95"))
+
+
+@query(f"""WITH {SIM_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, label % 2 ORDER BY round(sim, 12) DESC, exemplar_id) AS r FROM s QUALIFY r <= 10),
+m AS (SELECT query_id, any_value(query_label) AS own, avg(sim) FILTER (WHERE label % 2 = 0) AS pos, avg(sim) FILTER (WHERE label % 2 = 1) AS neg FROM t GROUP BY query_id),
+ce AS (SELECT i, avg(v[i]) AS x FROM u, range(1, 65) g(i) WHERE label % 2 = 0 GROUP BY i), cl AS (SELECT list(x / (SELECT sqrt(sum(x * x)) FROM ce) ORDER BY i) AS v FROM ce),
+cs AS (SELECT avg(list_dot_product(u.v, cl.v)) AS centre_mean, stddev_pop(list_dot_product(u.v, cl.v)) AS centre_std FROM u, cl WHERE label % 2 = 0)
+SELECT round(centre_mean, 6) AS centre_mean, round(centre_std, 6) AS centre_std, (SELECT round(avg(pos), 6) FROM m WHERE own % 2 = 0) AS near_mean, (SELECT round(stddev_pop(pos), 6) FROM m WHERE own % 2 = 0) AS near_std,
+  (SELECT round(avg(neg - pos), 6) FROM m WHERE own % 2 = 1) AS margin_mean, (SELECT round(min(neg - pos), 6) FROM m WHERE own % 2 = 1) AS margin_least FROM cs""")
+def profile_diagnostics(spark, sf_dir):
+    """How tight the liked exemplars are (to their centre, to their neighbours), and how far the disliked keep to themselves."""
+    q, p = sides(spark, sf_dir)
+    liked = p.where("label % 2 = 0")
+    mean = lambda profile: nn.nearest(q, profile).groupBy("query_id").agg(F.avg("similarity").alias("m"))
+    m = q.select("query_id", "query_label").join(mean(liked).withColumnRenamed("m", "pos"), "query_id").join(mean(p.where("label % 2 = 1")).withColumnRenamed("m", "neg"), "query_id", "left")
+    own, other = c("query_label") % 2 == 0, c("query_label") % 2 == 1
+    margin = F.when(other, c("neg") - c("pos"))
+    near = m.agg(F.round(F.avg(F.when(own, c("pos"))), 6).alias("near_mean"), F.round(F.stddev_pop(F.when(own, c("pos"))), 6).alias("near_std"), F.round(F.avg(margin), 6).alias("margin_mean"), F.round(F.min(margin), 6).alias("margin_least"))
+    centre = nn.centroid(liked.withColumn("all", F.lit(1)), "all").select("centroid")
+    s = liked.crossJoin(F.broadcast(centre)).select(cosine(c("embedding"), c("centroid")).alias("s"))  # one vector
+    return s.agg(F.round(F.avg("s"), 6).alias("centre_mean"), F.round(F.stddev_pop("s"), 6).alias("centre_std")).crossJoin(near)
 
 
 @query(f"""WITH {UNIT_SQL}, m AS (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) t(i) GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY label)
@@ -72,7 +90,7 @@ def centroid(spark, sf_dir):
 def barycentric(spark, sf_dir):
     """Candidates placed between their neighbours' map coordinates."""
     q, p = sides(spark, sf_dir)
-    top = nn.softmax_weights(nn.nearest(nn.similarities(q, p)))
+    top = nn.softmax_weights(nn.nearest(q, p))
     return top.groupBy("query_id").agg(F.round(F.sum(c("weight") * (c("exemplar_id") % 7)), 6).alias("x"), F.round(F.sum(c("weight") * (c("exemplar_id") % 11)), 6).alias("y"))
 
 
@@ -97,7 +115,7 @@ def cluster_names(spark, sf_dir):
 
 @query()
 def pca_map(spark, sf_dir):
-    """The profile projected on its three principal axes (signs are arbitrary: compared by variance in the tests)."""
+    """The profile projected on its three principal axes (signs are arbitrary; the tests compare each axis' variance with an eigenvalue)."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -106,5 +124,3 @@ def pca_map(spark, sf_dir):
     xyz = PCA(k=3, inputCol="x", outputCol="p").fit(centred).transform(centred).select("vec_id", vector_to_array("p").alias("p"))
     return xyz.select("vec_id", c("p")[0].alias("x"), c("p")[1].alias("y"), c("p")[2].alias("z"))
 
-
-__all__ = ["dot"]

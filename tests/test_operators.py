@@ -164,7 +164,7 @@ def test_downsample_positions(spark):
 def test_neighbours_brute(spark):
     rng = np.random.default_rng(3)
     q, p = rng.standard_normal((20, 5)), rng.standard_normal((12, 5))
-    got = neighbours.style_score(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>"), spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "exemplar_id int, embedding array<double>"), k=4)
+    got = neighbours.style_score(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>"), spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "exemplar_id int, embedding array<double>"), k=4, exclude_self=False)
     u = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.sort(u(q) @ u(p).T, axis=1)[:, -4:]
     w = np.exp((s - s.max(axis=1, keepdims=True)) / 0.1)
@@ -175,8 +175,10 @@ def test_neighbours_brute(spark):
 def test_pair_fit_learns_the_feature(spark):
     rng = np.random.default_rng(5)
     rows = [(0.5, 0.5, 1.0, float(abs(a)), float(b)) for a, b in rng.standard_normal((80, 2))]
-    w = pairs.fit_pairs(spark.createDataFrame(rows, "winner_score double, loser_score double, weight double, d_a double, d_b double"), ["a", "b"], steps=25, rate=1.0)
-    assert w["a"] > 0.2 and abs(w["b"]) < w["a"]
+    w = pairs.fit_pairs(spark.createDataFrame(rows, "winner_score double, loser_score double, weight double, d_a double, d_b double"), ["a", "b"])
+    x, m = np.array([r[3:] for r in rows]), np.zeros(80)
+    p = 1 / (1 + np.exp(-0.5 * np.clip(x @ [w["a"], w["b"]], -0.75, 0.75)))
+    assert np.abs((1 - p) @ x / 80 - 0.05 * np.array([w["a"], w["b"]]) / 80).max() < 0.02 + 1e-6 and w["a"] > 0.2 and abs(w["b"]) < w["a"]
     assert pairs.activates(25, 200, 0.5, 0.53) and not pairs.activates(24, 200, 0.5, 0.6) and not pairs.activates(25, 200, 0.5, 0.51)
 
 
