@@ -32,6 +32,11 @@ def linear(v: Column, weights: list[float], bias: float) -> Column:
     return dot(v, F.array(*[F.lit(float(w)) for w in weights])) + bias
 
 
+def axes(v: Column, directions: dict[str, list[float]]) -> dict[str, Column]:
+    """The scores of named directions."""
+    return {name: linear(v, d, 0.0) for name, d in directions.items()}
+
+
 def hamming_similarity(a: Column, b: Column, bits: int = 64) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / bits
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +35,30 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
 
-def listing_candidates(raw: DataFrame) -> DataFrame:
-    """Rows from nested candidate lists (subject, candidates array of structs), best voted first in each subject."""
+def listing_candidates(raw: DataFrame, tie: str) -> DataFrame:
+    """Rows from nested candidate lists (subject, candidates array of structs), with their place in their subject's list:
+    the best voted first, then the most voted, then by `tie`."""
     rows = raw.select("subject", F.explode("candidates").alias("c")).select("subject", "c.*")
-    return rows.orderBy("subject", F.desc("vote_average"), F.desc("vote_count"))
+    order = Window.partitionBy("subject").orderBy(F.desc_nulls_last("vote_average"), F.desc_nulls_last("vote_count"), tie)
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def finite(c: Column) -> Column:
-    """NaN and infinities to null."""
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+def finite(value: Column, kind: T.DataType) -> Column:
+    """A value with NaN and infinities as nulls, at any depth of arrays, structs and map values."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: finite(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON Lines with non-finite numbers as nulls."""
-    cast = {f.name: finite(F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    df.withColumns(cast).write.mode("overwrite").json(path) if cast else df.write.mode("overwrite").json(path)
+    df.select(*[finite(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).write.mode("overwrite").json(path)
 
 
 def output_name(stack: Column, label: Column, rank: Column, score: Column, stem: Column) -> Column:

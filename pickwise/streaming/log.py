@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'pickwise')}"
+    """A fresh path below the folder that the cluster shares. Without one, a single machine's own folder serves; a cluster
+    is refused, as its executors would each write to their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'pickwise')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,9 +58,10 @@ def dedup_windows(spark: SparkSession, path: str, width: str = "6 hours", late:
     unique = twice.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     out = shared_folder(spark, "windows")
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
+        """A batch that is run again after a failure writes over what it wrote before."""
         sums = batch.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-        sums.select(F.unix_seconds("w.start").alias("window_start"), "event_type", "n", "total").write.mode("append").parquet(out)
+        sums.select(F.unix_seconds("w.start").alias("window_start"), "event_type", "n", "total").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     q = unique.writeStream.foreachBatch(put).option("checkpointLocation", shared_folder(spark, "windows-state")).trigger(availableNow=True).start()
     q.awaitTermination()
