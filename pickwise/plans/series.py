@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import timeseries as ts
 from ..sources.tables import table
 from ..streaming import log
+from ..streaming import progress as pg
 from .registry import query
 
 c = F.col
@@ -93,3 +94,66 @@ def stream_dedup_tumbling(spark, sf_dir):
 def stream_progress(spark, sf_dir):
     """The same refusal of stale progress as a keyed-state stream; the final state of each worker."""
     return log.progress(spark, f"{sf_dir}/events.parquet")
+
+
+CLIENTS = "SELECT c_custkey AS client, CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN -5 WHEN 2 THEN 10000000 ELSE (c_custkey * 97) % 1100 END AS after FROM customer"
+
+
+def clients(spark, sf_dir: str) -> DataFrame:
+    k = c("c_custkey")
+    after = F.when(k % 10 == 1, -5).when(k % 10 == 2, 10000000).when(k % 10 > 2, (k * 97) % 1100)
+    return table(spark, sf_dir, "customer").select(k.alias("client"), after.alias("after"))
+
+
+@query(f"""WITH l AS (SELECT event_id AS cursor FROM events WHERE event_id BETWEEN 100 AND 1000), k AS ({CLIENTS}), e AS (SELECT min(cursor) AS lo, max(cursor) AS hi FROM l), j AS (SELECT client, coalesce(after, hi) AS after, lo, hi FROM k, e),
+r AS (SELECT *, after < 0 OR after > hi OR after < lo - 1 OR hi - after > 600 AS reset FROM j) SELECT client, reset, CASE WHEN reset THEN hi ELSE after END AS next, CASE WHEN reset THEN 0 ELSE hi - after END AS missed FROM r""")
+def event_resume(spark, sf_dir):
+    """What clients that come back to the log get: the rows they missed, or a reset."""
+    lines = events(spark, sf_dir).where("event_id BETWEEN 100 AND 1000").select(c("event_id").alias("cursor"))
+    return pg.resume(lines, clients(spark, sf_dir), 600)[0]
+
+
+@query(f"""WITH l AS (SELECT event_id AS cursor FROM events WHERE event_id BETWEEN 100 AND 1000), k AS ({CLIENTS}) SELECT client, cursor FROM k JOIN l ON cursor > after WHERE after >= 400 AND after <= 1000 AND client % 100 = 3""")
+def event_replay(spark, sf_dir):
+    """The rows that some of these clients are sent again."""
+    lines = events(spark, sf_dir).where("event_id BETWEEN 100 AND 1000").select(c("event_id").alias("cursor"))
+    return pg.resume(lines, clients(spark, sf_dir).where("client % 100 = 3"), 600)[1]
+
+
+@query("""WITH k AS (SELECT DISTINCT user_id AS client, ['click', 'error', 'login', 'purchase', 'view'][1 + user_id % 5] AS topic, user_id * 3 AS after FROM events), n AS (SELECT client, count(*) AS n, max(event_id) AS last FROM k JOIN events ON event_type = topic AND event_id > after GROUP BY client)
+SELECT client, coalesce(n, 0) AS offered, CASE WHEN n > 16 THEN 1 + (n - 17) // 16 ELSE 0 END AS overflows, CASE WHEN n > 16 THEN 1 + (n - 17) % 16 ELSE coalesce(n, 0) END AS queued, coalesce(last, after) AS next FROM k LEFT JOIN n USING (client)""")
+def event_fanout(spark, sf_dir):
+    """A burst of frames to clients with bounded queues."""
+    e = events(spark, sf_dir)
+    topic = F.element_at(F.array(*[F.lit(t) for t in ("click", "error", "login", "purchase", "view")]), (c("client") % 5 + 1).cast("int"))
+    k = e.select(c("user_id").alias("client")).distinct().withColumns({"topic": topic, "after": c("client") * 3})
+    return pg.fan_out(e.select(c("event_id").alias("cursor"), c("event_type").alias("topic")), k, 16)
+
+
+@query()
+def progress_coalesced(spark, sf_dir):
+    """Which of a user's reports are written, and when: changes at once, the rest at a bounded pace."""
+    at = F.unix_micros(c("ts").cast("timestamp")) / 1e6
+    o = events(spark, sf_dir).select(c("user_id").alias("job"), at.alias("at"), F.when(c("event_id") % 8 == 0, "b").otherwise("a").alias("stage"), (c("event_id") % 100).cast("double").alias("share"), F.lit(0).alias("warnings"))
+    return pg.coalesce_progress(o, cadence=3600.0, staleness=20_000.0, delta=60.0)
+
+
+ITEM_SQL = """f AS (SELECT user_id AS item, event_id AS seq, CASE WHEN event_type = 'error' AND value > 20 THEN 'failed' WHEN event_type = 'purchase' AND value > 30 THEN 'succeeded' ELSE 'running' END AS status, CASE WHEN event_id % 10 < 7 THEN 'fetch' ELSE 'rank' END AS stage, CASE WHEN event_id % 3 > 0 THEN event_id % 50 END AS completed, 50 AS total FROM events)"""
+
+
+@query(f"""WITH {ITEM_SQL}, e AS (SELECT item, min(seq) FILTER (WHERE status <> 'running') AS over FROM f GROUP BY item), k AS (SELECT f.* FROM f JOIN e USING (item) WHERE over IS NULL OR seq <= over),
+s AS (SELECT *, stage IS DISTINCT FROM lag(stage) OVER (PARTITION BY item ORDER BY seq) AS new FROM k), r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY item ORDER BY seq) AS run FROM s), l AS (SELECT *, max(run) OVER (PARTITION BY item) AS last FROM r)
+SELECT item, max_by(status, seq) AS status, max_by(stage, seq) AS stage, CASE WHEN max_by(status, seq) = 'running' THEN max_by(completed, seq) FILTER (WHERE run = last AND completed IS NOT NULL) END AS completed, CASE WHEN max_by(status, seq) = 'running' AND count(*) FILTER (WHERE run = last AND completed IS NOT NULL) > 0 THEN 50 END AS total FROM l GROUP BY item""")
+def item_state(spark, sf_dir):
+    """Where each item of a job stands after its frames."""
+    status = F.when((c("event_type") == "error") & (c("value") > 20), "failed").when((c("event_type") == "purchase") & (c("value") > 30), "succeeded").otherwise("running")
+    f = events(spark, sf_dir).select(c("user_id").alias("item"), c("event_id").alias("seq"), status.alias("status"), F.when(c("event_id") % 10 < 7, "fetch").otherwise("rank").alias("stage"), F.when(c("event_id") % 3 > 0, c("event_id") % 50).alias("completed"), F.lit(50).alias("total"))
+    return pg.item_state(f)
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_id // 4000 AS fence, value, event_type, lag(event_id // 4000) OVER w AS f0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id AS job, max(fence) AS fence, max(event_id) AS sequence, count(*) AS accepted, 0::BIGINT AS refused, CAST(max(event_id) AS DOUBLE) AS share FROM r GROUP BY user_id""")
+def stream_valid_progress(spark, sf_dir):
+    """Rising reports with a fence as a keyed-state stream: all are taken, the state is the last of each worker."""
+    s = log.source(spark, f"{sf_dir}/events.parquet").select(c("user_id").alias("job"), "ts", c("event_id").alias("seq"), F.floor(c("event_id") / 4000).alias("fence"), F.lit("all").alias("scope"), c("event_id").cast("double").alias("share"))
+    return pg.valid_progress(s, spark)
