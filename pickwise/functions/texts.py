@@ -34,18 +34,38 @@ def significant(word: Column) -> Column:
 
 
 def subsequence(letters: Column, text: Column) -> Column:
-    """Whether the letters occur in the text in this order, with anything between."""
-    pattern = F.array_join(F.transform(F.split(compact(letters), ""), lambda c: c), ".*")
-    return F.regexp_like(compact(text), pattern)
+    """Whether the letters stand in the text in this order, with anything between; no letters: they do not."""
+    found = lambda at, ch: F.call_function("locate", ch, text, at)  # noqa: E731  0: not found; from a place of 0, never
+    step = lambda at, ch: F.when(found(at, ch) > 0, found(at, ch) + 1).otherwise(F.lit(0)).cast("int")
+    signs = F.filter(F.split(letters, ""), lambda ch: ch != "")
+    return (F.length(letters) > 0) & (F.aggregate(signs, F.lit(1), step) > 0)
 
 
 def reason_base(reason: Column) -> Column:
     return F.substring_index(reason, ":", 1)
 
 
-def redact(text: Column, pattern: str = r"(?i)(token|password|secret|api[_-]?key)\s*[=:]\s*\S+") -> tuple[Column, Column]:
-    """The text with secrets' values blotted out, and how many there were."""
-    return F.regexp_replace(text, pattern, "$1=[redacted]"), F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+# What is blotted out, in this order; group 1 stays.
+SECRETS = (
+    r"(?i)(\bauthorization\s*:\s*bearer\s+)[^\s,;]{1,512}",
+    r"(?i)(\b(?:x-api-key|api-key|x-auth-token)\s*:\s*)[^\s,;]{1,512}",
+    r"(?i)(\b[a-z][a-z0-9+.-]*://)[^/@\s]{1,512}@",
+    r"(?i)(\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|callback[_-]?token|password|passwd|secret|token)\s*[=:]\s*)[^\s&;,]{1,512}",
+)
+MARKER = "[REDACTED]"
+
+
+def redact(text: Column, known: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """The text with secrets blotted out, and how many there were: known values first, the longest before its parts, then
+    bearer tokens, secret headers, names in addresses and values of telling names."""
+    n = F.lit(0)
+    for value in sorted({v for v in known if v}, key=lambda v: (-len(v), v)):
+        n = n + (F.length(text) - F.length(F.replace(text, F.lit(value), F.lit("")))) / len(value)
+        text = F.replace(text, F.lit(value), F.lit(MARKER))
+    for pattern in SECRETS:
+        n = n + F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+        text = F.regexp_replace(text, pattern, "$1" + MARKER + ("@" if pattern.endswith("@") else ""))
+    return text, F.coalesce(n.cast("long"), F.lit(0))
 
 
 def parse_title(filename: Column) -> tuple[Column, Column, Column]:
@@ -62,12 +82,17 @@ def parse_resolution(text: Column) -> tuple[Column, Column]:
     return F.when(ok, F.try_to_number(p[0], F.lit("99999")).cast("int")), F.when(ok, F.try_to_number(p[1], F.lit("99999")).cast("int"))
 
 
+def container(path: Column) -> Column:
+    """A file's kind by its ending, in lower case; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1)), F.lit(""))
+
+
 def season_forms(number: int) -> list[str]:
     """The ways a season's number stands in a text: digits, words, ordinals, Roman numerals."""
     words = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
     ordinals = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
     roman, n = "", number
-    for value, sign in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
         while n >= value:
             roman, n = roman + sign, n - value
     forms = [f"season {number}", f"season {number:02d}", f"s{number}", f"s{number:02d}", f"season {roman}"]

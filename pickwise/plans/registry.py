@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import jobs, library, preferences, ranking, relational, results, series, texts, vectors  # noqa: E402, F401
+from . import jobs, library, preferences, ranking, relational, results, series, text_gate, texts, vectors  # noqa: E402, F401

@@ -25,13 +25,29 @@ def significant_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(w, texts.significant)).cast("long").alias("significant"))
 
 
-@query(r"""SELECT doc_id, length(regexp_replace(text, '(?i)(token|password|secret|api[_-]?key)\s*[=:]\s*\S+', '\1=[redacted]', 'g')) AS chars, len(regexp_extract_all(text, '(?i)(token|password|secret|api[_-]?key)\s*[=:]\s*\S+')) AS secrets FROM documents""")
+B, H, U, V = (p.replace("(?i)", "") for p in texts.SECRETS)
+
+
+@query(rf"""WITH a AS (SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN 'Authorization: Bearer abc.def x-api-key: k1, ' WHEN 1 THEN 'ftp://user:pass@host/ token=zz& ' WHEN 2 THEN 'hunter2 and hunter22 ' ELSE '' END) || coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, replace(replace(t, 'hunter22', '[REDACTED]'), 'hunter2', '[REDACTED]') AS t, (length(t) - length(replace(t, 'hunter22', ''))) // 8 + (length(replace(t, 'hunter22', '')) - length(replace(replace(t, 'hunter22', ''), 'hunter2', ''))) // 7 AS n FROM a),
+b AS (SELECT doc_id, regexp_replace(t, '{B}', '\1[REDACTED]', 'gi') AS t, n + len(regexp_extract_all(t, '{B}', 0, 'i')) AS n FROM k), h AS (SELECT doc_id, regexp_replace(t, '{H}', '\1[REDACTED]', 'gi') AS t, n + len(regexp_extract_all(t, '{H}', 0, 'i')) AS n FROM b),
+u AS (SELECT doc_id, regexp_replace(t, '{U}', '\1[REDACTED]@', 'gi') AS t, n + len(regexp_extract_all(t, '{U}', 0, 'i')) AS n FROM h), v AS (SELECT doc_id, regexp_replace(t, '{V}', '\1[REDACTED]', 'gi') AS t, n + len(regexp_extract_all(t, '{V}', 0, 'i')) AS n FROM u)
+SELECT doc_id, length(t) AS chars, n AS secrets FROM v""")
 def redact_count(spark, sf_dir):
     """Texts with secrets blotted out: their length and how many there were."""
-    text, n = texts.redact(c("text"))
+    k = c("doc_id") % 4
+    odd = F.when(k == 0, "Authorization: Bearer abc.def x-api-key: k1, ").when(k == 1, "ftp://user:pass@host/ token=zz& ").when(k == 2, "hunter2 and hunter22 ").otherwise("")
+    text, n = texts.redact(F.concat(odd, F.coalesce("text", F.lit(""))), ("hunter2", "hunter22"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("chars"), n.alias("secrets"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN lower(CASE WHEN p_partkey % 2 = 0 THEN 'MKV' ELSE p_type END) END AS container FROM part")
+def file_container(spark, sf_dir):
+    """Files' kinds by their endings."""
+    name = F.concat(F.lit("/films/a.b/"), "p_name", F.when(c("p_partkey") % 5 > 0, F.concat(F.lit("."), F.when(c("p_partkey") % 2 == 0, "MKV").otherwise(c("p_type")))).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", texts.container(name).alias("container"))
+
+
 @query(r"""SELECT n_name, regexp_replace(CASE n_nationkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'a ' ELSE '' END || n_name, '^(?i:the|an|a) ', '') AS key, regexp_replace(CASE n_nationkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'a ' ELSE '' END || n_name, '^((?i:the|an|a)) (.*)$', '\2, \1') AS shown FROM nation""")
 def title_sort(spark, sf_dir):
     """Sort keys without articles, and titles with the article behind."""
@@ -75,6 +91,6 @@ def fuzzy_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fuzzy_ratio(F.lower("p_name"), F.lower("p_type")).alias("ratio"))
 
 
-@query("""SELECT p_partkey, regexp_matches(replace(lower(p_name), ' ', ''), 'r.*d') AS hit FROM part""")
+@query("""SELECT p_partkey, p_partkey % 5 > 0 AND regexp_matches(replace(lower(p_name), ' ', ''), 'r.*d') AS hit FROM part""")
 def letters_in_order(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", texts.subsequence(F.lit("R d"), c("p_name")).alias("hit"))
+    return table(spark, sf_dir, "part").select("p_partkey", texts.subsequence(texts.compact(F.when(c("p_partkey") % 5 > 0, "R d").otherwise("")), texts.compact(c("p_name"))).alias("hit"))

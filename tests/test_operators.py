@@ -190,7 +190,7 @@ def test_small_splits(spark):
 
 def test_text_functions(spark):
     r = one(spark, texts.normalise(F.lit("  A-b,  C! ")), texts.sort_key(F.lit("THE Night")), texts.sort_title(F.lit("The Night")), texts.sort_title(F.lit("Theory")), texts.reason_base(F.lit("x:y")), texts.redact(F.lit("a token=abc b"))[0])
-    assert tuple(r) == ("a b c", "Night", "Night, The", "Theory", "x", "a token=[redacted] b")
+    assert tuple(r) == ("a b c", "Night", "Night, The", "Theory", "x", "a token=[REDACTED] b")
     assert "season iv" in texts.season_forms(4) and texts.escape_like("5%_") == "5\\%\\_"
     r = one(spark, *texts.parse_title(F.lit("Some Film (1999) 2.jpg")), *texts.parse_title(F.lit("odd.jpg")))
     assert tuple(r) == ("Some Film", 1999, 2, None, None, None)
