@@ -148,6 +148,22 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+def joining(near: np.ndarray, sure: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of possible links, those that have to be looked at: of the sure ones as many as join what they join, and all others
+    between what these leave apart. So a group of n copies gives n - 1 pairs."""
+    label = np.unique(component, return_inverse=True)[1]
+    x, y = [], []
+    for i in np.flatnonzero(sure.any(axis=1)).tolist():
+        for j in np.flatnonzero(sure[i] & (label != label[i])).tolist():
+            if label[i] != label[j]:
+                x.append(i)
+                y.append(j)
+                label[label == label[j]] = label[i]
+    i, j = np.nonzero(near & ~sure & (label[:, None] != label[None]))
+    keep = i < j
+    return np.concatenate([np.array(x, dtype=np.int64), i[keep]]), np.concatenate([np.array(y, dtype=np.int64), j[keep]])
+
+
 def met(in_filter: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Pairs of different components that share a filter, the nearest of one of them, and whose one-byte codes leave the link open.
 
@@ -164,17 +180,19 @@ def met(in_filter: DataFrame, threshold: float, block_rows: int) -> DataFrame:
             for d in np.unique(lengths).tolist():  # one length a filter, but for keys that collide
                 at = np.flatnonzero(lengths == d)
                 q = np.frombuffer(b"".join(small[k] for k in at), dtype=np.int8).reshape(-1, d).astype(np.float64)
+                near, sure = np.zeros((len(at), len(at)), dtype=bool), np.zeros((len(at), len(at)), dtype=bool)
                 for lo in range(0, len(at), 256):
                     x = at[lo : lo + 256]
-                    most = (q[lo : lo + 256] @ q.T) * scale[x][:, None] * scale[at][None] + error[x][:, None] + error[at][None] + np.outer(error[x], error[at])
-                    near = (most >= threshold - 1e-9) & (comp[x][:, None] != comp[at][None]) & (own[x][:, None] | own[at][None])
-                    if second.any():
-                        near &= ~second[x][:, None] & second[at][None]
-                    i, j = np.nonzero(near)
-                    a, b = node[x[i]], node[at[j]]
-                    k = (a < b) | second.any()
-                    if k.any():
-                        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a[k], b[k])), "b": pa.array(np.maximum(a[k], b[k]))})
+                    sims, slack = (q[lo : lo + 256] @ q.T) * scale[x][:, None] * scale[at][None], error[x][:, None] + error[at][None] + np.outer(error[x], error[at])
+                    open_ = (comp[x][:, None] != comp[at][None]) & (own[x][:, None] | own[at][None])
+                    if second.any():  # of two parts, pairs inside a part belong to another task
+                        open_ &= second[x][:, None] != second[at][None]
+                    near[lo : lo + 256] = open_ & (sims + slack >= threshold - 1e-9)
+                    sure[lo : lo + 256] = open_ & (sims - slack >= threshold + 1e-9)
+                if near.any():
+                    i, j = joining(near, sure, comp[at])
+                    i, j = node[at[i]], node[at[j]]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(i, j)), "b": pa.array(np.maximum(i, j))})
 
     state = in_filter.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any"))
     open_ = in_filter.join(state.where((F.col("lo") != F.col("hi")) & F.col("any")).select("key", "members"), "key")
