@@ -234,13 +234,23 @@ def text_column(html: Column, model: Labeller) -> Column:
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages(page_id, url, html); rows that repeat are each extracted."""
+    """page_id, url, text, n_chars for every row of pages(page_id, url, html).
+
+    Rows that repeat, or share a page_id, are each extracted; equal pages give equal texts. Null ids and urls stay null; a
+    null or empty page, or one without main text, has an empty text. A block is main text from a probability of 0.5 on.
+    Pages of any length are read whole. An empty table gives an empty result; other columns, also such as are called text
+    or n_chars, are not read.
+    """
     bound_batches(pages.sparkSession)
     return pages.select("page_id", "url", text_column(F.col("html"), model).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def label_blocks(pages: DataFrame, model: Labeller) -> DataFrame:
-    """page_id, block, text, path, probability: every leaf block of every page with what the network says."""
+    """page_id, block, text, path, probability: every leaf block of every page with what the network says.
+
+    A page without blocks, a null one among them, has no rows; rows that repeat are each labelled. An empty table gives an
+    empty result.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:

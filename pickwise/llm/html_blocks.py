@@ -105,7 +105,8 @@ def blocks(page: str | None) -> list[Block]:
             foreign = ""
 
     page = page or ""
-    while m := TAG.search(page, at):
+    last = page.rfind(">")  # behind it no tag ends: looking for one from every "<" would take forever
+    while at <= last and (m := TAG.search(page, at)):
         add(page[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -152,6 +153,7 @@ def blocks(page: str | None) -> list[Block]:
             in_link = in_link or tag == "a"
             if tag in FOREIGN or tag == "foreignobject":
                 foreign = tag if tag in FOREIGN else ""
-    add(page[at:])
+    rest, comment, _ = page[at:].partition("<!--")
+    add(rest if at > last else page[at:])
     flush()
     return out

@@ -73,7 +73,9 @@ def page(rng: np.random.Generator) -> tuple[str, Callable[[str], bool]]:
             out.append(wrap("header", f"<h1>{title}</h1>") if chance(0.1) else f"<h1>{title}</h1>")
             if chance(0.3):
                 main.add(title)
-                out.append(f"<p><b>{title}<br>")
+                line = wrap(pick(("b", "strong", "em", "span class='lead'", "i")), title) if chance(0.5) else f"<{pick(('b', 'strong', 'em'))}>{title}"
+                line += pick(("", "<br>", "<br/>"))
+                out.append(wrap(pick(("p", "div", "h2")), line) if chance(0.5) else f"<p>{line}")
         for _ in range(int(rng.integers(1, 14))):
             r = rng.random()
             if r < 0.75:

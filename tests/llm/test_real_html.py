@@ -32,3 +32,10 @@ def test_odd_quotes_take_no_way_back():
     for page in ("<a x=\"b\" " * 500, "<a x='" * 500, "<svg>" * 2000 + "<p>a"):
         blocks(page)
     assert time.process_time() - start < 30
+
+
+def test_a_page_without_ends_of_tags_is_read_in_one_pass():
+    start = time.process_time()
+    assert len(blocks("<p>a</p>" + "<b it's \"" * 100_000)) == 2
+    assert [b.text for b in blocks("<p>a</p> b <!-- c <b")] == ["a", "b"]
+    assert time.process_time() - start < 2
