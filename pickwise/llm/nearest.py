@@ -13,21 +13,25 @@ copies are not lost. Queries and candidates meet in bounded square blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
-from .vectors import dimension, usable
+from .vectors import dimension, matrix, usable
 
 CODES = 16
 
 
 @dataclass
 class Quantiser:
+    """`blocks` is even, so that two four-bit codes fill a byte."""
+
     centroids: np.ndarray  # blocks x 16 x block dimensions
     eta: float
 
@@ -67,18 +71,27 @@ class Quantiser:
         """queries -> n x blocks x 16 inner products."""
         return np.einsum("nbw,bkw->nbk", self.split(q), self.centroids).astype(np.float32)
 
-    def scan(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products, queries x candidates: the table entries that the codes name, added up."""
-        named = np.zeros((len(codes), self.blocks * CODES), dtype=np.float32)
-        named[np.arange(len(codes))[:, None], codes + CODES * np.arange(self.blocks)[None]] = 1
-        return self.tables(q).reshape(len(q), -1) @ named.T
+    @staticmethod
+    def packed(codes: np.ndarray) -> np.ndarray:
+        """Two codes a byte: n x blocks / 2."""
+        return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+
+    def scan(self, q: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Approximate inner products, queries x candidates: the table entries that the packed codes name, added up."""
+        t = self.tables(q)
+        pairs = t[:, 1::2, :, None] + t[:, ::2, None, :]  # of each byte's two codes
+        pairs = np.ascontiguousarray(pairs.reshape(len(q), -1, CODES * CODES).transpose(1, 0, 2))
+        out = np.zeros((len(q), len(packed)), dtype=np.float32)
+        for table, byte in zip(pairs, packed.T, strict=True):
+            out += table[:, byte]
+        return out
 
 
 def train(x: np.ndarray, block: int = 2, eta: float = 4.0, rounds: int = 6, seed: int = 5) -> Quantiser:
     """Alternate codes and centroids on the sample x."""
     rng = np.random.default_rng(seed)
     d = x.shape[1]
-    blocks = -(-d // block)
+    blocks = -(-d // (2 * block)) * 2
     q = Quantiser(np.zeros((blocks, CODES, block)), eta)
     if not len(x):
         return q
@@ -133,10 +146,23 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
     first = Window.partitionBy("embedding").orderBy("vec_id")
     few = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)  # the query's own row and k others
     classes = save(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
+    coded = "ids array<long>, embedding array<double>, codes binary, error binary"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Once for each candidate: its packed codes, and the lengths of what they leave of each block."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                x = matrix(part.column(1), dims)
+                codes = quantiser.encode(x)
+                error = quantiser.residuals(x, codes).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in quantiser.packed(codes)], pa.binary()), pa.array([e.tobytes() for e in error], pa.binary())], names=["ids", "embedding", "codes", "error"])
+
+    classes = save(classes.select("ids", "embedding").mapInArrow(encode, coded), "coded")
     n_c, n_q = -(-classes.count() // block_rows), max(1, -(-asked.count() // block_rows))
     block = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = classes.select("ids", "embedding", block("embedding", n_c).alias("c"), every(n_q).alias("q"))
+    left = classes.select("ids", "embedding", "codes", "error", block("embedding", n_c).alias("c"), every(n_q).alias("q"))
     right = asked.select("vec_id", "embedding", block("vec_id", n_q).alias("q"), every(n_c).alias("c"))
 
     def nearest(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -146,10 +172,10 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
             q_ids, q = asks["vec_id"].to_numpy(), np.stack(asks["embedding"].to_numpy())
             alone = np.array([i[0] if len(i) == 1 else -1 for i in ids], dtype=np.int64)
             single = np.array([len(i) == 1 for i in ids])
-            codes = quantiser.encode(x)
-            error = quantiser.residuals(x, codes)
+            codes = np.frombuffer(b"".join(cands["codes"]), dtype=np.uint8).reshape(len(x), -1)
+            error = np.frombuffer(b"".join(cands["error"]), dtype=np.float32).reshape(len(x), -1)
             rounding = 1e-5 * (np.linalg.norm(x, axis=1) + np.linalg.norm(error, axis=1))
-            error, rounding = error.astype(np.float32), rounding.astype(np.float32)
+            rounding = rounding.astype(np.float32)
             keep = min(rerank + 1, len(x))
             for lo in range(0, len(q), 256):
                 part = q[lo : lo + 256]

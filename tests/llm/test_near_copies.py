@@ -176,7 +176,7 @@ def test_anisotropic_codes_spare_the_parallel_error():
         back = np.stack([q.centroids[b][codes[:, b]] for b in range(q.blocks)], axis=1).reshape(len(x), -1)
         error[eta] = np.abs(((x - back) * x).sum(1) / np.linalg.norm(x, axis=1)).mean()
     assert error[6.0] < 0.8 * error[1.0]
-    assert nearest.Quantiser(q.centroids, 6.0).scan(x[:3], codes).shape == (3, 1500)
+    assert np.allclose(q.scan(x[:3], q.packed(codes)), x[:3] @ back.T, atol=1e-3)
 
 
 def cosines(rows):
