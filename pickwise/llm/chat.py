@@ -61,13 +61,16 @@ def paths(messages: DataFrame, most: int | None = None) -> DataFrame:
     """conv_id, leaf_id, branch (1 is the best), msg_id, up (steps above the leaf) for each chosen root-to-leaf path.
 
     messages(conv_id, msg_id, parent_id, score). A parent that does not exist makes its child a root; null scores are 0.
-    Messages in a ring have no root and no path.
+    Messages in a ring have no root and no path, nor have those that hang on one. An empty table gives no paths.
     """
     key = ["conv_id", "msg_id"]
     m = save(messages.select(*key, "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    sizes = m.groupBy(F.col("conv_id").alias("n_conv")).agg(F.count(F.lit(1)).alias("n"))  # no path is longer
     eq = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["anc"] == b["msg_id"])
     p = m.select("conv_id", F.col("msg_id").alias("pid")).distinct().alias("p")
     jump = save(m.alias("m").join(p, F.col("m.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("m.parent_id") == F.col("p.pid"))).select("m.conv_id", "m.msg_id", F.col("m.parent_id").alias("anc")).distinct(), "jump")
+    roots = m.join(jump, m["conv_id"].eqNullSafe(jump["conv_id"]) & (m["msg_id"] == jump["msg_id"]), "left_anti").select(F.col("conv_id").alias("c"), F.col("msg_id").alias("r")).distinct()
+    roots = save(roots, "roots")
     parents = jump.select(F.col("conv_id").alias("c"), F.col("anc").alias("a")).distinct()
     leaves = m.join(parents, m["conv_id"].eqNullSafe(parents["c"]) & (m["msg_id"] == parents["a"]), "left_anti").select(*key).distinct()
     reach = save(leaves.select("conv_id", F.col("msg_id").alias("leaf_id"), F.col("msg_id").alias("anc"), F.lit(0).cast("long").alias("up")), "reach")
@@ -78,9 +81,15 @@ def paths(messages: DataFrame, most: int | None = None) -> DataFrame:
         longer = save(reach.union(a.join(b, on).select("a.conv_id", "a.leaf_id", F.col("b.anc"), F.col("a.up") + step)), "reach")
         x, y = jump.alias("x"), jump.alias("y")
         on = F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("x.anc") == F.col("y.msg_id"))
-        twice = save(x.join(y, on).select("x.conv_id", "x.msg_id", F.col("y.anc")), "jump")
+        twice = x.join(y, on).select("x.conv_id", "x.msg_id", F.col("y.anc")).alias("t")
+        # A step longer than its conversation goes round a ring.
+        twice = save(twice.join(sizes.where(F.col("n") > 2 * step), F.col("t.conv_id").eqNullSafe(F.col("n_conv")), "left_semi"), "jump")
         discard(reach, jump)
         reach, jump, step = longer, twice, step * 2
+    r = reach.alias("r")
+    ended = r.join(roots, F.col("r.conv_id").eqNullSafe(roots["c"]) & (F.col("r.anc") == roots["r"]), "left_semi").select(F.col("conv_id").alias("e_conv"), F.col("leaf_id").alias("e_leaf"))
+    r = r.join(ended.alias("e"), F.col("r.conv_id").eqNullSafe(F.col("e.e_conv")) & (F.col("r.leaf_id") == F.col("e.e_leaf")), "left_semi")
+    reach = r.select("conv_id", "leaf_id", "anc", "up")
     on = reach["conv_id"].eqNullSafe(m["conv_id"]) & (reach["anc"] == m["msg_id"])
     scored = reach.join(m, on).groupBy(reach["conv_id"], "leaf_id").agg(F.sum("score").alias("path_score"))
     branch = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf_id"))
