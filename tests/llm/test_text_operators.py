@@ -76,7 +76,7 @@ def test_packing(spark, data):
 
 def test_token_files(spark):
     rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(5, "twice", "s"), (None, "no id", "s")]
-    manifest = token_files.write(docs(spark, rows), files=3)
+    manifest = token_files.write(docs(spark, rows), file_bytes=120)
     got = sorted(token_files.read(spark, manifest, with_ids=True).collect(), key=lambda r: r["start"])
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = lambda x: ([] if x is None else t.encode(x, add_special_tokens=False).ids) + [0]
@@ -85,7 +85,7 @@ def test_token_files(spark):
     assert known[0] is None and known[1:] == sorted(known[1:])
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
     assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in got)
-    assert token_files.read(spark, token_files.write(docs(spark, []), files=2)).count() == 0
+    assert token_files.read(spark, token_files.write(docs(spark, []))).count() == 0
 
 
 def test_mixing(spark):
@@ -145,7 +145,7 @@ def test_chat_round_trip(spark):
 
 
 def test_reply_trees(spark):
-    m = [("c", 1, None, "user", "q", 0.0), ("c", 2, 1, "assistant", "a", 1.0), ("c", 3, 1, "assistant", "b", 5.0), ("c", 4, 2, "user", "more", 1.0), ("c", 5, 99, "user", "lost parent", None), ("d", 1, 2, "user", "ring", 0.0), ("d", 2, 1, "user", "ring", 0.0)]
+    m = [("c", 1, None, "user", "q", 0.0), ("c", 2, 1, "assistant", "a", 1.0), ("c", 3, 1, "assistant", "b", 5.0), ("c", 4, 2, "user", "more", 1.0), ("c", 5, 99, "user", "lost parent", None), ("d", 1, 2, "user", "ring", 0.0), ("d", 2, 1, "user", "ring", 0.0), ("d", 3, 1, "user", "hangs on the ring", 0.0)]
     m += [("e", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(37)]
     df = spark.createDataFrame(m, "conv_id string, msg_id long, parent_id long, role string, text string, score double")
     p = defaultdict(list)
