@@ -23,11 +23,14 @@ def load(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that the cluster shares (spark.checkpoint.dir); a local one only where that is unset."""
+    """A fresh path below the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, one machine's own
+    folder serves one machine; a cluster is refused, as its executors would each write to their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'pickwise')}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
