@@ -7,9 +7,11 @@
 3. Second round, for all the rest: nodes that can link share a shingle among the first few of each in one order of all
    shingles (rare ones first, by counts over all documents). A shingle's nodes are a block. A small block gives its pairs,
    a larger one is an R-tree over the points, joined with itself under the bound; only pairs of nodes not yet in one
-   component are looked at. Those that pass the bound over finer groups are verified.
+   component are looked at, and of those that pass the bound over finer groups each node's best one is verified: copies
+   of one text are mostly most alike to that text.
+4. Third round: the same blocks with the components of now, and all their pairs between components that pass the bounds.
 
-After the second round no link between components is left, so the components are exact, while a group of thousands of
+After the third round no link between components is left, so the components are exact, while a group of thousands of
 near copies gives a few pairs a member in place of all its pairs. Verification intersects whole sets of 64-bit shingle
 hashes.
 """
@@ -218,9 +220,9 @@ def blocks_of(members: DataFrame, classes: DataFrame) -> DataFrame:
     return j.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
 
 
-def candidates(blocks: DataFrame, percent: int) -> DataFrame:
+def candidates(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs a < b of nodes of different components that the R-tree join of their block lets through and that pass the
-    bound over finer groups.
+    bound over finer groups; with `best`, of these only each node's with the partner that it can be most alike.
 
     blocks: token, part, side, node, n, short, component, fine.
     """
@@ -237,13 +239,28 @@ def candidates(blocks: DataFrame, percent: int) -> DataFrame:
                 return
             fine = t["fine"].to_pylist()
             points = np.stack([rtree.fold(rtree.unpacked(f), GROUPS).astype(np.int32) for f in fine])
+            top, partner = np.zeros(len(t)), np.full(len(t), -1)
             for x, y in rtree.join(points, n, percent):
                 k = np.where(n[x] < n[y], short[x], np.where(n[y] < n[x], short[y], short[x] | short[y])) & (comp[x] != comp[y])
                 if side.any():  # two parts of a large block: pairs inside a part belong to another task
                     k &= side[x] != side[y]
                 x, y = x[k], y[k]
-                k = rtree.close(fine, n, x, y, percent)
-                x, y = node[x[k]], node[y[k]]
+                most = rtree.close(fine, n, x, y, percent)
+                x, y, most = x[most >= 0], y[most >= 0], most[most >= 0]
+                if best:
+                    alike = most / (n[x] + n[y] - most)
+                    for i, j in ((x, y), (y, x)):
+                        order = np.lexsort((node[j], -alike, i))
+                        order = order[np.diff(i[order], prepend=-1) > 0]
+                        order = order[alike[order] > top[i[order]]]
+                        top[i[order]], partner[i[order]] = alike[order], j[order]
+                    continue
+                yield from put(node[x], node[y])
+            x = np.flatnonzero(partner >= 0)
+            yield from put(node[x], node[partner[x]])
+
+        def put(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(x):
                 new = list(set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - done)
                 if len(done) > 50_000:
                     done.clear()
@@ -315,12 +332,18 @@ def linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     posted = posted.join(maybe_broadcast(joined, joined.count(), BROADCAST), "node", "left").withColumn("component", F.coalesce("component", "node"))
     blocks = save(met(posted, percent), "blocks")
     pairs = blocks.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    pairs = pairs.union(candidates(blocks_of(blocks.where(F.col("other").isNull()).drop("other"), firsts), percent)).distinct()
-    more = save(bounded(pairs, firsts, percent), "pairs")
+    members = blocks.where(F.col("other").isNull()).select("token", "node", "n", "short", "component")
+    more = save(bounded(pairs.union(candidates(blocks_of(members, firsts), percent, True)).distinct(), firsts, percent), "pairs")
     found = verified(more, docs, words, percent, firsts)
-    discard(near, blocks, joined)
+    discard(near, joined)
     joined = components(links.union(found))
-    discard(more, links, found)
+    discard(more)
+    placed = members.drop("component").join(maybe_broadcast(joined, joined.count(), BROADCAST), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = save(bounded(candidates(blocks_of(placed, firsts), percent, False).distinct(), firsts, percent), "pairs")
+    rest = verified(more, docs, words, percent, firsts)
+    discard(blocks, joined)
+    joined = components(links.union(found).union(rest))
+    discard(more, links, found, rest)
     return rows, firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 

@@ -143,8 +143,9 @@ def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarra
 
 
 def close(packs: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, cells: int = 1_000_000) -> np.ndarray:
-    """Which pairs of members pass the bound over all the groups that both packed vectors have, in slices of bounded memory."""
-    out = np.zeros(len(x), dtype=bool)
+    """How many shingles each pair of members can share at most, by all the groups that both packed vectors have; -1 where
+    that is too few. In slices of bounded memory."""
+    out = np.full(len(x), -1, dtype=np.int64)
     groups = np.array([groups_for(int(n)) for n in sizes])
     least, need = np.minimum(groups[x], groups[y]), needed(sizes[x] + sizes[y], percent)
     for g in np.unique(least).tolist():
@@ -153,7 +154,8 @@ def close(packs: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, p
             k = own[lo : lo + step]
             used, at = np.unique(np.concatenate([x[k], y[k]]), return_inverse=True)
             table = np.stack([fold(unpacked(packs[u]), g).astype(np.int32) for u in used])
-            out[k] = np.minimum(table[at[: len(k)]], table[at[len(k) :]]).sum(axis=1) >= need[k]
+            most = np.minimum(table[at[: len(k)]], table[at[len(k) :]]).sum(axis=1)
+            out[k] = np.where(most >= need[k], most, -1)
     return out
 
 
