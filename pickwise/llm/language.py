@@ -19,8 +19,8 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import bound_batches
 
-WINDOW, MARGIN = 192, 24
-SIDE_BY_SIDE = 768  # windows read at a time
+WINDOW, MARGIN = 240, 16
+SIDE_BY_SIDE = 1024  # windows read at a time
 UNKNOWN = "und"
 
 
@@ -163,7 +163,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit_texts(texts: list[str], langs: list[str], hidden: int = 8, steps: int = 250, batch: int = 256, span: int = 48, rate: float = 0.03, seed: int = 3) -> Model:
+def fit_texts(texts: list[str], langs: list[str], hidden: int = 6, steps: int = 250, batch: int = 256, span: int = 48, rate: float = 0.03, seed: int = 3) -> Model:
     """Train on labelled texts by Adam; each step reads `batch` stretches of `span` bytes, languages alike."""
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
