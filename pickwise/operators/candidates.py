@@ -83,17 +83,18 @@ def stacks(df: DataFrame, threshold: float = fixed.STACK_MIN_SIMILARITY, top: in
     return ranked.withColumn("stack_rank", F.dense_rank().over(order).cast("long")).withColumn("stack_label", scores.position_label(F.col("stack_pos"))).select(by, "candidate_id", "score", "stack_rank", "stack_pos", "stack_label", "stack_size", "stack_score")
 
 
-def greedy_near_duplicates(df: DataFrame, most: int = fixed.PHASH_MAX_DISTANCE, by: str = "subject") -> DataFrame:
+def greedy_near_duplicates(df: DataFrame, most: int = fixed.PHASH_MAX_DISTANCE, by: str = "subject", prefer: tuple[str, ...] = ("pixels",)) -> DataFrame:
     """subject, candidate_id, anchor_id, kept_id, distance (to the kept one).
 
     In each subject (a bounded set), rows in order of candidate_id: each row not yet taken becomes an anchor and takes all
-    later rows within `most` bits of it. Of a group the row with the most pixels is kept, the first of equals. A null hash
-    is a group of its own.
+    later rows within `most` bits of it. Of a group the row is kept that is largest by the columns in `prefer`, one after
+    another (nulls least), the first of equals. A null hash is a group of its own.
     """
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("candidate_id").reset_index(drop=True)
-        ids, pixels = pdf["candidate_id"].tolist(), pdf["pixels"].fillna(-1).tolist()
+        ids = pdf["candidate_id"].tolist()
+        worth = list(zip(*(pdf[p].astype("float64").fillna(-np.inf) for p in prefer), strict=True))
         hashes = [None if h is None or h != h else int(h) & (1 << 64) - 1 for h in pdf["phash"].astype(object)]
         anchor: list[int | None] = [None] * len(ids)
         for i, h in enumerate(hashes):
@@ -105,18 +106,18 @@ def greedy_near_duplicates(df: DataFrame, most: int = fixed.PHASH_MAX_DISTANCE,
                             anchor[j] = i
         best: dict[int, int] = {}
         for i, a in enumerate(anchor):
-            if a not in best or pixels[i] > pixels[best[a]]:
+            if a not in best or worth[i] > worth[best[a]]:
                 best[a] = i
         distance = [0 if hashes[i] is None else (hashes[i] ^ hashes[best[a]]).bit_count() for i, a in enumerate(anchor)]
         return pd.DataFrame({by: pdf[by], "candidate_id": ids, "anchor_id": [ids[a] for a in anchor], "kept_id": [ids[best[a]] for a in anchor], "distance": distance})
 
     kind = dict(df.dtypes)
-    return df.select(by, "candidate_id", "phash", "pixels").groupBy(by).applyInPandas(group, f"{by} {kind[by]}, candidate_id long, anchor_id long, kept_id long, distance long")
+    return df.select(by, "candidate_id", "phash", *prefer).groupBy(by).applyInPandas(group, f"{by} {kind[by]}, candidate_id long, anchor_id long, kept_id long, distance long")
 
 
-def suppress_overlaps(df: DataFrame, threshold: float = 0.5, by: str = "image") -> DataFrame:
+def suppress_overlaps(df: DataFrame, threshold: float = 0.5, by: str = "image", text: str | None = None) -> DataFrame:
     """Greedy suppression of boxes (image, box_id, confidence, left, top, right, bottom): the surest box stays and those
-    that overlap it by at least the threshold go. Rows of an image are a bounded set; equal confidences go by box_id."""
+    that overlap it by at least the threshold go; with `text`, only those whose values of that column are equal. Rows of an image are a bounded set; equal confidences go by box_id."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["confidence", "box_id"], ascending=[False, True]).reset_index(drop=True)
@@ -128,7 +129,8 @@ def suppress_overlaps(df: DataFrame, threshold: float = 0.5, by: str = "image")
                 w = np.maximum(np.minimum(b[i, 2], b[i + 1 :, 2]) - np.maximum(b[i, 0], b[i + 1 :, 0]), 0)
                 h = np.maximum(np.minimum(b[i, 3], b[i + 1 :, 3]) - np.maximum(b[i, 1], b[i + 1 :, 1]), 0)
                 union = area[i] + area[i + 1 :] - w * h
-                kept[i + 1 :] &= ~(np.divide(w * h, union, out=np.zeros_like(union), where=union > 0) >= threshold)
+                same = (pdf[text].to_numpy()[i + 1 :] == pdf[text][i]) if text else np.ones(len(b) - i - 1, dtype=bool)
+                kept[i + 1 :] &= ~same | ~(np.divide(w * h, union, out=np.zeros_like(union), where=union > 0) >= threshold)
         return pdf[kept]
 
     return df.groupBy(by).applyInPandas(group, df.schema)

@@ -230,3 +230,56 @@ def relink(links: DataFrame, seen: DataFrame, files: DataFrame) -> tuple[DataFra
     here = seen.select("file_id").distinct().withColumn("_seen", F.lit(True))
     known = files.join(here, "file_id", "full").join(lost, "file_id", "left")
     return after, known.select("file_id", F.when(F.col("_seen"), True).when(F.col("_lost"), False).otherwise(F.col("active")).alias("active"))
+
+
+def related(jobs: DataFrame, hit: Column) -> DataFrame:
+    """Jobs that match, or whose parent or one of whose children does."""
+    found = jobs.where(hit).select("job_id", "parent_id")
+    own = found.select("job_id")
+    parents = found.where("parent_id IS NOT NULL").select("parent_id")
+    children = jobs.join(own.select(F.col("job_id").alias("_p")), F.col("parent_id") == F.col("_p"), "left_semi").select("job_id")
+    return jobs.join(own.union(parents).union(children).distinct(), "job_id", "left_semi")
+
+
+def child_totals(jobs: DataFrame, changed: str, sequence: str) -> DataFrame:
+    """job_id of every job without a parent, with its children's counts in all and by outcome, their largest sequence (0
+    without children) and latest change."""
+    kids = jobs.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("created"), F.count_if(F.col("phase") == "terminal").alias("ended"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.max(sequence).alias("sequence"), F.max(changed).alias("changed"))
+    names = ["created", "ended", *OUTCOMES, "sequence"]
+    j = jobs.where("parent_id IS NULL").select("job_id").join(kids, F.col("job_id") == F.col("_p"), "left")
+    return j.select("job_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names], "changed")
+
+
+def retention_due(jobs: DataFrame, holds: list[DataFrame], before: Column, limit: int) -> DataFrame:
+    """The first `limit` ended jobs from before a time that nothing holds (tables of job_id), nor an active child; one more
+    tells that there are more."""
+    due = jobs.where((F.col("phase") == "terminal") & (F.col("terminal_at") < before))
+    active = jobs.where((F.col("phase") != "terminal") & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("job_id"))
+    for hold in [*holds, active]:
+        due = due.join(hold.select("job_id").distinct(), "job_id", "left_anti")
+    return due.orderBy("terminal_at", "job_id").limit(limit + 1)
+
+
+def uncovered(requests: DataFrame, active: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of requests(request, subject): the subjects neither under way nor in review; and, for requests all of whose subjects
+    are under way in one active parent, that parent. active(subject, parent), review(subject)."""
+    on = requests.join(active.groupBy("subject").agg(F.min("parent").alias("parent"), F.lit(True).alias("_on")), "subject", "left")
+    seen = on.join(review.select("subject").distinct().withColumn("_seen", F.lit(True)), "subject", "left")
+    open_ = seen.where(F.col("_on").isNull() & F.col("_seen").isNull()).select("request", "subject")
+    all_on = on.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.count("_on").alias("k"), F.count("parent").alias("p"), F.min("parent").alias("parent"), F.max("parent").alias("_to"))
+    return open_, all_on.where("n = k AND n = p AND parent = _to").select("request", "parent")
+
+
+def rebuild_due(wanted: DataFrame, built: DataFrame, key: str, threshold: int, force: bool = False) -> DataFrame:
+    """key, changed, due: for each profile how many inputs were added or have gone since it was built, and whether it is to
+    be built again: forced, never built, or changed by `threshold` inputs. wanted(key, input), built(key, input)."""
+    a, b = wanted.select(key, "input").distinct().withColumn("_a", F.lit(True)), built.select(key, "input").distinct().withColumn("_b", F.lit(True))
+    j = a.join(b, [key, "input"], "full").groupBy(key).agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("changed"), F.count("_b").alias("_built"))
+    return j.select(key, "changed", (F.lit(force) | (F.col("_built") == 0) | (F.col("changed") >= threshold)).alias("due"))
+
+
+def equal_active(jobs: DataFrame, subject: str, request: list[str]) -> DataFrame:
+    """asked, active: for each active job the oldest active one of its subject with an equal request, where that is another."""
+    own = jobs.where(F.col("phase").isin(*ACTIVE_PHASES))
+    w = Window.partitionBy(subject, *request).orderBy("created_at", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("active", F.first("job_id").over(w)).where(F.col("active") != F.col("job_id")).select(F.col("job_id").alias("asked"), "active")

@@ -141,3 +141,17 @@ def face_geometry(boxes: Column, width: Column, height: Column) -> dict[str, Col
     area = F.transform(boxes, lambda b: F.greatest(F.lit(0.0), b["right"] - b["left"]) * F.greatest(F.lit(0.0), b["bottom"] - b["top"]))
     ok = (width > 0) & (height > 0)
     return {"face_count": F.when(ok, F.size(boxes)).otherwise(0), "largest_face_frac": F.when(ok, F.coalesce(F.array_max(area), F.lit(0.0)) / (width * height)).otherwise(0.0)}
+
+
+def resolved_titles(names: DataFrame, movies: DataFrame) -> DataFrame:
+    """name, movie_id: by its own id, unless it has a tmdb_id, which then decides; else by title and year (the smallest id),
+    else by a title that only one film has. names(name, movie_id, tmdb_id, title, year), movies(movie_id, tmdb_id, title,
+    year)."""
+    by_tmdb = movies.where("tmdb_id IS NOT NULL").groupBy(c("tmdb_id").alias("_t")).agg(F.max("movie_id").alias("_tm"))
+    by_year = movies.groupBy(F.lower("title").alias("_yt"), c("year").alias("_yy")).agg(F.min("movie_id").alias("_ym"))
+    by_title = movies.groupBy(F.lower("title").alias("_ut")).agg(F.min("movie_id").alias("_um"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    n = names.select("name", c("movie_id").alias("_own"), c("tmdb_id").alias("_tmdb"), F.lower("title").alias("_title"), c("year").alias("_year"))
+    j = n.join(movies.select(c("movie_id").alias("_i")), c("_own") == c("_i"), "left").join(by_tmdb, c("_tmdb") == c("_t"), "left")
+    j = j.join(by_year, (c("_title") == c("_yt")) & (c("_year") == c("_yy")), "left").join(by_title, c("_title") == c("_ut"), "left")
+    first = F.when(c("_tmdb").isNotNull(), c("_tm")).otherwise(c("_i"))
+    return j.select("name", F.coalesce(first, c("_ym"), c("_um")).alias("movie_id"))

@@ -20,9 +20,9 @@ def counter_rate(df: DataFrame, by: list[str], order: list[str], ts: str, counte
     return df.withColumn("rate", F.when((gap > 0) & (F.col(counter) >= before), (F.col(counter) - before) / gap))
 
 
-def downsample(df: DataFrame, by: list[str], order: list[str], points: int, value: str, ts: str, coarse: Column | None = None) -> DataFrame:
+def downsample(df: DataFrame, by: list[str], order: list[str], points: int, value: str, ts: str, coarse: Column | None = None, peak: str | None = None) -> DataFrame:
     """At most `points` buckets of equal numbers of rows in order: bucket, rows, mean (nulls skipped), and the time of the
-    middle row. Buckets go by position, not by time; series of `points` rows or fewer have a bucket for each row.
+    middle row; with `peak`, also that column's largest value (0 without any). Buckets go by position, not by time; series of `points` rows or fewer have a bucket for each row.
 
     `coarse` is a value that never falls along the order (such as the day): with it, one task orders one such value's rows
     of a series; without it, a whole series.
@@ -32,7 +32,8 @@ def downsample(df: DataFrame, by: list[str], order: list[str], points: int, valu
     size = F.greatest(F.ceil(F.col("_n") / points), F.lit(1))
     b = at.withColumns({"bucket": F.floor(F.col("_at") / size).cast("long"), "_pos": (F.col("_at") % size).cast("long"), "_rows": F.least(size, F.col("_n") - F.floor(F.col("_at") / size) * size)})
     middle = F.max(F.when(F.col("_pos") == F.least(F.col("_rows") - 1, F.floor(F.col("_rows") / 2)), F.col(ts)))
-    return b.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(value), 3).alias("mean"), middle.alias("ts"))
+    more = [F.coalesce(F.max(peak), F.lit(0)).alias("peak")] if peak else []
+    return b.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(value), 3).alias("mean"), middle.alias("ts"), *more)
 
 
 def overlaps(start: Column, finish: Column, low: Column, high: Column) -> Column:

@@ -265,3 +265,66 @@ def bridge_links(spark, sf_dir):
 def bridge_files(spark, sf_dir):
     """Files that lost their last link are retired."""
     return bridge(spark, sf_dir)[1]
+
+
+@query(f"""{sql("jobs")}, h AS (SELECT * FROM jobs WHERE worker = 2 AND level = 'error') SELECT job_id FROM jobs j WHERE EXISTS (SELECT 1 FROM h WHERE h.job_id = j.job_id OR h.job_id = j.parent_id OR h.parent_id = j.job_id)""")
+def related_jobs(spark, sf_dir):
+    """Jobs that match themselves or through a parent or a child."""
+    return op.related(entity(spark, sf_dir, "jobs"), (c("worker") == 2) & (c("level") == "error")).select("job_id")
+
+
+@query(f"""{sql("jobs")}, k AS (SELECT parent_id, count(*) AS created, count(*) FILTER (WHERE phase = 'terminal') AS ended, {", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in op.OUTCOMES)}, max(selection) AS sequence, max(created_at) AS changed FROM jobs WHERE parent_id IS NOT NULL GROUP BY parent_id)
+SELECT job_id, {", ".join(f"coalesce({n}, 0) AS {n}" for n in ("created", "ended", *op.OUTCOMES, "sequence"))}, changed FROM jobs LEFT JOIN k ON k.parent_id = job_id WHERE jobs.parent_id IS NULL""")
+def child_totals(spark, sf_dir):
+    """Each parent's children in all and by outcome."""
+    return op.child_totals(entity(spark, sf_dir, "jobs"), "created_at", "selection")
+
+
+@query(f"""{sql("jobs")} SELECT job_id FROM jobs j WHERE phase = 'terminal' AND terminal_at < TIMESTAMP '1996-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = job_id AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = job_id AND l_quantity > 48)
+  AND NOT EXISTS (SELECT 1 FROM jobs k WHERE k.parent_id = j.job_id AND k.phase <> 'terminal') ORDER BY terminal_at, job_id LIMIT 101""")
+def retention_due(spark, sf_dir):
+    """Old ended jobs without live artifacts, live logs or active children."""
+    f = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "job_id")
+    return op.retention_due(entity(spark, sf_dir, "jobs"), [f.where("l_returnflag = 'R'"), f.where("l_quantity > 48")], at("1996-01-01"), 100).select("job_id")
+
+
+UNCOVERED = """WITH q AS (SELECT DISTINCT l_orderkey AS request, l_suppkey AS subject FROM lineitem), a AS (SELECT s_suppkey AS subject, CASE WHEN s_suppkey % 7 > 0 THEN s_nationkey % 3 END AS parent FROM supplier WHERE s_suppkey % 5 < 3), w AS (SELECT s_suppkey AS subject FROM supplier WHERE s_suppkey % 11 = 4)"""
+
+
+def uncovered(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("request"), c("l_suppkey").alias("subject")).distinct()
+    s = table(spark, sf_dir, "supplier").withColumn("subject", c("s_suppkey"))
+    return op.uncovered(q, s.where("s_suppkey % 5 < 3").select("subject", F.when(c("subject") % 7 > 0, c("s_nationkey") % 3).alias("parent")), s.where("s_suppkey % 11 = 4").select("subject"))
+
+
+@query(f"{UNCOVERED} SELECT request, subject FROM q WHERE subject NOT IN (SELECT subject FROM a) AND subject NOT IN (SELECT subject FROM w)")
+def uncovered_assets(spark, sf_dir):
+    """What of each request is neither under way nor in review."""
+    return uncovered(spark, sf_dir)[0]
+
+
+@query(f"{UNCOVERED} SELECT request, min(parent) AS parent FROM q LEFT JOIN a USING (subject) GROUP BY request HAVING count(*) = count(parent) AND min(parent) = max(parent)")
+def reused_batch(spark, sf_dir):
+    """The batch that already does all of a request."""
+    return uncovered(spark, sf_dir)[1]
+
+
+@query("""WITH w AS (SELECT DISTINCT o_custkey AS profile, o_orderkey % 8 AS input FROM orders), b AS (SELECT DISTINCT o_custkey AS profile, o_orderkey % 8 AS input FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 6 > 0)
+SELECT coalesce(w.profile, b.profile) AS profile, count(*) FILTER (WHERE w.input IS NULL OR b.input IS NULL) AS changed, count(b.input) = 0 OR count(*) FILTER (WHERE w.input IS NULL OR b.input IS NULL) >= 3 AS due FROM w FULL JOIN b ON w.profile = b.profile AND w.input = b.input GROUP BY ALL""")
+def rebuild_due(spark, sf_dir):
+    """Which profiles have changed by enough inputs to be built again."""
+    o = table(spark, sf_dir, "orders").select(c("o_custkey").alias("profile"), (c("o_orderkey") % 8).alias("input"), "o_orderstatus")
+    return op.rebuild_due(o, o.where("o_orderstatus = 'F' AND profile % 6 > 0"), "profile", 3)
+
+
+@query(f"""{sql("jobs")}, a AS (SELECT * FROM jobs WHERE phase <> 'terminal') SELECT job_id AS asked, first_value(job_id) OVER w AS active FROM a WINDOW w AS (PARTITION BY subject, type, priority ORDER BY created_at, job_id) QUALIFY active <> asked""")
+def equal_request(spark, sf_dir):
+    """The oldest active job of a subject that asks for the same."""
+    return op.equal_active(entity(spark, sf_dir, "jobs"), "subject", ["type", "priority"])
+
+
+@query(f"{sql('jobs')} SELECT job_id, level FROM jobs ORDER BY CASE WHEN parent_id IS NULL THEN NULL ELSE priority END NULLS FIRST, job_id LIMIT 100")
+def unplaced_first(spark, sf_dir):
+    """Jobs without a place in the order stand before all others."""
+    j = entity(spark, sf_dir, "jobs").withColumn("place", F.when(c("parent_id").isNotNull(), c("priority")))
+    return j.orderBy(c("place").asc_nulls_first(), "job_id").limit(100).select("job_id", "level")

@@ -277,3 +277,15 @@ def originals_top(spark, sf_dir):
     s = r.withColumns({"stack_rank": F.when(stacked, F.floor((c("rank") + 2) / 3)), "stack_pos": F.when(stacked, (c("rank") - 1) % 3 + 1)})
     return op.heads(s, 5).select("subject", "id")
 
+
+
+@query("""WITH m AS (SELECT c_custkey AS movie_id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 10 END AS tmdb_id, 'Film ' || CAST(c_custkey % 400 AS STRING) AS title, 1990 + c_custkey % 7 AS year FROM customer),
+n AS (SELECT p_partkey AS name, CASE WHEN p_partkey % 4 = 0 THEN p_partkey END AS movie_id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 10 END AS tmdb_id, 'FILM ' || CAST(p_partkey % 500 AS STRING) AS title, CASE WHEN p_partkey % 2 = 0 THEN 1990 + p_partkey % 7 END AS year FROM part),
+y AS (SELECT lower(title) AS t, year, min(movie_id) AS id FROM m GROUP BY ALL), u AS (SELECT lower(title) AS t, min(movie_id) AS id FROM m GROUP BY 1 HAVING count(*) = 1)
+SELECT name, coalesce(CASE WHEN n.tmdb_id IS NOT NULL THEN b.movie_id ELSE a.movie_id END, y.id, u.id) AS movie_id FROM n LEFT JOIN m a ON a.movie_id = n.movie_id LEFT JOIN m b ON b.tmdb_id = n.tmdb_id LEFT JOIN y ON y.t = lower(n.title) AND y.year = n.year LEFT JOIN u ON u.t = lower(n.title)""")
+def resolved_titles(spark, sf_dir):
+    """Names found by id, by outer id, by title and year, or by a title of its own."""
+    k, p = c("c_custkey"), c("p_partkey")
+    m = table(spark, sf_dir, "customer").select(k.alias("movie_id"), F.when(k % 3 > 0, k * 10).alias("tmdb_id"), F.concat(F.lit("Film "), (k % 400).cast("string")).alias("title"), (1990 + k % 7).alias("year"))
+    n = table(spark, sf_dir, "part").select(p.alias("name"), F.when(p % 4 == 0, p).alias("movie_id"), F.when(p % 5 == 0, p * 10).alias("tmdb_id"), F.concat(F.lit("FILM "), (p % 500).cast("string")).alias("title"), F.when(p % 2 == 0, 1990 + p % 7).alias("year"))
+    return op.resolved_titles(n, m)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import fixed, scores
 from ..operators import calibration, candidates
 from ..sources.tables import table
 from .registry import query
@@ -105,16 +105,17 @@ def residual_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("candidate_id", F.round(scores.residual_score(F.col("score"), n, {"knn_sim": 0.9, "aesthetic": -0.6}, bias=0.1), 6).alias("residual"))
 
 
-@query(f"""WITH {FEATURES_SQL}, u AS (SELECT candidate_id, unnest(['knn_sim', 'aesthetic', 'title_colorfulness', 'face_area']) AS feature, unnest([0.30 * n_knn, 0.12 * n_aes, 0.15 * n_title, 0.15 * n_face]) AS v FROM scored)
+@query(f"""WITH {FEATURES_SQL}, u AS (SELECT candidate_id, unnest(['knn_sim', 'aesthetic', 'title_colorfulness', 'face_area', 'text_residual', 'provenance', 'sharpness', 'dino_knn', 'quality_artifacts', 'official_family']) AS feature,
+  unnest([0.30 * n_knn, 0.12 * n_aes, 0.15 * n_title, 0.15 * n_face, 0.10 * n_text, 0.02 * n_prov, 0.03 * n_sharp, 0.12 * n_dino, 0.03 * n_qual, 0.12 * n_off]) AS v FROM scored)
 SELECT candidate_id, feature, round(v, 6) AS contribution, row_number() OVER (PARTITION BY candidate_id ORDER BY round(v, 9) DESC, feature) AS nth FROM u WHERE round(v, 9) > 0 QUALIFY nth <= 3""")
 def top_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three largest positive parts of each candidate's score, from four features."""
+    """The three largest positive parts of each candidate's score, of all weighted features that it has."""
     c = F.col
     df = scored(spark, sf_dir)
-    n = scores.normalised({k: c(k) for k in ("knn_sim", "aesthetic", "title_colorfulness", "title_found", "face_area")})
-    weights = {"knn_sim": 0.30, "aesthetic": 0.12, "title_colorfulness": 0.15, "face_area": 0.15}
+    weights = {k: w for k, w in fixed.WEIGHTS.items() if w > 0 and k in df.columns}
+    n = scores.normalised({k: c(k) for k in (*weights, "title_found")})
     parts = F.array(*[F.struct((-F.round(n[k] * w, 9)).alias("neg"), F.lit(k).alias("feature"), (n[k] * w).alias("v")) for k, w in weights.items()])
-    best = F.slice(F.array_sort(F.filter(parts, lambda s: s["neg"] < 0)), 1, 3)
+    best = F.slice(F.array_sort(F.filter(parts, lambda s: F.coalesce(s["neg"] < 0, F.lit(False)))), 1, 3)
     out = df.select("candidate_id", F.posexplode(best).alias("i", "s"))
     return out.select("candidate_id", "s.feature", F.round("s.v", 6).alias("contribution"), (F.col("i") + 1).cast("long").alias("nth"))
 
@@ -180,15 +181,15 @@ def calibration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stack_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average-linkage stacks of the vectors of each (label, bucket of 40 ids)."""
+    """Average-linkage stacks of the vectors of each (label, bucket of 400 ids), at a similarity that random vectors reach."""
     e = table(spark, sf_dir, "embeddings").select(F.concat_ws(":", "label", F.floor(F.col("vec_id") / 400)).alias("subject"), F.col("vec_id").alias("candidate_id"), ((F.col("vec_id") * 7) % 101 / 100).alias("score"), "embedding")
     return candidates.stacks(e, threshold=0.2)
 
 
 @query()
 def greedy_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy groups of near-equal 64-bit hashes in each brand."""
-    df = raw(spark, sf_dir).select("subject", "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
+    """Greedy groups of near-equal 64-bit hashes in each (brand, bucket of 400 ids)."""
+    df = raw(spark, sf_dir).select(F.concat_ws(":", "subject", F.floor(F.col("candidate_id") / 400)).alias("subject"), "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
     return candidates.greedy_near_duplicates(df)
 
 

@@ -303,14 +303,16 @@ def heal_discovery(spark, sf_dir):
     return rows.join(n, c("n") == c("n_nationkey"), "left").select("kind", "id", c("n_name").isNotNull().alias("placed"))
 
 
-@query("""WITH r AS (SELECT c_mktsegment, count(DISTINCT c_custkey) AS subjects, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, max(o_orderdate) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment)
-SELECT c_mktsegment, subjects, CASE WHEN subjects < 50 THEN 'collecting' WHEN open > 2000 THEN 'building' WHEN latest < TIMESTAMP '1998-01-01' THEN 'degraded' ELSE 'personalized' END AS state FROM r""")
+@query("""WITH r AS (SELECT c_nationkey, count(DISTINCT c_custkey) AS subjects, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'P' AND o_totalprice > 450000) AS failed, bool_or(o_totalprice > 499000) AS ready FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey)
+SELECT c_nationkey, subjects, CASE WHEN ready THEN 'personalized' WHEN subjects >= 50 AND open > 200 THEN 'building' WHEN subjects >= 50 AND failed > 10 THEN 'degraded' WHEN subjects >= 50 THEN 'eligible' ELSE 'collecting' END AS state FROM r""")
 def readiness(spark, sf_dir):
-    """A namespace's state, by precedence."""
+    """A namespace's state, by precedence: ready, or with fifty subjects building, degraded or eligible, else collecting."""
     s, o = load(spark, sf_dir, "customer", "orders")
-    r = s.join(o, c("o_custkey") == c("c_custkey"), "left").groupBy("c_mktsegment").agg(F.count_distinct("c_custkey").alias("subjects"), F.count_if(c("o_orderstatus") == "O").alias("open"), F.max("o_orderdate").alias("latest"))
-    state = F.when(c("subjects") < 50, "collecting").when(c("open") > 2000, "building").when(c("latest") < F.lit("1998-01-01").cast("timestamp_ntz"), "degraded").otherwise("personalized")
-    return r.select("c_mktsegment", "subjects", state.alias("state"))
+    status, price = c("o_orderstatus"), c("o_totalprice")
+    r = s.join(o, c("o_custkey") == c("c_custkey"), "left").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("subjects"), F.count_if(status == "O").alias("open"), F.count_if((status == "P") & (price > 450000)).alias("failed"), F.bool_or(price > 499000).alias("ready"))
+    enough = c("subjects") >= 50
+    state = F.when(c("ready"), "personalized").when(enough & (c("open") > 200), "building").when(enough & (c("failed") > 10), "degraded").when(enough, "eligible").otherwise("collecting")
+    return r.select("c_nationkey", "subjects", state.alias("state"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_name ILIKE '%er#00000_12%' OR c_name LIKE '%#0000003%'")

@@ -157,3 +157,19 @@ def stream_valid_progress(spark, sf_dir):
     """Rising reports with a fence as a keyed-state stream: all are taken, the state is the last of each worker."""
     s = log.source(spark, f"{sf_dir}/events.parquet").select(c("user_id").alias("job"), "ts", c("event_id").alias("seq"), F.floor(c("event_id") / 4000).alias("fence"), F.lit("all").alias("scope"), c("event_id").cast("double").alias("share"))
     return pg.valid_progress(s, spark)
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events), b AS (SELECT *, place // greatest(CAST(ceil(n / 25) AS BIGINT), 1) AS bucket FROM e)
+SELECT event_type, bucket, count(*) AS rows, max(user_id) AS peak FROM b GROUP BY ALL""")
+def downsample_peaks(spark, sf_dir):
+    """Buckets by position with the largest value of another column."""
+    out = ts.downsample(events(spark, sf_dir), ["event_type"], ["ts", "event_id"], 25, "value", "ts", F.date_trunc("day", "ts"), "user_id")
+    return out.select("event_type", "bucket", "rows", "peak")
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000000 AS sampled, round(avg(value), 6) AS gauge, max(value) AS peak, list_sort(list(DISTINCT user_id) FILTER (WHERE event_type = 'login')) AS active FROM events GROUP BY 1""")
+def host_samples(spark, sf_dir):
+    """Samples of a gauge every six hours, each with the workers that were active."""
+    w = events(spark, sf_dir).groupBy(F.window(c("ts").cast("timestamp"), "6 hours").alias("w"))
+    s = w.agg(F.round(F.avg("value"), 6).alias("gauge"), F.max("value").alias("peak"), F.collect_set(F.when(c("event_type") == "login", c("user_id"))).alias("active"))
+    return s.select(F.unix_seconds("w.start").alias("sampled"), "gauge", "peak", F.when(F.size("active") > 0, F.sort_array("active")).alias("active"))

@@ -277,3 +277,22 @@ def test_fan_out_stream(spark, tmp_path):
             queue.append(k)
     once = progress.fan_out(spark.read.parquet(path), clients, 4).where("client = 1").first()
     assert (once["overflows"], once["queued"]) == (overflows, len(queue))
+
+
+def test_near_duplicates_by_preference_and_boxes_by_text(spark):
+    rows = [("s", 1, 0b0, 900, 0.2), ("s", 2, 0b1, 100, 0.9), ("s", 3, 0b11, 100, None)]
+    df = spark.createDataFrame(rows, "subject string, candidate_id long, phash long, pixels long, style double")
+    assert {r["kept_id"] for r in candidates.greedy_near_duplicates(df).collect()} == {1}
+    assert {r["kept_id"] for r in candidates.greedy_near_duplicates(df, prefer=("style", "pixels")).collect()} == {2}
+    boxes = spark.createDataFrame([("i", 1, 0.9, "a", 0.0, 0.0, 10.0, 10.0), ("i", 2, 0.8, "a", 1.0, 0.0, 11.0, 10.0), ("i", 3, 0.7, "b", 1.0, 0.0, 11.0, 10.0)], "image string, box_id int, confidence double, text string, left double, top double, right double, bottom double")
+    assert sorted(r["box_id"] for r in candidates.suppress_overlaps(boxes, text="text").collect()) == [1, 3]
+
+
+def test_principal_axes_have_the_largest_variances(spark, data):
+    from pickwise.plans import registry
+
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("embedding").collect()], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:3]
+    got = np.array([tuple(r)[1:] for r in registry.QUERIES["pca_map"](spark, data).collect()]).var(axis=0, ddof=1)
+    assert np.allclose(got, want, rtol=1e-6)
