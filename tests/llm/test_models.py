@@ -114,3 +114,41 @@ def test_counterfactual_penalty():
 
 def test_splits_are_by_digest():
     assert zlib.crc32(b"12") % 3 == 0 and zlib.crc32(b"7") == 1790921346
+
+
+def test_language_against_a_plain_network():
+    """pooled() against the network written out position by position, alone and padded among others, and in windows."""
+    m = language.fit_texts(["the cat sat", "der hund lief"], ["en", "de"], steps=6, batch=8, span=8)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, read):
+        h, s, out = d.candidate.shape[0], np.zeros(d.candidate.shape[0]), []
+        for byte in read:
+            a = d.inputs[byte]
+            z, r = sig(a[:h] + s @ d.gates[:, :h]), sig(a[h : 2 * h] + s @ d.gates[:, h:])
+            s = s + z * (np.tanh(a[2 * h :] + (r * s) @ d.candidate) - s)
+            out.append(s)
+        return out
+
+    def labels(read):
+        both = zip(states(m.forward, read), states(m.back, read[::-1])[::-1], strict=True)
+        e = [np.exp(np.concatenate(p) @ m.out + m.bias) for p in both]
+        return np.array([x / x.sum() for x in e])
+
+    texts = ["Der Té 12!", "x", "a longer text, with  spaces\n and lines " * 3, "y" * 1000]
+    got = m.pooled(texts)
+    for text, p in zip(texts, got, strict=True):
+        read = text.lower().encode()
+        own = []
+        for at in range(0, len(read), language.WINDOW):
+            lo, hi = max(0, at - language.MARGIN), min(len(read), at + language.WINDOW + language.MARGIN)
+            own.append(labels(read[lo:hi])[at - lo : min(at + language.WINDOW, len(read)) - lo])
+        assert np.concatenate(own).shape[0] == len(read)
+        assert p == pytest.approx(np.concatenate(own).mean(axis=0), abs=1e-4)
+
+
+def test_toxicity_against_plain_sums():
+    model = toxicity.Model({b"^idiot$": 2.0, b"idiot": 0.5, b"^idi": 0.25, b"y" * 5: -1.0}, -1.5)
+    score = model.scorer()
+    for text, z in ((None, -1.5), ("", -1.5), ("Idiot, IDIOT!", 1.25), ("an idiotic plan", -0.75), ("y" * 300, -2.5), ("x" * 100 + "yyyyy", -2.5)):
+        assert score(text) == pytest.approx(1 / (1 + np.exp(-z))), text

@@ -23,7 +23,7 @@ def test_stages(spark, data):
 
     score = toxicity.fit(docs, labels).scorer()
     assert ids[1] == Counter(r["doc_id"] for r in rows[0] if score(r["text"]) < 0.7) and len(rows[1]) < len(rows[0])
-    predict = language.fit(seen[1]).predictor()
+    predict = language.fit(seen[1]).predict
     told = zip(rows[1], *predict([r["text"] for r in rows[1]]), strict=True)
     assert ids[2] == Counter(r["doc_id"] for r, lang, p in told if lang != "und" and p >= 0.3)
 
