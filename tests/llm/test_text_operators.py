@@ -75,7 +75,7 @@ def test_packing(spark, data):
 
 
 def test_token_files(spark):
-    rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(5, "twice", "s"), (None, "no id", "s")]
+    rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(5, "twice", "s"), (None, "no id", "s"), (-(2**63), "the least", "s")]
     manifest = token_files.write(docs(spark, rows), file_bytes=120)
     got = sorted(token_files.read(spark, manifest, with_ids=True).collect(), key=lambda r: r["start"])
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
