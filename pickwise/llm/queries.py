@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_links, chat, extraction, jaccard, language, mixing, nearest, packing, token_files, toxicity
+from . import cap_links, chat, extraction, jaccard, language, mixing, nearest, packing, phrases, repeats, token_files, toxicity, whitening
 from .common import load
 
 
@@ -56,5 +56,17 @@ def op10_cap_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_links.near_copies(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lstm_main_text, op2_rtree_jaccard, op4_reply_tree_chat, op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies)}
-ORACLE_SQL: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE}
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), components=32)
+
+
+def op12_pattern_growth_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents", ["lang", "text"]), least=30, top=2000)
+
+
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(load(spark, sf_dir, "documents", ["doc_id", "text"]), length=200)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lstm_main_text, op2_rtree_jaccard, op4_reply_tree_chat, op3_anisotropic_search, op5_counterfactual_toxicity, op6_best_fit_packing, op7_pareto_mixing, op8_byte_gru_language, op9_token_files, op10_cap_near_copies, op11_lanczos_whitening, op12_pattern_growth_phrases, op13_suffix_repeats)}
+ORACLE_SQL: dict[str, str] = {"op7_pareto_mixing": mixing.ORACLE, "op12_pattern_growth_phrases": phrases.ORACLE}
