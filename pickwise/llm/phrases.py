@@ -329,21 +329,21 @@ WITH pieces AS (
   SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
 named AS (SELECT lang, row_number() OVER () AS pid, string_split_regex(piece, '[ \t]+') AS w FROM pieces),
 words AS (SELECT * FROM (SELECT lang, pid, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM named) WHERE w <> ''),
-next AS (SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY pid ORDER BY pos)),
+next AS MATERIALIZED (SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY pid ORDER BY pos)),
 runs AS (
   SELECT lang, 1 AS m, w1 AS phrase FROM next UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM next WHERE w2 IS NOT NULL
   UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM next WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM next WHERE w4 IS NOT NULL),
-sizes AS (SELECT lang, count(*) AS n FROM runs WHERE m = 1 GROUP BY 1),
-f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+sizes AS MATERIALIZED (SELECT lang, count(*) AS n FROM runs WHERE m = 1 GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+parts AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+ways AS (SELECT *, unnest(range(1, m)) AS k FROM parts),
+halves AS MATERIALIZED (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM ways),
 cuts AS (
-  SELECT c.lang, c.phrase, c.f AS a, k.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score
-  FROM f c JOIN (VALUES (1), (2), (3)) AS k(k) ON k.k < c.m
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:k.k], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[k.k + 1:c.m], ' ')),
+  SELECT h.lang, h.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+  FROM halves h JOIN f l ON l.lang = h.lang AND l.phrase = h.x JOIN f r ON r.lang = h.lang AND r.phrase = h.y),
 scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-inside AS (
-  SELECT c.lang, array_to_string(string_split(c.phrase, ' ')[s.s:s.s + w.w - 1], ' ') AS phrase, max(c.f) AS most
-  FROM f c JOIN (VALUES (2), (3)) AS w(w) ON w.w < c.m JOIN (VALUES (1), (2), (3)) AS s(s) ON s.s + w.w - 1 <= c.m GROUP BY 1, 2),
+sizes_of AS (SELECT *, unnest(range(2, m)) AS q FROM parts), places AS (SELECT *, unnest(range(1, m - q + 2)) AS s FROM sizes_of),
+inside AS MATERIALIZED (SELECT lang, array_to_string(w[s:s + q - 1], ' ') AS phrase, max(f) AS most FROM places GROUP BY 1, 2),
 ranked AS (
   SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
   FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * s.a)
