@@ -78,8 +78,8 @@ def parse_title(filename: Column) -> tuple[Column, Column, Column]:
 def parse_resolution(text: Column) -> tuple[Column, Column]:
     """width and height of texts like "1920x1080"; null where it is no such text."""
     p = F.split(F.lower(text), "x")
-    ok = F.size(p) == 2
-    return F.when(ok, F.try_to_number(p[0], F.lit("99999")).cast("int")), F.when(ok, F.try_to_number(p[1], F.lit("99999")).cast("int"))
+    part = lambda i: F.when((F.size(p) == 2) & p[i].rlike("^[0-9]+$"), p[i].try_cast("int"))
+    return part(0), part(1)
 
 
 def container(path: Column) -> Column:
@@ -87,22 +87,61 @@ def container(path: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1)), F.lit(""))
 
 
+# Number words, and the words that stand before a season's number.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+ODD_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+DESIGNATORS = ("season", "book", "part", "chapter", "volume", "vol")
+LAST_SEASONS = ("final season", "last season", "the final season", "the last season")
+ROMAN = ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
+
+
+def number_words(number: int) -> list[str]:
+    """The English words of 0 to 999."""
+    hundreds, rest = divmod(number, 100)
+    head = [ONES[hundreds], "hundred"] if hundreds else []
+    if rest >= 20:
+        return [*head, TENS[rest // 10 - 2], *([ONES[rest % 10]] if rest % 10 else [])]
+    return [*head, *([ONES[rest]] if rest or not hundreds else [])]
+
+
 def season_forms(number: int) -> list[str]:
-    """The ways a season's number stands in a text: digits, words, ordinals, Roman numerals."""
-    words = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
-    ordinals = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
-    roman, n = "", number
-    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-        while n >= value:
-            roman, n = roman + sign, n - value
-    forms = [f"season {number}", f"season {number:02d}", f"s{number}", f"s{number:02d}", f"season {roman}"]
-    if 1 <= number <= 10:
-        forms += [f"season {words[number - 1]}", f"{ordinals[number - 1]} season"]
+    """The ways a number stands in a season's name: digits, ordinal digits, words, ordinal words, Roman digits; words to 999, Roman digits to 3999."""
+    ending = "th" if number % 100 in range(10, 21) else {1: "st", 2: "nd", 3: "rd"}.get(number % 10, "th")
+    forms = [str(number), f"{number}{ending}"]
+    if 0 <= number <= 999:
+        *head, tail = number_words(number)
+        ordinal = ODD_ORDINALS.get(tail, f"{tail[:-1]}ieth" if tail in TENS else f"{tail}th")
+        forms += [" ".join([*head, tail]), " ".join([*head, ordinal])]
+    if 0 < number <= 3999:
+        digits = [int(d) for d in f"{number:04d}"]
+        forms.append("".join(ROMAN[d].translate(str.maketrans("ivx", signs)) for d, signs in zip(digits, ("m??", "cdm", "xlc", "ivx"), strict=True)))
     return forms
 
 
-def mentions_season(text: Column, number: int) -> Column:
-    return normalise(text).rlike(rf"\b(?:{'|'.join(season_forms(number))})\b")
+def says(text: Column, phrases: list[str]) -> Column:
+    """Whether the text is one of these phrases, spaces set aside."""
+    return F.coalesce(compact(text).isin(*sorted({p.replace(" ", "") for p in phrases})), F.lit(False))
+
+
+def season_text(text: Column, number: int) -> Column:
+    """Whether the whole text names that season, or the last one; nulls do not."""
+    forms = season_forms(number)
+    phrases = [f"{d} {f}" for d in DESIGNATORS for f in forms] + [f"{f} season" for f in forms] + [f"s{number}", f"s{number:02d}"]
+    return says(text, phrases) | F.coalesce(normalise(text).isin(*LAST_SEASONS), F.lit(False))
+
+
+def season_edition(text: Column, number: int) -> Column:
+    """Whether the whole text names that season's complete edition."""
+    forms = season_forms(number)
+    return says(text, [f"{the}complete {x}" for the in ("", "the ") for f in forms for x in (f"{f} season", f"season {f}")])
+
+
+def parse_tv_name(filename: Column) -> tuple[Column, Column]:
+    """title and season of artwork names of series: "Name-show.jpg" has no season, "Name-season02.jpg" has; null where the name has another form."""
+    pattern = r"^(.+?)-(?:show|season(\d+))\.[A-Za-z0-9]+$"
+    part = lambda k: F.nullif(F.regexp_extract(filename, pattern, k), F.lit(""))
+    return part(1), part(2).try_cast("int")
 
 
 def escape_like(text: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scores
+from ..functions.vectors import dot, unit
+from ..sources.scratch import dropped, kept
 
 
 def gate(df: DataFrame, personalised: bool = True, junk: bool = False) -> DataFrame:
@@ -30,26 +33,30 @@ def exact_duplicates(df: DataFrame, group: list[str], order: list[Column]) -> Da
     return df.withColumn("kept_id", F.first("candidate_id").over(w)).withColumn("is_kept", F.col("kept_id") == F.col("candidate_id"))
 
 
-def cluster(similarity: np.ndarray, threshold: float) -> list[list[int]]:
-    """Average linkage: the two clusters of highest mean similarity merge while that reaches the threshold.
+def average_linkage(pairs: DataFrame, members: DataFrame, threshold: float, by: str = "subject") -> DataFrame:
+    """by, id, cluster (the smallest id in it): average linkage of members(by, id) by pairs(by, a, b, similarity), a < b, all
+    pairs of a subject: the two clusters of highest mean similarity merge while that reaches the threshold.
 
-    Sums between clusters are kept up to date, so a merge costs one row's addition; the first of equal pairs merges.
+    In each round all clusters merge that are each other's nearest, in all subjects at once; as a mean of both parts'
+    similarities never beats the nearer of them, that gives the clusters of merging one pair at a time. Equally near
+    clusters go by the smallest id.
     """
-    n = len(similarity)
-    members = [[i] for i in range(n)]
-    sums = similarity.astype(np.float64).copy()
-    alive, size = np.ones(n, dtype=bool), np.ones(n)
-    while alive.sum() > 1:
-        mean = np.where(np.triu(alive[:, None] & alive[None, :], 1), sums / np.outer(size, size), -np.inf)
-        i, j = np.unravel_index(int(mean.argmax()), mean.shape)
-        if mean[i, j] < threshold:
-            break
-        members[i] += members[j]
-        sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
-        size[i] += size[j]
-        alive[j] = False
-    return [members[i] for i in range(n) if alive[i]]
+    label = kept(members.select(by, "id", F.col("id").alias("cluster")), "clusters")
+    s = kept(pairs.select(by, "a", "b", F.col("similarity").alias("sum"), F.lit(1).cast("long").alias("n")), "similarities")
+    while True:
+        mean = F.col("sum") / F.col("n")
+        both = s.select(by, "a", "b", mean.alias("m")).union(s.select(by, "b", "a", mean)).where(F.col("m") >= threshold)
+        near = both.groupBy(by, "a").agg(F.min(F.struct((-F.col("m")).alias("m"), "b"))["b"].alias("b"))
+        other = near.select(by, F.col("a").alias("b"), F.col("b").alias("back"))
+        merged = kept(near.join(other, [by, "b"]).where((F.col("a") < F.col("b")) & (F.col("back") == F.col("a"))).select(by, F.col("b").alias("gone"), F.col("a").alias("into")), "merged")
+        if merged.isEmpty():
+            dropped(merged, s)
+            return label
+        move = lambda df, name: df.join(merged.withColumnRenamed("gone", name), [by, name], "left").withColumn(name, F.coalesce("into", name)).drop("into")
+        new = move(move(s, "a"), "b").where("a <> b").groupBy(by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+        new_s, new_label = kept(new, "similarities"), kept(move(label, "cluster").select(by, "id", "cluster"), "clusters")
+        dropped(s, label, merged)
+        s, label = new_s, new_label
 
 
 def stacks(df: DataFrame, threshold: float = fixed.STACK_MIN_SIMILARITY, top: int = fixed.STACK_TOP, by: str = "subject") -> DataFrame:
@@ -59,22 +66,11 @@ def stacks(df: DataFrame, threshold: float = fixed.STACK_MIN_SIMILARITY, top: in
     cosine. A null embedding is a stack of its own. Members go by score, stacks by the mean of their best `top`, then
     their best, then size, then the smallest id.
     """
-
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "candidate_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
-        have = [i for i, e in enumerate(pdf["embedding"]) if e is not None]
-        found = [[i] for i in range(len(pdf)) if i not in set(have)]
-        if have:
-            x = np.stack([np.asarray(pdf["embedding"][i], dtype=np.float64) for i in have])
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            found += [[have[i] for i in own] for own in cluster(x @ x.T, threshold)]
-        pdf["cluster"] = 0
-        for k, own in enumerate(found):
-            pdf.loc[own, "cluster"] = k
-        return pdf[[by, "candidate_id", "score", "cluster"]]
-
-    kind = dict(df.dtypes)
-    clustered = df.select(by, "candidate_id", F.coalesce("score", F.lit(0.0)).alias("score"), "embedding").groupBy(by).applyInPandas(group, f"{by} {kind[by]}, candidate_id {kind['candidate_id']}, score double, cluster int")
+    own = df.select(by, "candidate_id", F.coalesce("score", F.lit(0.0)).alias("score"), unit(F.col("embedding").cast("array<double>")).alias("e"))
+    x, y = own.where("e is not null").select(by, F.col("candidate_id").alias("a"), F.col("e").alias("x")), own.where("e is not null").select(by, F.col("candidate_id").alias("b"), F.col("e").alias("y"))
+    pairs = x.join(y, by).where("a < b").select(by, "a", "b", dot(F.col("x"), F.col("y")).alias("similarity"))
+    found = average_linkage(pairs, own.select(by, F.col("candidate_id").alias("id")), threshold, by)
+    clustered = own.drop("e").join(found.withColumnRenamed("id", "candidate_id"), [by, "candidate_id"])
     inside = Window.partitionBy(by, "cluster").orderBy(F.desc("score"), "candidate_id")
     whole = Window.partitionBy(by, "cluster")
     ranked = clustered.withColumn("stack_pos", F.row_number().over(inside).cast("long"))
@@ -83,36 +79,61 @@ def stacks(df: DataFrame, threshold: float = fixed.STACK_MIN_SIMILARITY, top: in
     return ranked.withColumn("stack_rank", F.dense_rank().over(order).cast("long")).withColumn("stack_label", scores.position_label(F.col("stack_pos"))).select(by, "candidate_id", "score", "stack_rank", "stack_pos", "stack_label", "stack_size", "stack_score")
 
 
+def near_hashes(nodes: DataFrame, most: int, by: str) -> DataFrame:
+    """by, a, b: pairs a before b of nodes(by, id, phash) that differ in `most` bits at most. The 64 bits are cut into
+    most + 2 bands; such a pair agrees in two of them, so each pair of bands is one key of an index."""
+    edges = [64 * k // (most + 2) for k in range(most + 3)]
+    band = lambda k: F.shiftrightunsigned("phash", edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
+    keys = [F.struct(F.lit(n).alias("k"), band(i).alias("x"), band(j).alias("y")) for n, (i, j) in enumerate(combinations(range(most + 2), 2))]
+    index = nodes.select(by, "id", "phash", F.explode(F.array(*keys)).alias("key")).select(by, "id", "phash", "key.*")
+    other = index.select(by, F.col("id").alias("b"), F.col("phash").alias("other"), "k", "x", "y")
+    close = index.join(other, [by, "k", "x", "y"]).where((F.col("id") < F.col("b")) & (F.bit_count(F.col("phash").bitwiseXOR(F.col("other"))) <= most))
+    return close.select(by, F.col("id").alias("a"), "b").distinct()
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """by, id of the nodes that a walk in order of id takes if it skips all neighbours of those taken; edges(by, a, b), a < b.
+
+    In rounds: nodes without open earlier neighbours are taken, their neighbours go. Rounds follow the longest chain of
+    nodes that wait for each other.
+    """
+    open_, left, taken = kept(nodes.select(by, "id"), "open"), kept(edges, "edges"), None
+    while not open_.isEmpty():
+        free = kept(open_.join(left.select(by, F.col("b").alias("id")).distinct(), [by, "id"], "left_anti"), "free")
+        gone = kept(left.join(free.withColumnRenamed("id", "a"), [by, "a"], "left_semi").select(by, F.col("b").alias("id")).distinct(), "gone")
+        over = free.unionByName(gone)
+        new_open = kept(open_.join(over, [by, "id"], "left_anti"), "open")
+        new_left = kept(left.join(over.withColumnRenamed("id", "a"), [by, "a"], "left_anti").join(gone.withColumnRenamed("id", "b"), [by, "b"], "left_anti"), "edges")
+        dropped(open_, left, gone)
+        taken = free if taken is None else taken.unionByName(free)
+        open_, left = new_open, new_left
+    return taken if taken is not None else open_
+
+
 def greedy_near_duplicates(df: DataFrame, most: int = fixed.PHASH_MAX_DISTANCE, by: str = "subject", prefer: tuple[str, ...] = ("pixels",)) -> DataFrame:
     """subject, candidate_id, anchor_id, kept_id, distance (to the kept one).
 
-    In each subject (a bounded set), rows in order of candidate_id: each row not yet taken becomes an anchor and takes all
-    later rows within `most` bits of it. Of a group the row is kept that is largest by the columns in `prefer`, one after
-    another (nulls least), the first of equals. A null hash is a group of its own.
+    In each subject, rows in order of candidate_id: each row not yet taken becomes an anchor and takes all later rows
+    within `most` bits of it. Of a group the row is kept that is largest by the columns in `prefer`, one after another
+    (nulls least), the first of equals. A null hash is a group of its own. Subjects may be of any size: equal hashes are
+    one node, near ones meet in a banded index, and the anchors are the first independent set of the graph of near nodes.
     """
+    rows = df.select(by, F.col("candidate_id").cast("long").alias("candidate_id"), F.col("phash").cast("long").alias("phash"), *prefer)
+    nodes = kept(rows.where("phash is not null").groupBy(by, "phash").agg(F.min("candidate_id").alias("id")), "hashes")
+    edges = kept(near_hashes(nodes, most, by), "near")
+    anchors = first_independent(nodes, edges, by)
+    takes = edges.join(anchors.withColumnRenamed("id", "a"), [by, "a"], "left_semi").groupBy(by, F.col("b").alias("id")).agg(F.min("a").alias("anchor_id"))
+    of = nodes.join(takes, [by, "id"], "left").select(by, "phash", F.coalesce("anchor_id", "id").alias("anchor_id"))
+    placed = rows.join(of, [by, "phash"], "left").withColumn("anchor_id", F.coalesce("anchor_id", "candidate_id"))
+    best = placed.groupBy(by, "anchor_id").agg(F.max(F.struct(*prefer, (-F.col("candidate_id")).alias("back"), F.col("phash").alias("kept_hash"))).alias("best"))
+    out = placed.join(best.select(by, "anchor_id", (-F.col("best.back")).alias("kept_id"), "best.kept_hash"), [by, "anchor_id"])
+    return out.select(by, "candidate_id", "anchor_id", "kept_id", F.coalesce(F.bit_count(F.col("phash").bitwiseXOR(F.col("kept_hash"))), F.lit(0)).cast("long").alias("distance"))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("candidate_id").reset_index(drop=True)
-        ids = pdf["candidate_id"].tolist()
-        worth = list(zip(*(pdf[p].astype("float64").fillna(-np.inf) for p in prefer), strict=True))
-        hashes = [None if h is None or h != h else int(h) & (1 << 64) - 1 for h in pdf["phash"].astype(object)]
-        anchor: list[int | None] = [None] * len(ids)
-        for i, h in enumerate(hashes):
-            if anchor[i] is None:
-                anchor[i] = i
-                if h is not None:
-                    for j in range(i + 1, len(ids)):
-                        if anchor[j] is None and hashes[j] is not None and (h ^ hashes[j]).bit_count() <= most:
-                            anchor[j] = i
-        best: dict[int, int] = {}
-        for i, a in enumerate(anchor):
-            if a not in best or worth[i] > worth[best[a]]:
-                best[a] = i
-        distance = [0 if hashes[i] is None else (hashes[i] ^ hashes[best[a]]).bit_count() for i, a in enumerate(anchor)]
-        return pd.DataFrame({by: pdf[by], "candidate_id": ids, "anchor_id": [ids[a] for a in anchor], "kept_id": [ids[best[a]] for a in anchor], "distance": distance})
-
-    kind = dict(df.dtypes)
-    return df.select(by, "candidate_id", "phash", *prefer).groupBy(by).applyInPandas(group, f"{by} {kind[by]}, candidate_id long, anchor_id long, kept_id long, distance long")
+
+def duplicate_ledger(found: DataFrame, by: str = "subject") -> DataFrame:
+    """by, removed_id, kept_id, distance, reason of every row that is not kept: exact copies apart from near ones."""
+    gone = found.where(F.col("candidate_id") != F.col("kept_id"))
+    return gone.select(by, F.col("candidate_id").alias("removed_id"), "kept_id", "distance", F.when(F.col("distance") == 0, "dedup_exact").otherwise("dedup_phash").alias("reason"))
 
 
 def suppress_overlaps(df: DataFrame, threshold: float = 0.5, by: str = "image", text: str | None = None) -> DataFrame:
@@ -136,29 +157,6 @@ def suppress_overlaps(df: DataFrame, threshold: float = 0.5, by: str = "image",
     return df.groupBy(by).applyInPandas(group, df.schema)
 
 
-def lines(df: DataFrame, tolerance: float = 0.5, by: str = "image") -> DataFrame:
-    """Boxes (image, box_id, left, top, right, bottom) in lines: from top to bottom, a box joins the line whose mean
-    centre is within `tolerance` of its height, else opens one. Adds line and place."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "left", "box_id"]).reset_index(drop=True)
-        centres: list[list[float]] = []
-        own = []
-        for top, bottom in zip(pdf["top"], pdf["bottom"], strict=True):
-            middle = (top + bottom) / 2
-            k = next((k for k, c in enumerate(centres) if abs(sum(c) / len(c) - middle) <= tolerance * max(bottom - top, 1e-9)), None)
-            if k is None:
-                k = len(centres)
-                centres.append([])
-            centres[k].append(middle)
-            own.append(k)
-        pdf["line"] = np.array(own, dtype=np.int64)
-        pdf["place"] = pdf.groupby("line")["left"].rank(method="first").astype("int64")
-        return pdf
-
-    return df.groupBy(by).applyInPandas(group, df.schema.simpleString()[7:-1].replace(":", " ") + ", line long, place long")
-
-
 def fuzzy_ratio(a: Column, b: Column) -> Column:
     """Matching-blocks ratio of two texts, 2 * matches / length of both."""
     from difflib import SequenceMatcher

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import json
+import hmac
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,37 +80,48 @@ def ordered(df: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
     return df.orderBy(*[k.desc_nulls_first() if down else k.asc_nulls_last() for k, down in keys])
 
 
+CURSOR = 1024  # most bytes of a cursor's values
+
+
 class CursorError(ValueError):
     """A cursor that is malformed, too long or of another query."""
 
 
-def contract(view: str, filters: Mapping[str, object], sort: str) -> str:
-    """The fingerprint of a list that a cursor is good for; filters that are not set do not count."""
-    said = {"filters": {k: v for k, v in filters.items() if v is not None}, "sort": sort, "view": view}
-    return hashlib.sha256(json.dumps(said, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
+def contract(view: str, filters: Mapping[str, object], sort: str) -> bytes:
+    """What a cursor is good for: a view, its order and the filters that are set."""
+    h = hashlib.blake2b(digest_size=32)
+    for said in (view, sort, *(f"{k}={v!r}" for k, v in sorted(filters.items()) if v is not None)):
+        h.update(len(said.encode()).to_bytes(4) + said.encode())
+    return h.digest()
 
 
-def encode_cursor(query: str, key: Sequence[str | int | float | None], longest: int = 2048) -> str:
-    if not all(x is None or isinstance(x, str | int | float) for x in key):
-        raise CursorError("a cursor holds plain values only")
-    token = base64.urlsafe_b64encode(json.dumps({"v": 1, "c": query, "k": list(key)}, separators=(",", ":")).encode()).decode().rstrip("=")
-    if len(token) > longest:
-        raise CursorError("cursor too long")
-    return token
+def encode_cursor(query: bytes, key: Sequence[str | int | float | None]) -> str:
+    """A key's values as binary fields (kind, length, bytes), sealed by a digest keyed with the query that they belong to."""
+    fields = b""
+    for x in key:
+        if x is not None and not isinstance(x, str | int | float):
+            raise CursorError("a cursor holds plain values only")
+        kind, body = (b"n", b"") if x is None else (b"s", x.encode()) if isinstance(x, str) else (b"f", struct.pack(">d", x)) if isinstance(x, float) else (b"i", str(int(x)).encode())
+        fields += kind + len(body).to_bytes(2) + body if len(body) < CURSOR else b""
+        if len(body) >= CURSOR or len(fields) > CURSOR:
+            raise CursorError("cursor too long")
+    return (hashlib.blake2b(fields, key=query, digest_size=12).digest() + fields).hex()
 
 
-def decode_cursor(token: str, query: str, longest: int = 2048) -> list:
+def decode_cursor(token: str, query: bytes) -> list:
+    """The values of a cursor of this query; one that was changed, cut or made for another query is refused."""
     try:
-        if not token or len(token) > longest:
-            raise ValueError(token)
-        said = json.loads(base64.urlsafe_b64decode(token + "=" * (-len(token) % 4)))
-        version, of, key = said["v"], said["c"], said["k"]
-    except (ValueError, KeyError, TypeError) as e:
-        raise CursorError("malformed cursor") from e
-    if version != 1 or of != query:
-        raise CursorError("cursor of another query")
-    if not isinstance(key, list) or not all(x is None or isinstance(x, str | int | float) for x in key):
-        raise CursorError("malformed cursor")
+        raw = bytes.fromhex(token) if len(token) <= 2 * (CURSOR + 12) else b""
+    except ValueError:
+        raw = b""
+    seal, rest = raw[:12], raw[12:]
+    if not seal or not hmac.compare_digest(seal, hashlib.blake2b(rest, key=query, digest_size=12).digest()):
+        raise CursorError("not a cursor of this query")
+    read, key = {b"n": lambda b: None, b"s": bytes.decode, b"f": lambda b: struct.unpack(">d", b)[0], b"i": int}, []
+    while rest:
+        size = int.from_bytes(rest[1:3])
+        key.append(read[rest[:1]](rest[3 : 3 + size]))
+        rest = rest[3 + size :]
     return key
 
 

@@ -60,7 +60,7 @@ def rejection_group(reason: Column, reached: Column) -> Column:
 def rejection_sentence(reason: Column) -> Column:
     base = reason_base(reason)
     plain = F.regexp_replace(F.lower(reason), "_", " ")
-    said = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 10_000), F.lit("."))
+    said = F.concat(F.upper(F.substring(plain, 1, 1)), plain.substr(F.lit(2), F.length(plain)), F.lit("."))
     return (
         F.when(F.coalesce(reason, F.lit("")) == "", "Rejected.")
         .otherwise(F.coalesce(literal(REASON_SENTENCE, base), F.when(base.startswith("feature_error") | base.startswith("download_error"), "Could not be processed (image or download error)."), said))

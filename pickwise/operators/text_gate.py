@@ -2,7 +2,7 @@
 
 boxes(image, box_id, text, confidence, left, top, right, bottom, valid) are a bounded number a picture; images(image, width,
 height, title, title_tokens, director_tokens) say what is looked for. All steps are joins, windows and column functions;
-only the matching-blocks ratio of two texts and the greedy grouping of one picture's boxes run in Python.
+only the matching-blocks ratio of two texts runs in Python.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.texts import compact, normalise, subsequence
+from ..functions.texts import compact, normalise, season_edition, season_text, subsequence
 
 c = F.col
 
@@ -28,7 +28,7 @@ SEASONS = (
     r"(?:the\s+)?(?:final|last)\s+season", r"part\s+(?:\d{1,2}|one|two|three|four|five|six)", r"vol(?:ume)?\s*\d{1,2}", r"book\s+\w+", r"chapter\s+\w+", r"[ivxlc]{1,4}", r"\d{1,2}",
 )
 # Thresholds of matching, of geometry and of bands.
-FUZZY, COMPACT_FUZZY, CLUSTER_FUZZY, TAGLINE_FUZZY = 0.60, 0.72, 0.80, 0.70
+FUZZY, COMPACT_FUZZY, CLUSTER_FUZZY, TAGLINE_FUZZY, SEASON_FUZZY = 0.60, 0.72, 0.80, 0.70, 0.82
 CONFIDENT, STRIP_CONFIDENT = 0.75, 0.65
 BIG_AREA, BIG_WIDTH, NEAR_TITLE = 0.005, 0.40, 30.0
 BAND_BOXES, BAND_WIDTH, BAND_HEIGHT, BAND_CHARS, BAND_GAP = 3, 0.18, 0.035, 4, 1.2
@@ -88,59 +88,68 @@ def mostly_named(df: DataFrame, keys: list[str], text: str, tokens: str) -> Data
     return hit.groupBy(*keys, "_n").agg(F.count_if("_hit").alias("_k")).where(c("_k") >= F.greatest(F.lit(1), F.floor((c("_n") + 1) / 2))).select(*keys)
 
 
+#: How letters without spaces may stand for the title or one of its words, one rule a row: for which targets (title, word or
+#: both), only in rows of single letters or always, least letters of the text and of the target, the text's least and most
+#: share of the target's letters after taking off spare ones, and the test.
+RULES = (
+    ("both", False, 2, 1, 1.00, 1.00, 0, "equal"), ("title", False, 3, 1, 0.00, 1.00, 0, "inside"), ("word", False, 3, 3, 0.00, 1.00, 0, "inside"),
+    ("title", False, 4, 1, 0.35, 1.15, 0, COMPACT_FUZZY), ("word", False, 3, 3, 0.40, 1.10, 0, COMPACT_FUZZY), ("title", False, 4, 1, 0.35, 1.00, 0, "order"), ("word", False, 4, 3, 0.55, 1.00, 0, "order"),
+    ("both", True, 3, 3, 0.50, 1.00, 1, "order"), ("both", True, 3, 3, 0.75, 1.00, 1, CLUSTER_FUZZY),
+)
+
+
 def matches_title(text: Column, title: Column, tokens: Column, to_tokens: Column, to_title: Column, cluster: Column | None = None) -> Column:
-    """Whether letters without spaces are the title, one of its words, a part of them or near enough.
+    """Whether letters without spaces stand for the title or one of its words by one of RULES.
 
-    to_tokens and to_title are the ratios to each token and to the title; `cluster` allows looser forms for rows of single
-    letters.
+    to_tokens and to_title are the ratios to each token and to the title; `cluster` tells rows of single letters.
     """
     n = F.length(text)
-    close = F.arrays_zip(tokens.alias("t"), to_tokens.alias("r"))
-
-    def near_token(x: Column) -> Column:
-        t, r = x["t"], x["r"]
-        size = F.length(t)
-        fits = ((n >= 3) & (n <= size) & t.contains(text)) | ((n >= 3) & (n / size).between(0.40, 1.10) & (r >= COMPACT_FUZZY)) | ((n >= 4) & (n / size >= 0.55) & (n <= size) & subsequence(text, t))
-        return (size >= 3) & fits
-
-    by_title = (title != "") & (n >= 4) & (((n / F.length(title)).between(0.35, 1.15) & (to_title >= COMPACT_FUZZY)) | ((n / F.length(title) >= 0.35) & subsequence(text, title)))
-    out = (text == title) | F.array_contains(tokens, text) | ((n >= 3) & (title != "") & title.contains(text)) | F.exists(close, near_token) | by_title
-    if cluster is not None:
-        every = F.arrays_zip(F.concat(F.array(title), tokens).alias("t"), F.concat(F.array(to_title), to_tokens).alias("r"))
-
-        def loose(x: Column) -> Column:
-            size = F.length(x["t"])
-            return (n >= 3) & (size >= 3) & (n / size >= 0.50) & (n <= size + 1) & (subsequence(text, x["t"]) | ((n / size >= 0.75) & (x["r"] >= CLUSTER_FUZZY)))
-
-        out = out | (cluster & F.exists(every, loose))
-    return F.coalesce((n >= 2) & ((title != "") | (F.size(tokens) > 0)) & out, F.lit(False))
-
-
-def line_groups(boxes: list[tuple[float, float, float]], image_height: float) -> list[list[int]]:
-    """Lines of boxes (x, y of the centre, height), in reading order: a box joins the first line whose mean height on the
-    page is near enough to its own, else it opens one."""
-    lines: list[list[int]] = []
-    for i in sorted(range(len(boxes)), key=lambda k: (boxes[k][1], boxes[k][0])):
-        for own in lines:
-            tallest = max([max(1.0, boxes[i][2]), *(max(1.0, boxes[k][2]) for k in own)])
-            if abs(boxes[i][1] - sum(boxes[k][1] for k in own) / len(own)) <= max(image_height * 0.018, tallest * 0.70):
-                own.append(i)
-                break
-        else:
-            lines.append([i])
-    return lines
+    of_title = F.struct(F.lit(True).alias("whole"), title.alias("t"), to_title.alias("r"))
+    of_words = F.transform(tokens, lambda t, i: F.struct(F.lit(False).alias("whole"), t.alias("t"), F.get(to_tokens, i).alias("r")))
+
+    def meets(x: Column) -> Column:
+        size, out = F.length(x["t"]), F.lit(False)
+        for who, rows_only, letters, least, low, high, spare, test in RULES:
+            if rows_only and cluster is None:
+                continue
+            fits = (n >= letters) & (size >= least) & (n / size >= low) & ((n - spare) / size <= high)
+            fits = fits & {"equal": x["t"] == text, "inside": x["t"].contains(text), "order": subsequence(text, x["t"])}.get(test, x["r"] >= test)
+            fits = fits if who == "both" else fits & (x["whole"] if who == "title" else ~x["whole"])
+            out = out | (fits & cluster if rows_only else fits)
+        return out
 
+    return F.coalesce(F.exists(F.filter(F.concat(F.array(of_title), of_words), lambda x: F.length(x["t"]) > 0), meets), F.lit(False))
+
+
+LINE = "array<struct<total:double,tall:double,ids:array<{0}>>>"  # a line's sum of centres, its tallest box, its boxes
 
-def same_lines(boxes: DataFrame) -> DataFrame:
-    """image, box_id, line of boxes(image, box_id, left, top, right, bottom, height)."""
 
-    def group(df: pd.DataFrame) -> pd.DataFrame:
-        at = list(zip((df["left"] + df["right"]) / 2, (df["top"] + df["bottom"]) / 2, df["bottom"] - df["top"], strict=True))
-        line = {k: n for n, own in enumerate(line_groups(at, float(df["height"].iloc[0]))) for k in own}
-        return pd.DataFrame({"image": df["image"], "box_id": df["box_id"], "line": [line[k] for k in range(len(df))]})
+def lines(boxes: Column, kind: str, height: Column) -> Column:
+    """The lines of a picture's boxes (an array of structs y, x, box_id, tall, in that order): a fold over the boxes from the
+    top down, in which a box joins the first line that it is level with, or opens one.
+
+    Level: the box's centre and the line's mean one differ by no more than 0.7 of the tallest box of both, or 0.018 of the
+    picture's height.
+    """
+    reach = lambda a, b: F.greatest(height * 0.018, F.greatest(a, b) * 0.70)
+    line = lambda total, tall, ids: F.struct(total.alias("total"), tall.alias("tall"), ids.alias("ids"))
+
+    def take(found: Column, box: Column) -> Column:
+        y, tall, own = box["y"], F.greatest(F.lit(1.0), box["tall"]), F.array(box["box_id"])
+        level = F.transform(found, lambda k: F.abs(y - k["total"] / F.size(k["ids"])) <= reach(tall, k["tall"]))
+        at = F.array_position(level, True)
+        joined = F.transform(found, lambda k, i: F.when(i + 1 == at, line(k["total"] + y, F.greatest(k["tall"], tall), F.concat(k["ids"], own))).otherwise(k))
+        return F.when(at > 0, joined).otherwise(F.concat(found, F.array(line(y, tall, own))))
+
+    return F.aggregate(F.sort_array(boxes), F.array().cast(LINE.format(kind)), take)
 
-    kind = dict(boxes.dtypes)
-    return boxes.select("image", "box_id", "left", "top", "right", "bottom", "height").groupBy("image").applyInPandas(group, f"image {kind['image']}, box_id {kind['box_id']}, line int")
+
+def same_lines(boxes: DataFrame) -> DataFrame:
+    """image, box_id, line of boxes(image, box_id, left, top, right, bottom, height); lines count from 0 in order of their first boxes."""
+    box = F.struct(((c("top") + c("bottom")) / 2).alias("y"), ((c("left") + c("right")) / 2).alias("x"), "box_id", (c("bottom") - c("top")).cast("double").alias("tall"))
+    g = boxes.groupBy("image").agg(F.collect_list(box).alias("b"), F.first("height").cast("double").alias("h"))
+    found = g.select("image", F.posexplode(lines(c("b"), dict(boxes.dtypes)["box_id"], c("h"))).alias("line", "own"))
+    return found.select("image", F.explode("own.ids").alias("box_id"), "line")
 
 
 def looked_for(boxes: DataFrame, images: DataFrame) -> DataFrame:
@@ -152,36 +161,33 @@ def looked_for(boxes: DataFrame, images: DataFrame) -> DataFrame:
 
 def letter_bands(b: DataFrame) -> DataFrame:
     """image, box_id of widely set titles: wide rows (or rows close below each other) of large single glyphs whose letters
-    are much of the title's, and the title's much of theirs."""
-
-    def group(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.reset_index(drop=True)
-        wide, high = float(df["width"].iloc[0]), float(df["height"].iloc[0])
-        targets = [set(filter(str.isalpha, t)) for t in [df["title_letters"].iloc[0], *df["token_letters"].iloc[0]] if len(t) >= 2]
-        x, y, tall = (df["left"] + df["right"]) / 2, (df["top"] + df["bottom"]) / 2, df["bottom"] - df["top"]
-        rows = sorted(line_groups(list(zip(x, y, tall, strict=True)), high), key=lambda own: y[own].mean())
-        middle = lambda own: sorted(tall[own])[len(own) // 2]
-        bands = list(rows)
-        for i in range(len(rows)):
-            run = list(rows[i])
-            for below in rows[i + 1 :]:
-                if df["top"][below].min() - df["bottom"][run].max() > BAND_GAP * middle(run + below):
-                    break
-                run = run + below
-                bands.append(run)
-        taken: set[int] = set()
-        for band in bands:
-            letters = {ch for k in band for ch in df["letters"][k] if ch.isalpha()}
-            if len(band) < BAND_BOXES or df["right"][band].max() - df["left"][band].min() < wide * BAND_WIDTH or middle(band) < high * BAND_HEIGHT or not letters:
-                continue
-            covers, own = max(((len(letters & t) / len(t), len(letters & t) / len(letters)) if t else (0.0, 0.0) for t in targets), key=lambda s: s[0], default=(0.0, 0.0))
-            if any(covers >= a and own >= p for a, p in BAND_SHARES):
-                taken.update(band)
-        return df.loc[sorted(taken), ["image", "box_id"]]
+    are much of the title's, and the title's much of theirs.
 
+    Rows from a first to a last one are a band if each but the first lies close below those before it.
+    """
     m = b.where(c("valid") & (c("confidence") >= CONFIDENT) & F.length("letters").between(1, BAND_CHARS))
-    kind = dict(b.dtypes)
-    return m.select("image", "box_id", "left", "top", "right", "bottom", "letters", "width", "height", "title_letters", "token_letters").groupBy("image").applyInPandas(group, f"image {kind['image']}, box_id {kind['box_id']}")
+    alpha = lambda t: F.array_distinct(F.filter(F.split(t, ""), lambda ch: ch.rlike("^[a-z]$")))
+    glyph = same_lines(m).join(m, ["image", "box_id"]).withColumns({"tall": c("bottom") - c("top"), "signs": alpha(c("letters"))})
+    ends = [F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.flatten(F.collect_list("signs")).alias("signs"), F.collect_list("tall").alias("talls"), F.avg((c("top") + c("bottom")) / 2).alias("y")]
+    row = glyph.groupBy("image", "line").agg(*ends).withColumn("nth", F.row_number().over(Window.partitionBy("image").orderBy("y", "line")))
+    # Every pair of a first and a last row of a picture (whose boxes are few), with all rows between them.
+    first, last = row.select("image", c("nth").alias("a")), row.select("image", c("nth").alias("z"), c("top").alias("last_top"))
+    run = first.join(last, "image").where("a <= z").join(row.drop("line", "y"), "image").where("nth between a and z")
+    middle = lambda talls: F.get(F.sort_array(talls), F.floor(F.size(talls) / 2).cast("int"))
+    above = F.max(F.when(c("nth") < c("z"), c("bottom")))
+    band = run.groupBy("image", "a", "z").agg(F.flatten(F.collect_list("talls")).alias("talls"), F.array_distinct(F.flatten(F.collect_list("signs"))).alias("signs"), (F.max("right") - F.min("left")).alias("span"), (F.first("last_top") - above).alias("gap"))
+    near = (c("a") == c("z")) | (c("gap") <= BAND_GAP * middle(c("talls")))
+    band = band.withColumn("whole", F.bool_and(near).over(Window.partitionBy("image", "a").orderBy("z").rowsBetween(Window.unboundedPreceding, 0))).where("whole")
+    of = b.select("image", "width", "height", F.transform(F.filter(F.concat(F.array("title_letters"), "token_letters"), lambda t: F.length(t) >= 2), alpha).alias("targets")).dropDuplicates(["image"])
+    band = band.join(of, "image").where((F.size("talls") >= BAND_BOXES) & (c("span") >= c("width") * BAND_WIDTH) & (middle(c("talls")) >= c("height") * BAND_HEIGHT) & (F.size("signs") > 0))
+    common = lambda t: F.size(F.array_intersect(c("signs"), t))
+    shares = F.transform(F.filter("targets", lambda t: F.size(t) > 0), lambda t, i: F.struct((common(t) / F.size(t)).alias("covers"), (-i).alias("nth"), (common(t) / F.size("signs")).alias("own")))
+    best = F.array_max(shares)
+    good = F.lit(False)
+    for covers, own in BAND_SHARES:
+        good = good | ((best["covers"] >= covers) & (best["own"] >= own))
+    taken = band.where(good).select("image", F.explode(F.sequence("a", "z")).alias("nth")).distinct()
+    return taken.join(row.select("image", "line", "nth"), ["image", "nth"]).join(glyph.select("image", "line", "box_id"), ["image", "line"]).select("image", "box_id")
 
 
 def title_evidence(boxes: DataFrame, images: DataFrame) -> DataFrame:
@@ -236,9 +242,10 @@ def residuals(boxes: DataFrame, images: DataFrame, evidence: DataFrame) -> DataF
     return r.select(*boxes.columns, "area", why.alias("significance"), near.alias("near_title"))
 
 
-def categories(boxes: DataFrame, images: DataFrame, billing: DataFrame, tagline: str | None = None) -> DataFrame:
-    """image, box_id, category of boxes: season, billing, director, rating, studio, tagline or other, by the first rule that
-    fits. images may say `tagline`'s text for all; a box without words is other."""
+def categories(boxes: DataFrame, images: DataFrame, billing: DataFrame, tagline: str | None = None, season: int | None = None, season_title: str | None = None) -> DataFrame:
+    """image, box_id, category of boxes: season, season_edition, season_title, billing, director, rating, studio, tagline or
+    other, by the first rule that fits. `tagline`, and the season's number and title, hold for all pictures; without a
+    number any season's name counts. A box without words is other."""
     keys = ["image", "box_id"]
     b = looked_for(boxes, images)
     named = mostly_named(b, keys, "text", "director_tokens").withColumn("_named", F.lit(True))
@@ -247,8 +254,12 @@ def categories(boxes: DataFrame, images: DataFrame, billing: DataFrame, tagline:
     x, y = (c("left") + c("right")) / 2 / c("width"), (c("top") + c("bottom")) / 2 / c("height")
     said = F.lit("".join(ch for ch in (tagline or "").lower() if ch.isascii() and ch.isalnum()))
     slogan = (F.length(said) > 0) & (c("letters") != "") & (ratios(c("letters"), F.array(said), False)[0] >= TAGLINE_FUZZY) if tagline else F.lit(False)
+    numbered = text.rlike(f"^(?:{'|'.join(SEASONS)})$") if season is None else season_text(c("text"), season)
+    packed = F.lit(False) if season is None else season_edition(c("text"), season)
+    own = "".join(ch for ch in (season_title or "").lower() if ch.isascii() and ch.isalnum())
+    called = (c("letters") == own) | (ratios(c("letters"), F.array(F.lit(own)), False)[0] >= SEASON_FUZZY) if own else F.lit(False)
     rule = (
-        F.when(F.coalesce(F.size(w), F.lit(0)) == 0, "other").when(text.rlike(f"^(?:{'|'.join(SEASONS)})$"), "season").when(c("_band"), "billing")
+        F.when(F.coalesce(F.size(w), F.lit(0)) == 0, "other").when(numbered, "season").when(packed, "season_edition").when(called, "season_title").when(c("_band"), "billing")
         .when(F.lower("text").rlike(r"directed\s+by") | c("_named"), "director").when(text.rlike(RATING), "rating")
         .when(F.arrays_overlap(w, F.array(*[F.lit(s) for s in STUDIOS])), "studio").when(slogan, "tagline")
         .when((x > 0.30) & (x < 0.70) & (y > 0.05) & (y < 0.65) & (F.size(F.array_distinct(w)) <= 8), "tagline").when(y > 0.85, "billing").otherwise("other")
@@ -256,7 +267,7 @@ def categories(boxes: DataFrame, images: DataFrame, billing: DataFrame, tagline:
     return j.select(*keys, rule.alias("category"))
 
 
-def decide(boxes: DataFrame, images: DataFrame, mode: str, allow: frozenset[str] = frozenset({"title"}), most_boxes: int = 0, most_area: float = 0.04, require_title: bool = True, tagline: str | None = None) -> DataFrame:
+def decide(boxes: DataFrame, images: DataFrame, mode: str, allow: frozenset[str] = frozenset({"title"}), most_boxes: int = 0, most_area: float = 0.04, require_title: bool = True, tagline: str | None = None, season: int | None = None, season_title: str | None = None) -> DataFrame:
     """image, accepted, reason, has_title, significant, denied, denied_area of every picture, boxes or not.
 
     title_only: a title, and no more significant other text than allowed. textless: neither title nor significant text.
@@ -266,7 +277,7 @@ def decide(boxes: DataFrame, images: DataFrame, mode: str, allow: frozenset[str]
     evidence = title_evidence(boxes, images)
     rest = residuals(boxes, images, evidence).where(c("significance").isNotNull())
     if mode == "custom":
-        kinds = categories(rest.select(*boxes.columns), images, billing_bands(boxes, images), tagline)
+        kinds = categories(rest.select(*boxes.columns), images, billing_bands(boxes, images), tagline, season, season_title)
         rest = rest.join(kinds, ["image", "box_id"]).withColumn("_denied", ~c("category").isin(*allow))
     else:
         rest = rest.withColumn("_denied", F.lit(True))
@@ -294,8 +305,8 @@ def replay(labels: DataFrame, regions: DataFrame) -> DataFrame:
     labels(image, width, height, mode, allow array<string>, most_boxes, most_area), regions(image, box_id, text, category,
     significant, left, top, right, bottom): a region whose text names a season becomes one, others keep their category.
     """
-    season = normalise(c("text")).rlike(f"^(?:{'|'.join(SEASONS)})$")
-    r = regions.withColumn("_now", F.when(season, "season").otherwise(c("category"))).join(labels.select("image", "width", "height", "allow"), "image")
+    named = normalise(c("text")).rlike(f"^(?:{'|'.join(SEASONS)})$")
+    r = regions.withColumn("_now", F.when(named, "season").otherwise(c("category"))).join(labels.select("image", "width", "height", "allow"), "image")
     denied = c("significant") & ~F.array_contains("allow", c("_now"))
     area = (c("right") - c("left")) * (c("bottom") - c("top")) / (c("width") * c("height"))
     s = r.groupBy("image").agg(F.count_if(c("_now") != c("category")).alias("changed"), F.count_if(denied).alias("denied"), F.sum(F.when(denied, area).otherwise(0.0)).alias("denied_area"))

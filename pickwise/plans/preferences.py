@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import pairs
+from ..operators import exemplars, pairs
 from ..sources.tables import table
 from .registry import query
 
@@ -96,3 +96,13 @@ def split_overlap_proof(spark, sf_dir):
     """No subject stands in two parts: only equal parts have subjects in common."""
     s = pairs.split_subjects(table(spark, sf_dir, "orders").select(c("o_custkey").alias("subject")))
     return s.select("subject", c("part").alias("a")).join(s.select("subject", c("part").alias("b")), "subject").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+
+
+@query()
+def active_exemplars(spark, sf_dir):
+    """Which choices stand: one per customer, and one of 400 pictures for one customer at a time; some are withdrawn later."""
+    o = table(spark, sf_dir, "orders")
+    day = F.unix_date(c("o_orderdate").cast("date")).cast("long")
+    at = day * 10_000_000_000 + c("o_orderkey")
+    log = o.select(c("o_orderkey").alias("exemplar"), c("o_custkey").alias("subject"), (c("o_orderkey") * 7919 % 400).alias("picture"), at.alias("at"), F.when(c("o_orderkey") % 6 == 0, (day + 40) * 10_000_000_000).alias("revoked"))
+    return exemplars.activate(log)

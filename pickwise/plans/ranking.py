@@ -193,6 +193,13 @@ def greedy_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.greedy_near_duplicates(df)
 
 
+@query()
+def duplicate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What near duplicates of whole brands lose, to which, how far off, and why."""
+    df = raw(spark, sf_dir).select("subject", "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
+    return candidates.duplicate_ledger(candidates.greedy_near_duplicates(df))
+
+
 @query(f"WITH {RAW_SQL} SELECT CAST(g AS BIGINT) AS chunk, count(*) AS members, min(candidate_id) AS first_id, max(candidate_id) AS last_id FROM (SELECT candidate_id, (row_number() OVER (PARTITION BY subject ORDER BY candidate_id) - 1) // 8 AS g FROM raw) GROUP BY g")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subject's candidates in ordered chunks of eight, chunk numbers taken together."""

@@ -125,3 +125,33 @@ def label_replay(spark, sf_dir):
     regions = boxes(spark, sf_dir).withColumns({"category": was, "significant": c("confidence") > 0.7})
     labels = images(spark, sf_dir).select("image", "width", "height", F.when(c("image") % 3 > 0, "custom").otherwise("textless").alias("mode"), F.array(F.lit("season"), F.lit("title")).alias("allow"), F.lit(2).alias("most_boxes"), F.lit(0.04).alias("most_area"))
     return rounded(op.replay(labels, regions))
+
+
+#: Texts of a season's poster, and what they are for season 2, "The Long Dark".
+SEASON_READ = (("Part Two", "season"), ("the complete second season", "season_edition"), ("THE LONG DARK", "season_title"), ("The Lang Dark", "season_title"), ("Season 3", "other"), ("Netflix", "studio"), ("the last season", "season"), ("", "other"))
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}')" for i, (_, k) in enumerate(SEASON_READ))}) v(i, category)) SELECT p_partkey AS image, category FROM part JOIN t ON i = p_partkey % {len(SEASON_READ)}""")
+def season_box_categories(spark, sf_dir):
+    """What the texts of a season's poster are, its own number, edition and title among them."""
+    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("image"))
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in SEASON_READ]), (c("image") % len(SEASON_READ) + 1).cast("int"))
+    b = p.select("image", F.lit(0).alias("box_id"), text.alias("text"), F.lit(0.9).alias("confidence"), F.lit(10.0).alias("left"), F.lit(10.0).alias("top"), F.lit(60.0).alias("right"), F.lit(20.0).alias("bottom"), F.lit(True).alias("valid"))
+    out = op.categories(b, images(spark, sf_dir), b.where(F.lit(False)), season=2, season_title="The Long Dark")
+    return out.select("image", "category")
+
+
+def spread(spark, sf_dir: str) -> DataFrame:
+    """Pictures whose title is set in single letters: in a line, scrambled in a line, or broken over two lines."""
+    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("box_id"))
+    k, kind = c("box_id"), c("image") % 3
+    text = F.when(kind == 0, F.substring(F.lit("MATRIX"), k + 1, F.lit(1))).otherwise(F.substring(F.lit("XIRTA7"), k + 1, F.lit(1)))
+    left = F.when(kind == 2, 100.0 + k % 3 * 60).otherwise(60.0 + k * 60)
+    top = F.when((kind == 2) & (k >= 3), 160.0).otherwise(100.0)
+    return p.select("image", "box_id", text.alias("text"), F.lit(0.9).alias("confidence"), left.alias("left"), top.alias("top"), (left + 40).alias("right"), (top + 50).alias("bottom"), F.lit(True).alias("valid"))
+
+
+@query("""SELECT p_partkey AS image, CASE WHEN p_partkey % 3 = 0 THEN 'line_window' ELSE 'letter_band' END AS source, 6::BIGINT AS boxes FROM part""")
+def spread_title_evidence(spark, sf_dir):
+    """Titles in single letters: those of a line together, and bands whose letters stand in any order."""
+    return op.title_evidence(spread(spark, sf_dir), images(spark, sf_dir)).groupBy("image", "source").agg(F.count(F.lit(1)).alias("boxes"))

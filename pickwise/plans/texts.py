@@ -80,9 +80,28 @@ def resolution_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scores.resolution_label(width).alias("label"), width.alias("width"), height.alias("height"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(lower(regexp_replace(text, '[^A-Za-z0-9\s]', ' ', 'g')), '\b(season 2|season 02|s2|s02|season ii|season two|second season)\b') AS season FROM documents""")
+#: Texts that name season 2 or do not.
+NAMED = ("Season 2", "2nd season", "SEASON TWO", "Part II", "book two", "Vol. 2", "S02", "the final season", "Complete Second Season", "The Complete Season 2", "i liked season 2 best", "Season 12", "Chapter 3", "two")
+TEXT_SQL = f"t AS (SELECT p_partkey, [{', '.join(repr(x) for x in NAMED)}][CAST(1 + p_partkey % {len(NAMED)} AS BIGINT)] AS text FROM part), n AS (SELECT p_partkey, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS said FROM t)"
+
+
+@query(rf"""WITH {TEXT_SQL}, q AS (SELECT p_partkey, said, replace(said, ' ', '') AS x FROM n)
+SELECT p_partkey, regexp_full_match(x, '(season|book|part|chapter|volume|vol)(2|2nd|two|second|ii)|(2|2nd|two|second|ii)season|s0?2') OR said IN ('final season', 'last season', 'the final season', 'the last season') AS season,
+  regexp_full_match(x, '(the)?complete((2|2nd|two|second|ii)season|season(2|2nd|two|second|ii))') AS edition FROM q""")
 def season_mentions(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", texts.mentions_season(c("text"), 2).alias("season"))
+    """Whether a text as a whole names season 2, or its complete edition."""
+    text = F.element_at(F.array(*[F.lit(x) for x in NAMED]), (c("p_partkey") % len(NAMED) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", texts.season_text(text, 2).alias("season"), texts.season_edition(text, 2).alias("edition"))
+
+
+@query(r"""WITH f AS (SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 3 = 0 THEN '-show.jpg' WHEN s_suppkey % 3 = 1 THEN printf('-season%02d.png', s_suppkey % 12) ELSE '.jpg' END AS file FROM supplier)
+SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN regexp_replace(file, '-(show|season[0-9]+)\.[a-z]+$', '') END AS title, CAST(nullif(regexp_extract(file, '-season([0-9]+)\.', 1), '') AS INTEGER) AS season FROM f""")
+def tv_filename_parse(spark, sf_dir):
+    """Series' titles and seasons out of artwork names."""
+    k = c("s_suppkey")
+    file = F.concat("s_name", F.when(k % 3 == 0, "-show.jpg").when(k % 3 == 1, F.format_string("-season%02d.png", k % 12)).otherwise(".jpg"))
+    title, season = texts.parse_tv_name(file)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", title.alias("title"), season.alias("season"))
 
 
 @query()

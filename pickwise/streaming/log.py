@@ -5,25 +5,13 @@ Each query runs over what is there (availableNow) into a table in the shared fol
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that the cluster shares. Without one, a single machine's own folder serves; a cluster
-    is refused, as its executors would each write to their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'pickwise')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.scratch import shared_folder
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

@@ -58,12 +58,24 @@ def brute_clusters(sim, threshold):
     return sorted(sorted(x) for x in own)
 
 
-def test_average_linkage():
+def test_average_linkage(spark):
     rng = np.random.default_rng(0)
-    for _ in range(15):
-        x = rng.standard_normal((9, 3))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        assert sorted(sorted(c) for c in candidates.cluster(x @ x.T, 0.4)) == brute_clusters(x @ x.T, 0.4)
+    for threshold in (0.4, 0.88):
+        pairs_, members, want = [], [], {}
+        for k in range(12):
+            x = rng.standard_normal((9, 3)) + (k % 3) * 2
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            sim = x @ x.T
+            pairs_ += [(k, i, j, float(sim[i, j])) for i in range(9) for j in range(i + 1, 9)]
+            members += [(k, i) for i in range(9)]
+            want[k] = brute_clusters(sim, threshold)
+        found = candidates.average_linkage(spark.createDataFrame(pairs_, "subject int, a int, b int, similarity double"), spark.createDataFrame(members, "subject int, id int"), threshold).collect()
+        for k, own in want.items():
+            of = {}
+            for r in found:
+                if r["subject"] == k:
+                    of.setdefault(r["cluster"], []).append(r["id"])
+            assert sorted(map(sorted, of.values())) == own and all(c == min(m) for c, m in of.items())
 
 
 def test_stacks(spark):
@@ -83,7 +95,6 @@ def test_greedy_near_duplicates(spark):
 def test_overlaps_and_lines(spark):
     b = spark.createDataFrame([(1, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 2, 0.8, 1.0, 1.0, 10.0, 10.0), (1, 3, 0.7, 20.0, 1.0, 30.0, 9.0)], "image int, box_id int, confidence double, left double, top double, right double, bottom double")
     assert sorted(r["box_id"] for r in candidates.suppress_overlaps(b).collect()) == [1, 3]
-    assert {(r["box_id"], r["line"]) for r in candidates.lines(b).collect()} == {(1, 0), (2, 0), (3, 0)}
 
 
 def test_typicality_peaks_at_samples(spark):
@@ -136,13 +147,16 @@ def test_batch_outcomes(spark):
 
 def test_cursors():
     of = jobs.contract("queue", {"a": 1, "b": None}, "x")
-    assert of == jobs.contract("queue", {"a": 1}, "x") and len(of) == 16
+    assert of == jobs.contract("queue", {"a": 1}, "x") and of != jobs.contract("queue", {"a": 2}, "x")
     assert jobs.decode_cursor(jobs.encode_cursor(of, ["x", 1, 2.5, None]), of) == ["x", 1, 2.5, None]
-    for token, query in ((jobs.encode_cursor(of, [1]), "other"), ("", of), ("%%", of), ("e30", of), ("W10", of), ("a" * 5000, of)):
+    token = jobs.encode_cursor(of, [1, "y"])
+    for token, query in ((token, jobs.contract("queue", {}, "x")), ("", of), ("%%", of), (token[:-2], of), (token[:-1] + "0", of), ("00" + token, of), ("a" * 5000, of)):
         with pytest.raises(jobs.CursorError):
             jobs.decode_cursor(token, query)
     with pytest.raises(jobs.CursorError):
         jobs.encode_cursor(of, [[1]])
+    with pytest.raises(jobs.CursorError):
+        jobs.encode_cursor(of, ["x" * 5000])
 
 
 def test_deletes_keep_to_their_plan(spark):
@@ -191,7 +205,12 @@ def test_small_splits(spark):
 def test_text_functions(spark):
     r = one(spark, texts.normalise(F.lit("  A-b,  C! ")), texts.sort_key(F.lit("THE Night")), texts.sort_title(F.lit("The Night")), texts.sort_title(F.lit("Theory")), texts.reason_base(F.lit("x:y")), texts.redact(F.lit("a token=abc b"))[0])
     assert tuple(r) == ("a b c", "Night", "Night, The", "Theory", "x", "a token=[REDACTED] b")
-    assert "season iv" in texts.season_forms(4) and texts.escape_like("5%_") == "5\\%\\_"
+    assert texts.season_forms(4) == ["4", "4th", "four", "fourth", "iv"] and texts.season_forms(112) == ["112", "112th", "one hundred twelve", "one hundred twelfth", "cxii"]
+    assert texts.season_forms(21)[1:] == ["21st", "twenty one", "twenty first", "xxi"] and texts.season_forms(30)[3] == "thirtieth" and texts.season_forms(100)[3] == "one hundredth" and texts.season_forms(1994)[-1] == "mcmxciv"
+    said = {"2nd season": True, "part 2": True, "Book two": True, "the final season": True, "i liked season 2 best": False, "s2": True, "Sea son 2": True, "season 20": False, "": False}
+    assert [one(spark, texts.season_text(F.lit(t), 2))[0] for t in said] == list(said.values())
+    assert tuple(one(spark, *texts.parse_resolution(F.lit("120000x80")), *texts.parse_resolution(F.lit("a1x2")))) == (120000, 80, None, 2)
+    assert texts.escape_like("5%_") == "5\\%\\_"
     r = one(spark, *texts.parse_title(F.lit("Some Film (1999) 2.jpg")), *texts.parse_title(F.lit("odd.jpg")))
     assert tuple(r) == ("Some Film", 1999, 2, None, None, None)
 

@@ -1,6 +1,7 @@
 """The text gate on hand-made pictures, and its matching against plain loops."""
 
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -49,9 +50,66 @@ def test_fixed_flags_by_plain_loops():
         assert is_title or odd == any(len(w) >= 4 and not w.isdigit() and not explained(w, title + director) for w in words), text
 
 
-def test_lines_are_greedy():
-    assert op.line_groups([(10, 100, 20), (50, 108, 20), (90, 160, 20), (5, 112, 20)], 500) == [[0, 1, 3], [2]]
-    assert op.line_groups([], 500) == []
+def plain_lines(boxes, high):
+    """Each line as (sum of centres, tallest, members), by a plain loop."""
+    out = []
+    for k, x, y, tall in sorted(boxes, key=lambda b: (b[2], b[1], b[0])):
+        tall = max(1.0, tall)
+        for own in out:
+            if abs(y - own[0] / len(own[2])) <= max(0.018 * high, 0.7 * max(tall, own[1])):
+                own[0], own[1] = own[0] + y, max(own[1], tall)
+                own[2].append(k)
+                break
+        else:
+            out.append([y, tall, [k]])
+    return [own[2] for own in out]
+
+
+def test_lines_by_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows, want = [], set()
+    for image in range(30):
+        own = [(k, rng.randrange(400), rng.randrange(300) / 2, rng.choice([4.0, 10.0, 30.0])) for k in range(rng.randint(1, 12))]
+        rows += [(image, k, x - 5.0, y - t / 2, x + 5.0, y + t / 2, 500) for k, x, y, t in own]
+        want |= {(image, k, n) for n, line in enumerate(plain_lines(own, 500)) for k in line}
+    df = spark.createDataFrame(rows, "image int, box_id int, left double, top double, right double, bottom double, height int")
+    assert {tuple(r) for r in op.same_lines(df).select("image", "box_id", "line").collect()} == want
+    assert op.same_lines(df.limit(0)).count() == 0
+
+
+def plain_bands(boxes, title, tokens, wide, high):
+    """Box ids of bands by a plain loop over first and last rows; boxes: (id, letters, left, top, right, bottom)."""
+    at = {b[0]: b for b in boxes}
+    rows = sorted(plain_lines([(b[0], (b[2] + b[4]) / 2, (b[3] + b[5]) / 2, b[5] - b[3]) for b in boxes], high), key=lambda own: sum((at[k][3] + at[k][5]) / 2 for k in own) / len(own))
+    middle = lambda own: sorted(at[k][5] - at[k][3] for k in own)[len(own) // 2]
+    taken = set()
+    for a in range(len(rows)):
+        for z in range(a, len(rows)):
+            own = [k for r in rows[a : z + 1] for k in r]
+            if z > a and min(at[k][3] for k in rows[z]) - max(at[k][5] for r in rows[a:z] for k in r) > 1.2 * middle(own):
+                break
+            signs = {ch for k in own for ch in at[k][1] if ch.isalpha()}
+            if len(own) < 3 or max(at[k][4] for k in own) - min(at[k][2] for k in own) < 0.18 * wide or middle(own) < 0.035 * high or not signs:
+                continue
+            shares = [(len(signs & set(t)) / len(set(t)), len(signs & set(t)) / len(signs)) for t in (title, *tokens)]
+            covers, own_share = max(shares, key=lambda s: s[0])
+            if covers >= 0.55 and own_share >= 0.55 or covers >= 0.40 and own_share >= 0.80:
+                taken |= set(own)
+    return taken
+
+
+def test_bands_by_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for image in range(60):
+        boxes = []
+        for k in range(rng.randint(2, 9)):
+            left, top, tall = rng.randrange(0, 900, 60), rng.randrange(0, 400, 40), rng.choice([30, 60, 90])
+            boxes.append((k, rng.choice("romulusxz") + rng.choice(["", "a"]), float(left), float(top), float(left + 50), float(top + tall)))
+        rows += [(image, k, t.upper(), 0.9, left, top, right, bottom, True) for k, t, left, top, right, bottom in boxes]
+        want |= {(image, k) for k in plain_bands(boxes, "romulus", ["romulus"], 1000, 1500)}
+    b, i = spark.createDataFrame(rows, BOX), spark.createDataFrame([(n, 1000, 1500, "Romulus", ["romulus"], []) for n in range(60)], "image int, width int, height int, title string, title_tokens array<string>, director_tokens array<string>")
+    assert want and {tuple(r) for r in op.letter_bands(op.looked_for(b, i)).collect()} == want
 
 
 def test_directors(spark):
