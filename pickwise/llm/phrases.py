@@ -15,6 +15,7 @@ many tasks: its occurrences go by one word more, and its own count travels by it
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,11 +112,24 @@ def mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def packed(rows: np.ndarray, count: np.ndarray) -> bytes:
+    """Rows in order of their first word, and their counts, column by column: the first as steps, all in the narrowest width."""
+    columns = np.concatenate([np.diff(rows[:, :1], axis=0, prepend=0), rows[:, 1:], count[:, None]], axis=1)
+    kind = "<u2" if len(rows) and 0 <= columns.min() and columns.max() < 2**16 else "<i8"
+    return kind[1:].encode() + zlib.compress(columns.T.astype(kind).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.frombuffer(zlib.decompress(data[2:]), dtype="<" + data[:2].decode()).reshape(LONGEST + 1, -1).astype(np.int64)
+    columns[0] = np.cumsum(columns[0])
+    return columns[:LONGEST].T, columns[LONGEST]
+
+
 def projected(docs: DataFrame, table: np.ndarray, heavy: dict[str, list[tuple[bytes, ...]]], buckets: int) -> DataFrame:
     """bucket, lang, kind, words, windows: the occurrences of two-word prefixes with what follows, by the prefix's bucket.
 
-    windows: four columns of word numbers (0: the phrase has ended) and one of counts, unsigned 32-bit; words: the names,
-    from number 1. kind 0: occurrences to grow; kind 1: counts of heavy prefixes, to add up.
+    windows: `packed` rows of four word numbers (0: the phrase has ended) with counts; words: the names, from number 1,
+    compressed. kind 0: occurrences to grow; kind 1: counts of heavy prefixes, to add up.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((table, heavy))  # SPOTS bits and at most a few thousand prefixes
@@ -129,10 +143,10 @@ def projected(docs: DataFrame, table: np.ndarray, heavy: dict[str, list[tuple[by
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             used, inverse = np.unique(rows[a:b], return_inverse=True)
             at = 1 if used[0] == 0 else 0
-            local = (inverse.reshape(b - a, LONGEST) + (1 - at)).astype("<u4")
+            local = inverse.reshape(b - a, LONGEST) + (1 - at)
             out[0].append(int(bucket[a]))
-            out[1].append(b"\n".join(names[i] for i in used[at:].tolist()))
-            out[2].append(local.T.tobytes() + count[a:b].astype("<u4").tobytes())
+            out[1].append(zlib.compress(b"\n".join(names[i] for i in used[at:].tolist()), 1))
+            out[2].append(packed(local, count[a:b]))
         if out[0]:
             m = len(out[0])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([lang] * m), pa.array([kind] * m, pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], schema=kinds)
@@ -225,9 +239,9 @@ def grown(blocks: DataFrame, least: int, heavy: dict[str, list[tuple[bytes, ...]
     def settle(lang: str, kind: int, held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         words, parts = Words(), []
         for names, windows in held:
-            own = np.concatenate([[0], words.numbers(names.split(b"\n"))])
-            x = np.frombuffer(windows, dtype="<u4").reshape(LONGEST + 1, -1)
-            parts.append((own[x[:LONGEST].T], x[LONGEST].astype(np.int64)))
+            own = np.concatenate([[0], words.numbers(zlib.decompress(names).split(b"\n"))])
+            x, count = unpacked(windows)
+            parts.append((own[x], count))
         rows, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         known = {tuple(words[w] for w in p) for p in shared.value.get(lang, ()) if all(w in words for w in p)}
         names = list(words)
