@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
-from .vectors import dimension, matrix, usable
+from .vectors import matrix, usable
 
 CODES = 16
 
@@ -125,8 +126,8 @@ def fit(vectors: DataFrame, dims: int, sample_rows: int = 8192, **options) -> Qu
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, block_rows: int = 8192, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of `embeddings` for each row of `queries`, the query's own vec_id apart.
 
-    Both have (vec_id, embedding). Null, zero or unfinished vectors, rows without vec_id and vectors of another length
-    than the commonest take no part. Rows that repeat a vec_id with the same vector count once; with another vector,
+    Both have (vec_id, embedding). Null, zero or unfinished vectors and rows without vec_id take no part; vectors of each
+    length are searched among themselves. Rows that repeat a vec_id with the same vector count once; with another vector,
     each counts. Equal scores go by vec_id. Fewer candidates than k: all of them. Empty tables: empty result.
     Equal vectors are one candidate, which stands for its k + 1 smallest vec_ids. In each square block a query scores its
     `rerank` candidates with the largest table sums in double precision, then every other one whose sum and coding error
@@ -134,14 +135,20 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
     """
     clean = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     clean = save(clean.dropDuplicates(["vec_id", "embedding"]), "vectors")
-    dims = dimension(clean)
-    out = "query_id long, rank int, vec_id long, score double"
-    spark = embeddings.sparkSession
-    if not dims:
-        return spark.createDataFrame([], out)
-    clean = clean.where(F.size("embedding") == dims)
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & (F.size("embedding") == dims)).dropDuplicates(["vec_id", "embedding"])
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
     asked = save(asked, "queries")
+    lengths = sorted(r["d"] for r in asked.select(F.size("embedding").alias("d")).distinct().collect())  # a few numbers
+    own = lambda rows, d: rows.where(F.size("embedding") == d)
+    found = [one_length(own(clean, d), own(asked, d), d, k, rerank, block_rows, **options) for d in lengths]
+    if not found:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def one_length(clean: DataFrame, asked: DataFrame, dims: int, k: int, rerank: int, block_rows: int, **options) -> DataFrame:
+    """query_id, vec_id, score: each block's k best for each query, among usable vectors of one length."""
     quantiser = fit(clean, dims, **options)
     first = Window.partitionBy("embedding").orderBy("vec_id")
     few = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)  # the query's own row and k others
@@ -205,6 +212,4 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
                     cols["score"].append(score[best])
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, dtype=t) for (c, v), t in zip(cols.items(), ("int64", "int64", "float64"), strict=True)})
 
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(nearest, "query_id long, vec_id long, score double")

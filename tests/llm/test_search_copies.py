@@ -21,3 +21,15 @@ def test_search_among_copies(spark):
             keep = np.flatnonzero(ids != q)
             best = keep[np.lexsort((ids[keep], -score[keep]))[:20]]
             assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == ids[best].tolist()
+
+
+def test_search_within_each_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(5 if i < 90 else 3 if i < 130 else 1).tolist()) for i in range(150)] + [(160, None), (180, [0.0, 0.0, 0.0]), (200, [1.0, float("nan"), 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, df.where("vec_id % 20 = 0"), k=7, rerank=4, block_rows=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    good = {i: np.array(v) for i, v in rows[:150]}
+    want = {q: [j for _, j in sorted((-float((v * good[q]).sum()), j) for j, v in good.items() if j != q and len(v) == len(good[q]))[:7]] for q in good if q % 20 == 0}
+    assert got == want and {len(good[q]) for q in got} == {1, 3, 5}
