@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import texts, vectors
 from ..operators import results as op
 from ..operators import timeseries as ts
-from ..sources import tables
+from ..sources import publish, tables
 from ..sources.tables import table
 from ..streaming import log
 from .registry import query
@@ -164,11 +164,11 @@ def event_details(spark, sf_dir):
     return e.select("event_id", m.alias("m")).select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("user")).alias("user_id"))
 
 
-@query("""SELECT p_brand AS subject, p_partkey AS candidate_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey % 5 DESC, p_partkey) AS place FROM part WHERE p_partkey % 20 < 10""")
+@query("""SELECT p_brand || ':' || (p_partkey // 400) AS subject, p_partkey AS candidate_id, row_number() OVER (PARTITION BY p_brand, p_partkey // 400 ORDER BY p_size DESC, p_partkey % 5 DESC, p_partkey) AS place FROM part""")
 def listing_order(spark, sf_dir):
     """Nested lists of candidates as rows, the best voted of each subject first."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 20 < 10")
-    nested = p.groupBy(c("p_brand").alias("subject")).agg(F.collect_list(F.struct(c("p_partkey").alias("candidate_id"), c("p_size").alias("vote_average"), (c("p_partkey") % 5).alias("vote_count"))).alias("candidates"))
+    p = table(spark, sf_dir, "part")
+    nested = p.groupBy(F.concat_ws(":", "p_brand", F.floor(c("p_partkey") / 400)).alias("subject")).agg(F.collect_list(F.struct(c("p_partkey").alias("candidate_id"), c("p_size").alias("vote_average"), (c("p_partkey") % 5).alias("vote_count"))).alias("candidates"))
     return tables.listing_candidates(nested, "candidate_id").select("subject", "candidate_id", "place")
 
 
@@ -198,3 +198,44 @@ def finite_archive(spark, sf_dir):
     tables.write_json(table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), F.struct(inf.alias("x")).alias("s"), F.array(F.struct(x.alias("x"))).alias("a")), path)
     back = spark.read.schema("p_partkey long, x double, s struct<x: double>, a array<struct<x: double>>").json(path)
     return back.select("p_partkey", "x", c("s.x").alias("inner_x"), c("a")[0]["x"].alias("item"))
+
+
+@query("SELECT o_custkey, count(*) AS n, 2::BIGINT AS version, true AS refused FROM orders GROUP BY o_custkey")
+def published_evidence(spark, sf_dir):
+    """A table published twice, with a publisher that broke off and one that came too late between: readers see the last whole version."""
+    root, o = log.shared_folder(spark, "published"), table(spark, sf_dir, "orders")
+    counts = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    first = publish.publish(counts.where("n > 3"), root, 0)
+    publish.stage(counts.where("n > 5"), root)  # broke off before its manifest
+    publish.publish(counts, root, first)
+    try:
+        publish.publish(counts.where("n > 7"), root, first)
+        late = False
+    except publish.Conflict:
+        late = True
+    return publish.published(spark, root).withColumns({"version": F.lit(publish.current(spark, root)).cast("long"), "refused": F.lit(late)})
+
+
+@query("""WITH p AS (SELECT page_id % 16 AS folder, sum(strlen(coalesce(html, '')) + 1) AS length FROM pages GROUP BY 1), m AS (SELECT CAST(floor(avg(length)) AS BIGINT) AS most FROM p)
+SELECT folder::BIGINT AS folder, length::BIGINT AS length, CASE WHEN length <= most THEN length::BIGINT END AS read FROM p, m""")
+def gated_files(spark, sf_dir):
+    """Pages as files, read back behind a gate on their size: large ones are told by name and size, their bytes are not read."""
+    path = log.shared_folder(spark, "pages")
+    p = table(spark, sf_dir, "pages").select((c("page_id") % 16).alias("folder"), F.coalesce("html", F.lit("")).alias("value"))
+    p.repartition(16, "folder").sortWithinPartitions("folder").write.partitionBy("folder").text(path)
+    most = tables.files(spark, path, "*.txt").agg(F.floor(F.avg("length"))).first()[0]
+    small, large = tables.gated_files(spark, path, most, "*.txt")
+    folder = F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("long").alias("folder")
+    return small.select(folder, "length", F.octet_length("content").cast("long").alias("read")).unionByName(large.select(folder, "length", F.lit(None).cast("long").alias("read")))
+
+
+@query("""SELECT event_type AS topic, count(*) AS lines, max(event_id) AS cursor, round(sum(value), 4) AS total FROM events WHERE event_id % 50 > 0 GROUP BY 1
+UNION ALL SELECT 'quarantine', count(*), NULL, NULL FROM events WHERE event_id % 50 = 0""")
+def log_quarantine(spark, sf_dir):
+    """A log as compressed JSON Lines, some of them cut short: whole lines by topic, and how many were set aside."""
+    path = log.shared_folder(spark, "lines")
+    e = table(spark, sf_dir, "events").select(F.to_json(F.struct(c("event_id").alias("cursor"), c("event_type").alias("topic"), "value")).alias("line"), "event_id")
+    e.select(F.when(c("event_id") % 50 == 0, F.substring("line", 1, F.length("line") - 5)).otherwise(c("line")).alias("value")).write.option("compression", "gzip").text(path)
+    good, bad = tables.quarantined(spark, path, "cursor long, topic string, value double")
+    told = good.groupBy("topic").agg(F.count(F.lit(1)).alias("lines"), F.max("cursor").alias("cursor"), F.round(F.sum("value"), 4).alias("total"))
+    return told.unionByName(bad.agg(F.lit("quarantine").alias("topic"), F.count(F.lit(1)).alias("lines"), F.lit(None).cast("long").alias("cursor"), F.lit(None).cast("double").alias("total")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import timeseries as ts
 from ..sources.tables import table
-from ..streaming import log
+from ..streaming import log, timers
 from ..streaming import progress as pg
 from .registry import query
 
@@ -96,28 +96,28 @@ def stream_progress(spark, sf_dir):
     return log.progress(spark, f"{sf_dir}/events.parquet")
 
 
-CLIENTS = "SELECT c_custkey AS client, CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN -5 WHEN 2 THEN 10000000 ELSE (c_custkey * 97) % 1100 END AS after FROM customer"
+CLIENTS = "SELECT c_custkey AS client, CASE WHEN c_custkey % 10 = 1 THEN -5 WHEN c_custkey % 10 = 2 THEN e.hi + 10 WHEN c_custkey % 10 > 2 THEN e.hi - (c_custkey * 97) % 1100 END AS after FROM customer, e"
+RESUME_SQL = f"l AS (SELECT event_id AS cursor FROM events), e AS (SELECT min(cursor) AS lo, max(cursor) AS hi FROM l), k AS ({CLIENTS})"
 
 
 def clients(spark, sf_dir: str) -> DataFrame:
-    k = c("c_custkey")
-    after = F.when(k % 10 == 1, -5).when(k % 10 == 2, 10000000).when(k % 10 > 2, (k * 97) % 1100)
-    return table(spark, sf_dir, "customer").select(k.alias("client"), after.alias("after"))
+    """Places in the log of clients that come back: most some way before its end, some nowhere, some beyond it."""
+    k, hi = c("c_custkey"), events(spark, sf_dir).agg(F.max("event_id").alias("hi"))  # one row
+    after = F.when(k % 10 == 1, -5).when(k % 10 == 2, c("hi") + 10).when(k % 10 > 2, c("hi") - (k * 97) % 1100)
+    return table(spark, sf_dir, "customer").crossJoin(F.broadcast(hi)).select(k.alias("client"), after.alias("after"))
 
 
-@query(f"""WITH l AS (SELECT event_id AS cursor FROM events WHERE event_id BETWEEN 100 AND 1000), k AS ({CLIENTS}), e AS (SELECT min(cursor) AS lo, max(cursor) AS hi FROM l), j AS (SELECT client, coalesce(after, hi) AS after, lo, hi FROM k, e),
-r AS (SELECT *, after < 0 OR after > hi OR after < lo - 1 OR hi - after > 600 AS reset FROM j) SELECT client, reset, CASE WHEN reset THEN hi ELSE after END AS next, CASE WHEN reset THEN 0 ELSE hi - after END AS missed FROM r""")
+@query(f"""WITH {RESUME_SQL}, j AS (SELECT client, coalesce(after, hi) AS after, lo, hi FROM k, e), r AS (SELECT *, after < 0 OR after > hi OR after < lo - 1 OR hi - after > 600 AS reset FROM j)
+SELECT client, reset, CASE WHEN reset THEN hi ELSE after END AS next, CASE WHEN reset THEN 0 ELSE hi - after END AS missed FROM r""")
 def event_resume(spark, sf_dir):
     """What clients that come back to the log get: the rows they missed, or a reset."""
-    lines = events(spark, sf_dir).where("event_id BETWEEN 100 AND 1000").select(c("event_id").alias("cursor"))
-    return pg.resume(lines, clients(spark, sf_dir), 600)[0]
+    return pg.resume(events(spark, sf_dir).select(c("event_id").alias("cursor")), clients(spark, sf_dir), 600)[0]
 
 
-@query(f"""WITH l AS (SELECT event_id AS cursor FROM events WHERE event_id BETWEEN 100 AND 1000), k AS ({CLIENTS}) SELECT client, cursor FROM k JOIN l ON cursor > after WHERE after >= 400 AND after <= 1000 AND client % 100 = 3""")
+@query(f"""WITH {RESUME_SQL} SELECT client, cursor FROM k JOIN e ON after >= 0 AND after >= lo - 1 AND after <= hi AND hi - after <= 600 JOIN l ON cursor > after""")
 def event_replay(spark, sf_dir):
-    """The rows that some of these clients are sent again."""
-    lines = events(spark, sf_dir).where("event_id BETWEEN 100 AND 1000").select(c("event_id").alias("cursor"))
-    return pg.resume(lines, clients(spark, sf_dir).where("client % 100 = 3"), 600)[1]
+    """The rows that clients are sent again."""
+    return pg.resume(events(spark, sf_dir).select(c("event_id").alias("cursor")), clients(spark, sf_dir), 600)[1]
 
 
 @query("""WITH k AS (SELECT DISTINCT user_id AS client, ['click', 'error', 'login', 'purchase', 'view'][1 + user_id % 5] AS topic, user_id * 3 AS after FROM events), n AS (SELECT client, count(*) AS n, max(event_id) AS last FROM k JOIN events ON event_type = topic AND event_id > after GROUP BY client)
@@ -130,12 +130,45 @@ def event_fanout(spark, sf_dir):
     return pg.fan_out(e.select(c("event_id").alias("cursor"), c("event_type").alias("topic")), k, 16)
 
 
-@query()
+REPORT_SQL = """o AS (SELECT user_id AS job, epoch_us(ts) / 1e6 AS moment, CASE WHEN event_id % 8 = 0 THEN 'b' ELSE 'a' END AS stage, CAST(event_id % 100 AS DOUBLE) AS share FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY moment, stage) AS k FROM o)"""
+
+
+@query(f"""WITH RECURSIVE {REPORT_SQL}, s AS (
+  SELECT job, k, moment AS last, stage, share, NULL::DOUBLE AS waits, NULL::VARCHAR AS w_stage, NULL::DOUBLE AS w_share, NULL::DOUBLE AS timer, NULL::DOUBLE AS fired, NULL::DOUBLE AS fired_of, moment AS wrote FROM n WHERE k = 1
+  UNION ALL SELECT job, k, CASE WHEN now THEN moment ELSE last END, CASE WHEN now THEN new_stage ELSE stage END, CASE WHEN now THEN new_share ELSE share END, CASE WHEN now THEN NULL ELSE moment END, new_stage, new_share,
+    CASE WHEN now THEN timer ELSE coalesce(timer, moment + 3600.0) END, fired, fired_of, CASE WHEN now THEN moment END
+  FROM (SELECT *, stage <> new_stage OR new_share - share >= 60.0 OR moment - last >= 20000.0 AS now FROM (
+    SELECT n.job, n.k, n.moment, n.stage AS new_stage, n.share AS new_share, CASE WHEN due THEN t.timer ELSE t.last END AS last, CASE WHEN due THEN t.w_stage ELSE t.stage END AS stage, CASE WHEN due THEN t.w_share ELSE t.share END AS share,
+      CASE WHEN t.timer <= n.moment THEN NULL ELSE t.timer END AS timer, CASE WHEN due THEN t.timer END AS fired, CASE WHEN due THEN t.waits END AS fired_of
+    FROM (SELECT s.*, m.moment AS next_at, coalesce(s.timer <= m.moment AND s.waits IS NOT NULL, false) AS due FROM s JOIN n m ON m.job = s.job AND m.k = s.k + 1) t JOIN n ON n.job = t.job AND n.k = t.k + 1)))
+SELECT job, round(fired, 3) AS written, round(fired_of, 3) AS observed FROM s WHERE fired IS NOT NULL UNION ALL SELECT job, round(wrote, 3), round(wrote, 3) FROM s WHERE wrote IS NOT NULL
+UNION ALL SELECT job, round(timer, 3), round(waits, 3) FROM s WHERE waits IS NOT NULL AND k = (SELECT max(k) FROM n WHERE n.job = s.job)""")
 def progress_coalesced(spark, sf_dir):
-    """Which of a user's reports are written, and when: changes at once, the rest at a bounded pace."""
-    at = F.unix_micros(c("ts").cast("timestamp")) / 1e6
-    o = events(spark, sf_dir).select(c("user_id").alias("job"), at.alias("at"), F.when(c("event_id") % 8 == 0, "b").otherwise("a").alias("stage"), (c("event_id") % 100).cast("double").alias("share"), F.lit(0).alias("warnings"))
-    return pg.coalesce_progress(o, cadence=3600.0, staleness=20_000.0, delta=60.0)
+    """Which of a user's reports are written, and when, as a stream with timers: changes at once, the rest at a bounded pace."""
+    e = log.source(spark, f"{sf_dir}/events.parquet")
+    o = e.select(c("user_id").alias("job"), "ts", (F.unix_micros("ts") / 1e6).alias("at"), F.when(c("event_id") % 8 == 0, "b").otherwise("a").alias("stage"), (c("event_id") % 100).cast("double").alias("share"), F.lit(0).cast("long").alias("warnings"))
+    path = timers.until_quiet(spark, o, lambda s: timers.paced(s, cadence=3600.0, staleness=20_000.0, delta=60.0), "paced")
+    return spark.read.schema("job long, written double, observed double").parquet(path).select("job", F.round("written", 3).alias("written"), F.round("observed", 3).alias("observed"))
+
+
+@query("""WITH b AS (SELECT user_id AS worker, epoch_us(ts) // 1000 AS moment, event_type = 'error' AS stopped, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id)),
+l AS (SELECT *, lag(moment) OVER w AS before, lag(stopped) OVER w AS was, lead(moment) OVER w AS after FROM b WINDOW w AS (PARTITION BY worker ORDER BY k))
+SELECT worker, moment, 'stopped' AS status FROM l WHERE stopped AND NOT coalesce(was, false) UNION ALL SELECT worker, moment, 'active' FROM l WHERE NOT stopped AND (before IS NULL OR was OR moment - before >= 21600000)
+UNION ALL SELECT worker, moment + 21600000, 'stale' FROM l WHERE NOT stopped AND (after IS NULL OR after - moment >= 21600000)""")
+def stream_liveness(spark, sf_dir):
+    """When workers come alive, stop and fall silent, as a stream whose timers tell of silence without a new beat."""
+    e = log.source(spark, f"{sf_dir}/events.parquet")
+    b = e.select(c("user_id").alias("worker"), "ts", c("event_id").alias("nth"), (c("event_type") == "error").alias("stopped"))
+    path = timers.until_quiet(spark, b, lambda s: timers.liveness(s, 6 * 3_600_000), "liveness")
+    return spark.read.schema("worker long, at long, status string").parquet(path).withColumnRenamed("at", "moment")
+
+
+@query("SELECT event_id AS cursor, event_type AS topic FROM events")
+def stream_resume(spark, sf_dir):
+    """The whole log to a consumer that stopped after its first files and came back."""
+    lines = events(spark, sf_dir).select(c("event_id").alias("cursor"), c("event_type").alias("topic"))
+    return timers.resumed(spark, timers.as_files(lines, "cursor", 8), "cursor long, topic string", 2)
 
 
 ITEM_SQL = """f AS (SELECT user_id AS item, event_id AS seq, CASE WHEN event_type = 'error' AND value > 20 THEN 'failed' WHEN event_type = 'purchase' AND value > 30 THEN 'succeeded' ELSE 'running' END AS status, CASE WHEN event_id % 10 < 7 THEN 'fetch' ELSE 'rank' END AS stage, CASE WHEN event_id % 3 > 0 THEN event_id % 50 END AS completed, 50 AS total FROM events)"""
@@ -151,11 +184,15 @@ def item_state(spark, sf_dir):
     return pg.item_state(f)
 
 
-@query("""WITH r AS (SELECT user_id, event_id, event_id // 4000 AS fence, value, event_type, lag(event_id // 4000) OVER w AS f0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id AS job, max(fence) AS fence, max(event_id) AS sequence, count(*) AS accepted, 0::BIGINT AS refused, CAST(max(event_id) AS DOUBLE) AS share FROM r GROUP BY user_id""")
+@query("""WITH RECURSIVE r AS (SELECT user_id AS job, event_id // 4000 AS fence, event_id // 2 AS seq, event_type AS scope, CASE WHEN event_id % 7 > 0 THEN CAST(event_id % 50 AS DOUBLE) END AS share, row_number() OVER (PARTITION BY user_id ORDER BY event_id // 4000, event_id // 2, event_id) AS k FROM events),
+s AS (SELECT job, k, fence, seq, scope, share, 1::BIGINT AS accepted, 0::BIGINT AS refused FROM r WHERE k = 1
+UNION ALL SELECT job, k, CASE WHEN ok THEN nf ELSE fence END, CASE WHEN ok THEN ns ELSE seq END, CASE WHEN ok THEN nc ELSE scope END, CASE WHEN ok THEN nh ELSE share END, accepted + CASE WHEN ok THEN 1 ELSE 0 END, refused + CASE WHEN ok THEN 0 ELSE 1 END FROM (
+  SELECT s.* EXCLUDE (k), r.k, r.fence AS nf, r.seq AS ns, r.scope AS nc, r.share AS nh, r.fence > s.fence OR (r.seq > s.seq AND NOT coalesce(r.scope = s.scope AND r.share < s.share, false)) AS ok FROM s JOIN r ON r.job = s.job AND r.k = s.k + 1))
+SELECT job, fence, seq AS sequence, accepted, refused, share FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY k DESC) = 1""")
 def stream_valid_progress(spark, sf_dir):
-    """Rising reports with a fence as a keyed-state stream: all are taken, the state is the last of each worker."""
-    s = log.source(spark, f"{sf_dir}/events.parquet").select(c("user_id").alias("job"), "ts", c("event_id").alias("seq"), F.floor(c("event_id") / 4000).alias("fence"), F.lit("all").alias("scope"), c("event_id").cast("double").alias("share"))
+    """Reports with a fence as a keyed-state stream: falling shares and repeated numbers are refused, the state is the last of each worker."""
+    share = F.when(c("event_id") % 7 > 0, (c("event_id") % 50).cast("double"))
+    s = log.source(spark, f"{sf_dir}/events.parquet").select(c("user_id").alias("job"), "ts", F.floor(c("event_id") / 2).alias("seq"), F.floor(c("event_id") / 4000).alias("fence"), c("event_type").alias("scope"), share.alias("share"))
     return pg.valid_progress(s, spark)
 
 

@@ -16,6 +16,21 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of JSON Lines files (gzip too) that read whole, and the others as they stand (line)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    whole = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
+    return read.where(whole).select("r.*").drop("_corrupt_record"), read.where(~whole).select(F.col("value").alias("line"))
+
+
+def gated_files(spark: SparkSession, folder: str, most: int, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """The files of a folder that are `most` bytes at most, with their bytes, and the others, by name and size alone: the
+    bytes of a file that does not pass are never read, as the test on its size reaches the scan."""
+    every = files(spark, folder, pattern)
+    return every.where(F.col("length") <= most).select("path", "length", "content"), every.where(F.col("length") > most).select("path", "length")
+
+
 def log_page(lines: DataFrame, after: int, source: str | None = None, level: str | None = None, limit: int = 100) -> DataFrame:
     """The next page of a log after a cursor, by cursor; one row more than the limit tells that there is more."""
     cut = lines.where(F.col("cursor") > after)

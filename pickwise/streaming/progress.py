@@ -56,47 +56,6 @@ def stream_fan_out(stream: DataFrame, clients: DataFrame, capacity: int) -> Data
     return spark.read.parquet(out).groupBy("client").agg(F.sum("offered").alias("offered"), F.sum("overflows").alias("overflows"), F.max("next").alias("next"))
 
 
-def coalesced(rows: list[tuple], cadence: float, staleness: float, delta: float | None) -> list[tuple]:
-    """Which observations (at, stage, share, warnings) are written, and when: (when, at).
-
-    An observation is written at once if it is the first, if stage or warnings changed since the last written one, if its
-    share has grown by `delta` points, or if the last write is `staleness` seconds old. Else it waits, the newest in place
-    of an older one, until `cadence` seconds after the first that had to wait.
-    """
-    out, durable, waiting, timer, last = [], None, None, None, None
-    for at, stage, share, warnings in rows:
-        if waiting is not None and timer is not None and timer <= at:
-            out.append((timer, waiting[0]))
-            durable, last, waiting = waiting, timer, None
-        if timer is not None and timer <= at:
-            timer = None
-        new = (at, stage, share, warnings)
-        forced = durable is None or (stage, warnings) != (durable[1], durable[3]) or (delta is not None and share is not None and durable[2] is not None and share - durable[2] >= delta)
-        if forced or (last is not None and at - last >= staleness):
-            out.append((at, at))
-            durable, last, waiting = new, at, None
-        else:
-            waiting = new
-            timer = at + min(cadence, staleness) if timer is None else timer
-    if waiting is not None:
-        out.append((timer, waiting[0]))
-    return out
-
-
-def coalesce_progress(observations: DataFrame, cadence: float = 2.0, staleness: float = 10.0, delta: float | None = None) -> DataFrame:
-    """job, written, observed of observations(job, at, stage, share, warnings), all times in seconds; one job's observations
-    go through one task in order of time."""
-
-    def fold(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["at", "stage"], kind="stable")
-        share = [None if pd.isna(x) else float(x) for x in df["share"]]
-        rows = coalesced(list(zip(df["at"].tolist(), df["stage"].tolist(), share, df["warnings"].tolist(), strict=True)), cadence, staleness, delta)
-        return pd.DataFrame({"job": key[0], "written": [float(w) for w, _ in rows], "observed": [float(o) for _, o in rows]})
-
-    kind = dict(observations.dtypes)["job"]
-    return observations.select("job", "at", "stage", "share", "warnings").groupBy("job").applyInPandas(fold, f"job {kind}, written double, observed double")
-
-
 def item_state(frames: DataFrame) -> DataFrame:
     """item, status, stage, completed, total of each item after its frames(item, seq, status, stage, completed, total).
 
@@ -126,14 +85,17 @@ def valid_progress(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fence, seq, scope, share, accepted, refused = state.get if state.exists else (-1, -1, None, None, 0, 0)
-        for r in pd.concat(list(frames)).sort_values(["fence", "seq"]).itertuples():
-            new = None if pd.isna(r.share) else float(r.share)
-            fresh = r.fence > fence
-            falls = not fresh and r.scope == scope and share is not None and new is not None and new < share
-            if r.fence < fence or (not fresh and r.seq <= seq) or falls:
+        rows: list[tuple] = []
+        for f in frames:  # the few columns that count, of one job's rows in a batch
+            rows += zip(f["fence"].tolist(), f["seq"].tolist(), f["scope"].tolist(), f["share"].tolist(), strict=True)
+        for at, nth, part, new in sorted(rows, key=lambda r: r[:2]):
+            new = None if pd.isna(new) else float(new)
+            fresh = at > fence
+            falls = not fresh and part == scope and share is not None and new is not None and new < share
+            if at < fence or (not fresh and nth <= seq) or falls:
                 refused += 1
                 continue
-            fence, seq, scope, share, accepted = int(r.fence), int(r.seq), r.scope, new, accepted + 1
+            fence, seq, scope, share, accepted = int(at), int(nth), part, new, accepted + 1
         state.update((fence, seq, scope, share, accepted, refused))
         yield pd.DataFrame({"job": [key[0]], "fence": [fence], "sequence": [seq], "accepted": [accepted], "refused": [refused], "share": [share]})
 
@@ -141,14 +103,3 @@ def valid_progress(stream: DataFrame, spark: SparkSession) -> DataFrame:
     updates = stream.select("job", "seq", "fence", "scope", "share").groupBy("job").applyInPandasWithState(step, out, "fence long, seq long, scope string, share double, accepted long, refused long", "append", GroupStateTimeout.NoTimeout)
     found = spark.read.parquet(run(updates, spark, "valid-progress")).withColumn("_n", c("accepted") + c("refused"))
     return found.groupBy("job").agg(*[F.max_by(k, "_n").alias(k) for k in ("fence", "sequence", "accepted", "refused", "share")])
-
-
-def heartbeats(stream: DataFrame, spark: SparkSession, quiet: str = "20 minutes") -> DataFrame:
-    """worker, last, beats, expired: sessions of heartbeats, as a stream; a worker that is not heard of for `quiet` of event
-    time has expired, and the next beat begins a new session.
-
-    stream(worker, ts). Sessions that end before the newest time less `quiet` are closed by the watermark.
-    """
-    s = stream.withWatermark("ts", quiet).groupBy(F.session_window("ts", quiet).alias("w"), "worker").agg(F.count(F.lit(1)).alias("beats"), F.max("ts").alias("last"))
-    path = run(s.select("worker", "last", "beats"), spark, "heartbeats")
-    return spark.read.schema("worker long, last timestamp, beats long").parquet(path)

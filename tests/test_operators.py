@@ -250,16 +250,6 @@ def test_allowed_details(spark):
     assert r[0] == {"a": "1"} and r[1] == {}
 
 
-def test_progress_coalescing_by_hand():
-    a = lambda at, share=0.0, stage="a", warnings=0: (at, stage, share, warnings)
-    assert progress.coalesced([], 2, 10, None) == []
-    assert progress.coalesced([a(0), a(1), a(1.5), a(9)], 2, 10, None) == [(0, 0), (3, 1.5), (11, 9)]
-    assert progress.coalesced([a(0), a(1), a(2, stage="b"), a(2.5, stage="b")], 2, 10, None) == [(0, 0), (2, 2), (3, 2.5)]
-    assert progress.coalesced([a(0), a(1, share=5.0), a(1.1, share=4.0)], 2, 10, 5) == [(0, 0), (1, 1), (3.1, 1.1)]
-    assert progress.coalesced([a(0), a(12)], 2, 10, None) == [(0, 0), (12, 12)]
-    assert progress.coalesced([a(0), a(1, warnings=1)], 2, 10, None) == [(0, 0), (1, 1)]
-
-
 def test_progress_is_monotone(spark, tmp_path):
     rows = [(1, 1, 1, "x", 10.0), (1, 2, 1, "x", 5.0), (1, 3, 1, "y", 2.0), (1, 3, 1, "y", 9.0), (1, 1, 2, "y", 1.0), (1, 9, 1, "y", 50.0), (2, 1, 1, "x", None), (2, 2, 1, "x", 3.0)]
     path = str(tmp_path / "reports")
@@ -269,18 +259,6 @@ def test_progress_is_monotone(spark, tmp_path):
     assert got == {1: (2, 1, 4, 2, 1.0), 2: (1, 2, 2, 0, 3.0)}
 
 
-def test_heartbeats_expire(spark, tmp_path):
-    from datetime import datetime, timedelta
-
-    t0 = datetime(2024, 1, 1)
-    path = str(tmp_path / "beats")
-    spark.createDataFrame([(1, t0 + timedelta(minutes=m)) for m in (0, 5, 60, 61, 500)] + [(2, t0)], "worker long, ts timestamp").coalesce(1).write.parquet(path)
-    spark.createDataFrame([(3, t0 + timedelta(minutes=900))], "worker long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("worker long, ts timestamp").parquet(path)
-    got = sorted((r["worker"], r["beats"]) for r in progress.heartbeats(stream, spark).collect())
-    assert got == [(1, 1), (1, 2), (1, 2), (2, 1)]
-
-
 def test_fan_out_stream(spark, tmp_path):
     path = str(tmp_path / "frames")
     spark.range(1, 11).select(F.col("id").alias("cursor"), F.lit("t").alias("topic")).write.parquet(path)
