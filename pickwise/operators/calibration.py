@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import ranks
 
 
 def bands(samples: DataFrame, scale: float = 1.0, least: int = fixed.MIN_SAMPLES) -> DataFrame:
     """feature, n, median, p10, p90, bandwidth from samples(feature, value); features with under `least` values are absent."""
-    s = samples.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("std"), F.percentile("value", F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("q"), F.max(F.abs("value")).alias("anchor")
-    ).where(F.col("n") >= least)
-    iqr = (F.col("q")[3] - F.col("q")[1]) / 1.349
+    own = samples.where(F.col("value").isNotNull() & ~F.isnan("value")).select("feature", "value")
+    sums = own.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("std"), F.max(F.abs("value")).alias("anchor")).where(F.col("n") >= least)
+    q = ranks.quantiles(own, "value", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, ["feature"])
+    s = sums.join(q, "feature")
+    iqr = (F.col("p75") - F.col("p25")) / 1.349
     sigma = F.when((F.col("std") > 0) & (iqr > 0), F.least("std", iqr)).when(F.col("std") > 0, F.col("std")).when(iqr > 0, iqr).otherwise(0.0)
     width = F.when(sigma > 0, scale * 0.9 * sigma * F.pow("n", F.lit(-0.2))).otherwise(scale * F.greatest(0.05 * F.col("anchor"), F.lit(1e-3)))
-    return s.select("feature", "n", F.col("q")[2].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"), width.alias("bandwidth"))
+    return s.select("feature", "n", F.col("p50").alias("median"), "p10", "p90", width.alias("bandwidth"))
 
 
 def density(points: DataFrame, samples: DataFrame, band: DataFrame) -> DataFrame:

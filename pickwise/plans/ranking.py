@@ -1,4 +1,4 @@
-"""Queries of the candidate dataflow, over `part` as candidates of brands."""
+"""Queries of the candidate dataflow, over `part` as candidates; a subject is a brand's candidates among 400 ids, so it has a bounded number."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from .registry import query
 
 #: Stand-in measures of a candidate, by arithmetic on its key: the same text in Spark and in the checking SQL.
 MEASURES = {
-    "candidate_id": "p_partkey", "subject": "p_brand", "width": "300 + (p_partkey * 37) % 900", "height": "400 + (p_partkey * 53) % 900",
+    "candidate_id": "p_partkey", "subject": "p_brand || ':' || CAST(floor(p_partkey / 400) AS BIGINT)", "width": "300 + (p_partkey * 37) % 900", "height": "400 + (p_partkey * 53) % 900",
     "aesthetic": "((p_partkey * 13) % 100) / 10.0", "knn_sim": "0.30 + ((p_partkey * 7) % 70) / 100.0", "title_colorfulness": "p_size * 1.5", "title_found": "p_size % 5 <> 0",
     "text_boxes": "(p_partkey * 11) % 9", "text_area": "((p_partkey * 29) % 50) / 100.0", "resolution": "p_retailprice / 400", "sharpness": "p_retailprice", "face_area": "((p_partkey * 17) % 100) / 100.0",
     "vote_average": "(p_partkey * 3) % 11", "vote_count": "(p_partkey * 19) % 60 - 3", "language": "CASE p_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' END",
@@ -189,14 +189,14 @@ def stack_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy groups of near-equal 64-bit hashes in each (brand, bucket of 400 ids)."""
-    df = raw(spark, sf_dir).select(F.concat_ws(":", "subject", F.floor(F.col("candidate_id") / 400)).alias("subject"), "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
+    df = raw(spark, sf_dir).select("subject", "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
     return candidates.greedy_near_duplicates(df)
 
 
 @query()
 def duplicate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What near duplicates of whole brands lose, to which, how far off, and why."""
-    df = raw(spark, sf_dir).select("subject", "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
+    df = raw(spark, sf_dir).select(F.substring_index("subject", ":", 1).alias("subject"), "candidate_id", F.expr("xxhash64(p_type) ^ shiftleft(1L, p_size % 60)").alias("phash"), (F.col("width") * F.col("height")).alias("pixels"))
     return candidates.duplicate_ledger(candidates.greedy_near_duplicates(df))
 
 

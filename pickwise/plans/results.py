@@ -15,7 +15,7 @@ from .registry import query
 
 c = F.col
 REASONS = ("dedup_sha256", "dedup_phash: 3 bits", "resolution_floor", "aesthetic_floor", "text_heavy", "no_title", "format_blocklist", "fan_junk_combo", "feature_error: no face", "ocr_timeout", "has_title", "odd_new_reason", "")
-RUN_SQL = f"""v AS (SELECT p_brand AS run, p_partkey AS candidate_id, CASE WHEN p_partkey % 3 > 0 THEN [{", ".join(f"'{r}'" for r in REASONS)}][1 + p_partkey % 13] END AS reason, CASE WHEN p_partkey % 4 = 0 THEN 'ocr' ELSE 'features' END AS reached, p_retailprice AS price FROM part),
+RUN_SQL = f"""v AS (SELECT p_brand || ':' || (p_partkey // 400) AS run, p_partkey AS candidate_id, CASE WHEN p_partkey % 3 > 0 THEN [{", ".join(f"'{r}'" for r in REASONS)}][1 + p_partkey % 13] END AS reason, CASE WHEN p_partkey % 4 = 0 THEN 'ocr' ELSE 'features' END AS reached, p_retailprice AS price FROM part),
 r AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY run, reason IS NULL ORDER BY price DESC, candidate_id) END AS rank FROM v)"""
 STAGE_SQL = """CASE WHEN split_part(coalesce(reason, ''), ':', 1) IN ('dedup_sha256') THEN 'sha256' WHEN reason LIKE 'dedup_phash%' THEN 'phash' WHEN reason = 'resolution_floor' THEN 'resolution' WHEN reason = 'aesthetic_floor' THEN 'style'
  WHEN reason IN ('text_heavy', 'no_title', 'format_blocklist') OR reason LIKE 'ocr%' THEN 'ocr' WHEN reason = 'fan_junk_combo' THEN 'fan_junk' WHEN reason LIKE 'feature_error%' THEN 'errored' WHEN reached = 'ocr' THEN 'ocr' ELSE 'style' END"""
@@ -24,7 +24,7 @@ STAGE_SQL = """CASE WHEN split_part(coalesce(reason, ''), ':', 1) IN ('dedup_sha
 def run(spark, sf_dir: str) -> DataFrame:
     """Candidates of a run for each brand: a third is ranked, in stacks of three by rank, the rest turned away."""
     reason = F.when(c("p_partkey") % 3 > 0, F.element_at(F.array(*[F.lit(r) for r in REASONS]), (c("p_partkey") % 13 + 1).cast("int")))
-    p = table(spark, sf_dir, "part").select(c("p_brand").alias("run"), c("p_partkey").alias("candidate_id"), reason.alias("reason"), F.when(c("p_partkey") % 4 == 0, "ocr").otherwise("features").alias("reached"), c("p_retailprice").alias("price"))
+    p = table(spark, sf_dir, "part").select(F.concat_ws(":", "p_brand", F.floor(c("p_partkey") / 400)).alias("run"), c("p_partkey").alias("candidate_id"), reason.alias("reason"), F.when(c("p_partkey") % 4 == 0, "ocr").otherwise("features").alias("reached"), c("p_retailprice").alias("price"))
     place = F.row_number().over(Window.partitionBy("run", c("reason").isNull()).orderBy(c("price").desc(), "candidate_id"))
     r = p.withColumn("rank", F.when(c("reason").isNull(), place))
     return r.withColumns({"stack_rank": F.floor((c("rank") + 2) / 3), "stack_pos": (c("rank") - 1) % 3 + 1, "stack_score": c("price")})

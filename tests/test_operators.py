@@ -293,3 +293,16 @@ def test_principal_axes_have_the_largest_variances(spark, data):
     want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:3]
     got = np.array([tuple(r)[1:] for r in registry.QUERIES["pca_map"](spark, data).collect()]).var(axis=0, ddof=1)
     assert np.allclose(got, want, rtol=1e-6)
+
+
+def test_places_among_outliers_and_equal_values(spark):
+    from pickwise.operators import ranks
+
+    rng = random.Random(6)
+    values = {"a": [rng.random() for _ in range(3000)] + [1e12], "b": [5.0] * 1500 + [rng.gauss(0, 1) for _ in range(500)], "c": [2.0], "d": [1.0, 3.0]}
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in own] + [("a", None)], "g string, v double")
+    most = ranks.by_value(df.where("g = 'a'"), ["g"], "v").groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert most < 30
+    got = {r["g"]: (r["low"], r["mid"], r["high"]) for r in ranks.quantiles(df, "v", {"low": 0.1, "mid": 0.5, "high": 0.999}, ["g"]).collect()}
+    for g, own in values.items():
+        assert got[g] == pytest.approx(np.quantile(own, [0.1, 0.5, 0.999]))
