@@ -21,14 +21,16 @@ from .common import bound_batches, mounted, save, scratch, slices
 from .tokens import encoder
 
 MANIFEST = "file int, path string, dtype string, n_docs long, n_null long, n_tokens long"
+GROUP = 4096  # files whose bases one task adds up
 
 
-def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, vocabulary: int = 50_257, folder: str | None = None, file_bytes: int = 16_000_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, vocabulary: int = 50_257, folder: str | None = None, file_bytes: int = 128_000_000, least_bytes: int = 1_000_000) -> DataFrame:
     """Encode docs(doc_id, text) into token files in ascending order of doc_id; returns the manifest with each file's base.
 
     A null text is empty: its end id alone. Rows with equal doc_id are all written, in order of a digest of their text (so
     one doc_id can fill several files); rows without doc_id come first. An empty table writes no files. Other columns are
-    not read. There are as many files as the texts have `file_bytes`, counted in a pass of its own.
+    not read. There are as many files as the texts have `file_bytes`, counted in a pass of its own, but one for each core
+    where these have `least_bytes` of text. Bases are prefix sums in two levels, of files within a group and of groups.
     A task writes under a name of its own attempt and renames at the end; the manifest names the files that count, so a
     lost executor's leftovers are never read.
     """
@@ -71,10 +73,13 @@ def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = rows.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
-    manifest = save(ordered.mapInArrow(run, MANIFEST), "manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    files = max(1, -(-size // file_bytes), min(spark.sparkContext.defaultParallelism, size // least_bytes))
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    manifest = save(ordered.mapInArrow(run, MANIFEST).withColumn("group", F.floor(F.col("file") / GROUP)), "manifest")
+    sums = manifest.groupBy("group").agg(F.sum("n_tokens").alias("n"))
+    sums = sums.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("group_base"))  # one row for GROUP files
+    inside = F.sum("n_tokens").over(Window.partitionBy("group").orderBy("file")) - F.col("n_tokens")
+    return manifest.withColumn("inside", inside).join(sums, "group").withColumn("base", F.col("group_base") + F.col("inside")).drop("group", "inside", "group_base")
 
 
 def mapped(path: str, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
