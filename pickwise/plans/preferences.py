@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..operators import exemplars, pairs
 from ..sources.tables import table
 from .registry import query
@@ -106,3 +107,20 @@ def active_exemplars(spark, sf_dir):
     at = day * 10_000_000_000 + c("o_orderkey")
     log = o.select(c("o_orderkey").alias("exemplar"), c("o_custkey").alias("subject"), (c("o_orderkey") * 7919 % 400).alias("picture"), at.alias("at"), F.when(c("o_orderkey") % 6 == 0, (day + 40) * 10_000_000_000).alias("revoked"))
     return exemplars.activate(log)
+
+
+@query()
+def residual_gate(spark, sf_dir):
+    """A residual fitted on the training subjects' pairs, its accuracy on each part beside the baseline's, and whether it may take over."""
+    q = pairs.build_pairs(shown(spark, sf_dir)).join(pairs.split_subjects(table(spark, sf_dir, "orders").select(c("o_custkey").alias("subject"))), "subject")
+    f = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("event_id"), c("l_linenumber").cast("string").alias("id")).agg((F.max("l_quantity") / 50).alias("size"), (F.max("l_discount") * 10).alias("cut"), (0.05 + 0.9 * F.max("l_tax") / 0.08).alias("score"))
+    side = lambda k: f.select("event_id", c("id").alias(f"{k}_id"), *[c(x).alias(f"{k}_{x}") for x in ("size", "cut", "score")])
+    d = q.join(side("winner"), ["event_id", "winner_id"]).join(side("loser"), ["event_id", "loser_id"])
+    d = d.withColumns({"d_size": c("winner_size") - c("loser_size"), "d_cut": c("winner_cut") - c("loser_cut")})
+    w = pairs.fit_pairs(d.where("part = 'train'"), ["size", "cut"])
+    base = scores.logit(c("winner_score")) - scores.logit(c("loser_score"))
+    pull = c("d_size") * w["size"] + c("d_cut") * w["cut"]
+    new = base + 0.5 * F.greatest(F.lit(-0.75), F.least(F.lit(0.75), pull))
+    told = d.groupBy("part").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("subject").alias("subjects"), F.round(pairs.weighted_accuracy(base > 0, c("weight")), 6).alias("baseline"), F.round(pairs.weighted_accuracy(new > 0, c("weight")), 6).alias("fitted"))
+    enough = (c("subjects") >= 25) & (c("pairs") >= 200) & (c("fitted") - c("baseline") >= 0.02)
+    return told.withColumns({"size": F.lit(round(w["size"], 6)), "cut": F.lit(round(w["cut"], 6)), "activates": (c("part") == "test") & enough})

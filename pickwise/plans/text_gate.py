@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import candidates
 from ..operators import text_gate as op
 from ..sources.tables import table
 from .registry import query
@@ -155,3 +156,16 @@ def spread(spark, sf_dir: str) -> DataFrame:
 def spread_title_evidence(spark, sf_dir):
     """Titles in single letters: those of a line together, and bands whose letters stand in any order."""
     return op.title_evidence(spread(spark, sf_dir), images(spark, sf_dir)).groupBy("image", "source").agg(F.count(F.lit(1)).alias("boxes"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS image, k AS box_id, k * (10 + p_size % 60)::DOUBLE AS l, 0.9 - k / 10.0 AS confidence FROM part, range(0, 4) r(k)), o AS (SELECT x.image, x.box_id AS a, y.box_id AS b, greatest(0, 100 - (y.l - x.l)) / (100 + (y.l - x.l)) >= 0.5 AS over FROM b x JOIN b y ON x.image = y.image AND x.box_id < y.box_id),
+k0 AS (SELECT image, 0 AS box_id FROM b WHERE box_id = 0), k1 AS (SELECT image FROM b WHERE box_id = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.image = b.image AND o.a = 0 AND o.b = 1 AND over)),
+k2 AS (SELECT image FROM b WHERE box_id = 2 AND NOT EXISTS (SELECT 1 FROM o WHERE o.image = b.image AND o.b = 2 AND over AND (o.a = 0 OR (o.a = 1 AND EXISTS (SELECT 1 FROM k1 WHERE k1.image = b.image))))),
+k3 AS (SELECT image FROM b WHERE box_id = 3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.image = b.image AND o.b = 3 AND over AND (o.a = 0 OR (o.a = 1 AND EXISTS (SELECT 1 FROM k1 WHERE k1.image = b.image)) OR (o.a = 2 AND EXISTS (SELECT 1 FROM k2 WHERE k2.image = b.image)))))
+SELECT image, 0::BIGINT AS box_id FROM k0 UNION ALL SELECT image, 1 FROM k1 UNION ALL SELECT image, 2 FROM k2 UNION ALL SELECT image, 3 FROM k3""")
+def suppressed_boxes(spark, sf_dir):
+    """The boxes that stay of four in a row that overlap more or less, the surest first."""
+    p, k = table(spark, sf_dir, "part"), c("box_id")
+    b = p.select(c("p_partkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("box_id"), (10 + c("p_size") % 60).cast("double").alias("step"))
+    b = b.select("image", "box_id", (0.9 - k / 10).alias("confidence"), (k * c("step")).alias("left"), F.lit(0.0).alias("top"), (k * c("step") + 100).alias("right"), F.lit(100.0).alias("bottom"))
+    return candidates.suppress_overlaps(b).select("image", c("box_id").cast("long").alias("box_id"))
