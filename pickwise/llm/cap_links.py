@@ -104,6 +104,11 @@ def placed(classes: DataFrame, kind: str, size: int, codes: int, link: float, co
     return classes.select("node", "label", "embedding").mapInArrow(run, f"node long, label {kind}, dims int, unit binary, small binary, scale double, error double, own array<long>, filters array<long>")
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, of vectors of length 1; what decides a link wherever one is decided."""
+    return (x * y).sum(axis=1)
+
+
 def verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """The pairs of equal label and length whose cosine reaches the threshold."""
 
@@ -114,7 +119,7 @@ def verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
             for k in np.unique(d).tolist():
                 at = np.flatnonzero(d == k)
                 x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist())).reshape(-1, k) for c in (3, 4))
-                near[at] = (x * y).sum(axis=1) >= threshold
+                near[at] = cosines(x, y) >= threshold
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     of = units.select("node", "label", "dims", "unit")
@@ -252,7 +257,10 @@ def links_inside(members: DataFrame, threshold: float, block_rows: int) -> DataF
             a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(x)),) * 2
             links = np.zeros(len(x), dtype=np.int64)
             for lo in range(0, len(a), 256):
-                near = x[a[lo : lo + 256]] @ x[b].T >= threshold
+                sims = x[a[lo : lo + 256]] @ x[b].T
+                near = sims >= threshold
+                i, j = np.nonzero(np.abs(sims - threshold) < 1e-12)  # where the product's order of adding may decide
+                near[i, j] = cosines(x[a[lo + i]], x[b[j]]) >= threshold
                 near &= a[lo : lo + 256][:, None] != b[None]
                 links[a[lo : lo + 256]] += near @ copies[b]
                 if second.any():

@@ -222,3 +222,18 @@ def test_cap_filters_find_links_at_the_threshold():
         missed &= ~one
         filters += np.mean([len(f) for f in fx])
     assert not missed.any() and filters < 30
+
+
+def test_links_at_the_very_threshold(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(1):
+        x = rng.standard_normal(64)
+        y = x / np.linalg.norm(x) + 0.025 * rng.standard_normal(64)
+        rows = [(1, x.tolist(), 0), (2, y.tolist(), 0), (3, (-x).tolist(), 0)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        units = [np.array(v) / np.abs(v).max() for v in (x, y)]
+        units = [u / np.linalg.norm(u) for u in units]
+        exact = float(cap_links.cosines(units[0][None], units[1][None])[0])
+        for threshold in (exact, np.nextafter(exact, 0), np.nextafter(exact, 1)):
+            got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cap_links.near_copies(df, threshold=float(threshold)).collect()}
+            assert (got[1], got[2], got[3]) in (((1, 1), (1, 1), (0, 3)), ((0, 1), (0, 2), (0, 3)))
