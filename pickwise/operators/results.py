@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +115,11 @@ def display_ranks(ranked: DataFrame, expanded: DataFrame) -> DataFrame:
     return r.select("subject", "candidate_id", "shown_rank", F.when(c("_open"), position_label(F.coalesce("stack_pos", "_nth"))).alias("suffix"))
 
 
-def choose_scorer(mode: str, stored: Mapping[str, object] | None, wanted: Mapping[str, object] | None) -> str:
-    """"weighted" or "residual": a forced baseline; else the residual if one is stored and fits what is wanted of it. A
-    forced residual that is absent or does not fit is an error, with "auto" the baseline stands in."""
-    if mode == "weighted":
-        return "weighted"
-    fits = stored is not None and wanted is not None and all(stored.get(k) == v for k, v in wanted.items())
-    if fits:
-        return "residual"
-    if mode == "residual":
-        raise LookupError("no fitting residual" if stored is not None else "no residual")
-    return "weighted"
+def chosen_scorer(mode: Column, stored: Column, wanted: Column) -> Column:
+    """`weighted`, `residual` or `none` (a residual is asked for, but none that fits is stored): `auto` takes a residual
+    whose stored form is the wanted one, else the weights."""
+    fits = F.coalesce(stored == wanted, F.lit(False))
+    return F.when(mode == "weighted", "weighted").when(fits, "residual").when(mode == "residual", "none").otherwise("weighted")
 
 
 def resolved(profile: Mapping[str, Column], settings: Mapping[str, object]) -> dict[str, Column]:
@@ -135,18 +128,8 @@ def resolved(profile: Mapping[str, Column], settings: Mapping[str, object]) -> d
     return {k: F.coalesce(own[k], F.lit(v)) if k in own else F.lit(v) for k, v in settings.items()}
 
 
-def isolated(value: Column, compute: Callable[[float], float]) -> Column:
-    """struct<value, error> of each row: one row's failure is its own error's name, and no other row's."""
-
-    @F.pandas_udf("value double, error string")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in it:
-            rows: list[tuple] = []
-            for x in s:
-                try:
-                    rows.append((float(compute(x)), None))
-                except Exception as e:  # noqa: BLE001  what a measure raises is told, not hidden
-                    rows.append((None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["value", "error"])
-
-    return run(value)
+def isolated(value: Column, errors: Mapping[str, Column]) -> Column:
+    """struct<value, error> of each row: the first of the named errors whose condition holds, else the measure's value. One
+    row's failure is its own; a measure that is null for no named reason tells `no_value`."""
+    why = F.coalesce(*[F.when(test, name) for name, test in errors.items()], F.when(value.isNull(), "no_value"))
+    return F.struct(F.when(why.isNull(), value).alias("value"), why.alias("error"))

@@ -89,21 +89,24 @@ def gate_knobs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[v.alias(n) for n, v in op.resolved(profile, settings).items()])
 
 
-@query("SELECT p_partkey, CASE WHEN p_size <> 10 THEN round(100.0 / (p_size - 10), 9) END AS value, CASE WHEN p_size = 10 THEN 'ZeroDivisionError' END AS error FROM part")
+@query(r"""WITH m AS (SELECT page_id, html, len(regexp_extract_all(html, '<[a-z][^>]*>')) AS tags, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS chars FROM pages)
+SELECT page_id, CASE WHEN html <> '' AND page_id % 17 > 0 AND tags > 0 THEN round(chars / tags, 6) END AS value, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN page_id % 17 = 0 OR tags = 0 THEN 'no_tags' END AS error FROM m""")
 def detail_features(spark, sf_dir):
-    """A measure that fails on some rows: they tell of it, the others have their value."""
-    r = op.isolated(c("p_size"), lambda x: 100.0 / (int(x) - 10))
-    return table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.round("r.value", 9).alias("value"), "r.error")
+    """A page's text per tag; pages without text, or (every seventeenth, stripped here) without tags, tell so, the others have their value."""
+    html = F.when(c("page_id") % 17 == 0, F.regexp_replace("html", "<[^>]*>", "")).otherwise(c("html"))
+    tags, chars = F.regexp_count(html, F.lit("<[a-z][^>]*>")), F.length(F.regexp_replace(html, "<[^>]*>", ""))
+    r = op.isolated(F.try_divide(chars, tags), {"empty": html.isNull() | (c("html") == ""), "no_tags": tags == 0})
+    return table(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", F.round("r.value", 6).alias("value"), "r.error")
 
 
-@query("SELECT p_partkey, round(CASE WHEN p_brand = 'Brand#1' THEN 0.5 ELSE p_size / 100.0 END + CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 0 ELSE 0.25 END, 6) AS score FROM part")
+@query("""WITH b AS (SELECT DISTINCT p_brand, CAST(split_part(p_brand, '#', 2) AS INTEGER) AS n FROM part), s AS (SELECT p_brand, ['auto', 'weighted', 'residual'][1 + n % 3] AS mode, CASE WHEN n % 4 > 0 THEN 8 + n % 2 END AS stored FROM b)
+SELECT p_partkey, CASE WHEN mode = 'weighted' THEN 'weighted' WHEN stored = 9 THEN 'residual' WHEN mode = 'residual' THEN 'none' ELSE 'weighted' END AS scorer FROM part JOIN s USING (p_brand)""")
 def scorer_choice(spark, sf_dir):
-    """A library with a fitting residual uses it, one whose residual does not fit the baseline, one that forces the baseline that."""
-    stored = {"Brand#1": ("auto", {"features": 9}), "Brand#2": ("auto", {"features": 8}), "Brand#4": ("weighted", {"features": 9})}
-    used = {b: op.choose_scorer(mode, have, {"features": 9}) for b, (mode, have) in stored.items()}
-    p, residual = table(spark, sf_dir, "part"), [b for b, s in used.items() if s == "residual"]
-    base = c("p_size") / 100.0
-    return p.select("p_partkey", F.round(F.when(c("p_brand").isin(*residual), 0.5).when(c("p_brand") == "Brand#2", base).otherwise(base + 0.25), 6).alias("score"))
+    """Which scorer each library's candidates get, by its mode and by whether the residual stored for it has the baseline's features."""
+    p, n = table(spark, sf_dir, "part"), F.substring_index("p_brand", "#", -1).cast("int")
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("weighted"), F.lit("residual")), n % 3 + 1)
+    stored = p.select("p_brand").distinct().select("p_brand", mode.alias("mode"), F.when(n % 4 > 0, 8 + n % 2).alias("stored"))
+    return p.join(stored, "p_brand").select("p_partkey", op.chosen_scorer(c("mode"), c("stored"), F.lit(9)).alias("scorer"))
 
 
 @query("WITH r AS (SELECT p_type || ': ' || p_name AS reason FROM part) SELECT split_part(reason, ':', 1) AS base, count(*) AS n FROM r GROUP BY base")
