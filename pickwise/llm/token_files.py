@@ -24,7 +24,7 @@ MANIFEST = "file int, path string, dtype string, n_docs long, n_null long, n_tok
 GROUP = 4096  # files whose bases one task adds up
 
 
-def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, vocabulary: int = 50_257, folder: str | None = None, file_bytes: int = 128_000_000, least_bytes: int = 1_000_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, vocabulary: int = 50_257, folder: str | None = None, file_bytes: int = 64_000_000, least_bytes: int = 1_000_000) -> DataFrame:
     """Encode docs(doc_id, text) into token files in ascending order of doc_id; returns the manifest with each file's base.
 
     A null text is empty: its end id alone. Rows with equal doc_id are all written, in order of a digest of their text (so
