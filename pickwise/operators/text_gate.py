@@ -55,20 +55,21 @@ def ratios(text: Column, others: Column, others_first: bool) -> Column:
     return run(text, others)
 
 
-def word_matches(word: Column, tokens: Column, close: Column) -> Column:
-    """Whether a token explains a word: equal, near enough, a token inside the word, or the word inside a token (three
-    letters at least)."""
-    return (
-        F.array_contains(tokens, word) | F.exists(close, lambda r: r >= FUZZY) | F.exists(tokens, lambda t: (F.length(t) >= 3) & word.contains(t))
-        | ((F.length(word) >= 3) & F.exists(tokens, lambda t: t.contains(word)))
-    )
+def explained(df: DataFrame, word: str, tokens: str, name: str) -> DataFrame:
+    """Adds whether a token explains a word: equal, a token inside the word or the word inside a token (three letters at
+    least), or near enough. Nearness is measured only where the rest says no, and only to tokens of a length that can reach it."""
+    w, t, n = c(word), c(tokens), F.length(word)
+    sure = F.array_contains(t, w) | F.exists(t, lambda x: (F.length(x) >= 3) & w.contains(x)) | ((n >= 3) & F.exists(t, lambda x: x.contains(w)))
+    reach = F.filter(t, lambda x: 2 * F.least(F.length(x), n) >= FUZZY * (F.length(x) + n))
+    df = df.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    df = df.withColumn("_close", ratios(w, F.when(~c("_sure") & (F.size(reach) > 0), reach), True))
+    return df.withColumn(name, c("_sure") | F.exists("_close", lambda r: r >= FUZZY)).drop("_sure", "_close")
 
 
 def matched_words(df: DataFrame, keys: list[str], text: str, tokens: str) -> DataFrame:
     """keys, word, matched: the distinct words of each text, and whether a token explains them."""
     w = df.select(*keys, tokens, F.explode(F.array_distinct(words(c(text)))).alias("word"))
-    w = w.withColumn("_close", ratios(c("word"), c(tokens), True))
-    return w.select(*keys, "word", word_matches(c("word"), c(tokens), c("_close")).alias("matched"))
+    return explained(w, "word", tokens, "matched").select(*keys, "word", "matched")
 
 
 def all_allowed(df: DataFrame, keys: list[str], text: str, tokens: str) -> DataFrame:
@@ -83,8 +84,7 @@ def mostly_named(df: DataFrame, keys: list[str], text: str, tokens: str) -> Data
     t = df.select(*keys, words(c(text)).alias("_w"), F.array_distinct(F.when(F.size(long) > 0, long).otherwise(c(tokens))).alias("_t")).where((F.size("_w") > 0) & (F.size("_t") > 0) & (F.size("_w") <= F.size("_t") + 5))
     one = t.select(*keys, F.size("_t").alias("_n"), "_w", F.explode("_t").alias("_token"))
     one = one.select(*keys, "_n", "_token", F.explode("_w").alias("_word")).withColumn("_one", F.array("_token"))
-    one = one.withColumn("_close", ratios(c("_word"), c("_one"), True))
-    hit = one.groupBy(*keys, "_n", "_token").agg(F.bool_or(word_matches(c("_word"), c("_one"), c("_close"))).alias("_hit"))
+    hit = explained(one, "_word", "_one", "_named").groupBy(*keys, "_n", "_token").agg(F.bool_or("_named").alias("_hit"))
     return hit.groupBy(*keys, "_n").agg(F.count_if("_hit").alias("_k")).where(c("_k") >= F.greatest(F.lit(1), F.floor((c("_n") + 1) / 2))).select(*keys)
 
 
@@ -106,19 +106,22 @@ def matches_title(text: Column, title: Column, tokens: Column, to_tokens: Column
     n = F.length(text)
     of_title = F.struct(F.lit(True).alias("whole"), title.alias("t"), to_title.alias("r"))
     of_words = F.transform(tokens, lambda t, i: F.struct(F.lit(False).alias("whole"), t.alias("t"), F.get(to_tokens, i).alias("r")))
+    # What the rules ask of a target, told once.
+    told = lambda x: F.struct(x["whole"].alias("whole"), F.length(x["t"]).alias("size"), x["r"].alias("r"), (x["t"] == text).alias("equal"), x["t"].contains(text).alias("inside"), subsequence(text, x["t"]).alias("order"))
 
     def meets(x: Column) -> Column:
-        size, out = F.length(x["t"]), F.lit(False)
+        size, out = x["size"], F.lit(False)
         for who, rows_only, letters, least, low, high, spare, test in RULES:
             if rows_only and cluster is None:
                 continue
             fits = (n >= letters) & (size >= least) & (n / size >= low) & ((n - spare) / size <= high)
-            fits = fits & {"equal": x["t"] == text, "inside": x["t"].contains(text), "order": subsequence(text, x["t"])}.get(test, x["r"] >= test)
+            fits = fits & (x[test] if isinstance(test, str) else x["r"] >= test)
             fits = fits if who == "both" else fits & (x["whole"] if who == "title" else ~x["whole"])
             out = out | (fits & cluster if rows_only else fits)
         return out
 
-    return F.coalesce(F.exists(F.filter(F.concat(F.array(of_title), of_words), lambda x: F.length(x["t"]) > 0), meets), F.lit(False))
+    targets = F.filter(F.concat(F.array(of_title), of_words), lambda x: F.length(x["t"]) > 0)
+    return F.coalesce(F.exists(F.transform(targets, told), meets), F.lit(False))
 
 
 LINE = "array<struct<total:double,tall:double,ids:array<{0}>>>"  # a line's sum of centres, its tallest box, its boxes
