@@ -5,10 +5,12 @@ minimise  eta * |parallel residual|^2 + |orthogonal residual|^2  with the parall
 error along the vector changes its large inner products, one across it hardly does. Codes are chosen by coordinate
 descent over the blocks, centroids by the joint least squares that this loss gives.
 
-A search builds a table of 16 inner products a block for each query, adds up table entries by code and scores the
-candidates with the largest sums exactly. What coding can have done to a sum is bounded by the residuals' lengths, and
-every other candidate that could still be among the k best is scored exactly too, so copies with equal codes and near
-copies are not lost. Queries and candidates meet in bounded square blocks.
+What the codes leave of a vector is coded again in the same way, brought to one size and without regard to direction, and
+once more. A search builds a table of 16 inner products a block for each query and adds up the entries that the first
+codes name, over all candidates. What coding can have done to a sum is bounded by the residuals' lengths: only candidates
+that may be among the k best by the first sums have the finer codes added, and only those that may be so by the finer
+bounds, against the k-th best of the whole table, are scored exactly. So copies with equal codes and near copies are not
+lost. Queries and codes meet in bounded square blocks; vectors are joined to what is left of the candidates.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .common import save
 from .vectors import matrix, usable
 
 CODES = 16
+LEAST = np.float32(1e-37)  # what single precision may lose near zero
 
 
 @dataclass
@@ -57,16 +60,16 @@ class Quantiser:
         codes = square.argmin(2) if start is None else start.astype(np.int64)
         rows = np.arange(len(x))
         total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(1)
-        for _ in range(rounds):
+        for _ in range(rounds if self.eta != 1 else 0):  # without regard to direction, each block stands alone
             for b in range(self.blocks):
                 rest = total - along[rows, b, codes[:, b]]
                 codes[:, b] = (square[:, b] + (self.eta - 1) * (rest[:, None] + along[:, b]) ** 2).argmin(1)
                 total = rest + along[rows, b, codes[:, b]]
         return codes.astype(np.uint8)
 
-    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """n x blocks lengths of what the codes leave of each block."""
-        return np.linalg.norm(self.split(x) - self.centroids[np.arange(self.blocks)[None], codes], axis=2)
+    def rest(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """n x (blocks * block dimensions): what the codes leave."""
+        return (self.split(x) - self.centroids[np.arange(self.blocks)[None], codes]).reshape(len(x), -1)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries -> n x blocks x 16 inner products."""
@@ -77,13 +80,16 @@ class Quantiser:
         """Two codes a byte: n x blocks / 2."""
         return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
+    def byte_tables(self, q: np.ndarray) -> np.ndarray:
+        """bytes x queries x 256: the sums that a byte's two codes stand for."""
+        t = self.tables(q)
+        pairs = t[:, 1::2, :, None] + t[:, ::2, None, :]
+        return np.ascontiguousarray(pairs.reshape(len(q), -1, CODES * CODES).transpose(1, 0, 2))
+
     def scan(self, q: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Approximate inner products, queries x candidates: the table entries that the packed codes name, added up."""
-        t = self.tables(q)
-        pairs = t[:, 1::2, :, None] + t[:, ::2, None, :]  # of each byte's two codes
-        pairs = np.ascontiguousarray(pairs.reshape(len(q), -1, CODES * CODES).transpose(1, 0, 2))
         out = np.zeros((len(q), len(packed)), dtype=np.float32)
-        for table, byte in zip(pairs, packed.T, strict=True):
+        for table, byte in zip(self.byte_tables(q), packed.T, strict=True):
             out += table[:, byte]
         return out
 
@@ -106,6 +112,9 @@ def train(x: np.ndarray, block: int = 2, eta: float = 4.0, rounds: int = 6, seed
         at = (np.arange(blocks)[None] * CODES + codes)[:, :, None] * block + np.arange(block)  # n x blocks x block: places of a row's centroids
         weights = np.bincount(at.ravel(), minlength=size).astype(np.float64)
         target = np.bincount(at.ravel(), parts.ravel(), minlength=size)
+        if eta == 1:
+            q.centroids = ((target + 1e-6 * q.centroids.ravel()) / (weights + 1e-6)).reshape(blocks, CODES, block)
+            continue
         system = np.zeros((size, size))
         for lo in range(0, len(x), 2048):  # sum of (selected u)(selected u)^T
             z = np.zeros((len(x[lo : lo + 2048]), size), dtype=np.float32)
@@ -117,10 +126,55 @@ def train(x: np.ndarray, block: int = 2, eta: float = 4.0, rounds: int = 6, seed
     return q
 
 
-def fit(vectors: DataFrame, dims: int, sample_rows: int = 8192, **options) -> Quantiser:
-    """Train on at most `sample_rows` vectors, those with the smallest digests of their ids."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
-    return train(np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dims), **options)
+@dataclass
+class Levels:
+    """The first quantiser and those of what the ones before it leave."""
+
+    quantisers: list[Quantiser]
+
+    @staticmethod
+    def scale(rest: np.ndarray) -> np.ndarray:
+        """n x 1: each row's largest component, which brings its residual to one size."""
+        most = np.abs(rest).max(axis=1, initial=0.0, keepdims=True)
+        return np.where(most == 0, 1, most).clip(1e-30, 1e30).astype(np.float32).astype(np.float64)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """codes: n x levels x bytes. errors: n x 2 x blocks, lengths of what is left of each block after the first and the
+        last level, in 255 steps, rounded up. numbers: n x (levels + 2) float32: the sizes of the levels after the first,
+        the steps of both errors, and what rounding may add."""
+        with np.errstate(over="ignore", invalid="ignore"):  # what single precision cannot hold is left open by the search
+            return self._encode(x)
+
+    def _encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, errors, numbers = [], [], []
+        slack, rest, size = np.linalg.norm(x, axis=1), x, np.ones((len(x), 1))
+        for level, quantiser in enumerate(self.quantisers):
+            if level:
+                size = self.scale(rest)
+                numbers.append(size[:, 0])
+            own = quantiser.encode(rest / size)
+            rest = quantiser.rest(rest / size, own) * size
+            left = np.linalg.norm(quantiser.split(rest), axis=2)
+            slack = slack + 2 * np.linalg.norm(left, axis=1)
+            codes.append(quantiser.packed(own))
+            if level in (0, len(self.quantisers) - 1):
+                step = left.max(axis=1, initial=0.0) / 255
+                errors.append((step, np.ceil(left / np.where(step == 0, 1, step)[:, None]).clip(0, 255).astype(np.uint8)))
+        errors = [errors[0], errors[-1]]
+        return np.stack(codes, axis=1), np.stack([e for _, e in errors], axis=1), np.stack([*numbers, *[e for e, _ in errors], 1e-5 * slack], axis=1).astype(np.float32)
+
+
+def fit(vectors: DataFrame, dims: int, sample_rows: int = 8192, levels: int = 4, **options) -> Levels:
+    """Train on at most `sample_rows` vectors, those with the smallest digests of their ids. Vectors with components of 1e15
+    or more teach nothing, as their squares leave single precision; they are coded and searched all the same."""
+    small = vectors.where(F.forall("embedding", lambda v: F.abs(v) < 1e15))
+    rows = small.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
+    rest, out = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dims), []
+    for _ in range(levels):
+        out.append(train(rest / Levels.scale(rest), **(options | {"eta": 1.0})) if out else train(rest, **options))
+        size = Levels.scale(rest) if len(out) > 1 else 1.0
+        rest = out[-1].rest(rest / size, out[-1].encode(rest / size)) * size
+    return Levels(out)
 
 
 def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, block_rows: int = 8192, **options) -> DataFrame:
@@ -129,14 +183,15 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
     Both have (vec_id, embedding). Null, zero or unfinished vectors and rows without vec_id take no part; vectors of each
     length are searched among themselves. Rows that repeat a vec_id with the same vector count once; with another vector,
     each counts. Equal scores go by vec_id. Fewer candidates than k: all of them. Empty tables: empty result.
-    Equal vectors are one candidate, which stands for its k + 1 smallest vec_ids. In each square block a query scores its
-    `rerank` candidates with the largest table sums in double precision, then every other one whose sum and coding error
-    together reach the k-th best of those, and passes on its k best rows; these meet in one ranking by query.
+    Equal vectors are one candidate, which stands for its k + 1 smallest vec_ids. In each square block a query adds the finer
+    codes for its `rerank` candidates with the largest first sums, then for every other one whose first bound reaches the
+    k-th best lower bound of those, and passes on what still may be among the k best; of these, all that reach the k-th best
+    lower bound of the whole table are scored in double precision and ranked.
     """
     clean = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     clean = save(clean.dropDuplicates(["vec_id", "embedding"]), "vectors")
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
-    asked = save(asked, "queries")
+    asked = save(asked.withColumn("ask", F.monotonically_increasing_id()), "queries")
     lengths = sorted(r["d"] for r in asked.select(F.size("embedding").alias("d")).distinct().collect())  # a few numbers
     own = lambda rows, d: rows.where(F.size("embedding") == d)
     found = [one_length(own(clean, d), own(asked, d), d, k, rerank, block_rows, **options) for d in lengths]
@@ -147,69 +202,100 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int =
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def one_length(clean: DataFrame, asked: DataFrame, dims: int, k: int, rerank: int, block_rows: int, **options) -> DataFrame:
-    """query_id, vec_id, score: each block's k best for each query, among usable vectors of one length."""
-    quantiser = fit(clean, dims, **options)
-    first = Window.partitionBy("embedding").orderBy("vec_id")
-    few = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)  # the query's own row and k others
+def bounds(clean: DataFrame, asked: DataFrame, dims: int, k: int, rerank: int, block_rows: int, **options) -> tuple[DataFrame, DataFrame]:
+    """coded(at, ids, embedding, ...), one row a class of equal vectors, and pairs(ask, at, low, high): what codes alone say
+    of the inner products of all pairs that may be among a query's k best of their block, among vectors of one length."""
+    stack = fit(clean, dims, **options)
+    depth, first = len(stack.quantisers), stack.quantisers[0]
+    nth = Window.partitionBy("embedding").orderBy("vec_id")
+    few = clean.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)  # the query's own row and k others
     classes = save(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
-    coded = "ids array<long>, embedding array<double>, codes binary, error binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Once for each candidate: its packed codes, and the lengths of what they leave of each block."""
+        """Once for each candidate."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                x = matrix(part.column(1), dims)
-                codes = quantiser.encode(x)
-                error = quantiser.residuals(x, codes).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in quantiser.packed(codes)], pa.binary()), pa.array([e.tobytes() for e in error], pa.binary())], names=["ids", "embedding", "codes", "error"])
+                told = [pa.array([row.tobytes() for row in values], pa.binary()) for values in stack.encode(matrix(part.column(1), dims))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *told], names=["ids", "embedding", "codes", "errors", "numbers"])
 
-    classes = save(classes.select("ids", "embedding").mapInArrow(encode, coded), "coded")
-    n_c, n_q = -(-classes.count() // block_rows), max(1, -(-asked.count() // block_rows))
+    coded = classes.select("ids", "embedding").mapInArrow(encode, "ids array<long>, embedding array<double>, codes binary, errors binary, numbers binary")
+    coded = save(coded.withColumn("at", F.monotonically_increasing_id()), "coded")
+    n_c, n_q = max(1, -(-classes.count() // block_rows)), max(1, -(-asked.count() // block_rows))
     block = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = classes.select("ids", "embedding", "codes", "error", block("embedding", n_c).alias("c"), every(n_q).alias("q"))
-    right = asked.select("vec_id", "embedding", block("vec_id", n_q).alias("q"), every(n_c).alias("c"))
+    alone = F.when(F.size("ids") == 1, F.col("ids")[0])
+    left = coded.select("at", alone.alias("alone"), "codes", "errors", "numbers", block("at", n_c).alias("c"), every(n_q).alias("q"))
+    right = asked.select("ask", "vec_id", "embedding", block("ask", n_q).alias("q"), every(n_c).alias("c"))
 
-    def nearest(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        cols = {"query_id": [], "vec_id": [], "score": []}
+    def told(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = {"ask": [], "at": [], "low": [], "high": []}
         if len(cands) and len(asks):
-            ids, x = cands["ids"].to_list(), np.stack(cands["embedding"].to_numpy())
-            q_ids, q = asks["vec_id"].to_numpy(), np.stack(asks["embedding"].to_numpy())
-            alone = np.array([i[0] if len(i) == 1 else -1 for i in ids], dtype=np.int64)
-            single = np.array([len(i) == 1 for i in ids])
-            codes = np.frombuffer(b"".join(cands["codes"]), dtype=np.uint8).reshape(len(x), -1)
-            error = np.frombuffer(b"".join(cands["error"]), dtype=np.float32).reshape(len(x), -1)
-            rounding = 1e-5 * (np.linalg.norm(x, axis=1) + np.linalg.norm(error, axis=1))
-            rounding = rounding.astype(np.float32)
-            keep = min(rerank + 1, len(x))
+            n, at = len(cands), cands["at"].to_numpy()
+            single = cands["alone"].notna().to_numpy()
+            own = cands["alone"].astype("Int64").fillna(0).to_numpy(dtype=np.int64)
+            codes = np.frombuffer(b"".join(cands["codes"]), dtype=np.uint8).reshape(n, depth, -1)
+            errors = np.frombuffer(b"".join(cands["errors"]), dtype=np.uint8).reshape(n, 2, -1)
+            numbers = np.frombuffer(b"".join(cands["numbers"]), dtype=np.float32).reshape(n, -1)
+            sizes, slack = numbers[:, : depth - 1], numbers[:, -1]
+            once, last = (errors[:, j].astype(np.float32) * numbers[:, depth - 1 + j, None] for j in (0, 1))
+            places, keep = np.arange(codes.shape[2]), min(rerank + 1, n)
+            ids, q = asks[["ask", "vec_id"]].to_numpy(), np.stack(asks["embedding"].to_numpy())
             for lo in range(0, len(q), 256):
                 part = q[lo : lo + 256]
-                sums = quantiser.scan(part, codes)
-                lengths = np.linalg.norm(quantiser.split(part), axis=2).astype(np.float32)
-                most = sums + lengths @ error.T + np.linalg.norm(part, axis=1).astype(np.float32)[:, None] * rounding[None]
+                sums = first.scan(part, codes[:, 0])
+                finer = [f.byte_tables(part) for f in stack.quantisers[1:]]
+                lengths = np.linalg.norm(first.split(part), axis=2).astype(np.float32)
+                norms = np.linalg.norm(part, axis=1).astype(np.float32)
+                most = sums + lengths @ once.T + norms[:, None] * slack[None] + LEAST
                 top = np.argpartition(-sums, keep - 1, axis=1)[:, :keep]
-                for i, row in enumerate(top):
-                    own = q_ids[lo + i]
-                    other = ~(single & (alone == own))  # classes with a row that is not the query's own
-                    row = row[other[row]]
-                    exact = (x[row] * part[i]).sum(1)
-                    reach = np.partition(exact, -k)[-k] if len(row) >= k else -np.inf
-                    may = other & (most[i] >= reach)
-                    may[row] = False
+                for i, rows in enumerate(top):
+                    ask, vec_id = ids[lo + i]
+                    other = ~(single & (own == vec_id))  # classes with a row that is not the query's own
+
+                    def refined(rows: np.ndarray, i: int = i) -> tuple[np.ndarray, np.ndarray]:
+                        """Lower and upper bounds by all levels; sums that single precision cannot hold bound nothing."""
+                        total = sums[i, rows]
+                        for level, tables in enumerate(finer):
+                            total = total + sizes[rows, level] * tables[:, i][places, codes[rows, level + 1]].sum(1)
+                        wide = last[rows] @ lengths[i] + norms[i] * slack[rows] + LEAST
+                        low, high = (total - wide).astype(np.float64), (total + wide).astype(np.float64)
+                        good = np.isfinite(low) & np.isfinite(high)
+                        return np.where(good, low, -np.inf), np.where(good, high, np.inf)
+
+                    rows = rows[other[rows]]
+                    low, high = refined(rows)
+                    may = other & ~(most[i] < (np.partition(low, -k)[-k] if len(rows) >= k else -np.inf))
+                    may[rows] = False
                     more = np.flatnonzero(may)
-                    row, exact = np.concatenate([row, more]), np.concatenate([exact, (x[more] * part[i]).sum(1)])
-                    if len(row) > k:
-                        last = np.partition(exact, -k)[-k]
-                        row, exact = row[exact >= last], exact[exact >= last]
-                    found = np.concatenate([ids[r] for r in row]) if len(row) else np.zeros(0, dtype=np.int64)
-                    score = np.repeat(exact, [len(ids[r]) for r in row])
-                    score, found = score[found != own], found[found != own]
-                    best = np.lexsort((found, -score))[:k]
-                    cols["query_id"].append(np.full(len(best), own))
-                    cols["vec_id"].append(found[best])
-                    cols["score"].append(score[best])
-        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, dtype=t) for (c, v), t in zip(cols.items(), ("int64", "int64", "float64"), strict=True)})
-
-    return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(nearest, "query_id long, vec_id long, score double")
+                    rows, (low, high) = np.concatenate([rows, more]), (np.concatenate(v) for v in zip((low, high), refined(more), strict=True))
+                    if len(rows) > k:
+                        open_ = high >= np.partition(low, -k)[-k]
+                        rows, low, high = rows[open_], low[open_], high[open_]
+                    for name, values in zip(out, (np.full(len(rows), ask), at[rows], low, high), strict=True):
+                        out[name].append(values)
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, dtype=t) for (c, v), t in zip(out.items(), ("int64", "int64", "float64", "float64"), strict=True)})
+
+    return coded, left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(told, "ask long, at long, low double, high double")
+
+
+def still_open(pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs(ask, at, low, high) whose upper bound reaches the k-th largest lower bound of their query; all, where it has fewer."""
+    nth = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("low")))
+    reach = pairs.select("ask", "low").withColumn("nth", nth).where(F.col("nth") <= k).groupBy("ask").agg(F.min("low").alias("reach"), F.count(F.lit(1)).alias("n"))
+    return pairs.join(reach.where(F.col("n") >= k).select("ask", "reach"), "ask", "left").where(F.col("reach").isNull() | (F.col("high") >= F.col("reach"))).select("ask", "at")
+
+
+def one_length(clean: DataFrame, asked: DataFrame, dims: int, k: int, rerank: int, block_rows: int, **options) -> DataFrame:
+    """query_id, vec_id, score: all pairs that the codes leave open, scored exactly, among usable vectors of one length."""
+    coded, pairs = bounds(clean, asked, dims, k, rerank, block_rows, **options)
+    left = still_open(save(pairs, "bounds"), k).join(coded.select("at", "ids", "embedding"), "at")
+    both = left.join(asked.select("ask", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "ask").select("query_id", "ids", "embedding", "query")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = (matrix(batch.column(2), dims) * matrix(batch.column(3), dims)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "ids", "score"])
+
+    scored = both.mapInArrow(exact, "query_id long, ids array<long>, score double")
+    return scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id"))

@@ -1,6 +1,7 @@
 """Search among thousands of exact and of near copies, against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pickwise.llm import nearest
 
@@ -33,3 +34,21 @@ def test_search_within_each_length(spark):
     good = {i: np.array(v) for i, v in rows[:150]}
     want = {q: [j for _, j in sorted((-float((v * good[q]).sum()), j) for j, v in good.items() if j != q and len(v) == len(good[q]))[:7]] for q in good if q % 20 == 0}
     assert got == want and {len(good[q]) for q in got} == {1, 3, 5}
+
+
+def test_bounds_hold_and_leave_few_open(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[5] *= 1e18  # beyond single precision: bounds nothing, stays open
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 100 = 1").withColumn("ask", F.col("vec_id"))
+    coded, pairs = nearest.bounds(df, asked, 64, 20, 50, 700)
+    place = {r["at"]: r["ids"][0] for r in coded.select("at", "ids").collect()}
+    pairs = pairs.cache()
+    for r in pairs.collect():
+        exact = float(x[r["ask"]] @ x[place[r["at"]]])
+        assert r["low"] <= exact <= r["high"]
+    left = nearest.still_open(pairs, 20).collect()
+    assert {(r["ask"], place[r["at"]]) for r in left} >= {(q, j) for q in range(1, 3000, 100) for j in [j for j in np.argsort(-(x @ x[q])) if j != q][:20]}
+    assert len(left) < 0.05 * 30 * 3000
