@@ -10,7 +10,7 @@ once more. A search builds a table of 16 inner products a block for each query a
 codes name, over all candidates. What coding can have done to a sum is bounded by the residuals' lengths: only candidates
 that may be among the k best by the first sums have the finer codes added, and only those that may be so by the finer
 bounds, against the k-th best of the whole table, are scored exactly. So copies with equal codes and near copies are not
-lost. Queries and codes meet in bounded square blocks; vectors are joined to what is left of the candidates.
+lost. Queries and codes meet in bounded blocks; vectors are joined to what is left of the candidates.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .common import save
 from .vectors import matrix, usable
 
 CODES = 16
+ASKED, SCANNED = 1024, 8192  # queries a block; candidates whose sums are held at a time
 LEAST = np.float32(1e-37)  # what single precision may lose near zero
 
 
@@ -177,16 +178,16 @@ def fit(vectors: DataFrame, dims: int, sample_rows: int = 8192, levels: int = 4,
     return Levels(out)
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, block_rows: int = 8192, **options) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, block_rows: int = 65536, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of `embeddings` for each row of `queries`, the query's own vec_id apart.
 
     Both have (vec_id, embedding). Null, zero or unfinished vectors and rows without vec_id take no part; vectors of each
     length are searched among themselves. Rows that repeat a vec_id with the same vector count once; with another vector,
     each counts. Equal scores go by vec_id. Fewer candidates than k: all of them. Empty tables: empty result.
-    Equal vectors are one candidate, which stands for its k + 1 smallest vec_ids. In each square block a query adds the finer
-    codes for its `rerank` candidates with the largest first sums, then for every other one whose first bound reaches the
-    k-th best lower bound of those, and passes on what still may be among the k best; of these, all that reach the k-th best
-    lower bound of the whole table are scored in double precision and ranked.
+    Equal vectors are one candidate, which stands for its k + 1 smallest vec_ids. A query meets `block_rows` candidates at a
+    time. It adds the finer codes for its `rerank` candidates with the largest first sums, then for every other one whose
+    first bound reaches the k-th best lower bound so far, and passes on what still may be among the block's k best; of
+    these, all that reach the k-th best lower bound of the whole table are scored in double precision and ranked.
     """
     clean = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     clean = save(clean.dropDuplicates(["vec_id", "embedding"]), "vectors")
@@ -221,7 +222,7 @@ def bounds(clean: DataFrame, asked: DataFrame, dims: int, k: int, rerank: int, b
 
     coded = classes.select("ids", "embedding").mapInArrow(encode, "ids array<long>, embedding array<double>, codes binary, errors binary, numbers binary")
     coded = save(coded.withColumn("at", F.monotonically_increasing_id()), "coded")
-    n_c, n_q = max(1, -(-classes.count() // block_rows)), max(1, -(-asked.count() // block_rows))
+    n_c, n_q = max(1, -(-classes.count() // block_rows)), max(1, -(-asked.count() // min(block_rows, ASKED)))
     block = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     alone = F.when(F.size("ids") == 1, F.col("ids")[0])
@@ -239,40 +240,48 @@ def bounds(clean: DataFrame, asked: DataFrame, dims: int, k: int, rerank: int, b
             numbers = np.frombuffer(b"".join(cands["numbers"]), dtype=np.float32).reshape(n, -1)
             sizes, slack = numbers[:, : depth - 1], numbers[:, -1]
             once, last = (errors[:, j].astype(np.float32) * numbers[:, depth - 1 + j, None] for j in (0, 1))
-            places, keep = np.arange(codes.shape[2]), min(rerank + 1, n)
+            places = np.arange(codes.shape[2])
             ids, q = asks[["ask", "vec_id"]].to_numpy(), np.stack(asks["embedding"].to_numpy())
             for lo in range(0, len(q), 256):
                 part = q[lo : lo + 256]
-                sums = first.scan(part, codes[:, 0])
                 finer = [f.byte_tables(part) for f in stack.quantisers[1:]]
                 lengths = np.linalg.norm(first.split(part), axis=2).astype(np.float32)
                 norms = np.linalg.norm(part, axis=1).astype(np.float32)
-                most = sums + lengths @ once.T + norms[:, None] * slack[None] + LEAST
-                top = np.argpartition(-sums, keep - 1, axis=1)[:, :keep]
-                for i, rows in enumerate(top):
-                    ask, vec_id = ids[lo + i]
-                    other = ~(single & (own == vec_id))  # classes with a row that is not the query's own
-
-                    def refined(rows: np.ndarray, i: int = i) -> tuple[np.ndarray, np.ndarray]:
-                        """Lower and upper bounds by all levels; sums that single precision cannot hold bound nothing."""
-                        total = sums[i, rows]
-                        for level, tables in enumerate(finer):
-                            total = total + sizes[rows, level] * tables[:, i][places, codes[rows, level + 1]].sum(1)
-                        wide = last[rows] @ lengths[i] + norms[i] * slack[rows] + LEAST
-                        low, high = (total - wide).astype(np.float64), (total + wide).astype(np.float64)
-                        good = np.isfinite(low) & np.isfinite(high)
-                        return np.where(good, low, -np.inf), np.where(good, high, np.inf)
-
-                    rows = rows[other[rows]]
-                    low, high = refined(rows)
-                    may = other & ~(most[i] < (np.partition(low, -k)[-k] if len(rows) >= k else -np.inf))
-                    may[rows] = False
-                    more = np.flatnonzero(may)
-                    rows, (low, high) = np.concatenate([rows, more]), (np.concatenate(v) for v in zip((low, high), refined(more), strict=True))
-                    if len(rows) > k:
-                        open_ = high >= np.partition(low, -k)[-k]
-                        rows, low, high = rows[open_], low[open_], high[open_]
-                    for name, values in zip(out, (np.full(len(rows), ask), at[rows], low, high), strict=True):
+
+                def refined(i: int, rows: np.ndarray, total: np.ndarray, finer=finer, lengths=lengths, norms=norms) -> np.ndarray:
+                    """Row, lower and upper bound by all levels; sums that single precision cannot hold bound nothing."""
+                    for level, tables in enumerate(finer):
+                        total = total + sizes[rows, level] * tables[:, i][places, codes[rows, level + 1]].sum(1)
+                    wide = last[rows] @ lengths[i] + norms[i] * slack[rows] + LEAST
+                    low, high = (total - wide).astype(np.float64), (total + wide).astype(np.float64)
+                    good = np.isfinite(low) & np.isfinite(high)
+                    return np.stack([rows, np.where(good, low, -np.inf), np.where(good, high, np.inf)])
+
+                def pruned(found: np.ndarray) -> tuple[np.ndarray, float]:
+                    """What of `found` may be among the k best of it, and the k-th lower bound."""
+                    if found.shape[1] < k:
+                        return found, -np.inf
+                    reach = np.partition(found[1], -k)[-k]
+                    return found[:, found[2] >= reach], reach
+
+                open_ = [(np.zeros((3, 0)), -np.inf)] * len(part)
+                for at_c in range(0, n, SCANNED):
+                    some = slice(at_c, at_c + SCANNED)
+                    sums = first.scan(part, codes[some, 0])
+                    most = sums + lengths @ once[some].T + norms[:, None] * slack[None, some] + LEAST
+                    keep = min(rerank + 1, sums.shape[1])
+                    for i in range(len(part)):
+                        may = ~(single[some] & (own[some] == ids[lo + i, 1]))  # classes with a row that is not the query's own
+                        found, reach = open_[i]
+                        if reach == -np.inf:
+                            rows = np.argpartition(-sums[i], keep - 1)[:keep]
+                            rows = rows[may[rows]]
+                            may[rows] = False
+                            found, reach = pruned(np.concatenate([found, refined(i, at_c + rows, sums[i, rows])], axis=1))
+                        rows = np.flatnonzero(may & ~(most[i] < reach))
+                        open_[i] = pruned(np.concatenate([found, refined(i, at_c + rows, sums[i, rows])], axis=1))
+                for i, (found, _) in enumerate(open_):
+                    for name, values in zip(out, (np.full(found.shape[1], ids[lo + i, 0]), at[found[0].astype(np.int64)], found[1], found[2]), strict=True):
                         out[name].append(values)
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, dtype=t) for (c, v), t in zip(out.items(), ("int64", "int64", "float64", "float64"), strict=True)})
 
