@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranks import by_value
 from .log import run, shared_folder
 
 c = F.col
@@ -36,9 +37,18 @@ def fan_out(frames: DataFrame, clients: DataFrame, capacity: int) -> DataFrame:
     """client, offered, overflows, queued, next: clients' queues after one burst of frames(cursor), none drained meanwhile.
 
     clients(client, after, topic) and frames(cursor, topic): a client is offered the frames of its topic behind its place. A
-    frame that finds the queue full empties it and leaves one reset in it, up to that frame.
+    frame that finds the queue full empties it and leaves one reset in it, up to that frame. Frames and places are put in one
+    order, by buckets, and counted from its end, so no client meets its frames one by one.
     """
-    n = frames.join(clients, "topic").where(c("cursor") > c("after")).groupBy("client").agg(F.count(F.lit(1)).alias("offered"), F.max("cursor").alias("last"))
+    mark = lambda df, at, client, n: df.select("topic", c(at).alias("at"), client.alias("client"), F.lit(n).alias("n"))
+    marks = mark(frames, "cursor", F.lit(None), 1).unionByName(mark(clients, "after", c("client"), 0)).where(c("topic").isNotNull())
+    b = by_value(marks, [], "at").drop("_n")
+    sums = b.groupBy("topic", "_bucket").agg(F.sum("n").alias("_k"), F.max(F.when(c("n") == 1, c("at"))).alias("_last"))
+    above = Window.partitionBy("topic").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # rows of buckets
+    sums = sums.select("topic", "_bucket", F.coalesce(F.sum("_k").over(above), F.lit(0)).alias("_base"), F.max("_last").over(Window.partitionBy("topic")).alias("last"))
+    behind = F.sum("n").over(Window.partitionBy("topic", "_bucket").orderBy(F.desc("at"), "n").rowsBetween(Window.unboundedPreceding, 0))
+    own = b.withColumn("_behind", behind).where(c("n") == 0).join(sums, ["topic", "_bucket"]).withColumn("offered", c("_base") + c("_behind"))
+    n = own.groupBy("client").agg(F.sum("offered").alias("offered"), F.max(F.when(c("offered") > 0, c("last"))).alias("last"))
     j = clients.join(n, "client", "left").withColumn("offered", F.coalesce("offered", F.lit(0)))
     over = F.when(c("offered") > capacity, 1 + F.floor((c("offered") - capacity - 1) / capacity)).otherwise(0)
     queued = F.when(c("offered") <= capacity, c("offered")).otherwise(1 + (c("offered") - capacity - 1) % capacity)
