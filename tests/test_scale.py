@@ -22,3 +22,11 @@ def test_fan_out_counts_without_meeting(spark):
     assert {r["client"]: tuple(r)[1:] for r in df.select("client", "offered", "overflows", "queued", "next").collect()} == want
     joins = re.findall(r"Join [A-Za-z]+, .*", df._jdf.queryExecution().optimizedPlan().toString())
     assert joins and not any("topic" in j and "_bucket" not in j for j in joins)  # never all frames of a topic with all its clients
+
+
+def test_text_gate_sends_no_table_whole(spark, data):
+    from pickwise.plans import registry
+
+    for name in ("title_evidence", "gate_custom", "gate_textless", "spread_title_evidence"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
