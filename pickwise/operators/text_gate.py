@@ -187,11 +187,16 @@ def with_picture(boxes: DataFrame, images: DataFrame, how: str = "inner") -> Dat
     return boxes.join(images.hint("merge"), "image", how)
 
 
+def dealt(boxes: DataFrame) -> DataFrame:
+    """boxes by picture, in as many parts as the session shuffles to: a picture is few bytes but much work, so parts are not merged by their bytes."""
+    return boxes.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image")
+
+
 def looked_for(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """boxes with their picture's size, title and tokens, and the letters of text and title without spaces."""
     letters = F.array_distinct(F.filter(F.transform("title_tokens", compact), lambda t: t != ""))
     i = images.select("image", "width", "height", "title_tokens", "director_tokens", F.coalesce(compact(c("title")), F.lit("")).alias("title_letters"), letters.alias("token_letters"))
-    return with_picture(boxes, i).withColumn("letters", F.coalesce(compact(c("text")), F.lit("")))
+    return with_picture(dealt(boxes), i).withColumn("letters", F.coalesce(compact(c("text")), F.lit("")))
 
 
 BOX = ("box_id", "text", "letters", "confidence", "left", "top", "right", "bottom", "valid")
@@ -327,7 +332,7 @@ def ids_of(found: DataFrame, name: str) -> DataFrame:
 def weighed(boxes: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame:
     """All boxes with their picture's size and tokens and, of found(image, _own: its title's box_ids), of_title, area, significance and near_title."""
     i = images.select("image", "width", "height", "title_tokens", "director_tokens")
-    b = with_picture(with_picture(boxes, i), found, "left").withColumn("of_title", F.coalesce(F.array_contains("_own", c("box_id")), F.lit(False)))
+    b = with_picture(with_picture(dealt(boxes), i), found, "left").withColumn("of_title", F.coalesce(F.array_contains("_own", c("box_id")), F.lit(False)))
     own, all_ = lambda x: F.when(c("of_title"), c(x)), Window.partitionBy("image")
     b = b.withColumns({"_x": (F.min(own("left")).over(all_) + F.max(own("right")).over(all_)) / 2, "_y": (F.min(own("top")).over(all_) + F.max(own("bottom")).over(all_)) / 2, "area": (c("right") - c("left")) * (c("bottom") - c("top"))})
     b = unexplained(b, F.when(~c("of_title"), words(c("text"))), F.array_union("title_tokens", "director_tokens"), "_odd")
@@ -354,7 +359,7 @@ def categories(boxes: DataFrame, images: DataFrame, billing: DataFrame, tagline:
     other, by the first rule that fits. `tagline`, and the season's number and title, hold for all pictures; without a
     number any season's name counts. A box without words is other."""
     i = images.select("image", "width", "height", "director_tokens")
-    return categorised(with_picture(boxes, i), billing, tagline, season, season_title).select("image", "box_id", "category")
+    return categorised(with_picture(dealt(boxes), i), billing, tagline, season, season_title).select("image", "box_id", "category")
 
 
 def categorised(b: DataFrame, billing: DataFrame, tagline: str | None, season: int | None, season_title: str | None) -> DataFrame:
