@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,21 +139,23 @@ def suppress_overlaps(df: DataFrame, threshold: float = 0.5, by: str = "image",
     """Greedy suppression of boxes (image, box_id, confidence, left, top, right, bottom): the surest box stays and those
     that overlap it by at least the threshold go; with `text`, only those whose values of that column are equal. Rows of an image are a bounded set; equal confidences go by box_id."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "box_id"], ascending=[False, True]).reset_index(drop=True)
-        b = pdf[["left", "top", "right", "bottom"]].to_numpy(dtype=np.float64)
-        area = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
-        kept = np.ones(len(b), dtype=bool)
-        for i in range(len(b)):
-            if kept[i]:
-                w = np.maximum(np.minimum(b[i, 2], b[i + 1 :, 2]) - np.maximum(b[i, 0], b[i + 1 :, 0]), 0)
-                h = np.maximum(np.minimum(b[i, 3], b[i + 1 :, 3]) - np.maximum(b[i, 1], b[i + 1 :, 1]), 0)
-                union = area[i] + area[i + 1 :] - w * h
-                same = (pdf[text].to_numpy()[i + 1 :] == pdf[text][i]) if text else np.ones(len(b) - i - 1, dtype=bool)
-                kept[i + 1 :] &= ~same | ~(np.divide(w * h, union, out=np.zeros_like(union), where=union > 0) >= threshold)
-        return pdf[kept]
-
-    return df.groupBy(by).applyInPandas(group, df.schema)
+    c, side = F.col, lambda x, low, high: F.greatest(x[high] - x[low], F.lit(0.0))
+    area = lambda x: side(x, "left", "right") * side(x, "top", "bottom")
+    meet = lambda x, y, low, high: F.greatest(F.least(x[high], y[high]) - F.greatest(x[low], y[low]), F.lit(0.0))
+
+    def over(x: Column, y: Column) -> Column:
+        both = meet(x, y, "left", "right") * meet(x, y, "top", "bottom")
+        union = area(x) + area(y) - both
+        near = F.when(union > 0, both / union).otherwise(0.0) >= threshold
+        return F.coalesce(near & x[text].eqNullSafe(y[text]) if text else near, F.lit(False))
+
+    none = c("confidence").isNull() | F.isnan("confidence")
+    box = F.struct(none.alias("_none"), F.when(~none, -c("confidence")).alias("_sure"), c("box_id").alias("_id"), F.struct(*df.columns).alias("x"))
+    own = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).groupBy(by).agg(F.sort_array(F.collect_list(box)).alias("own"))
+    own = own.withColumn("own", F.transform("own", lambda b: b["x"]))
+    empty = F.slice("own", 1, 0)
+    stays = F.aggregate("own", empty, lambda found, y: F.when(F.exists(found, lambda x: over(x, y)), found).otherwise(F.concat(found, F.array(y))))
+    return own.select(F.explode(stays).alias("x")).select("x.*")
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

@@ -30,3 +30,20 @@ def test_text_gate_sends_no_table_whole(spark, data):
     for name in ("title_evidence", "gate_custom", "gate_textless", "spread_title_evidence"):
         plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_overlaps_fold_in_columns(spark):
+    from pickwise.operators import candidates
+
+    rng = random.Random(8)
+    rows = [(i, k, rng.choice([0.5, 0.9, rng.random()]), float(x), 0.0, x + 10.0, 10.0) for i in range(40) for k, x in enumerate(rng.randrange(30) for _ in range(rng.randint(1, 9)))]
+    df = candidates.suppress_overlaps(spark.createDataFrame(rows, "image int, box_id int, confidence double, left double, top double, right double, bottom double"))
+    want = set()
+    for i in range(40):
+        found = []
+        for _, k, x in sorted((-r[2], r[1], r[3]) for r in rows if r[0] == i):
+            if all(max(0, 10 - abs(x - y)) / (20 - max(0, 10 - abs(x - y))) < 0.5 for _, y in found):
+                found.append((k, x))
+        want |= {(i, k) for k, _ in found}
+    assert {(r["image"], r["box_id"]) for r in df.collect()} == want
+    assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()  # no Python call for each picture
