@@ -31,7 +31,7 @@ from pyspark.sql.functions import pandas_udf
 from . import rtree
 from .common import bound_batches, discard, maybe_broadcast, save, slices
 from .links import components, neighbours
-from .shingles import shingle_set
+from .shingles import shingle_set, shingle_sets
 
 BUCKETS = 1 << 16
 GROUPS = 64  # of the points in the R-tree
@@ -62,8 +62,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for lo, hi in slices(batch):
                 part, out = batch.slice(lo, hi - lo), {k: [] for k in kinds if k not in ("doc_id", "counts")}
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text, words)
+                for s in shingle_sets(part.column(1).to_pylist(), words):
                     fine = rtree.counts(s, rtree.groups_for(len(s)))
                     out["n"].append(len(s))
                     out["node"].append(node_of(s))
@@ -95,8 +94,7 @@ def postings(docs: DataFrame, words: int, percent: int, rare: np.ndarray) -> Dat
         for batch in batches:
             for lo, hi in slices(batch):
                 tokens, nodes, ns, short = [], [], [], []
-                for text in batch.column(0).slice(lo, hi - lo).to_pylist():
-                    s = shingle_set(text, words)
+                for s in shingle_sets(batch.column(0).slice(lo, hi - lo).to_pylist(), words):
                     n = len(s)
                     if not n or (node := node_of(s)) in seen:  # the same set in this task: its postings are out already
                         continue
@@ -124,8 +122,7 @@ def hash_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi in slices(batch):
                 part, nodes, hashes = batch.slice(lo, hi - lo), [], []
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingle_set(text, words)
+                for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), words), strict=True):
                     if node_of(s) == node:
                         nodes.append(node)
                         hashes.append(s.tobytes())

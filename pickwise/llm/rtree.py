@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 8
+FOUR = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8).view(np.uint32).ravel()  # the four counts of a byte
 
 
 def counts(hashes: np.ndarray, groups: int) -> np.ndarray:
@@ -34,18 +35,19 @@ def packed_fine(vector: np.ndarray) -> bytes:
     low = np.minimum(vector, 3).astype(np.uint8)
     over = np.flatnonzero(vector > 3).astype("<u4")
     rest = np.stack([over, vector[over].astype("<u4") - np.uint32(3)]).astype("<u4").tobytes()
-    out = b"\xff" + len(vector).to_bytes(4, "little") + (low.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes() + rest
+    four = low[::4] | low[1::4] << 2 | low[2::4] << 4 | low[3::4] << 6
+    out = b"\xff" + len(vector).to_bytes(4, "little") + four.tobytes() + rest
     return out if len(out) <= len(vector) else packed(vector)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
     if raw[0] < 255:
-        return np.frombuffer(raw, dtype=np.uint8, offset=1).astype(np.int64) << raw[0]
+        return np.frombuffer(raw, dtype=np.uint8, offset=1).astype(np.int32) << raw[0]
     n = int.from_bytes(raw[1:5], "little")
-    low = np.frombuffer(raw, dtype=np.uint8, offset=5, count=n // 4)
-    out = ((low[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).ravel().astype(np.int64)
-    over, rest = np.frombuffer(raw, dtype="<u4", offset=5 + n // 4).reshape(2, -1)
-    out[over] += rest
+    out = FOUR[np.frombuffer(raw, dtype=np.uint8, offset=5, count=n // 4)].view(np.uint8).astype(np.int32)
+    if len(raw) > 5 + n // 4:
+        over, rest = np.frombuffer(raw, dtype="<i4", offset=5 + n // 4).reshape(2, -1)
+        out[over] += rest
     return out
 
 
@@ -58,7 +60,7 @@ def fits(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
     """The counts over fewer groups (a power of two)."""
-    return vector.reshape(-1, groups).sum(axis=0)
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def needed(total: np.ndarray, percent: int) -> np.ndarray:
@@ -144,7 +146,7 @@ def survivors(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarra
 
 def close(packs: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, cells: int = 1_000_000) -> np.ndarray:
     """How many shingles each pair of members can share at most, by all the groups that both packed vectors have; -1 where
-    that is too few. In slices of bounded memory."""
+    that is too few. In slices of bounded memory, over few groups first: pairs that these rule out are not looked at over more."""
     out = np.full(len(x), -1, dtype=np.int64)
     groups = np.array([groups_for(int(n)) for n in sizes])
     least, need = np.minimum(groups[x], groups[y]), needed(sizes[x] + sizes[y], percent)
@@ -153,9 +155,15 @@ def close(packs: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, p
         for lo in range(0, len(own), step := max(1, cells // g)):
             k = own[lo : lo + step]
             used, at = np.unique(np.concatenate([x[k], y[k]]), return_inverse=True)
-            table = np.stack([fold(unpacked(packs[u]), g).astype(np.int32) for u in used])
-            most = np.minimum(table[at[: len(k)]], table[at[len(k) :]]).sum(axis=1)
-            out[k] = np.where(most >= need[k], most, -1)
+            table = np.stack([fold(unpacked(packs[u]), g) for u in used])
+            i, j = at[: len(k)], at[len(k) :]
+            for few in sorted({min(g, 256), min(g, 1024), g}):
+                t = table.reshape(len(used), -1, few).sum(axis=1, dtype=np.int32) if few < g else table
+                t = t.astype(np.uint8) if t.max(initial=0) < 256 else t
+                most = np.minimum(t[i], t[j]).sum(axis=1, dtype=np.int32)
+                ok = most >= need[k]
+                k, i, j, most = k[ok], i[ok], j[ok], most[ok]
+            out[k] = most
     return out
 
 
