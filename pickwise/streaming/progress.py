@@ -30,7 +30,9 @@ def resume(log: DataFrame, clients: DataFrame, limit: int) -> tuple[DataFrame, D
     reset = (after < 0) | (after > c("_hi")) | F.coalesce(after < c("_lo") - 1, F.lit(False)) | (c("_hi") - after > limit)
     told = j.select("client", reset.alias("reset"), F.when(reset, c("_hi")).otherwise(after).alias("next"), F.when(reset, F.lit(0)).otherwise(c("_hi") - after).cast("long").alias("missed"))
     open_ = told.where(~c("reset") & (c("missed") > 0)).select("client", F.explode(F.sequence(c("next") + 1, c("next") + c("missed"))).alias("cursor"))  # at most `limit` a client
-    return told, open_.join(log.select("cursor"), "cursor", "left_semi").select("client", "cursor")
+    # Replayed rows lie among the last `limit` places: these few are sent to the clients, not all clients' rows to these few.
+    recent = log.select("cursor").crossJoin(F.broadcast(ends)).where(c("cursor") > c("_hi") - limit).select("cursor").distinct()
+    return told, open_.join(F.broadcast(recent), "cursor", "left_semi").select("client", "cursor")
 
 
 def fan_out(frames: DataFrame, clients: DataFrame, capacity: int) -> DataFrame:
