@@ -158,7 +158,10 @@ def repair_runs(runs: DataFrame, batches: DataFrame, now: str) -> DataFrame:
     """
     new = F.coalesce(*[F.when(F.col("outcome") == k, v) for k, v in REPAIRED_STATUS.items()])
     ended = batches.where(F.col("phase") == "terminal").select(F.col("job_id").alias("_b"), new.alias("_new"), F.col("terminal_at").alias("_end"), F.col("outcome").alias("_why")).where("_new IS NOT NULL")
-    j = runs.join(ended, F.col("batch_id") == F.col("_b"), "left")
+    may = F.coalesce((F.col("status") == "running") & F.col("batch_id").isNotNull(), F.lit(False))
+    # Rows that no batch can change pass by the join: in it, all without a batch would be one key.
+    j = runs.where(may).join(ended, F.col("batch_id") == F.col("_b"), "left")
+    j = j.unionByName(runs.where(~may), allowMissingColumns=True)
     stale = (F.col("status") == "running") & F.col("_new").isNotNull()
     at = F.lit(now).cast("timestamp_ntz")
     return j.select("run_id", F.when(stale, F.col("_new")).otherwise(F.col("status")).alias("status"), F.when(stale, F.coalesce("completed_at", "_end", at)).otherwise(F.col("completed_at")).alias("completed_at"), F.when(stale, F.coalesce("error", "_why")).otherwise(F.col("error")).alias("error"), F.coalesce(stale, F.lit(False)).alias("repaired"))

@@ -1,7 +1,10 @@
 """Tasks and tables that must not grow faster than their input."""
 
+import datetime as dt
+
 import pytest
 
+from pickwise.operators import jobs
 from pickwise.streaming import progress
 
 
@@ -24,3 +27,13 @@ def test_replayed_rows_meet_few_places(by_shuffle):
     assert set(got) == want and len(got) == len(want)
     assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()  # not all clients' rows by few cursors
     assert progress.resume(log.limit(0), clients, 60)[1].count() == 0
+
+
+def test_runs_without_a_batch_pass_by_the_join(by_shuffle):
+    day = dt.datetime(1998, 1, 1)
+    runs = by_shuffle.createDataFrame([(1, None, "running", None, None), (2, 8, "running", None, None), (3, 8, "completed", day, "e"), (4, 8, None, None, None), (5, 9, "running", day, "e"), (6, 7, "running", None, None)], "run_id int, batch_id int, status string, completed_at timestamp_ntz, error string")
+    batches = by_shuffle.createDataFrame([(8, "terminal", "failed", day), (9, "terminal", "dead_letter", None), (7, "running", None, None)], "job_id int, phase string, outcome string, terminal_at timestamp_ntz")
+    df = jobs.repair_runs(runs, batches, "1998-06-01")
+    assert {r["run_id"]: tuple(r)[1:] for r in df.collect()} == {
+        1: ("running", None, None, False), 2: ("failed", day, "failed", True), 3: ("completed", day, "e", False), 4: (None, None, None, False), 5: ("failed", day, "e", True), 6: ("running", None, None, False)}
+    assert "isnotnull(batch_id" in df._jdf.queryExecution().optimizedPlan().toString().lower()  # else nulls are one task's
