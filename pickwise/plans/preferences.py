@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import exemplars, pairs
+from ..sources import scratch
 from ..sources.tables import table
 from .registry import query
 
@@ -112,11 +113,13 @@ def active_exemplars(spark, sf_dir):
 @query()
 def residual_gate(spark, sf_dir):
     """A residual fitted on the training subjects' pairs, its accuracy on each part beside the baseline's, and whether it may take over."""
-    q = pairs.build_pairs(shown(spark, sf_dir)).join(pairs.split_subjects(table(spark, sf_dir, "orders").select(c("o_custkey").alias("subject"))), "subject")
     f = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("event_id"), c("l_linenumber").cast("string").alias("id")).agg((F.max("l_quantity") / 50).alias("size"), (F.max("l_discount") * 10).alias("cut"), (0.05 + 0.9 * F.max("l_tax") / 0.08).alias("score"))
-    side = lambda k: f.select("event_id", c("id").alias(f"{k}_id"), *[c(x).alias(f"{k}_{x}") for x in ("size", "cut", "score")])
-    d = q.join(side("winner"), ["event_id", "winner_id"]).join(side("loser"), ["event_id", "loser_id"])
-    d = d.withColumns({"d_size": c("winner_size") - c("loser_size"), "d_cut": c("winner_cut") - c("loser_cut")})
+    # An event's features as one map (of what it showed), which its pairs meet once: events are dealt once for all of it.
+    f = f.where("id IS NOT NULL").repartition("event_id").groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("size", "cut", "score")))).alias("of"))
+    q = pairs.build_pairs(shown(spark, sf_dir)).join(f, "event_id").withColumns({"winner": c("of")[c("winner_id")], "loser": c("of")[c("loser_id")]})
+    q = q.where("winner IS NOT NULL AND loser IS NOT NULL").select("subject", "weight", c("winner.score").alias("winner_score"), c("loser.score").alias("loser_score"), (c("winner.size") - c("loser.size")).alias("d_size"), (c("winner.cut") - c("loser.cut")).alias("d_cut"))
+    # Written once: the fit and the comparison both read it.
+    d = scratch.kept(q.join(pairs.split_subjects(table(spark, sf_dir, "orders").select(c("o_custkey").alias("subject"))), "subject"), "pairs")
     w = pairs.fit_pairs(d.where("part = 'train'"), ["size", "cut"])
     base = scores.logit(c("winner_score")) - scores.logit(c("loser_score"))
     pull = c("d_size") * w["size"] + c("d_cut") * w["cut"]

@@ -1,10 +1,13 @@
 """Tasks and tables that must not grow faster than their input."""
 
 import datetime as dt
+import random
 
 import pytest
 
-from pickwise.operators import jobs
+from pickwise.operators import candidates, jobs, pairs
+from pickwise.plans import registry
+from pickwise.sources import scratch
 from pickwise.streaming import progress
 
 
@@ -37,3 +40,30 @@ def test_runs_without_a_batch_pass_by_the_join(by_shuffle):
     assert {r["run_id"]: tuple(r)[1:] for r in df.collect()} == {
         1: ("running", None, None, False), 2: ("failed", day, "failed", True), 3: ("completed", day, "e", False), 4: (None, None, None, False), 5: ("failed", day, "e", True), 6: ("running", None, None, False)}
     assert "isnotnull(batch_id" in df._jdf.queryExecution().optimizedPlan().toString().lower()  # else nulls are one task's
+
+
+def test_few_hashes_are_one_key(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(s, i, (rng.randrange(6) * 0x1234567 ^ 1 << rng.randrange(60)) ^ 1 << rng.randrange(60)) for s, n in (("x", 40), ("y", 5), ("z", 1)) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "subject string, id long, phash long")
+    want = {(s, i, j) for s, i, h in rows for t, j, g in rows if s == t and i < j and (h ^ g).bit_count() <= 6}
+    for few in (0, 10, 1000):
+        monkeypatch.setattr(candidates, "FEW", few)
+        found = candidates.near_hashes(nodes, 6, "subject")
+        assert {tuple(r) for r in found.collect()} == want and len(want) > 20
+
+
+def test_residual_gate_makes_its_pairs_once(spark, data, monkeypatch):
+    seen, keep = [], scratch.kept
+    monkeypatch.setattr(scratch, "kept", lambda df, name: seen.append(name) or keep(df, name))
+    registry.QUERIES["residual_gate"](spark, data)
+    assert seen == ["pairs"]
+
+
+def test_equal_pairs_pull_together(spark):
+    rows = [(0.6, 0.4, w, x, 1.0) for w, x in ((0.5, 0.5), (0.25, -0.25), (1.0, 0.75))]
+    schema = "winner_score double, loser_score double, weight double, d_size double, d_cut double"
+    one, many = ([r for r in rows for _ in range(n)] for n in (3, 12))
+    fit = lambda rows: pairs.fit_pairs(spark.createDataFrame(rows, schema), ["size", "cut"], decay=0.5)
+    spread = fit([(*r[:3], r[3] + 1e-12 * k, r[4]) for k, r in enumerate(one)])  # no two rows equal
+    assert all(abs(fit(one)[k] - spread[k]) < 1e-6 for k in spread) and fit(one)["size"] != fit(many)["size"]
