@@ -78,13 +78,19 @@ def stacks(df: DataFrame, threshold: float = fixed.STACK_MIN_SIMILARITY, top: in
     return ranked.withColumn("stack_rank", F.dense_rank().over(order).cast("long")).withColumn("stack_label", scores.position_label(F.col("stack_pos"))).select(by, "candidate_id", "score", "stack_rank", "stack_pos", "stack_label", "stack_size", "stack_score")
 
 
+FEW = 128  # hashes of a subject that are compared with each other
+
+
 def near_hashes(nodes: DataFrame, most: int, by: str) -> DataFrame:
     """by, a, b: pairs a before b of nodes(by, id, phash) that differ in `most` bits at most. The 64 bits are cut into
-    most + 2 bands; such a pair agrees in two of them, so each pair of bands is one key of an index."""
+    most + 2 bands; such a pair agrees in two of them, so each pair of bands is one key of an index. A subject of few hashes
+    is one key: its rows are not repeated for each pair of bands."""
     edges = [64 * k // (most + 2) for k in range(most + 3)]
     band = lambda k: F.shiftrightunsigned("phash", edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
     keys = [F.struct(F.lit(n).alias("k"), band(i).alias("x"), band(j).alias("y")) for n, (i, j) in enumerate(combinations(range(most + 2), 2))]
-    index = nodes.select(by, "id", "phash", F.explode(F.array(*keys)).alias("key")).select(by, "id", "phash", "key.*")
+    one = F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    sized = nodes.join(nodes.groupBy(by).agg(F.count(F.lit(1)).alias("members")), by)
+    index = sized.select(by, "id", "phash", F.explode(F.when(F.col("members") <= FEW, F.array(one)).otherwise(F.array(*keys))).alias("key")).select(by, "id", "phash", "key.*")
     other = index.select(by, F.col("id").alias("b"), F.col("phash").alias("other"), "k", "x", "y")
     close = index.join(other, [by, "k", "x", "y"]).where((F.col("id") < F.col("b")) & (F.bit_count(F.col("phash").bitwiseXOR(F.col("other"))) <= most))
     return close.select(by, F.col("id").alias("a"), "b").distinct()
