@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import dropped, kept
+from ..sources.scratch import dropped, kept, shared_folder
 
 NEVER = 2**60
 
@@ -36,15 +36,18 @@ def activate(log: DataFrame) -> DataFrame:
         first = lambda which: F.least(2 * F.col("own_end") - 1, 2 * F.coalesce(F.min(F.when(which, F.col("at"))).over(after), F.lit(NEVER)))
         return df.withColumns({"sure": first(stands), "possible": first(may)})
 
+    fallen = shared_folder(log.sparkSession, "fallen")  # rows that fall leave the rounds: written once, not in each round
+    rows.limit(0).write.parquet(fallen)
     while rows.where(open_).limit(1).count():
         over = ended(rows.where(may))
-        latest = F.max(F.when(may, F.col("sure"))).over(before)
+        latest = F.max("sure").over(before)
         holds = F.max(F.when(stands, F.col("possible"))).over(before)
         free, taken = F.coalesce(latest, F.lit(-NEVER)) < 2 * F.col("at"), F.coalesce(holds, F.lit(-NEVER)) >= 2 * F.col("at")
-        told = over.withColumn("state", F.when(~open_, F.col("state")).when(free, True).when(taken, False)).drop("sure", "possible")
-        new = kept(told.unionByName(rows.where(~may)), "exemplars")
+        new = kept(over.withColumn("state", F.when(~open_, F.col("state")).when(free, True).when(taken, False)).drop("sure", "possible"), "exemplars")
+        new.where(~may).write.mode("append").parquet(fallen)
         dropped(rows)
         rows = new
+    rows = rows.where("state").unionByName(log.sparkSession.read.schema(rows.schema).parquet(fallen))
     live = ended(rows.where("state")).withColumn("next", F.min(F.struct("at", "exemplar")).over(after))
     past = F.col("sure") < 2 * NEVER - 1
     successor = F.when(F.col("sure") == 2 * F.col("next.at"), F.col("next.exemplar"))

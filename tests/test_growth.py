@@ -5,10 +5,11 @@ import random
 
 import pytest
 
-from pickwise.operators import candidates, jobs, pairs
+from pickwise.operators import candidates, exemplars, jobs, pairs
 from pickwise.plans import registry
 from pickwise.sources import scratch
 from pickwise.streaming import progress
+from test_folds import plain_fold
 
 
 @pytest.fixture
@@ -67,3 +68,13 @@ def test_equal_pairs_pull_together(spark):
     fit = lambda rows: pairs.fit_pairs(spark.createDataFrame(rows, schema), ["size", "cut"], decay=0.5)
     spread = fit([(*r[:3], r[3] + 1e-12 * k, r[4]) for k, r in enumerate(one)])  # no two rows equal
     assert all(abs(fit(one)[k] - spread[k]) < 1e-6 for k in spread) and fit(one)["size"] != fit(many)["size"]
+
+
+def test_fallen_exemplars_leave_the_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    log = [(1000 + at, rng.randrange(6), rng.randrange(5), at * 10, at * 10 + rng.randrange(5, 300) if rng.random() < 0.3 else None) for at in range(1, 50)]
+    sizes, keep = [], exemplars.kept
+    monkeypatch.setattr(exemplars, "kept", lambda df, name: sizes.append((t := keep(df, name)).count()) or t)
+    df = exemplars.activate(spark.createDataFrame(log, "exemplar long, subject long, picture long, at long, revoked long"))
+    assert {r["exemplar"]: (r["status"], r["by"], r["until"]) for r in df.collect()} == plain_fold(log)
+    assert sizes[0] == len(log) and sizes[-1] < len(log)  # written anew in each round before
