@@ -31,44 +31,78 @@ from .suffixes import ordered
 GRAM = 32
 RUN = 512  # most starts in a run
 CONTENTS = 4000  # most contents in a group that one task puts in order
+SIDE = 50_000  # bytes of short texts that are worked on side by side
 ROOM = 3_000_000  # bytes of text that a task puts in order at once
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position, by doubling."""
-    h, step = (text.astype(np.uint64) + np.uint64(1)) * _A, 1
+    """A hash of the GRAM bytes from each position: of eight bytes as one number, then by doubling."""
+    n = len(text) // 8 + 1
+    wide = np.concatenate([text, np.zeros(8 * n + 8 - len(text), dtype=np.uint8)])
+    h, step = np.empty((n, 8), dtype=np.uint64), 8
+    for i in range(8):
+        h[:, i] = wide[i : i + 8 * n].view("<u8")
+    h = (h.ravel()[: len(text) - 7] + np.uint64(1)) * _A
+    h ^= h >> np.uint64(32)
     while step < GRAM:
-        h = h[:-step] * _B ^ (h[step:] + (h[step:] >> np.uint64(31)))
+        right = h[step:] >> np.uint64(31)
+        right += h[step:]
+        h = h[:-step] * _B
+        h ^= right
         h *= _C
         h ^= h >> np.uint64(29)
         step *= 2
     return h
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first start and number of starts of each run of a text, and the minimizers of runs that may repeat within
-    themselves; nothing for texts under `length` bytes.
+def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, minimizer, first start and number of starts of each run of the texts, by text and start, and the minimizers of
+    runs that may repeat within themselves; nothing for texts under `length` bytes. Short texts are worked on side by side.
+    """
+    long = [i for i, t in enumerate(texts) if len(t) >= length]
+    sizes, out, lo = np.array([len(texts[i]) for i in long], dtype=np.int64), [], 0
+    ends = np.cumsum(sizes)
+    while lo < len(long):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + SIDE, side="right")))
+        own, *found = runs_of([texts[i] for i in long[lo:hi]], length)
+        out.append((np.array(long[lo:hi])[own], *found))
+        lo = hi
+    if not out:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.view(np.uint64), none, none, none.view(np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts that all have `length` bytes, as one array: windows over two texts are left out.
 
     A run whose first minimizer leaves while the run goes on holds a second one; no other run has two equal strings.
     """
-    if len(text) < length:
-        none = np.zeros(0, dtype=np.uint64)
-        return none, none.view(np.int64), none.view(np.int64), none
-    grams = gram_hashes(np.frombuffer(text, dtype=np.uint8))
+    sizes = np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    stop = begin + sizes - length + 1  # behind each text's last start
+    grams = gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
     least, width, step = grams, length - GRAM + 1, 1
     while step * 2 <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < width:
         least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
-    stays = least[1:] == least[:-1]
-    periodic = least[:-1][stays & (grams[: len(stays)] == least[:-1])]
-    edges = np.concatenate([[0], np.flatnonzero(~stays) + 1, [len(least)]])
-    size = np.diff(edges)
+    new = np.ones(len(least), dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[begin] = new[stop[:-1]] = True
+    leaves = np.flatnonzero(~new[1:] & (grams[: len(least) - 1] == least[:-1]))
+    periodic = least[leaves[leaves < stop[np.searchsorted(begin, leaves, side="right") - 1]]]
+    edges = np.flatnonzero(new)
+    size = np.diff(np.append(edges, len(least)))
+    own = np.searchsorted(begin, edges, side="right") - 1
+    inside = edges < stop[own]
+    edges, size, own = edges[inside], size[inside], own[inside]
     parts = -(-size // RUN)
-    first = np.repeat(edges[:-1], parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return least[first], first, np.minimum(np.repeat(edges[1:], parts) - first, RUN), periodic
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    edges, size, own = np.repeat(edges, parts), np.repeat(size, parts), np.repeat(own, parts)
+    return own, least[edges], edges + RUN * nth - begin[own], np.minimum(size - RUN * nth, RUN), periodic
 
 
 def as_long(x: np.ndarray) -> pa.Array:
@@ -81,9 +115,9 @@ def minimizers(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch):
-                found = [x for t in batch.column(0).slice(lo, hi - lo).to_pylist() if t for x in runs(t, length)[::3]]
-                if found:
-                    mh, seen = np.unique(np.concatenate(found), return_counts=True)
+                _, mh, _, _, periodic = runs([t for t in batch.column(0).slice(lo, hi - lo).to_pylist() if t], length)
+                if len(mh):
+                    mh, seen = np.unique(np.concatenate([mh, periodic]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([as_long(mh), pa.array(seen)], names=["mh", "seen"])
 
     return texts.select("text").mapInArrow(run, "mh long, seen long")
@@ -96,16 +130,12 @@ def cells(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch):
-                part, out = batch.slice(lo, hi - lo), [[], [], [], [], []]
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    mh, at, size, _ = runs(text or b"", length)
-                    out[0].append(mh)
-                    out[1] += [xxhash.xxh3_64_intdigest(text[a : a + n + length - 1]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
-                    out[2] += [key] * len(mh)
-                    out[3].append(at)
-                    out[4].append(size)
-                if out[2]:
-                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(out[0])), as_long(np.array(out[1], dtype=np.uint64)), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4]).astype(np.int32))], names=names)
+                part = batch.slice(lo, hi - lo)
+                texts = [t or b"" for t in part.column(1).to_pylist()]
+                own, mh, at, size, _ = runs(texts, length)
+                if len(own):
+                    ch = [xxhash.xxh3_64_intdigest(texts[i][a:b]) for i, a, b in zip(own.tolist(), at.tolist(), (at + size + length - 1).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([as_long(mh), as_long(np.array(ch, dtype=np.uint64)), part.column(0).take(pa.array(own)), pa.array(at), pa.array(size.astype(np.int32))], names=names)
 
     return texts.select("key", "text").mapInArrow(run, "mh long, ch long, key binary, at long, size int")
 
@@ -138,38 +168,44 @@ def contents(classes: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return classes.join(by_text, "key").select("text", "runs").mapInArrow(run, "mh long, ch long, size int, copies long, bytes binary")
 
 
-def repeated(found: DataFrame, length: int) -> DataFrame:
-    """mh, ch, size, lo, hi: the starts lo <= start < hi of each content whose strings occur elsewhere too, by the order of all suffixes of its group."""
+def settle(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """The repeated starts of whole groups' rows (mh, ch, size, copies, bytes). A group in which every content has copies needs no order: all its strings repeat."""
     kinds = pa.schema({"mh": pa.int64(), "ch": pa.int64(), "size": pa.int32(), "lo": pa.list_(pa.int32()), "hi": pa.list_(pa.int32())})
+    size, copies = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    nth = np.cumsum(size) - size
+    mh = np.array([r[0] for r in rows])
+    heads = np.flatnonzero(np.append(True, mh[1:] != mh[:-1]))
+    open_ = np.repeat(np.minimum.reduceat(copies, heads) < 2, np.diff(np.append(heads, len(rows))))  # groups whose order tells more than the copies
+    text = np.frombuffer(b"".join(r[4] for r, o in zip(rows, open_.tolist(), strict=True) if o), dtype=np.uint8)
+    whole = np.where(open_, size + length - 1, 0)
+    starts = np.repeat(np.cumsum(whole) - whole - nth, size) + np.arange(size.sum())
+    sorted_ = np.flatnonzero(np.repeat(open_, size))
+    order, shared = ordered(text, starts[sorted_], length)
+    twice = np.append(shared, 0) >= length
+    marked = np.append(np.repeat(copies > 1, size), False)
+    marked[sorted_[order]] |= twice[:-1] | twice[1:]
+    own = np.repeat(np.arange(len(rows)), size)
+    start = np.flatnonzero(marked[:-1] & ~np.concatenate([[False], marked[:-2] & (own[1:] == own[:-1])])) if len(own) else own
+    end = np.flatnonzero(marked[:-1] & ~(marked[1:] & np.append(own[1:] == own[:-1], False))) + 1 if len(own) else own
+    lo, hi = (start - nth[own[start]]).astype(np.int32), (end - nth[own[end - 1]]).astype(np.int32)
+    cuts = pa.array(np.searchsorted(own[start], np.arange(len(rows) + 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(lo)), pa.ListArray.from_arrays(cuts, pa.array(hi))], schema=kinds)
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
-        size, copies = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        where, nth = np.cumsum([0] + [len(r[4]) for r in rows])[:-1], np.cumsum(size) - size
-        starts = np.repeat(where - nth, size) + np.arange(size.sum())
-        order, shared = ordered(text, starts, length)
-        twice = np.append(shared, 0) >= length
-        marked = np.zeros(len(starts) + 1, dtype=bool)
-        marked[order] = twice[:-1] | twice[1:]
-        marked[:-1] |= np.repeat(copies > 1, size)
-        own = np.repeat(np.arange(len(rows)), size)
-        start = np.flatnonzero(marked[:-1] & ~np.concatenate([[False], marked[:-2] & (own[1:] == own[:-1])])) if len(own) else own
-        end = np.flatnonzero(marked[:-1] & ~(marked[1:] & np.append(own[1:] == own[:-1], False))) + 1 if len(own) else own
-        lo, hi = (start - nth[own[start]]).astype(np.int32), (end - nth[own[end - 1]]).astype(np.int32)
-        cuts = pa.array(np.searchsorted(own[start], np.arange(len(rows) + 1)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(lo)), pa.ListArray.from_arrays(cuts, pa.array(hi))], schema=kinds)
+
+def repeated(found: DataFrame, length: int) -> DataFrame:
+    """mh, ch, size, lo, hi: the starts lo <= start < hi of each content whose strings occur elsewhere too, by the order of all suffixes of its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, room = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if room > ROOM and row[0] != held[-1][0]:
-                    yield settle(held)
+                    yield settle(held, length)
                     held, room = [], 0
                 held.append(row)
                 room += len(row[4])
         if held:
-            yield settle(held)
+            yield settle(held, length)
 
     rows = found.select("mh", "ch", "size", "copies", "bytes").repartition("mh").sortWithinPartitions("mh", "ch")
     return rows.mapInArrow(run, "mh long, ch long, size int, lo array<int>, hi array<int>")

@@ -15,33 +15,27 @@ SHALLOW = 3  # symbols of eight bytes
 TRIE = 128  # most suffixes in a blind trie
 
 
-def symbols(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one number, the first byte highest."""
-    n = len(text)
-    wide = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | wide[i : n + i].astype(np.uint64)
-    return out
+def symbols(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """The eight bytes from each position as one number, the first byte highest, and n: position p stands at p % 8 * n + p // 8,
+    so the symbols of one suffix lie side by side."""
+    n = len(text) // 8 + 1
+    wide = np.concatenate([text, np.zeros(8 * n + 8 - len(text), dtype=np.uint8)])
+    return np.concatenate([wide[i : i + 8 * n].view(">u8").astype(np.uint64) for i in range(8)]), n
 
 
 def leading_zeros(x: np.ndarray) -> np.ndarray:
-    """Of 64-bit numbers that are not 0."""
-    out, x = np.full(len(x), 63, dtype=np.int64), x.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        high = x >> np.uint64(shift)
-        big = high > 0
-        out[big] -= shift
-        x = np.where(big, high, x)
-    return out
+    """Of 64-bit numbers that are not 0: from the exponent as floating point, for which the bit below the highest is cleared
+    (so that none is rounded up)."""
+    return 1086 - ((x & ~(x >> np.uint64(1))).astype(np.float64).view(np.int64) >> 52)
 
 
 class Tries:
-    """Blind tries of groups of suffixes that lie side by side in `members`; lo, size: each group's place, the largest first."""
+    """Blind tries of groups of suffixes that agree in `level` symbols and lie side by side; first: each one's first symbol
+    among `words`; lo, size: each group's place, the largest first."""
 
-    def __init__(self, words: np.ndarray, text: np.ndarray, starts: np.ndarray, lo: np.ndarray, size: np.ndarray, agreed: np.ndarray, depth: int):
-        self.words, self.text, self.starts, self.depth = words, text, starts, depth
-        self.lo, self.size, self.agreed = lo, size, agreed
+    def __init__(self, words: np.ndarray, text: np.ndarray, starts: np.ndarray, first: np.ndarray, lo: np.ndarray, size: np.ndarray, level: int, depth: int):
+        self.words, self.text, self.starts, self.first, self.depth = words, text, starts, first, depth
+        self.lo, self.size, self.level = lo, size, level
         n = len(starts)
         self.bit = np.zeros(n, dtype=np.int32)  # of inner nodes: the position of the first differing bit
         self.child = np.zeros((2, n), dtype=np.int64)  # inner nodes from 0, leaves as ~member
@@ -66,16 +60,16 @@ class Tries:
             down = down[v >= 0]
         met = ~node
         differ = np.full(groups, self.depth * 8, dtype=np.int64)
-        same, k = np.arange(groups), self.agreed[:groups].astype(np.int64)
-        while len(same):
-            a = self.words[at[same] + k[same]]
-            x_or = a ^ self.words[self.starts[met[same]] + k[same]]
-            apart = x_or != 0
-            hit = same[apart]
-            differ[hit] = np.minimum(k[hit] * 8 + leading_zeros(x_or[apart]), self.depth * 8)
-            same = same[~apart]
-            k[same] += 8
-            same = same[k[same] < self.depth]
+        same, own, other = np.arange(groups), self.first[x], self.first[met]
+        for k in range(self.level, -(-self.depth // 8)):
+            x_or = self.words[own + k] ^ self.words[other + k]
+            apart = np.flatnonzero(x_or)
+            if len(apart):
+                differ[same[apart]] = np.minimum(k * 64 + leading_zeros(x_or[apart]), self.depth * 8)
+                on = np.flatnonzero(x_or == 0)
+                same, own, other = same[on], own[on], other[on]
+            if not len(same):
+                break
         equal = differ >= self.depth * 8
         self.leaf[x[equal]] = met[equal]
         g = np.flatnonzero(~equal)
@@ -136,25 +130,30 @@ def ordered(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarra
     if not n:
         return np.zeros(0, dtype=np.int64), shared
     text = np.concatenate([text, np.zeros(16, dtype=np.uint8)])
-    words = symbols(text)
-    order = np.argsort(starts, kind="stable")
+    words, n_words = symbols(text)
+    by_start = np.argsort(starts, kind="stable")
+    starts = starts[by_start]
+    at = (starts & 7) * n_words + (starts >> 3)
+    order = np.arange(n)
     # Open groups: places in the order, side by side, and each group's first index among them.
     places, first, level = np.arange(n), np.zeros(1, dtype=np.int64), 0
     deep: list[tuple[np.ndarray, np.ndarray, int]] = []
     while len(places) and level * 8 < depth:
-        key = words[starts[order[places]] + level * 8]
+        key = words[at[order[places]] + level]
         over = level * 8 + 8 - depth
         if over > 0:
             key = key >> np.uint64(8 * over) << np.uint64(8 * over)
-        size = np.diff(np.append(first, len(places)))
-        group = np.repeat(np.arange(len(first)), size)
-        by = np.argsort(key, kind="stable") if len(first) == 1 else np.lexsort((key, group))
+        by = np.argsort(key)
+        head = np.zeros(len(places), dtype=bool)
+        head[first] = True
+        if len(first) > 1:  # then by group, which keeps its place
+            group = np.cumsum(head) - 1
+            by = by[within(group[by])]
         order[places] = order[places][by]
         key = key[by]
-        new = np.ones(len(places), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        split = np.flatnonzero(new)
-        inside = split[~np.isin(split, first, assume_unique=True)]
+        new = head.copy()
+        new[1:] |= key[1:] != key[:-1]
+        split, inside = np.flatnonzero(new), np.flatnonzero(new & ~head)
         shared[places[inside]] = level * 8 + leading_zeros(key[inside] ^ key[inside - 1]) // 8
         level += 1
         size = np.diff(np.append(split, len(places)))
@@ -165,9 +164,22 @@ def ordered(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarra
     rest = np.ones(len(places), dtype=bool)
     rest[first] = False
     shared[places[rest]] = depth  # groups that agree to the full depth
+    order[places] = ascending(order[places], first)
     for where, lo, level in deep:
-        settle(text, words, starts, order, shared, where, lo, level, depth)
-    return order, shared
+        settle(text, words, starts, at, order, shared, where, lo, level, depth)
+    return by_start[order], shared
+
+
+def within(group: np.ndarray) -> np.ndarray:
+    """The stable order of group numbers: number and place are sorted as one."""
+    return np.sort(group << 32 | np.arange(len(group))) & 0xFFFFFFFF
+
+
+def ascending(members: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The members of each group, ascending."""
+    head = np.zeros(len(members), dtype=np.int64)
+    head[first] = 1
+    return np.sort(np.cumsum(head) << 32 | members) & 0xFFFFFFFF
 
 
 def picked(places: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,16 +187,16 @@ def picked(places: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np
     return places[np.repeat(chosen, size)], np.cumsum(size[chosen]) - size[chosen]
 
 
-def settle(text: np.ndarray, words: np.ndarray, starts: np.ndarray, order: np.ndarray, shared: np.ndarray, places: np.ndarray, first: np.ndarray, level: int, depth: int) -> None:
+def settle(text: np.ndarray, words: np.ndarray, starts: np.ndarray, at: np.ndarray, order: np.ndarray, shared: np.ndarray, places: np.ndarray, first: np.ndarray, level: int, depth: int) -> None:
     """Order small groups that agree in `level` symbols by blind tries."""
     size = np.diff(np.append(first, len(places)))
     by = np.argsort(-size, kind="stable")
-    tries = Tries(words, text, starts[order[places]], first[by], size[by], np.full(len(by), level * 8), depth)
+    members = ascending(order[places], first)
+    tries = Tries(words, text, starts[members], at[members], first[by], size[by], level, depth)
     rank, common = tries.order()
     rank, common = rank[tries.leaf], np.where(tries.leaf == np.arange(len(places)), common[tries.leaf], depth)
-    group = np.repeat(np.arange(len(first)), size)
-    by = np.lexsort((np.arange(len(places)), rank, group))
-    order[places] = order[places][by]
+    by = within(np.repeat(first, size) + rank)  # a group has no more ranks than members
+    order[places] = members[by]
     heads = np.zeros(len(places), dtype=bool)
     heads[first] = True
     common = common[by]

@@ -90,6 +90,35 @@ def test_repeats(spark, monkeypatch, most):
     assert short == {(*g[:4], hashlib.sha256(g[4]).hexdigest()) for g in got}
 
 
+def test_short_texts_side_by_side(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(0, 900, 300)] + [b"a" * 2000, b"ab" * 400, b"", b"x" * 200, b"x" * 199]
+    calls, plain = [], repeats.runs_of
+    monkeypatch.setattr(repeats, "runs_of", lambda some, length: calls.append(len(some)) or plain(some, length))
+    own, mh, at, size, periodic = repeats.runs(texts, 200)
+    assert len(calls) < 10 and sum(calls) == sum(len(t) >= 200 for t in texts)
+    got, again = [(int(i), a + k, int(m)) for i, m, a, n in zip(own, mh, at.tolist(), size, strict=True) for k in range(n)], []
+    want = []
+    for i, t in enumerate(texts):
+        grams = [int(g) for g in repeats.gram_hashes(np.frombuffer(t, dtype=np.uint8))] if len(t) >= 200 else []
+        least = [min(grams[a : a + 200 - repeats.GRAM + 1]) for a in range(len(t) - 199)]
+        want += [(i, a, m) for a, m in enumerate(least)]
+        again += [m for a, m in enumerate(least[:-1]) if m == least[a + 1] == grams[a]]
+    assert got == want and periodic.tolist() == again
+
+
+def test_groups_of_copies_are_not_sorted(monkeypatch):
+    """Contents of 200 to 203 bytes: all of the first group have copies; one of the second has none and shares a string."""
+    rng, sorted_ = np.random.default_rng(6), []
+    a, b, c = (bytes(rng.integers(97, 123, 203).astype(np.uint8)) for _ in range(3))
+    plain = repeats.ordered
+    monkeypatch.setattr(repeats, "ordered", lambda text, starts, depth: sorted_.append(len(starts)) or plain(text, starts, depth))
+    rows = [(1, 1, 4, 2, a), (1, 2, 1, 9, b[:200]), (2, 3, 4, 1, c), (2, 4, 1, 3, c[1:201]), (3, 5, 2, 2, a[:201])]
+    got = repeats.settle(rows, 200).to_pydict()
+    assert (got["lo"], got["hi"], sorted_) == ([[0], [0], [1], [0], [0]], [[4], [1], [2], [1], [2]], [5])
+    assert repeats.settle(rows[:2], 200).to_pydict()["hi"] == [[4], [1]]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
