@@ -2,14 +2,19 @@
 
 Timers fire when the watermark passes them, so what a key gives out does not hang on how its rows came in batches. A log
 that ends leaves timers open; `until_quiet` then restarts the stream from its checkpoint with one late clock row.
+
+Keys share the calls: a call works on one of GROUPS groups of keys, whose state is a row a key and whose timer is that of
+the key due first. So calls do not grow with the keys; a batch writes the state of the groups that it meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +23,16 @@ from ..sources.scratch import shared_folder
 c = F.col
 CLOCK = -(2**63)  # the key of clock rows
 END = "2200-01-01 00:00:00"
+GROUPS = 1024
+
+
+def grouped(rows: DataFrame, key: str) -> GroupedData:
+    """Rows by group of keys; rows without a key are group -1."""
+    return rows.withColumn("group", F.when(c(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS)))).groupBy("group")
+
+
+def keys_out(keys: list[int], group: int) -> pd.Series:
+    return pd.Series([None] * len(keys) if group < 0 else keys, dtype="Int64")
 
 
 def until_quiet(spark: SparkSession, log: DataFrame, answer: Callable[[DataFrame], DataFrame], name: str) -> str:
@@ -43,33 +58,39 @@ def liveness(beats: DataFrame, quiet_ms: int, late: str = "10 minutes") -> DataF
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, last = state.get if state.exists else ("none", 0)
-        out: list[tuple[int, str]] = []
-        if state.hasTimedOut:
-            out, status = [(last + quiet_ms, "stale")], "stale"
-        rows: list[tuple[int, int, bool]] = []
+        known = {worker: (status, last) for worker, status, last in (state.get[0] if state.exists else [])}
+        out: list[tuple[int, int, str]] = []
+        rows: list[tuple[int, int, int, bool]] = []
         for frame in frames:
-            rows += zip(frame["at"].tolist(), frame["nth"].tolist(), frame["stopped"].tolist(), strict=True)
-        for at, _, stopped in sorted(rows) if key[0] != CLOCK else []:
-            if status == "active" and at - last >= quiet_ms:
-                out.append((last + quiet_ms, "stale"))
-                status = "stale"
-            new = "stopped" if stopped else "active"
-            if new != status:
-                out.append((at, new))
-            status, last = new, at
+            workers = frame["worker"].tolist() if key[0] >= 0 else [0] * len(frame)
+            rows += zip(workers, frame["at"].tolist(), frame["nth"].tolist(), frame["stopped"].tolist(), strict=True)
+        for worker, own in groupby(sorted(rows), key=itemgetter(0)):
+            if worker == CLOCK:
+                continue
+            status, last = known.get(worker, ("none", 0))
+            for _, at, _, stopped in own:
+                if status == "active" and at - last >= quiet_ms:
+                    out.append((worker, last + quiet_ms, "stale"))
+                    status = "stale"
+                new = "stopped" if stopped else "active"
+                if new != status:
+                    out.append((worker, at, new))
+                status, last = new, at
+            known[worker] = status, last
         over = state.getCurrentWatermarkMs()
-        if status == "active" and last + quiet_ms <= over:
-            out.append((last + quiet_ms, "stale"))
-            status = "stale"
-        if key[0] != CLOCK:
-            state.update((status, last))
-            if status == "active":
-                state.setTimeoutTimestamp(last + quiet_ms)
-        yield pd.DataFrame({"worker": [key[0]] * len(out), "at": [a for a, _ in out], "status": [s for _, s in out]}).astype({"worker": "int64", "at": "int64"})
-
-    timed = beats.withWatermark("ts", late).select("worker", "ts", F.unix_millis("ts").alias("at"), "nth", "stopped").groupBy("worker")
-    return timed.applyInPandasWithState(step, "worker long, at long, status string", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+        for worker, (status, last) in known.items():
+            if status == "active" and last + quiet_ms <= over:
+                out.append((worker, last + quiet_ms, "stale"))
+                known[worker] = "stale", last
+        if known:
+            state.update(([(worker, *of) for worker, of in known.items()],))
+            if due := [last + quiet_ms for status, last in known.values() if status == "active"]:
+                state.setTimeoutTimestamp(min(due))
+        yield pd.DataFrame({"worker": keys_out([w for w, _, _ in out], key[0]), "at": pd.Series([a for _, a, _ in out], dtype="int64"), "status": [x for _, _, x in out]})
+
+    timed = grouped(beats.withWatermark("ts", late).select("worker", "ts", F.unix_millis("ts").alias("at"), "nth", "stopped"), "worker")
+    kinds = "known array<struct<worker: long, status: string, last: long>>"
+    return timed.applyInPandasWithState(step, "worker long, at long, status string", kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def paced(reports: DataFrame, cadence: float, staleness: float, delta: float | None, late: str = "10 minutes") -> DataFrame:

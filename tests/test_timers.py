@@ -85,6 +85,35 @@ def test_liveness(spark, tmp_path, parts):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == sorted(want)
 
 
+def state_rows(stream, path):
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").option("path", path).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+
+
+def test_keys_share_calls(spark, tmp_path, monkeypatch):
+    """Forty workers, one of them without a name, in three groups and the nameless one's; one state a group."""
+    monkeypatch.setattr(timers, "GROUPS", 3)
+    names = [None, *range(39)]
+    rows = [(names[(k * 7) % 40], T0 + timedelta(seconds=100 * k), k, k % 11 == 0) for k in range(160)]
+    want = []
+    for w in names:
+        status, last = "none", None
+        for _, ts, _, stopped in [r for r in rows if r[0] == w]:
+            at = int(ts.timestamp() * 1000)
+            want += [(w, last + 3_000_000, "stale")] if status == "active" and at - last >= 3_000_000 else []
+            status = "stale" if status == "active" and at - last >= 3_000_000 else status
+            new = "stopped" if stopped else "active"
+            want += [(w, at, new)] if new != status else []
+            status, last = new, at
+        want += [(w, last + 3_000_000, "stale")] if status == "active" else []
+    stream = split_log(spark, rows, "worker long, ts timestamp, nth long, stopped boolean", str(tmp_path / "log"), 2)
+    answer = lambda s: timers.liveness(s, 3_000_000, "0 seconds")
+    path = timers.until_quiet(spark, stream, answer, "liveness")
+    assert sorted((tuple(r) for r in spark.read.parquet(path).collect()), key=repr) == sorted(want, key=repr)
+    assert state_rows(answer(stream), str(tmp_path / "out")) <= 4
+
+
 def test_resumption(spark):
     lines = spark.range(500).select(F.col("id").alias("cursor"), F.lit("t").alias("topic"))
     path = timers.as_files(lines, "cursor", 5)
