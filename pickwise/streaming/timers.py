@@ -102,41 +102,46 @@ def paced(reports: DataFrame, cadence: float, staleness: float, delta: float | N
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, share, warnings, last, waits, w_stage, w_share, w_warnings, timer = state.get if state.exists else (None, None, None, None, None, None, None, None, None)
-        out: list[tuple[float, float]] = []
+        known = {job: tuple(of) for job, *of in (state.get[0] if state.exists else [])}
+        out: list[tuple[int, float, float]] = []
         rows: list[tuple] = []
         for f in frames:
-            own = [None if pd.isna(x) else float(x) for x in f["share"]]
-            rows += zip(f["at"].tolist(), f["stage"].tolist(), own, f["warnings"].tolist(), strict=True)
-
-        def fire(now: float) -> None:
-            """What the timer does, if it is due."""
-            nonlocal stage, share, warnings, last, waits, timer
-            if timer is None or timer > now:
-                return
-            if waits is not None:
-                out.append((timer, waits))
-                stage, share, warnings, last, waits = w_stage, w_share, w_warnings, timer, None
-            timer = None
-
-        for at, new_stage, new_share, new_warnings in sorted(rows, key=lambda r: (r[0], r[1])) if key[0] != CLOCK else []:
-            fire(at)
-            grown = delta is not None and share is not None and new_share is not None and new_share - share >= delta
-            if last is None or (stage, warnings) != (new_stage, new_warnings) or grown or at - last >= staleness:
-                out.append((at, at))
-                stage, share, warnings, last, waits = new_stage, new_share, new_warnings, at, None
-            else:
-                waits, w_stage, w_share, w_warnings = at, new_stage, new_share, new_warnings
-                timer = at + min(cadence, staleness) if timer is None else timer
-        fire(state.getCurrentWatermarkMs() / 1000)
-        if key[0] != CLOCK:
-            state.update((stage, share, warnings, last, waits, w_stage, w_share, w_warnings, timer))
-            if timer is not None:
-                state.setTimeoutTimestamp(max(int(-(-timer * 1000 // 1)), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job": [key[0]] * len(out), "written": [w for w, _ in out], "observed": [o for _, o in out]}).astype({"job": "int64", "written": "float64", "observed": "float64"})
-
-    timed = reports.withWatermark("ts", late).select("job", "ts", "at", "stage", "share", "warnings").groupBy("job")
-    kinds = "stage string, share double, warnings long, last double, waits double, w_stage string, w_share double, w_warnings long, timer double"
+            jobs = f["job"].tolist() if key[0] >= 0 else [0] * len(f)
+            share = [None if x != x else x for x in f["share"].astype("float64").tolist()]
+            rows += zip(jobs, f["at"].tolist(), f["stage"].tolist(), share, f["warnings"].tolist(), strict=True)
+        for job, own in groupby(sorted(rows, key=itemgetter(0, 1, 2)), key=itemgetter(0)):
+            if job == CLOCK:
+                continue
+            stage, share, warnings, last, waits, w_stage, w_share, w_warnings, timer = known.get(job, (None,) * 9)
+            for _, at, new_stage, new_share, new_warnings in own:
+                if timer is not None and timer <= at:  # what the timer does comes first
+                    if waits is not None:
+                        out.append((job, timer, waits))
+                        stage, share, warnings, last, waits = w_stage, w_share, w_warnings, timer, None
+                    timer = None
+                grown = delta is not None and share is not None and new_share is not None and new_share - share >= delta
+                if last is None or (stage, warnings) != (new_stage, new_warnings) or grown or at - last >= staleness:
+                    out.append((job, at, at))
+                    stage, share, warnings, last, waits = new_stage, new_share, new_warnings, at, None
+                else:
+                    waits, w_stage, w_share, w_warnings = at, new_stage, new_share, new_warnings
+                    timer = at + min(cadence, staleness) if timer is None else timer
+            known[job] = stage, share, warnings, last, waits, w_stage, w_share, w_warnings, timer
+        over = state.getCurrentWatermarkMs()
+        for job, (stage, share, warnings, last, waits, w_stage, w_share, w_warnings, timer) in known.items():
+            if timer is not None and timer <= over / 1000:
+                if waits is not None:
+                    out.append((job, timer, waits))
+                    stage, share, warnings, last, waits = w_stage, w_share, w_warnings, timer, None
+                known[job] = stage, share, warnings, last, waits, w_stage, w_share, w_warnings, None
+        if known:
+            state.update(([(job, *of) for job, of in known.items()],))
+            if due := [of[-1] for of in known.values() if of[-1] is not None]:
+                state.setTimeoutTimestamp(max(int(-(-min(due) * 1000 // 1)), over + 1))
+        yield pd.DataFrame({"job": keys_out([j for j, _, _ in out], key[0]), "written": pd.Series([w for _, w, _ in out], dtype="float64"), "observed": pd.Series([o for _, _, o in out], dtype="float64")})
+
+    timed = grouped(reports.withWatermark("ts", late).select("job", "ts", "at", "stage", "share", "warnings"), "job")
+    kinds = "known array<struct<job: long, stage: string, share: double, warnings: long, last: double, waits: double, w_stage: string, w_share: double, w_warnings: long, timer: double>>"
     return timed.applyInPandasWithState(step, "job long, written double, observed double", kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 

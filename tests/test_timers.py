@@ -114,6 +114,18 @@ def test_keys_share_calls(spark, tmp_path, monkeypatch):
     assert state_rows(answer(stream), str(tmp_path / "out")) <= 4
 
 
+def test_jobs_share_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "GROUPS", 3)
+    names, rng, base = [None, *range(29)], random.Random(2), T0.timestamp()
+    rows = [(names[rng.randrange(30)], T0 + timedelta(seconds=k), base + k, rng.choice("aaab"), None if k % 9 == 0 else float(rng.randrange(60)), k % 20 // 19) for k in range(240)]
+    stream = split_log(spark, rows, "job long, ts timestamp, at double, stage string, share double, warnings long", str(tmp_path / "log"), 2)
+    answer = lambda s: timers.paced(s, 20.0, 90.0, 30.0, "0 seconds")
+    path = timers.until_quiet(spark, stream, answer, "paced")
+    want = [(j, w, o) for j in names for w, o in written_by_hand([r[2:] for r in rows if r[0] == j], 20.0, 90.0, 30.0)]
+    assert sorted((tuple(r) for r in spark.read.parquet(path).collect()), key=repr) == sorted(want, key=repr)
+    assert state_rows(answer(stream), str(tmp_path / "out")) <= 4
+
+
 def test_resumption(spark):
     lines = spark.range(500).select(F.col("id").alias("cursor"), F.lit("t").alias("topic"))
     path = timers.as_files(lines, "cursor", 5)
