@@ -4,7 +4,9 @@ The covariance of the whole table is never formed. The driver holds a block of a
 the rows returns the sum of xᵀ(xV), rows centred first: every task adds up its own rows and gives a sum for each of the
 BLOCK x dimensions cells, which Spark adds by cell. New directions are orthogonalised against all earlier ones, twice. A
 direction that the block has used up (breakdown) is replaced by a random one outside the basis. Passes end when the
-residuals |AQy - eQy| of all wanted pairs, taken from the stored AQ, are down to rounding, or the basis fills the space.
+residuals |AQy - eQy| of all wanted pairs, taken from the stored AQ, are down to rounding, and stay there when a random
+block outside the basis has been added (an eigenvalue may be more often there than the blocks so far could show), or the
+basis fills the space.
 
 Each length of vectors is a fit list of its own. What the driver holds grows with the square of the vectors' length, not
 with the table.
@@ -82,7 +84,7 @@ def lanczos(apply: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int, b
     operator without negative eigenvalues that is known only by apply(V) = AV."""
     rng = np.random.default_rng(seed)
     basis, image = np.zeros((dims, 0)), np.zeros((dims, 0))
-    fresh, passes = rng.standard_normal((dims, min(block, dims))), 0
+    fresh, passes, settled = rng.standard_normal((dims, min(block, dims))), 0, False
     while True:
         new = outside(basis, fresh, min(block, dims - basis.shape[1]), rng)
         image = np.hstack([image, apply(new)])
@@ -92,9 +94,10 @@ def lanczos(apply: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int, b
         top = np.argsort(-values, kind="stable")[:wanted]
         ritz = basis @ vectors[:, top]
         residual = np.linalg.norm(image @ vectors[:, top] - ritz * values[top], axis=0)
-        if basis.shape[1] == dims or len(top) == wanted and residual.max() <= ROUNDING * max(values.max(), 0):
+        before, settled = settled, len(top) == wanted and residual.max() <= ROUNDING * max(values.max(), 0)
+        if basis.shape[1] == dims or before and settled:
             return values[top], ritz, passes
-        fresh = image[:, -new.shape[1] :]
+        fresh = rng.standard_normal(new.shape) if settled else image[:, -new.shape[1] :]
 
 
 def outside(basis: np.ndarray, fresh: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
